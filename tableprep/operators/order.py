@@ -8,9 +8,9 @@ Plan for large inputs (``with_row_index``):
 
 1. ``count()`` (metadata-only for Parquet).
 2. A bounded sample of the order key (``B * oversample`` rows) is sorted in one
-   small task and B-1 composite bounds are taken from it.  The bounds are over
-   the *whole* key, so a hot leading value is split across buckets by the
-   remaining key columns.
+   small task and B-1 bounds are taken from it, on the shortest key prefix
+   that tells them apart: a hot leading value lengthens the prefix, so it is
+   split across buckets by the remaining key columns.
 3. ``bucket`` = binary search of the key over the bounds, written as a balanced
    ``CASE`` tree (about log2(B) comparisons per row, all JVM-side).  It is a
    pure function of the row, hence identical in every job and on task retry.
@@ -20,6 +20,9 @@ Plan for large inputs (``with_row_index``):
 5. ``row_number()`` over ``partitionBy(bucket)`` plus the bucket offset.  This
    is the only shuffle of the data; each window partition is one bucket.
 
+With ``partition_by`` (an index per group) the buckets still follow the order
+key and the groups become extra window keys; offsets are per (group, bucket).
+
 Small inputs (<= ``small_rows``) use the plain window directly.
 """
 from __future__ import annotations
@@ -29,7 +32,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import TablePrepError
 from ..session import default_parallelism
@@ -42,6 +44,7 @@ ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
 OVERSAMPLE = 32
 SEED = 7
+OFFSET_ROWS_BROADCAST = 200_000
 
 
 def _names(cols) -> list[str]:
@@ -91,37 +94,76 @@ def _sample_bounds(df: DataFrame, keys: list[str], n: int, buckets: int, oversam
     return bounds
 
 
-def _key_expr(df: DataFrame, keys: list[str]):
-    types = {f.name: f.dataType for f in df.schema.fields}
-    if len(keys) == 1:
-        return F.col(keys[0]), [types[keys[0]]]
-    return F.struct(*[F.col(k) for k in keys]), [types[k] for k in keys]
+def _dedupe(bounds: list[tuple]) -> list[tuple]:
+    out: list[tuple] = []
+    for b in bounds:
+        if not out or out[-1] != b:
+            out.append(b)
+    return out
 
 
-def _bound_literal(bound: tuple, keys: list[str], types: list[T.DataType]) -> Column:
-    vals = [F.lit(v).cast(t) for v, t in zip(bound, types)]
-    if len(keys) == 1:
-        return vals[0]
-    return F.struct(*[v.alias(k) for v, k in zip(vals, keys)])
+def _prefix_width(bounds: list[tuple], min_width: int = 0, keep: float = 0.9) -> int:
+    """Shortest key prefix that still tells (almost) all bounds apart.
+
+    Bucketing on a prefix is exact -- the prefix order agrees with the full
+    order, so buckets stay contiguous -- and a one-column test is much cheaper
+    than a lexicographic one.  A hot leading value makes many bounds share
+    their first column and so lengthens the prefix automatically.
+    """
+    if not bounds:
+        return max(1, min_width)
+    full = len(_dedupe(bounds))
+    for w in range(max(1, min_width), len(bounds[0]) + 1):
+        if len(_dedupe([b[:w] for b in bounds])) >= keep * full:
+            return w
+    return len(bounds[0])
+
+
+def _less_than(cols: list[Column], bound: list[Column], is_null: list[bool]) -> Column:
+    """``(cols) < (bound)`` lexicographically, ascending with nulls first.
+
+    Scalar comparisons only, nested so that the leading column decides most
+    rows and later columns are looked at only on ties (short-circuit in the
+    generated code).
+    """
+    if not cols:
+        return F.lit(False)
+    k, b = cols[0], bound[0]
+    rest = _less_than(cols[1:], bound[1:], is_null[1:])
+    if is_null[0]:  # nothing sorts below null; equal when k is null too
+        return k.isNull() & rest
+    first_less = F.coalesce(k < b, F.lit(True))  # a null key sorts first
+    if len(cols) == 1:
+        return first_less
+    return first_less | (F.coalesce(k == b, F.lit(False)) & rest)
 
 
 def bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
-    """Number of bounds <= key, as a balanced CASE tree (nulls sort first)."""
-    key, types = _key_expr(df, keys)
-    lits = [_bound_literal(b, keys, types) for b in bounds]
+    """Number of bounds <= key, as a balanced CASE tree: about log2(B)
+    comparisons per row, all JVM-side.
+
+    One key column: scalar tests.  Several: the key is packed into one struct
+    and compared with struct literals -- Spark generates a single comparator
+    for the struct type, so every tree node stays a small call and the whole
+    stage remains small enough for the JIT (a tree of inlined lexicographic
+    tests does not).
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if len(keys) == 1:
+        col = F.col(f"`{keys[0]}`")
+        tests = [_less_than([col], [F.lit(b[0]).cast(types[keys[0]])], [b[0] is None]) for b in bounds]
+    else:
+        key = F.struct(*[F.col(f"`{k}`").alias(k) for k in keys])
+        tests = [key < F.struct(*[F.lit(v).cast(types[k]).alias(k) for v, k in zip(b, keys)]) for b in bounds]
 
     def build(lo: int, hi: int) -> Column:
         # result lies in [lo, hi]; bound i separates bucket i and i+1
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi + 1) // 2
-        return F.when(key < lits[mid - 1], build(lo, mid - 1)).otherwise(build(mid, hi))
+        return F.when(tests[mid - 1], build(lo, mid - 1)).otherwise(build(mid, hi))
 
-    expr = build(0, len(lits))
-    if len(keys) == 1:
-        # a null scalar key compares as unknown; asc order puts it first
-        expr = F.when(key.isNull(), F.lit(0)).otherwise(expr)
-    return expr
+    return build(0, len(tests))
 
 
 def with_row_index(
@@ -160,10 +202,15 @@ def with_row_index(
             out = out.where(F.col(index_col).between(index_range[0], index_range[1]))
         return out
 
+    # Buckets follow the order key alone (groups are window keys), so the
+    # bucket test is usually one scalar column and a hot group is spread
+    # over all buckets.
     buckets = _bucket_count(spark, n, rows_per_bucket, max_buckets)
-    bounds = _sample_bounds(df, keys, n, buckets, oversample, seed)
+    bounds = _sample_bounds(df, order, n, buckets, oversample, seed)
+    width = _prefix_width(bounds)
+    bounds = _dedupe([b[:width] for b in bounds])
     bcol = "_tp_bucket"
-    data = df.withColumn(bcol, bucket_expr(df, keys, bounds))
+    data = df.withColumn(bcol, bucket_expr(df, order[:width], bounds))
 
     counts = data.groupBy(bcol, *parts).count()
     w = Window.partitionBy(bcol, *parts).orderBy(*order)
@@ -188,17 +235,19 @@ def with_row_index(
             out = out.where(F.col(index_col).between(index_range[0], index_range[1]))
         return out
 
-    # per-group index: offset of (bucket, group) = rows of the group in earlier buckets
+    # Per-group index: offset(group, bucket) = rows of the group in earlier
+    # buckets -- a window over the (bucket, group) count table, which has at
+    # most groups x B rows.  Small (sheets): broadcast from a checked driver
+    # list; large: an ordinary join, planned (and re-planned by AQE) by Spark.
     ocol = "_tp_offset"
     wo = Window.partitionBy(*parts).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.withColumn(ocol, F.coalesce(F.sum("count").over(wo), F.lit(0)).cast("long")).drop("count")
-    limit = 100_000
-    small = offs.limit(limit + 1).collect()
-    if len(small) <= limit:
-        # proven bound: at most `limit` rows, built from a driver list
-        offs = F.broadcast(spark.createDataFrame(small, offs.schema))
+    offs = (counts.withColumn(ocol, F.coalesce(F.sum("count").over(wo), F.lit(0)).cast("long"))
+            .where(F.col(ocol) > 0).drop("count"))
+    rows = offs.limit(OFFSET_ROWS_BROADCAST + 1).collect()
+    if len(rows) <= OFFSET_ROWS_BROADCAST:
+        offs = F.broadcast(spark.createDataFrame(rows, offs.schema))
     cond = [data[bcol] == offs[bcol]] + [data[p].eqNullSafe(offs[p]) for p in parts]
-    joined = data.join(offs, cond, "inner").select(data["*"], offs[ocol])
+    joined = data.join(offs, cond, "left").select(data["*"], F.coalesce(offs[ocol], F.lit(0)).alias(ocol))
     out = joined.withColumn(index_col, (F.col(ocol) + rn).cast("long")).drop(bcol, ocol)
     if index_range is not None:
         out = out.where(F.col(index_col).between(index_range[0], index_range[1]))

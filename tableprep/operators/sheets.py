@@ -56,8 +56,23 @@ def as_sheets(df: DataFrame, sheet_col: str, order_by, sheet_order=None) -> Data
 
 
 def _renumber(sheets: DataFrame) -> DataFrame:
-    """Global index over (sheet_pos, row_pos): the order of a combined sheet."""
-    return with_row_index(sheets, ["sheet_pos", "row_pos"], index_col="_tp_idx")
+    """Index in the combined order (sheet_pos, row_pos).
+
+    ``row_pos`` is dense within each sheet, so the index is the sheet's
+    offset (rows in earlier sheets) plus ``row_pos``: one count per sheet --
+    Catalyst prunes the row-order work from that aggregate -- and a
+    projection, no second ordering pass.
+    """
+    counts = sheets.groupBy("sheet_pos").count().limit(MAX_SHEETS + 1).collect()
+    if len(counts) > MAX_SHEETS:
+        raise TablePrepError(f"more than {MAX_SHEETS} sheets")
+    rows, run = [], 0
+    for pos, n in sorted((r[0], r[1]) for r in counts):
+        rows.append((pos, run))
+        run += n
+    offsets = _mapping(sheets.sparkSession, rows, "sheet_pos int, _tp_off long")
+    out = sheets.join(offsets, "sheet_pos", "inner")
+    return out.withColumn("_tp_idx", F.col("_tp_off") + F.col("row_pos")).drop("_tp_off")
 
 
 def combine(sheets: DataFrame, target: str) -> DataFrame:
