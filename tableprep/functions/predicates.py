@@ -29,10 +29,21 @@ _FLOATS = (T.FloatType, T.DoubleType)
 
 
 class Operand:
-    """A column expression awaiting a DataFrame to learn its type."""
+    """A column expression awaiting a DataFrame to learn its type.
 
-    def __init__(self, build: Callable[[DataFrame], Column]):
+    ``plain`` marks a bare column and ``value`` a literal; only comparisons
+    between those two also yield a predicate Spark can push to the scan.
+    """
+
+    def __init__(self, build: Callable[[DataFrame], Column], plain: bool = False, value=None,
+                 is_literal: bool = False):
         self._build = build
+        self.plain = plain
+        self.value = value
+        self.is_literal = is_literal
+
+    def raw(self, df: DataFrame) -> Column:
+        return self._build(df)
 
     def compile(self, df: DataFrame) -> Column:
         expr = self._build(df)
@@ -65,7 +76,11 @@ class Operand:
     # comparisons ------------------------------------------------------
     def _cmp(self, other, op, when_missing: bool) -> "Cond":
         o = _operand(other)
-        return Cond(lambda df: F.coalesce(op(self.compile(df), o.compile(df)), F.lit(when_missing)))
+        implied = None
+        if not when_missing and self.plain and o.is_literal and o.value is not None:
+            # a necessary condition Spark can push down: exact => raw comparison
+            implied = lambda df: op(self.raw(df), F.lit(o.value))
+        return Cond(lambda df: F.coalesce(op(self.compile(df), o.compile(df)), F.lit(when_missing)), implied)
 
     def __eq__(self, o): return self._cmp(o, lambda a, b: a == b, False)  # type: ignore[override]
     def __ne__(self, o): return self._cmp(o, lambda a, b: a != b, True)  # type: ignore[override]
@@ -83,13 +98,14 @@ class Operand:
 
     def isin(self, values: Iterable) -> "Cond":
         vals = list(values)
-        return Cond(lambda df: F.coalesce(self.compile(df).isin(vals), F.lit(False)))
+        implied = (lambda df: self.raw(df).isin(vals)) if self.plain else None
+        return Cond(lambda df: F.coalesce(self.compile(df).isin(vals), F.lit(False)), implied)
 
     def not_in(self, values: Iterable) -> "Cond":
         return ~self.isin(values)
 
     def isnull(self) -> "Cond":
-        return Cond(lambda df: self.compile(df).isNull())
+        return Cond(lambda df: self.compile(df).isNull())  # NaN counts: no plain implied form
 
     def notnull(self) -> "Cond":
         return ~self.isnull()
@@ -106,26 +122,50 @@ class Operand:
         return Cond(lambda df: F.coalesce(build(df), F.lit(False)))
 
     def startswith(self, prefix: str) -> "Cond":
-        return Cond(lambda df: F.coalesce(self.compile(df).cast("string").startswith(prefix), F.lit(False)))
+        implied = (lambda df: self.raw(df).startswith(prefix)) if self.plain else None
+        return Cond(lambda df: F.coalesce(self.compile(df).cast("string").startswith(prefix), F.lit(False)),
+                    implied)
 
     def endswith(self, suffix: str) -> "Cond":
-        return Cond(lambda df: F.coalesce(self.compile(df).cast("string").endswith(suffix), F.lit(False)))
+        implied = (lambda df: self.raw(df).endswith(suffix)) if self.plain else None
+        return Cond(lambda df: F.coalesce(self.compile(df).cast("string").endswith(suffix), F.lit(False)),
+                    implied)
 
 
 class Cond:
-    """A two-valued row condition."""
+    """A two-valued row condition.
+
+    ``implied`` optionally builds a plain SQL predicate that every matching
+    row satisfies (a necessary condition).  ``where`` adds it as an extra
+    conjunct so that Catalyst can push it to the scan (row-group skipping);
+    the exact two-valued test still decides.  It survives ``&`` and ``|``
+    and is dropped by ``~``.
+    """
 
-    def __init__(self, build: Callable[[DataFrame], Column]):
+    def __init__(self, build: Callable[[DataFrame], Column], implied=None):
         self._build = build
+        self.implied = implied
 
     def compile(self, df: DataFrame) -> Column:
         return self._build(df)
 
     def __and__(self, o: "Cond") -> "Cond":
-        return Cond(lambda df: self.compile(df) & _cond(o).compile(df))
+        o = _cond(o)
+        parts = [x for x in (self.implied, o.implied) if x is not None]
+        implied = None
+        if len(parts) == 2:
+            implied = lambda df: parts[0](df) & parts[1](df)
+        elif parts:
+            implied = parts[0]
+        return Cond(lambda df: self.compile(df) & o.compile(df), implied)
 
     def __or__(self, o: "Cond") -> "Cond":
-        return Cond(lambda df: self.compile(df) | _cond(o).compile(df))
+        o = _cond(o)
+        implied = None
+        if self.implied is not None and o.implied is not None:
+            a, b = self.implied, o.implied
+            implied = lambda df: a(df) | b(df)
+        return Cond(lambda df: self.compile(df) | o.compile(df), implied)
 
     def __invert__(self) -> "Cond":
         return Cond(lambda df: ~self.compile(df))
@@ -145,14 +185,14 @@ def c(name_or_col) -> Operand:
             if name not in df.columns:
                 raise TablePrepError(f"Columns not found: ['{name}']")
             return F.col(f"`{name}`")
-        return Operand(build)
+        return Operand(build, plain=True)
     if isinstance(name_or_col, Column):
         return Operand(lambda df: name_or_col)
     raise TablePrepError(f"not a column: {name_or_col!r}")
 
 
 def lit(value) -> Operand:
-    return Operand(lambda df: F.lit(value))
+    return Operand(lambda df: F.lit(value), value=value, is_literal=True)
 
 
 def _operand(x) -> Operand:
@@ -226,7 +266,11 @@ def where(df: DataFrame, cond) -> DataFrame:
     """Filter with two-valued logic; ``cond`` is a Cond, a Column or triples."""
     if isinstance(cond, (list, tuple)):
         cond = from_triples(cond)
-    return df.where(_cond(cond).compile(df))
+    cond = _cond(cond)
+    exact = cond.compile(df)
+    if cond.implied is not None:
+        return df.where(cond.implied(df) & exact)
+    return df.where(exact)
 
 
 def where_sql(df: DataFrame, condition: str, *, trusted: bool = False) -> DataFrame:

@@ -57,6 +57,7 @@ def _with_order(spark: SparkSession, df: DataFrame, paths: list[str]) -> DataFra
     """Attach provenance and the file-order key right after the scan."""
     positions = spark.createDataFrame([(qualify(p), i) for i, p in enumerate(paths)],
                                       "_tp_path string, _pos_file int")
+    df = df.drop("source_file")  # provenance overwrites a data column of that name
     tagged = df.select(
         "*",
         F.col("_metadata.file_name").alias("source_file"),
