@@ -124,7 +124,7 @@ def _text(value) -> str:
     return value if isinstance(value, str) else str(value)
 
 
-def fill_nulls(df: DataFrame, value="", columns=None, numeric: str = "auto") -> DataFrame:
+def fill_nulls(df: DataFrame, value="", columns=None, numeric: str = "auto", precheck: DataFrame | None = None) -> DataFrame:
     """Replace missing values.
 
     ``value`` is a scalar for every data column or a dict per column; ``None``
@@ -132,7 +132,10 @@ def fill_nulls(df: DataFrame, value="", columns=None, numeric: str = "auto") ->
     ``numeric="auto"`` the numeric columns that actually hold a missing value
     become text (found by one aggregate pass), as pandas turns them into mixed
     objects; ``numeric="skip"`` leaves numeric columns alone and needs no
-    pass.  NaN counts as missing.
+    pass.  NaN counts as missing.  ``precheck`` is an upstream frame with a
+    superset of the rows (before de-duplication): a column without missing
+    values there has none here, so the pass over ``df`` -- which would re-run
+    the upstream shuffle -- is needed only for the remaining columns.
     """
     if value is None:
         raise TablePrepError("value cannot be null")
@@ -158,7 +161,11 @@ def fill_nulls(df: DataFrame, value="", columns=None, numeric: str = "auto") ->
     candidates = [c for c, v in plan.items() if mismatched(c, v) and not isinstance(types[c], (T.ArrayType, T.MapType, T.StructType))]
     to_text: set[str] = set()
     if candidates and numeric == "auto":
-        to_text = columns_with_missing(df, candidates)
+        if precheck is not None and all(c in precheck.columns for c in candidates):
+            candidates_left = sorted(columns_with_missing(precheck, candidates))
+            to_text = columns_with_missing(df, candidates_left) if candidates_left else set()
+        else:
+            to_text = columns_with_missing(df, candidates)
     exprs = {}
     for c, v in plan.items():
         t = types[c]

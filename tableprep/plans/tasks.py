@@ -51,10 +51,13 @@ def clean(df: DataFrame, tasks: dict, order_by=None, numeric_fill: str = "auto")
         df = C.drop_empty_rows(df)
     if (o := _opts(tasks.get("remove_empty_columns"))) is not None:
         df = C.drop_empty_columns(df)
+    before_dedupe = None
     if (o := _opts(tasks.get("remove_duplicates"))) is not None:
+        before_dedupe = df
         df = C.dedupe(df, o.get("columns"), order_by=o.get("order_by", order_by), keep=o.get("keep", "first"))
     if (o := _opts(tasks.get("replace_nulls"))) is not None:
-        df = C.fill_nulls(df, o.get("value", ""), o.get("columns"), numeric=o.get("numeric", numeric_fill))
+        df = C.fill_nulls(df, o.get("value", ""), o.get("columns"), numeric=o.get("numeric", numeric_fill),
+                          precheck=before_dedupe)
     if (o := _opts(tasks.get("trim_whitespace"))) is not None:
         df = C.trim_whitespace(df, o.get("columns"))
     if (o := _opts(tasks.get("standardize_columns"))) is not None:

@@ -125,3 +125,24 @@ def test_json_xml_parts_and_batches(spark, files, outdir):
     write(book.withColumn("sheet_pos", F.col("sheet_pos")), outdir + "/bk2", "parquet", partition_by="sheet")
     assert sorted(os.path.basename(p) for p in glob.glob(outdir + "/bk2/sheet=*")) == [
         "sheet=Data1", "sheet=Data2", "sheet=Notes"]
+
+
+def test_merge_json_keep_case_and_absent_keys(spark, outdir):
+    import json as _json
+    import os as _os
+    from tableprep.operators.merge import merge
+
+    a = _os.path.join(outdir, "a.json")
+    b = _os.path.join(outdir, "b.json")
+    with open(a, "w") as f:
+        _json.dump([{"Name": "Ann", "Age": 30}], f)
+    with open(b, "w") as f:
+        _json.dump([{"Name": "Bob", "City": "Rome"}], f)
+    merged = merge([read_json(spark, a), read_json(spark, b)], lower=False)
+    assert {"Name", "Age", "City", "source_file"} <= set(merged.columns)      # case kept
+    write(merged.drop("source_file"), outdir + "/mj", "json", keep_absent_keys=True)
+    lines = [_json.loads(x) for p in glob.glob(outdir + "/mj/*.json") for x in open(p)]
+    bob = [x for x in lines if x["Name"] == "Bob"][0]
+    assert "Age" not in bob and bob["City"] == "Rome"                          # absent key stays absent
+    lowered = merge([read_json(spark, a)], lower=True)
+    assert "name" in lowered.columns
