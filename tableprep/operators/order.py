@@ -166,6 +166,21 @@ def bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
     return build(0, len(tests))
 
 
+def _bucket_range(df: DataFrame, key: str, bounds: list[tuple], first: int, last: int) -> Column:
+    """Buckets ``first..last`` of a one-column bucketing as a plain range on
+    that column -- the same rows, but a predicate Parquet can use to skip row
+    groups.  Null keys sort first and live in bucket 0."""
+    t = dict((f.name, f.dataType) for f in df.schema.fields)[key]
+    col = F.col(f"`{key}`")
+    cond = F.lit(True)
+    if first > 0 and bounds[first - 1][0] is not None:
+        cond = cond & (col >= F.lit(bounds[first - 1][0]).cast(t))
+    if last < len(bounds) and bounds[last][0] is not None:
+        upper = col < F.lit(bounds[last][0]).cast(t)
+        cond = cond & (upper | col.isNull() if first == 0 else upper)
+    return cond
+
+
 def with_row_index(
     df: DataFrame,
     order_by,
@@ -229,6 +244,8 @@ def with_row_index(
                 if per_bucket.get(b, 0) and offsets[b] <= hi and offsets[b] + per_bucket[b] - 1 >= lo
             ]
             data = data.where(F.col(bcol).isin(keep))
+            if width == 1 and keep:
+                data = data.where(_bucket_range(df, order[0], bounds, keep[0], keep[-1]))
         off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(bcol) + 1)
         out = data.withColumn(index_col, (off + rn).cast("long")).drop(bcol)
         if index_range is not None:
