@@ -49,7 +49,9 @@ def as_sheets(df: DataFrame, sheet_col: str, order_by, sheet_order=None) -> Data
     mapping = _mapping(spark, [(n, i) for i, n in enumerate(ordered)], "sheet string, sheet_pos int")
     out = df.withColumn("sheet", F.col(sheet_col).cast("string")).join(mapping, "sheet", "inner")
     if order_by:
-        out = with_row_index(out, order_by, partition_by=["sheet"], index_col="row_pos")
+        # sheet and sheet_pos are 1:1; both as window keys let filters on either
+        # one move below the window
+        out = with_row_index(out, order_by, partition_by=["sheet", "sheet_pos"], index_col="row_pos")
     else:  # sheet-level work only: no row order needed, no shuffle
         out = out.withColumn("row_pos", F.lit(None).cast("long"))
     return out.select("sheet", "sheet_pos", "row_pos", *[c for c in df.columns if c not in SHEET_KEYS])

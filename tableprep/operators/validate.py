@@ -5,7 +5,7 @@ Format checks work on text: a column of a table, or files read with
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TablePrepError
@@ -25,10 +25,9 @@ def column_sets_by_group(df: DataFrame, group_col: str) -> DataFrame:
     per = df.groupBy(group_col).agg(*present)
     names = F.array_compact(F.array(*[F.when(F.col(f"p{i}") == 1, F.lit(c)) for i, c in enumerate(cols)]))
     sig = per.select(F.col(group_col), F.array_sort(names).alias("columns"))
-    w = Window.partitionBy(F.lit(1))  # one row per group: small
-    return sig.withColumn(
-        "consistent", F.size(F.collect_set(F.concat_ws("\u0001", "columns")).over(w)) <= 1
-    )
+    # one scalar: how many distinct column sets (partial aggregation, one row back)
+    kinds = sig.agg(F.countDistinct(F.concat_ws("\u0001", "columns"))).first()[0]
+    return sig.withColumn("consistent", F.lit(kinds <= 1))
 
 
 def schema_sets_consistent(dfs: list[DataFrame]) -> bool:

@@ -517,6 +517,13 @@ def sheets_extract(spark, d):
     return H.extract_sheets(_line_book(spark, d), ["N", "2"])
 
 
+@query("sheets_first", _BOOK_SQL + f"""
+select sheet, sheet_pos, row_pos, {LINE_KEY_SQL} from book where sheet_pos = 0
+""")
+def sheets_first(spark, d):
+    return H.first_sheet(_line_book(spark, d))
+
+
 @query("table_metadata", """
 select 'Sheet1' as sheet_names, count(*) as row_count, 11 as column_count from lineitem
 """)
