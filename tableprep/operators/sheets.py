@@ -42,16 +42,21 @@ def as_sheets(df: DataFrame, sheet_col: str, order_by, sheet_order=None) -> Data
     follows ``order_by`` within each sheet.
     """
     spark = df.sparkSession
-    names = [r[0] for r in df.select(F.col(sheet_col).cast("string")).distinct().limit(MAX_SHEETS + 1).collect()]
-    if len(names) > MAX_SHEETS:
+    # sheet names and the row total from one aggregate (one row per sheet)
+    per_sheet = (df.groupBy(F.col(sheet_col).cast("string").alias("_tp_name")).count()
+                 .limit(MAX_SHEETS + 1).collect())
+    if len(per_sheet) > MAX_SHEETS:
         raise TablePrepError(f"more than {MAX_SHEETS} sheets")
+    names = [r[0] for r in per_sheet]
+    total = sum(r[1] for r in per_sheet if r[0] is not None)
     ordered = list(sheet_order) if sheet_order else sorted(n for n in names if n is not None)
     mapping = _mapping(spark, [(n, i) for i, n in enumerate(ordered)], "sheet string, sheet_pos int")
     out = df.withColumn("sheet", F.col(sheet_col).cast("string")).join(mapping, "sheet", "inner")
     if order_by:
         # sheet and sheet_pos are 1:1; both as window keys let filters on either
         # one move below the window
-        out = with_row_index(out, order_by, partition_by=["sheet", "sheet_pos"], index_col="row_pos")
+        out = with_row_index(out, order_by, partition_by=["sheet", "sheet_pos"], index_col="row_pos",
+                             total_rows=total if not sheet_order else None)
     else:  # sheet-level work only: no row order needed, no shuffle
         out = out.withColumn("row_pos", F.lit(None).cast("long"))
     return out.select("sheet", "sheet_pos", "row_pos", *[c for c in df.columns if c not in SHEET_KEYS])

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from ..errors import TablePrepError
 from ..functions.predicates import Cond, where, where_sql
 from ..operators import clean as C
-from ..operators.order import file_order_columns, slice_rows
+from ..operators.order import file_order_columns, slice_rows, with_row_index
 
 CLEAN_STEPS = (
     "remove_empty_rows",
@@ -73,11 +73,25 @@ def clean(df: DataFrame, tasks: dict, order_by=None, numeric_fill: str = "auto")
     return df
 
 
-def _condition(df: DataFrame, cond, allow_sql: bool) -> DataFrame:
+INDEX = "index"
+
+
+def _condition(df: DataFrame, cond, allow_sql: bool, order_by=None) -> DataFrame:
+    """Filter; a condition on ``c("index")`` (F2j) gets the row index of the
+    current frame in ``order_by`` order, computed only when referenced."""
     if cond is None or cond == "":
         return df
     if isinstance(cond, str):
         return where_sql(df, cond, trusted=allow_sql)
+    if INDEX not in df.columns:
+        try:
+            return where(df, cond)
+        except TablePrepError as e:
+            if f"'{INDEX}'" not in str(e):
+                raise
+        order = order_by or file_order_columns(df)
+        indexed = with_row_index(df, order, index_col=INDEX)
+        return where(indexed, cond).drop(INDEX)
     return where(df, cond)
 
 
@@ -91,7 +105,7 @@ def extract(df: DataFrame, tasks: dict, order_by=None, allow_sql: bool = False)
         order = order_by or file_order_columns(df)
         df = slice_rows(df, o.get("start"), o.get("end"), order)
     if (o := _opts(tasks.get("extract_rows_by_condition"))) is not None:
-        df = _condition(df, o.get("condition"), allow_sql)
+        df = _condition(df, o.get("condition"), allow_sql, order_by)
     if (o := _opts(tasks.get("extract_columns"))) is not None and o.get("columns"):
         cols = list(o["columns"])
         missing = [c for c in cols if c not in df.columns]
@@ -99,7 +113,7 @@ def extract(df: DataFrame, tasks: dict, order_by=None, allow_sql: bool = False)
             raise TablePrepError(f"Columns not found: {missing}")
         df = df.select(*[f"`{c}`" for c in cols])
     if (o := _opts(tasks.get("apply_filter"))) is not None:
-        df = _condition(df, o.get("condition"), allow_sql)
+        df = _condition(df, o.get("condition"), allow_sql, order_by)
     return df
 
 

@@ -130,46 +130,69 @@ def dedupe_header(names: list[str]) -> list[str]:
     return out
 
 
+HEADER_PROBES = 16
+
+
+def first_line(spark: SparkSession, path: str) -> str | None:
+    """First non-blank line of one file.  ``limit(1)`` runs as a collect-limit
+    that reads the first split and stops at the first match: bytes, not the
+    file."""
+    rows = spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1).collect()
+    return rows[0][0] if rows else None
+
+
 def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """First non-blank line of every file, in one distributed job (the first
-    split of each file only), parsed as a CSV record on the driver."""
-    lines = (spark.read.text(paths)
-             .where(F.col("_metadata.file_block_start") == 0)
-             .select(F.col("_metadata.file_path").alias("path"), "value",
-                     F.monotonically_increasing_id().alias("pos"))
-             .where(F.length(F.trim("value")) > 0)
-             .groupBy("path").agg(F.min_by("value", "pos").alias("header")))
-    out = {}
-    for r in lines.collect():  # one short line per file
-        out[r["path"]] = next(csv.reader(io.StringIO(r["header"])))
-    return out
+    """Header of every file, parsed as a CSV record.
+
+    One tiny probe job per file, submitted concurrently (``HEADER_PROBES`` at
+    a time).  A filter on ``_metadata.file_block_start`` would not prune
+    splits -- every byte would be read to find the headers.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=min(HEADER_PROBES, max(1, len(paths)))) as pool:
+        lines = list(pool.map(lambda p: first_line(spark, p), paths))
+    return {qualify(p): next(csv.reader(io.StringIO(line))) for p, line in zip(paths, lines) if line is not None}
 
 
 def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.StructType | None = None,
-             na_values=NA_VALUES, multiline: bool = True) -> DataFrame:
+             na_values=NA_VALUES, multiline: bool = True, headers: str = "detect") -> DataFrame:
     """S1 + S5: many CSV files, grouped by header, one read per distinct header.
 
     Files with different headers are never read together (a multi-path CSV read
     would assign columns by position under the first header); groups are
     unioned by name.  Zero-byte files are skipped, as Spark never lists them.
+
+    ``headers="detect"`` probes every file's first line (tiny concurrent
+    jobs).  ``headers="same"`` -- the usual case for large batches from one
+    producer -- probes the first file only and reads everything in one scan
+    with ``enforceSchema=false``: Spark checks each file's header during that
+    scan and fails on a mismatch instead of shifting columns.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
     nonempty = [p for p in paths if os.path.getsize(p) > 0] if all(":" not in p for p in paths) else paths
     if not nonempty:
         raise TablePrepError("No valid data found in uploaded CSV files")
-    headers = csv_headers(spark, nonempty)
+    if headers not in ("detect", "same"):
+        raise TablePrepError(f"headers must be 'detect' or 'same', not {headers!r}")
     groups: dict[tuple, list[str]] = {}
-    for p in nonempty:
-        h = headers.get(qualify(p))
-        if h is None:
-            continue  # blank file
-        groups.setdefault(tuple(h), []).append(p)
+    if headers == "same":
+        line = next((x for x in (first_line(spark, p) for p in nonempty[:8]) if x is not None), None)
+        if line is not None:
+            groups[tuple(next(csv.reader(io.StringIO(line))))] = nonempty
+    else:
+        found = csv_headers(spark, nonempty)
+        for p in nonempty:
+            h = found.get(qualify(p))
+            if h is None:
+                continue  # blank file
+            groups.setdefault(tuple(h), []).append(p)
     parts = []
     for header, group in groups.items():
         names = dedupe_header(list(header))
         text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
         raw = (spark.read.schema(text_schema)
-               .option("header", True).option("enforceSchema", True)
+               .option("header", True).option("enforceSchema", headers != "same" or len(set(names)) != len(names))
                .option("multiLine", multiline).option("quote", '"').option("escape", '"')
                .option("mode", "PERMISSIVE")
                .csv(group))

@@ -163,3 +163,13 @@ def test_slice_and_extract(spark):
     with pytest.raises(TablePrepError):  # the second filter sees projected columns only
         extract(o, {"extract_columns": {"columns": ["o_orderkey"]},
                     "apply_filter": {"condition": c("o_totalprice") > 1}}).count()
+
+
+def test_index_operand_in_conditions(spark):
+    o = spark.read.parquet(f"{SF01}/orders.parquet")
+    out = extract(o, {"extract_rows_by_condition": {"condition": (c("index") >= 10) & (c("index") < 15)}},
+                  order_by=["o_orderkey"])
+    assert sorted(r[0] for r in out.select("o_orderkey").collect()) == list(range(10, 15))
+    assert "index" not in out.columns
+    with pytest.raises(TablePrepError):
+        extract(o, {"extract_rows_by_condition": {"condition": c("nope") > 1}}, order_by=["o_orderkey"])

@@ -100,3 +100,12 @@ def test_read_files_mixed_formats(spark, files):
     assert by_src == {"people.csv": 7, "people.json": 3, "people.xml": 3}
     pos = dict((r[0], r[1]) for r in df.groupBy("source_file").agg(F.min("_pos_file")).collect())
     assert pos == {"people.csv": 0, "people.json": 1, "people.xml": 2}
+
+
+def test_csv_same_header_mode(spark, files, tmp_path):
+    same = tmp_path / "people2.csv"
+    same.write_text(open(files["people.csv"]).read())
+    df = read_csv(spark, [files["people.csv"], str(same)], headers="same")
+    assert df.count() == 14
+    with pytest.raises(Exception, match="does not conform"):   # Spark's header check, no silent shift
+        read_csv(spark, [files["people.csv"], files["reordered.csv"]], headers="same").collect()
