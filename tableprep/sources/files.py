@@ -208,29 +208,38 @@ def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.Struct
     return infer_types(df, [c for c in df.columns if c not in ("source_file",)]) if infer else df
 
 
-def read_json(spark: SparkSession, paths, *, lines: bool = False, schema: T.StructType | None = None) -> DataFrame:
+def read_json(spark: SparkSession, paths, *, lines: bool = False, schema: T.StructType | None = None,
+              sampling_ratio: float = 1.0) -> DataFrame:
     """S2: files that each hold one array of objects (``lines=True``: JSON
     Lines, splittable).  Columns are the union of keys; absent keys are null.
-    Spark orders inferred fields by name."""
+    Spark orders inferred fields by name.  Inference reads the input once;
+    ``schema`` skips that pass and ``sampling_ratio`` shortens it."""
     paths = [paths] if isinstance(paths, str) else list(paths)
     reader = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE")
     if schema is not None:
         reader = reader.schema(schema)
+    elif sampling_ratio < 1.0:
+        reader = reader.option("samplingRatio", sampling_ratio)
     df = reader.json(paths)
     if "_corrupt_record" in df.columns:
         df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
     return _with_order(spark, df, paths)
 
 
-def read_xml(spark: SparkSession, paths, *, row_tag: str = "record", infer: bool = False) -> DataFrame:
+def read_xml(spark: SparkSession, paths, *, row_tag: str = "record", infer: bool = False,
+             columns: list[str] | None = None, sampling_ratio: float = 1.0) -> DataFrame:
     """S3: every ``<record>`` element is a row, every child element a text
     column; attributes are ignored, the last of repeated tags wins, padding is
     kept and an empty element is null.  Known gap: Spark matches the row tag at
-    any depth, not only under the root."""
+    any depth, not only under the root.  Finding the element names reads the
+    input once; ``columns`` skips that pass, ``sampling_ratio`` shortens it."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    probe = (spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False)
-             .option("attributePrefix", "_").load(paths))
-    names = [f.name for f in probe.schema.fields if not f.name.startswith("_")]
+    if columns:
+        names = list(columns)
+    else:
+        probe = (spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False)
+                 .option("attributePrefix", "_").option("samplingRatio", sampling_ratio).load(paths))
+        names = [f.name for f in probe.schema.fields if not f.name.startswith("_")]
     if not names:
         raise TablePrepError("XML file contains no valid records")
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
