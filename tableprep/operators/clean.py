@@ -73,7 +73,7 @@ def dedupe(df: DataFrame, columns=None, order_by=None, keep: str = "first") -> D
 
     Nulls are equal to each other, as in pandas.  "First" follows
     ``order_by`` (default: the reader's file order).  The row is chosen with
-    ``min(struct(order, rest))`` per group: an aggregate with map-side partial
+    ``min_by(struct(rest), struct(order))`` per group: an aggregate with map-side partial
     aggregation, so a key holding a third of all rows is reduced in every map
     task before the shuffle instead of landing whole in one window task.
     """
@@ -88,9 +88,10 @@ def dedupe(df: DataFrame, columns=None, order_by=None, keep: str = "first") -> D
             return df.dropDuplicates(cols)  # equal rows: any of them is "first"
         raise TablePrepError("order_by is required to keep the first row of a subset")
     _require(df, order)
-    rest = [c for c in df.columns if c not in cols and c not in order]
-    packed = F.struct(*[_q(c) for c in order + rest])
-    pick = F.min(packed) if keep == "first" else F.max(packed)
+    rest = [c for c in df.columns if c not in cols]
+    payload = F.struct(*[_q(c) for c in rest])
+    key = F.struct(*[_q(c) for c in order])  # compared; the payload may hold any type
+    pick = F.min_by(payload, key) if keep == "first" else F.max_by(payload, key)
     grouped = df.groupBy(*[_q(c) for c in cols]).agg(pick.alias("_tp_pick"))
     return grouped.select(*[_q(c) if c in cols else F.col(f"_tp_pick.`{c}`").alias(c) for c in df.columns])
 

@@ -173,3 +173,12 @@ def test_index_operand_in_conditions(spark):
     assert "index" not in out.columns
     with pytest.raises(TablePrepError):
         extract(o, {"extract_rows_by_condition": {"condition": c("nope") > 1}}, order_by=["o_orderkey"])
+
+
+def test_dedupe_keeps_first_with_map_payload(spark):
+    df = spark.createDataFrame(
+        [(1, 2, {"a": 1}), (1, 1, {"b": 2}), (2, 5, None)], "k long, pos long, m map<string,int>")
+    out = {r["k"]: (r["pos"], r["m"]) for r in C.dedupe(df, ["k"], order_by=["pos"]).collect()}
+    assert out == {1: (1, {"b": 2}), 2: (5, None)}
+    last = {r["k"]: r["pos"] for r in C.dedupe(df, ["k"], order_by=["pos"], keep="last").collect()}
+    assert last == {1: 2, 2: 5}
