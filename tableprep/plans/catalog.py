@@ -593,7 +593,7 @@ select doc_id, length(text) as n_chars, coalesce(length(text) = 0, true) as is_e
 """)
 def validate_empty_inputs(spark, d):
     src = _t(spark, d, "documents")
-    return src.select("doc_id", F.length("text").alias("n_chars"),
+    return src.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
                       F.coalesce(F.length("text") == 0, F.lit(True)).alias("is_empty"))
 
 
