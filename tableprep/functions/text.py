@@ -73,3 +73,47 @@ DEFAULT_DATE_INPUTS = [
     "MMM dd, yyyy",
     "yyyyMMdd",
 ]
+
+
+def pattern_guard(pattern: str) -> str:
+    """A lenient regex for the shape of a Spark datetime pattern.
+
+    Digits for numeric fields, letters for text fields, literals as written;
+    every string the pattern can parse matches, so using it to skip a parse
+    never changes a result -- it only avoids the cost of failed parses.
+    """
+    out = [r"^\s*"]
+    i = 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "'":
+            j, lit = i + 1, []
+            while j < len(pattern):
+                if pattern[j] == "'":
+                    if j + 1 < len(pattern) and pattern[j + 1] == "'":
+                        lit.append("'")
+                        j += 2
+                        continue
+                    break
+                lit.append(pattern[j])
+                j += 1
+            out.append(re.escape("".join(lit)) if j > i + 1 else "'")
+            i = j + 1
+            continue
+        if ch.isalpha():
+            j = i
+            while j < len(pattern) and pattern[j] == ch:
+                j += 1
+            run = j - i
+            if ch in "yuYdDHhKkmsSnMLQqwWe" and not (ch in "MLQqe" and run >= 3):
+                out.append(r"[+-]?\d+" if ch in "yuY" else r"\d+")
+            elif ch in "MLEeaGBQq":
+                out.append(r"[^\d\s]+")
+            else:
+                out.append(r".*?")
+            i = j
+            continue
+        out.append(r"\s+" if ch.isspace() else re.escape(ch))
+        i += 1
+    out.append(r"\s*$")
+    return "".join(out)

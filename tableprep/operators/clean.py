@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TablePrepError
-from ..functions.text import DEFAULT_DATE_INPUTS, WHITESPACE, standard_name, strftime_to_spark
+from ..functions.text import DEFAULT_DATE_INPUTS, WHITESPACE, pattern_guard, standard_name, strftime_to_spark
 from .order import ROW_ORDER, file_order_columns
 
 META_COLUMNS = {"source_file", "source_sheet", "file_pos", "sheet", "sheet_pos", "row_pos", *ROW_ORDER}
@@ -281,7 +281,8 @@ def parse_datetime(col: Column, dtype: T.DataType, input_formats=None) -> Column
     if not isinstance(dtype, T.StringType):
         raise TablePrepError("Date normalization needs a text or date column")
     fmts = list(input_formats) if input_formats else DEFAULT_DATE_INPUTS
-    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in fmts])
+    # a failed parse is expensive; a lenient shape test first skips hopeless ones
+    return F.coalesce(*[F.when(col.rlike(pattern_guard(f)), F.try_to_timestamp(col, F.lit(f))) for f in fmts])
 
 
 def normalize_dates(df: DataFrame, column: str, fmt: str = "%Y-%m-%d", input_formats=None, output_col=None) -> DataFrame:
