@@ -5,13 +5,16 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
+from .errors import TablePrepError
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts.
 
     Read from the session (``spark.checkpoint.dir`` or the context's checkpoint
-    directory).  Only when neither is set -- local tests -- a private folder is
-    created and registered, so that ``DataFrame.checkpoint()`` works.
+    directory).  Only when neither is set and the master is local (tests) is a
+    private folder created; on a cluster that is an error, since a
+    machine-local folder would not survive the loss of an executor.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -19,7 +22,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        conf_dir = tempfile.mkdtemp(prefix="tableprep-ckpt-")
+        if not sc.master.startswith("local"):
+            raise TablePrepError("set spark.checkpoint.dir to a folder shared by the cluster")
+        conf_dir = tempfile.mkdtemp(prefix="tableprep-ckpt-")  # local runs and tests only
     sc.setCheckpointDir(conf_dir)
     return sc._jsc.sc().getCheckpointDir().get()
 
