@@ -235,7 +235,8 @@ def cast_columns(df: DataFrame, types_spec: dict, on_fraction: str = "null") ->
                 if bad:
                     raise TablePrepError(f"Error converting {c} to int")
         elif kind == "float":
-            exprs[c] = col.try_cast("double")
+            d = col.try_cast("double")
+            exprs[c] = F.nanvl(d, F.lit(None).cast("double"))  # NaN is pandas' missing value
         elif kind == "str":
             exprs[c] = col.cast("string")
         else:
