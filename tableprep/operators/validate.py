@@ -171,3 +171,27 @@ def _pattern_columns(pattern: str) -> list[str]:
                 out.append(pattern[i])
             i += 1
     return out
+
+
+def check_inputs(spark, paths, *, formats: bool = True, empty: bool = True) -> None:
+    """The request flags ``check_corrupt_empty`` and ``validate_format`` as
+    one call: raise ``TablePrepError`` naming every empty file and every
+    CSV/JSON file that fails its format rule (one job per check)."""
+    import os
+
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    problems = []
+    if empty:
+        problems += [f"{r[0]} is empty" for r in empty_inputs(spark, paths).collect()]
+    nonempty = [p for p in paths if not (":" not in p and os.path.exists(p) and os.path.getsize(p) == 0)]
+    if formats:
+        csvs = [p for p in nonempty if p.lower().endswith(".csv")]
+        jsons = [p for p in nonempty if p.lower().endswith(".json")]
+        if csvs:
+            problems += [f"{r['path']} is not a valid CSV"
+                         for r in validate_csv_files(spark, csvs).where("not valid").collect()]
+        if jsons:
+            problems += [f"{r['path']} must contain an array of objects"
+                         for r in validate_json_files(spark, jsons).where("not valid").collect()]
+    if problems:
+        raise TablePrepError("; ".join(sorted(problems)))

@@ -34,6 +34,8 @@ def convert(spark: SparkSession, paths, out_path: str, input_format: str, output
             raise TablePrepError(f"File extension of {p} does not match input format {input_format}")
     df = read_files(spark, paths)
     df = df.drop(*[c for c in ("sheet_pos", "row_pos", "source_sheet") if c in df.columns])
+    if df.isEmpty():  # one limit(1) probe
+        raise TablePrepError(f"File {paths[0]} is empty")
     write(df.drop("source_file"), out_path, _OUT[output_format])
     return df
 

@@ -146,3 +146,13 @@ def test_merge_json_keep_case_and_absent_keys(spark, outdir):
     assert "Age" not in bob and bob["City"] == "Rome"                          # absent key stays absent
     lowered = merge([read_json(spark, a)], lower=True)
     assert "name" in lowered.columns
+
+
+def test_check_inputs_flags(spark, files):
+    V.check_inputs(spark, [files["people.csv"], files["people.json"]])
+    with pytest.raises(TablePrepError) as e:
+        V.check_inputs(spark, [files["people.csv"], files["one_column.csv"], files["empty.csv"],
+                               files["mixed_array.json"]])
+    msg = str(e.value)
+    assert "one_column.csv is not a valid CSV" in msg and "empty.csv is empty" in msg
+    assert "mixed_array.json must contain an array of objects" in msg
