@@ -11,7 +11,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..errors import TablePrepError
 from .clean import data_columns
@@ -210,5 +209,5 @@ def table_metadata(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "as_sheets", "combine", "split_to_sheets", "rename", "reorder", "copy", "extract_sheets",
-    "first_sheet", "sheet_metadata", "table_metadata", "sheet_list", "T",
+    "first_sheet", "sheet_metadata", "table_metadata", "sheet_list",
 ]
