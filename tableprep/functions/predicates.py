@@ -36,11 +36,12 @@ class Operand:
     """
 
     def __init__(self, build: Callable[[DataFrame], Column], plain: bool = False, value=None,
-                 is_literal: bool = False):
+                 is_literal: bool = False, refs: frozenset = frozenset()):
         self._build = build
         self.plain = plain
         self.value = value
         self.is_literal = is_literal
+        self.refs = refs  # column names used, known before any DataFrame
 
     def raw(self, df: DataFrame) -> Column:
         return self._build(df)
@@ -55,7 +56,7 @@ class Operand:
     # arithmetic -------------------------------------------------------
     def _bin(self, other, op) -> "Operand":
         o = _operand(other)
-        return Operand(lambda df: op(self.compile(df), o.compile(df)))
+        return Operand(lambda df: op(self.compile(df), o.compile(df)), refs=self.refs | o.refs)
 
     def __add__(self, o): return self._bin(o, lambda a, b: a + b)
     def __radd__(self, o): return _operand(o)._bin(self, lambda a, b: a + b)
@@ -67,11 +68,11 @@ class Operand:
     def __rtruediv__(self, o): return _operand(o)._bin(self, lambda a, b: F.try_divide(a, b))
     def __mod__(self, o): return self._bin(o, lambda a, b: F.pmod(a, b))
     def __pow__(self, o): return self._bin(o, lambda a, b: F.pow(a, b))
-    def __neg__(self): return Operand(lambda df: -self.compile(df))
+    def __neg__(self): return Operand(lambda df: -self.compile(df), refs=self.refs)
 
     def apply(self, fn: Callable[[Column], Column]) -> "Operand":
         """Any built-in function of one column, e.g. ``c("x").apply(F.abs)``."""
-        return Operand(lambda df: fn(self.compile(df)))
+        return Operand(lambda df: fn(self.compile(df)), refs=self.refs)
 
     # comparisons ------------------------------------------------------
     def _cmp(self, other, op, when_missing: bool) -> "Cond":
@@ -80,7 +81,8 @@ class Operand:
         if not when_missing and self.plain and o.is_literal and o.value is not None:
             # a necessary condition Spark can push down: exact => raw comparison
             implied = lambda df: op(self.raw(df), F.lit(o.value))
-        return Cond(lambda df: F.coalesce(op(self.compile(df), o.compile(df)), F.lit(when_missing)), implied)
+        return Cond(lambda df: F.coalesce(op(self.compile(df), o.compile(df)), F.lit(when_missing)), implied,
+                    self.refs | o.refs)
 
     def __eq__(self, o): return self._cmp(o, lambda a, b: a == b, False)  # type: ignore[override]
     def __ne__(self, o): return self._cmp(o, lambda a, b: a != b, True)  # type: ignore[override]
@@ -99,13 +101,13 @@ class Operand:
     def isin(self, values: Iterable) -> "Cond":
         vals = list(values)
         implied = (lambda df: self.raw(df).isin(vals)) if self.plain else None
-        return Cond(lambda df: F.coalesce(self.compile(df).isin(vals), F.lit(False)), implied)
+        return Cond(lambda df: F.coalesce(self.compile(df).isin(vals), F.lit(False)), implied, self.refs)
 
     def not_in(self, values: Iterable) -> "Cond":
         return ~self.isin(values)
 
     def isnull(self) -> "Cond":
-        return Cond(lambda df: self.compile(df).isNull())  # NaN counts: no plain implied form
+        return Cond(lambda df: self.compile(df).isNull(), refs=self.refs)  # NaN counts: no plain implied form
 
     def notnull(self) -> "Cond":
         return ~self.isnull()
@@ -119,17 +121,17 @@ class Operand:
             if not case:
                 return F.lower(x).contains(pattern.lower())
             return x.contains(pattern)
-        return Cond(lambda df: F.coalesce(build(df), F.lit(False)))
+        return Cond(lambda df: F.coalesce(build(df), F.lit(False)), refs=self.refs)
 
     def startswith(self, prefix: str) -> "Cond":
         implied = (lambda df: self.raw(df).startswith(prefix)) if self.plain else None
         return Cond(lambda df: F.coalesce(self.compile(df).cast("string").startswith(prefix), F.lit(False)),
-                    implied)
+                    implied, self.refs)
 
     def endswith(self, suffix: str) -> "Cond":
         implied = (lambda df: self.raw(df).endswith(suffix)) if self.plain else None
         return Cond(lambda df: F.coalesce(self.compile(df).cast("string").endswith(suffix), F.lit(False)),
-                    implied)
+                    implied, self.refs)
 
 
 class Cond:
@@ -142,9 +144,10 @@ class Cond:
     and is dropped by ``~``.
     """
 
-    def __init__(self, build: Callable[[DataFrame], Column], implied=None):
+    def __init__(self, build: Callable[[DataFrame], Column], implied=None, refs: frozenset = frozenset()):
         self._build = build
         self.implied = implied
+        self.refs = refs
 
     def compile(self, df: DataFrame) -> Column:
         return self._build(df)
@@ -157,7 +160,7 @@ class Cond:
             implied = lambda df: parts[0](df) & parts[1](df)
         elif parts:
             implied = parts[0]
-        return Cond(lambda df: self.compile(df) & o.compile(df), implied)
+        return Cond(lambda df: self.compile(df) & o.compile(df), implied, self.refs | o.refs)
 
     def __or__(self, o: "Cond") -> "Cond":
         o = _cond(o)
@@ -165,10 +168,10 @@ class Cond:
         if self.implied is not None and o.implied is not None:
             a, b = self.implied, o.implied
             implied = lambda df: a(df) | b(df)
-        return Cond(lambda df: self.compile(df) | o.compile(df), implied)
+        return Cond(lambda df: self.compile(df) | o.compile(df), implied, self.refs | o.refs)
 
     def __invert__(self) -> "Cond":
-        return Cond(lambda df: ~self.compile(df))
+        return Cond(lambda df: ~self.compile(df), refs=self.refs)
 
     def __bool__(self):
         raise TablePrepError("use & | ~ to combine conditions, not and/or/not")
@@ -185,7 +188,7 @@ def c(name_or_col) -> Operand:
             if name not in df.columns:
                 raise TablePrepError(f"Columns not found: ['{name}']")
             return F.col(f"`{name}`")
-        return Operand(build, plain=True)
+        return Operand(build, plain=True, refs=frozenset([name]))
     if isinstance(name_or_col, Column):
         return Operand(lambda df: name_or_col)
     raise TablePrepError(f"not a column: {name_or_col!r}")

@@ -96,6 +96,15 @@ def clean_fill_nulls(spark, d):
     return clean(src, {"replace_nulls": {"value": "Unknown"}})
 
 
+@query("clean_fill_default", """
+select c_custkey, c_name, coalesce(nullif(c_mktsegment, 'BUILDING'), '') as c_mktsegment from customer
+""")
+def clean_fill_default(spark, d):
+    src = _t(spark, d, "customer").select(
+        "c_custkey", "c_name", F.expr("nullif(c_mktsegment, 'BUILDING')").alias("c_mktsegment"))
+    return clean(src, {"replace_nulls": True})
+
+
 @query("clean_fill_per_column", """
 select c_custkey, coalesce(case when c_acctbal < 0 then null else c_acctbal end, 0.0) as c_acctbal,
        coalesce(nullif(c_mktsegment, 'BUILDING'), 'Unknown') as c_mktsegment
@@ -371,6 +380,21 @@ def project_then_filter(spark, d):
     })
 
 
+@query("extract_tasks", """
+with idx as (select *, row_number() over (order by o_orderkey) - 1 as i from orders),
+     sliced as (select * from idx where i between 1001 and 9999),
+     cond as (select * from sliced where o_orderstatus <> 'P' and (i % 2) = 0)
+select o_orderkey, o_totalprice, o_orderpriority from cond where o_totalprice > 150000
+""")
+def extract_tasks(spark, d):
+    return extract(_t(spark, d, "orders"), {
+        "extract_rows_by_index": {"start": 1001, "end": 9999},
+        "extract_rows_by_condition": {"condition": (c("o_orderstatus") != "P") & (c("index") % 2 == 0)},
+        "extract_columns": {"columns": ["o_orderkey", "o_totalprice", "o_orderpriority"]},
+        "apply_filter": {"condition": c("o_totalprice") > 150000},
+    }, order_by=["o_orderkey"])
+
+
 # ---------------------------------------------------------------- U1-U6
 @query("merge_union", """
 select c_custkey as key, c_name as name, c_nationkey as nationkey, c_acctbal as acctbal,
@@ -394,6 +418,22 @@ def merge_with_source(spark, d):
     return merge(parts, lower=True)
 
 
+@query("merge_lower_names", """
+select c_custkey as "key", c_name as "name", c_acctbal as "acct bal", 'customer.parquet' as source_file
+from customer
+union all by name
+select s_suppkey as "key", s_name as "name", s_acctbal as "acct bal", s_nationkey as "nation",
+       'supplier.parquet' as source_file from supplier
+""")
+def merge_lower_names(spark, d):
+    cust, supp = read_tables(spark, [f"{d}/customer.parquet", f"{d}/supplier.parquet"])
+    cust = cust.select(F.col("c_custkey").alias(" KEY"), F.col("c_name").alias("Name "),
+                       F.col("c_acctbal").alias("ACCT BAL"), "source_file")
+    supp = supp.select(F.col("s_suppkey").alias("Key"), F.col("s_name").alias(" name"),
+                       F.col("s_acctbal").alias("Acct Bal "), F.col("s_nationkey").alias("NATION"), "source_file")
+    return merge([cust, supp], lower=True)
+
+
 @query("merge_type_widen", """
 select cast(n_nationkey as bigint) as key, n_name as label from nation
 union all select s_suppkey as key, cast(s_nationkey as varchar) as label from supplier

@@ -76,45 +76,49 @@ def clean(df: DataFrame, tasks: dict, order_by=None, numeric_fill: str = "auto")
 INDEX = "index"
 
 
-def _condition(df: DataFrame, cond, allow_sql: bool, order_by=None) -> DataFrame:
-    """Filter; a condition on ``c("index")`` (F2j) gets the row index of the
-    current frame in ``order_by`` order, computed only when referenced."""
+def _condition(df: DataFrame, cond, allow_sql: bool) -> DataFrame:
     if cond is None or cond == "":
         return df
     if isinstance(cond, str):
         return where_sql(df, cond, trusted=allow_sql)
-    if INDEX not in df.columns:
-        try:
-            return where(df, cond)
-        except TablePrepError as e:
-            if f"'{INDEX}'" not in str(e):
-                raise
-        order = order_by or file_order_columns(df)
-        indexed = with_row_index(df, order, index_col=INDEX)
-        return where(indexed, cond).drop(INDEX)
     return where(df, cond)
 
 
+def _uses_index(df: DataFrame, *conds) -> bool:
+    return INDEX not in df.columns and any(isinstance(x, Cond) and INDEX in x.refs for x in conds)
+
+
 def extract(df: DataFrame, tasks: dict, order_by=None, allow_sql: bool = False) -> DataFrame:
     """F1 slice -> F2 filter -> F3 projection -> F4 filter, as one plan.
 
     Conditions are ``Cond`` objects (two-valued logic) or triples; SQL text
-    only with ``allow_sql=True``.  The second filter sees projected columns only.
+    only with ``allow_sql=True``.  The second filter sees projected columns
+    only.  ``c("index")`` (F2j) is the row's position in the *input*, as
+    pandas keeps the original labels through a slice: when a condition uses
+    it, the index is computed once on the input, the slice reuses it, and it
+    is dropped at the end.
     """
-    if (o := _opts(tasks.get("extract_rows_by_index"))) is not None:
-        order = order_by or file_order_columns(df)
-        df = slice_rows(df, o.get("start"), o.get("end"), order)
-    if (o := _opts(tasks.get("extract_rows_by_condition"))) is not None:
-        df = _condition(df, o.get("condition"), allow_sql, order_by)
-    if (o := _opts(tasks.get("extract_columns"))) is not None and o.get("columns"):
-        cols = list(o["columns"])
-        missing = [c for c in cols if c not in df.columns]
+    rows = _opts(tasks.get("extract_rows_by_index"))
+    first = _opts(tasks.get("extract_rows_by_condition"))
+    cols = _opts(tasks.get("extract_columns"))
+    second = _opts(tasks.get("apply_filter"))
+    order = order_by or file_order_columns(df)
+    with_index = _uses_index(df, (first or {}).get("condition"), (second or {}).get("condition"))
+    if rows is not None:
+        df = slice_rows(df, rows.get("start"), rows.get("end"), order, keep_index=with_index, index_col=INDEX)
+    elif with_index:
+        df = with_row_index(df, order, index_col=INDEX)
+    if first is not None:
+        df = _condition(df, first.get("condition"), allow_sql)
+    if cols is not None and cols.get("columns"):
+        names = list(cols["columns"])
+        missing = [c for c in names if c not in df.columns]
         if missing:
             raise TablePrepError(f"Columns not found: {missing}")
-        df = df.select(*[f"`{c}`" for c in cols])
-    if (o := _opts(tasks.get("apply_filter"))) is not None:
-        df = _condition(df, o.get("condition"), allow_sql, order_by)
-    return df
+        df = df.select(*[f"`{c}`" for c in names + ([INDEX] if with_index and INDEX not in names else [])])
+    if second is not None:
+        df = _condition(df, second.get("condition"), allow_sql)
+    return df.drop(INDEX) if with_index else df
 
 
 __all__ = ["clean", "extract", "CLEAN_STEPS", "Cond"]
