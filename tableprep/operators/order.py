@@ -27,11 +27,13 @@ Small inputs (<= ``small_rows``) use the plain window directly.
 """
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import TablePrepError
 from ..session import default_parallelism
@@ -181,6 +183,56 @@ def _bucket_range(df: DataFrame, key: str, bounds: list[tuple], first: int, last
     return cond
 
 
+CASE_TREE_MAX = 63  # bounds; beyond this the search runs over one array literal
+
+
+def typed_array(values: list, dtype) -> Column:
+    """One array constant from a driver list: a JSON text parsed and cast
+    element-wise, which constant folding turns into a single literal (one
+    call into the JVM instead of one per element)."""
+    text = json.dumps([None if v is None else str(v) for v in values])
+    return F.from_json(F.lit(text), "array<string>").cast(T.ArrayType(dtype))
+
+
+def add_bucket(df: DataFrame, keys: list[str], bounds: list[tuple], out: str) -> DataFrame:
+    """``out`` = number of bounds <= key (nulls first).
+
+    Up to ``CASE_TREE_MAX`` bounds: one balanced ``CASE`` tree.  Beyond, a
+    binary search of ceil(log2(B)) small projection steps over a single
+    array literal of bounds (``element_at``): the plan stays O(log B) in
+    size whatever B is -- a tree of thousands of nodes would take Catalyst
+    minutes to optimize and would not compile to code.
+    """
+    if len(bounds) <= CASE_TREE_MAX:
+        return df.withColumn(out, bucket_expr(df, keys, bounds))
+    types = {f.name: f.dataType for f in df.schema.fields}
+    if len(keys) == 1:
+        key = F.col(f"`{keys[0]}`")
+        arr = typed_array([b[0] for b in bounds], types[keys[0]])
+    else:
+        key = F.struct(*[F.col(f"`{k}`").alias(k) for k in keys])
+        # one JSON literal of {f0.., f1..} records -> array<struct> of text,
+        # then a positional struct cast to the key types: folds to a constant
+        text = json.dumps([{f"f{i}": (None if v is None else str(v)) for i, v in enumerate(b)} for b in bounds])
+        raw_type = T.ArrayType(T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(keys))]))
+        row_type = T.StructType([T.StructField(k, types[k]) for k in keys])
+        arr = F.from_json(F.lit(text), raw_type).cast(T.ArrayType(row_type))
+    lo, hi = "_tp_lo", "_tp_hi"
+    df = df.withColumns({lo: F.lit(0), hi: F.lit(len(bounds))})
+    for _ in range(math.ceil(math.log2(len(bounds) + 1))):
+        mid = F.floor((F.col(lo) + F.col(hi) + 1) / 2).cast("int")
+        open_ = F.col(lo) < F.col(hi)
+        ge = F.when(open_, key >= F.element_at(arr, F.greatest(mid, F.lit(1))))
+        df = df.withColumns({
+            lo: F.when(open_ & F.coalesce(ge, F.lit(False)), mid).otherwise(F.col(lo)),
+            hi: F.when(open_ & ~F.coalesce(ge, F.lit(True)), mid - 1).otherwise(F.col(hi)),
+        })
+    result = F.col(lo)
+    if len(keys) == 1:
+        result = F.when(key.isNull(), F.lit(0)).otherwise(result)
+    return df.withColumn(out, result).drop(lo, hi)
+
+
 def with_row_index(
     df: DataFrame,
     order_by,
@@ -224,8 +276,13 @@ def with_row_index(
     bounds = _sample_bounds(df, order, n, buckets, oversample, seed)
     width = _prefix_width(bounds)
     bounds = _dedupe([b[:width] for b in bounds])
+    if width > 1 and len(bounds) > CASE_TREE_MAX:
+        # composite prefixes use the CASE tree only (the array search over
+        # struct bounds is kept to one-column keys): fewer, larger buckets
+        step = len(bounds) / (CASE_TREE_MAX + 1)
+        bounds = _dedupe([bounds[int(i * step)] for i in range(1, CASE_TREE_MAX + 1)])
     bcol = "_tp_bucket"
-    data = df.withColumn(bcol, bucket_expr(df, order[:width], bounds))
+    data = add_bucket(df, order[:width], bounds, bcol)
 
     counts = data.groupBy(bcol, *parts).count()
     w = Window.partitionBy(bcol, *parts).orderBy(*order)
@@ -243,10 +300,11 @@ def with_row_index(
                 b for b in range(len(bounds) + 1)
                 if per_bucket.get(b, 0) and offsets[b] <= hi and offsets[b] + per_bucket[b] - 1 >= lo
             ]
-            data = data.where(F.col(bcol).isin(keep))
+            # buckets in range are contiguous: a range test, not a long IN list
+            data = data.where(F.col(bcol).between(keep[0], keep[-1]) if keep else F.lit(False))
             if width == 1 and keep:
                 data = data.where(_bucket_range(df, order[0], bounds, keep[0], keep[-1]))
-        off = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), F.col(bcol) + 1)
+        off = F.element_at(typed_array(offsets, T.LongType()), F.col(bcol) + 1)
         out = data.withColumn(index_col, (off + rn).cast("long")).drop(bcol)
         if index_range is not None:
             out = out.where(F.col(index_col).between(index_range[0], index_range[1]))

@@ -45,8 +45,9 @@ def test_csv_json_csv_round_trip(spark, files, outdir):
     assert rows(again) == rows(df)
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
-def test_bucketed_index_equals_row_number(spark, seed):
+@pytest.mark.parametrize("seed,per_bucket", [(1, 100), (2, 100), (3, 100), (4, 10), (5, 10)])
+def test_bucketed_index_equals_row_number(spark, seed, per_bucket):
+    # per_bucket=10 gives ~300 buckets: the array binary search instead of the CASE tree
     rng = random.Random(seed)
     data = []
     for i in range(3000):
@@ -55,10 +56,11 @@ def test_bucketed_index_equals_row_number(spark, seed):
         data.append((k, s, i))
     df = spark.createDataFrame(data, "k int, s string, i long").repartition(7)
     keys = ["k", "s", "i"]
-    got = with_row_index(df, keys, index_col="x", small_rows=0, rows_per_bucket=100)
+    got = with_row_index(df, keys, index_col="x", small_rows=0, rows_per_bucket=per_bucket)
     ref = df.withColumn("r", F.row_number().over(Window.orderBy(*keys)) - 1)
     assert got.join(ref, "i").where("x != r").count() == 0
-    grouped = with_row_index(df, ["k", "i"], partition_by="s", index_col="x", small_rows=0, rows_per_bucket=100)
+    grouped = with_row_index(df, ["k", "i"], partition_by="s", index_col="x", small_rows=0,
+                             rows_per_bucket=per_bucket)
     ref2 = df.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("k", "i")) - 1)
     assert grouped.join(ref2, "i").where("x != r").count() == 0
 
@@ -71,3 +73,17 @@ def test_parts_cover_input_exactly(spark):
     assert tuple(stats) == (12345, 12345, 0, 12344, 13)
     sizes = sorted(r[1] for r in parts.groupBy("part").count().collect())
     assert sizes == [345] + [1000] * 12
+
+
+def test_large_bucket_count_struct_bounds(spark):
+    import tableprep.operators.order as O
+    df = spark.range(0, 5000).select((F.col("id") % 5).alias("a"), (F.col("id") * 7 % 1000).alias("b"),
+                                     F.col("id"))
+    bounds = O._sample_bounds(df, ["a", "b", "id"], 5000, 200, 8, 3)
+    b = O._dedupe([x[:2] for x in bounds])
+    assert len(b) > O.CASE_TREE_MAX
+    got = {r["id"]: r["bk"] for r in O.add_bucket(df, ["a", "b"], b, "bk").collect()}
+    import bisect
+    keys = [(int(x[0]), int(x[1])) for x in b]
+    for r in df.collect():  # brute force: number of bounds <= key
+        assert got[r["id"]] == bisect.bisect_right(keys, (r["a"], r["b"]))
