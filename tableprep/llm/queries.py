@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, sharding
+from . import exact_dedup, license_scan, mixing, ngram_join, sentencepiece_codec, sharding
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,18 @@ from n window g as (partition by text_sha256)""")
 def op9(spark, sf_dir):
     out = exact_dedup.dedupe(table(spark, sf_dir, "documents"), exact_dedup.fresh_index(spark))
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+# ------------------------------------------------------------------ 6 n-gram join
+@query("op6_ngram_join")
+def op6(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+# ------------------------------------------------------------------ 10 sentencepiece
+@query("op10_sentencepiece")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.decode(spark, sentencepiece_codec.encode(spark, docs))
+    return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids",
+                        (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
