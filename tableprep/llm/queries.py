@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, ngram_join, sentencepiece_codec, sharding
+from . import exact_dedup, license_scan, mixing, ngram_join, quality_crf, sentencepiece_codec, sharding
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,3 +141,18 @@ def op10(spark, sf_dir):
     coded = sentencepiece_codec.decode(spark, sentencepiece_codec.encode(spark, docs))
     return coded.select("doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids",
                         (F.coalesce("text", F.lit("")) == F.col("decoded")).alias("round_trip"))
+
+
+# ------------------------------------------------------------------ 8 quality classifier
+def quality_model(spark: SparkSession, sf_dir: str) -> quality_crf.Crf | None:
+    """Fitted on the labelled documents outside the held-out fold."""
+    labels = table(spark, sf_dir, "labels").where(quality_crf.fold(F.col("doc_id")) != 1)
+    return quality_crf.train(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op8_quality_crf")
+def op8(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_crf.score(docs, quality_model(spark, sf_dir))
+    return scored.select("doc_id", (quality_crf.fold(F.col("doc_id")) == 1).alias("held_out"),
+                         F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))

@@ -76,6 +76,15 @@ class Codec:
         self.__dict__.update(state)
         self._empty()
 
+    @staticmethod
+    def of(state: dict) -> Codec:
+        """The codec of a broadcast state, one for each worker process."""
+        if "codec" not in state:
+            codec = Codec.__new__(Codec)
+            codec.__setstate__(dict(state))
+            state["codec"] = codec
+        return state["codec"]
+
     def _empty(self) -> None:
         self.pair_keys, self.pair_ok = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
         self.cache: dict[str, np.ndarray] = {}
@@ -307,11 +316,11 @@ def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
 def encode(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", out: str = "token_ids",
            model_file: str = MODEL) -> DataFrame:
     """``docs`` with ``out`` (array of piece ids) added."""
-    table = spark.sparkContext.broadcast(load(model_file))
+    table = spark.sparkContext.broadcast(load(model_file).__getstate__())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         np.seterr(over="ignore")
-        codec = table.value
+        codec = Codec.of(table.value)
         for batch in batches:
             for lo, hi in _slices(batch.column(text_col)):
                 part = batch.slice(lo, hi - lo)
@@ -327,10 +336,10 @@ def encode(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", out:
 def decode(spark: SparkSession, docs: DataFrame, *, ids_col: str = "token_ids", out: str = "decoded",
            model_file: str = MODEL) -> DataFrame:
     """``docs`` with ``out`` (the text of the ids) added."""
-    table = spark.sparkContext.broadcast(load(model_file))
+    table = spark.sparkContext.broadcast(load(model_file).__getstate__())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = table.value
+        codec = Codec.of(table.value)
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)

@@ -41,17 +41,26 @@ CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 POWERS = [np.zeros(0, np.uint64)] * 2  # grown as longer pieces come
 
 
-def _hash_piece(data: bytes) -> np.ndarray:
-    buf = np.frombuffer(data, np.uint8)
-    gap = np.ones(len(buf) + 2, bool)
-    gap[1:-1] = SPACE[buf]
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    size = 1 << max(16, (len(buf) + 1).bit_length())
-    up, down = _powers(size)
-    run = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(CODES[buf] * down[:len(buf)], out=run[1:])
-    return mix((run[ends] - run[starts]) * up[starts] + (ends - starts).astype(np.uint64))
+class Hasher:
+    """Hashes of any ranges of one piece of bytes, from one running sum."""
+
+    def __init__(self, data: bytes):
+        self.bytes = np.frombuffer(data, np.uint8)
+        n = len(self.bytes)
+        self.up, down = _powers(1 << max(16, (n + 1).bit_length()))
+        self.run = np.zeros(n + 1, np.uint64)
+        np.cumsum(CODES[self.bytes] * down[:n], out=self.run[1:])
+
+    def ranges(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.run[ends] - self.run[starts]) * self.up[starts] + (ends - starts).astype(np.uint64))
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end of each word."""
+        gap = np.ones(len(self.bytes) + 2, bool)
+        gap[1:-1] = SPACE[self.bytes]
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        return edge[::2], edge[1::2]
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -63,7 +72,8 @@ def word_hashes(text: str | None) -> np.ndarray:
         while at < len(data):
             cut = GAP.search(data, at + PIECE)
             end = cut.start() if cut else len(data)
-            parts.append(_hash_piece(data[at:end]))
+            piece = Hasher(data[at:end])
+            parts.append(piece.ranges(*piece.words()))
             at = end
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
