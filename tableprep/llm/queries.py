@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, license_scan, mixing, ngram_join, quality_crf, sentencepiece_codec, sharding
+from . import cover_tree, exact_dedup, license_scan, mixing, ngram_join, quality_crf, sentencepiece_codec, sharding
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,9 @@ def op8(spark, sf_dir):
     scored = quality_crf.score(docs, quality_model(spark, sf_dir))
     return scored.select("doc_id", (quality_crf.fold(F.col("doc_id")) == 1).alias("held_out"),
                          F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+# ------------------------------------------------------------------ 4 cover tree
+@query("op4_cover_tree")
+def op4(spark, sf_dir):
+    return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
