@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cover_tree, exact_dedup, license_scan, mixing, ngram_join, quality_crf, sentencepiece_codec, sharding
+from . import (cover_tree, exact_dedup, katz_lm, license_scan, mixing, ngram_join, quality_crf,
+               sentencepiece_codec, sharding)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -162,3 +163,13 @@ def op8(spark, sf_dir):
 @query("op4_cover_tree")
 def op4(spark, sf_dir):
     return cover_tree.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# ------------------------------------------------------------------ 3 Katz language model
+@query("op3_katz_lm")
+def op3(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = katz_lm.train(docs)
+    return katz_lm.score(docs, model).select(
+        "doc_id", katz_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
