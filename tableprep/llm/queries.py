@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (cover_tree, exact_dedup, katz_lm, license_scan, mixing, ngram_join, quality_crf,
-               sentencepiece_codec, sharding)
+               sentencepiece_codec, sharding, suffix_merge)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,11 @@ def op3(spark, sf_dir):
     return katz_lm.score(docs, model).select(
         "doc_id", katz_lm.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known",
         F.lit(model.tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
+# ------------------------------------------------------------------ 5 suffix merge
+@query("op5_suffix_merge")
+def op5(spark, sf_dir):
+    out = suffix_merge.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+                      F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
