@@ -16,8 +16,8 @@ which also cuts the lineage; documents are summed in each map task before the
 shuffle.
 
 Defined results: a null dimension value is a value of its own, written
-``NULL_VALUE``; a null or empty text has no tokens, weight 0, and is never
-drawn unless its cell is (its probability is its cell's); a target for a value
+``NULL_VALUE``; a null or empty text has no tokens, weight 0, and has the
+probability of its cell like any other; a target for a value
 that does not occur is left out and the others are scaled up to 1; a null id is
 hashed as the empty text; repeated rows are drawn or left together.
 """
@@ -78,22 +78,33 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *
     return now
 
 
-def mix(docs: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *, id_col: str = "doc_id",
-        tokens_col: str = "tokens", seed: int = 7, sweeps: int = SWEEPS) -> DataFrame:
-    """Rake and draw: every row of ``docs`` (id, token count and the dimensions
-    of ``targets`` as columns) with ``weight`` (raked token share of its cell),
-    ``probability`` and ``drawn``."""
-    dims = list(targets)
-    named = docs.select(F.col(id_col).alias("_id"), F.col(tokens_col).alias("_tokens"),
-                        *[F.coalesce(F.col(d).cast("string"), F.lit(NULL_VALUE)).alias(d) for d in dims])
-    cells = cut(named.groupBy(*dims).agg(F.sum("_tokens").alias("tokens")), "mix-cells")
+def _decided(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping, id_col: str, seed: int,
+             sweeps: int) -> DataFrame:
+    """(row, id, tokens, the dimensions, weight, probability, drawn): the whole
+    row stays in one column, so that no name can clash."""
+    named = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), tokens.alias("tokens"),
+                        *[F.coalesce(c.cast("string"), F.lit(NULL_VALUE)).alias(d) for d, c in dims.items()])
+    cells = cut(named.groupBy(*dims).agg(F.sum("tokens").alias("tokens")), "mix-cells")
     raked = cut(rake(cells, targets, sweeps=sweeps), "mix-raked")
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     top = raked.agg(F.max(ratio)).first()[0]
     chance = raked.select(*dims, "weight", (ratio / F.lit(top or 1.0)).alias("probability"))
-    return (named.join(chance, dims)
-            .select(F.col("_id").alias(id_col), F.col("_tokens").alias(tokens_col), *dims, "weight", "probability",
-                    (unit_hash(F.col("_id"), seed) < F.col("probability")).alias("drawn")))
+    return named.join(chance, list(dims)).withColumn("drawn", unit_hash(F.col("id"), seed) < F.col("probability"))
+
+
+def mix(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, float | Mapping[str, float]], *,
+        id_col: str = "doc_id", seed: int = 7, sweeps: int = SWEEPS) -> DataFrame:
+    """The decision for every row: ``id_col``, ``tokens``, the dimensions (each
+    an expression over ``docs``), ``weight`` (raked token share of the row's
+    cell), ``probability`` and ``drawn``."""
+    out = _decided(docs, dims, tokens, targets, id_col, seed, sweeps)
+    return out.select(F.col("id").alias(id_col), "tokens", *dims, "weight", "probability", "drawn")
+
+
+def draw(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping[str, float | Mapping[str, float]], *,
+         id_col: str = "doc_id", seed: int = 7, sweeps: int = SWEEPS) -> DataFrame:
+    """The drawn rows of ``docs``, with all their columns."""
+    return _decided(docs, dims, tokens, targets, id_col, seed, sweeps).where("drawn").select("row.*")
 
 
 def unit_hash(key: Column, seed: int) -> Column:

@@ -27,9 +27,9 @@ TOPICS = (
 )
 #: Target marginals: sources and topics flattened, languages by share.
 MIX_TARGETS = {
-    "source": 0.7,
-    "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
-    "topic": 0.8,
+    "source": 0.85,
+    "lang": {"en": 0.66, "de": 0.13, "fr": 0.12, "es": 0.09},
+    "topic": 0.95,
 }
 MIX_SEED = 7
 
@@ -104,16 +104,19 @@ select doc_id, n_tokens, source, lang, topic, round(weight, 9) as weight, round(
 from docs join p using (source, lang, topic)"""
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
-    """The mixing of the query and of the pipeline: decisions for ``docs``."""
-    rows = docs.select("doc_id", mixing.token_count(F.col("text")).alias("n_tokens"), "source", "lang",
-                       mixing.topic(F.col("text"), TOPICS).alias("topic"))
-    return mixing.mix(rows, MIX_TARGETS, tokens_col="n_tokens", seed=MIX_SEED)
+MIX_DIMS = {"source": F.col, "lang": F.col, "topic": lambda _: mixing.topic(F.col("text"), TOPICS)}
+
+
+def mix_arguments() -> dict:
+    """What the query and the pipeline mix by."""
+    return {"dims": {d: f(d) for d, f in MIX_DIMS.items()}, "tokens": mixing.token_count(F.col("text")),
+            "targets": MIX_TARGETS, "seed": MIX_SEED}
 
 
 @query("op7_mixing_ipf", _mix_sql())
 def op7(spark, sf_dir):
-    out = mix_documents(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    out = mixing.mix(docs, **mix_arguments()).withColumnRenamed("tokens", "n_tokens")
     return out.withColumns({c: F.round(c, 9) for c in ("weight", "probability")})
 
 
