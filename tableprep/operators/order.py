@@ -4,16 +4,18 @@ Spark DataFrames have no row order, while slicing, chunking, keep-first
 de-duplication and sheet positions all need one.  Every operator here takes an
 ``order_by`` list that must be unique (ties make results unstable).
 
-Plan for large inputs (``with_row_index``):
-
-1. ``count()`` (metadata-only for Parquet).
-2. A bounded sample of the order key (``B * oversample`` rows) is sorted in one
-   small task and B-1 bounds are taken from it, on the shortest key prefix
-   that tells them apart: a hot leading value lengthens the prefix, so it is
-   split across buckets by the remaining key columns.
-3. ``bucket`` = binary search of the key over the bounds, written as a balanced
-   ``CASE`` tree (about log2(B) comparisons per row, all JVM-side).  It is a
-   pure function of the row, hence identical in every job and on task retry.
+``with_row_index`` works the same way at every size:
+
+1. ``count()`` (metadata-only for Parquet) gives the number of buckets B, one
+   for every ``rows_per_bucket`` rows.  With B = 1 there is nothing to split.
+2. A bounded sample of the order key is sorted in one small task and B-1 bounds
+   are taken from it, on the shortest key prefix that tells them apart: a hot
+   leading value lengthens the prefix, so it is split across buckets by the
+   remaining key columns.
+3. ``bucket`` = number of bounds <= key, by a binary descent inside one
+   ``aggregate`` over a constant array: one expression whose size does not
+   depend on B, so filters pushed through it stay small.  It is a pure function
+   of the row, hence identical in every job and on task retry.
 4. One aggregate gives rows per bucket (<= B rows reach the driver); their
    running sum is each bucket's first index.  For a slice, buckets that cannot
    contain the requested range are dropped *before* the shuffle.
@@ -22,8 +24,6 @@ Plan for large inputs (``with_row_index``):
 
 With ``partition_by`` (an index per group) the buckets still follow the order
 key and the groups become extra window keys; offsets are per (group, bucket).
-
-Small inputs (<= ``small_rows``) use the plain window directly.
 """
 from __future__ import annotations
 
@@ -36,17 +36,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TablePrepError
-from ..session import default_parallelism
 
 # Columns the file readers attach so that "file order" is an explicit key.
 ROW_ORDER = ["_pos_file", "_pos_block", "_pos_row"]
 
-SMALL_ROWS = 10_000
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
+ROWS_PER_BUCKET = 50_000
+MAX_BUCKETS = 32_768
 OVERSAMPLE = 32
+SAMPLE_KEYS = 400_000
 SEED = 7
-OFFSET_ROWS_BROADCAST = 200_000
 
 
 def _names(cols) -> list[str]:
@@ -63,26 +61,32 @@ def _check_columns(df: DataFrame, cols: Sequence[str]) -> None:
         raise TablePrepError(f"Columns not found: {missing}")
 
 
-def _bucket_count(spark, n: int, rows_per_bucket: int, max_buckets: int) -> int:
-    floor_b = 4 * default_parallelism(spark)
-    return int(min(max_buckets, max(floor_b, math.ceil(n / rows_per_bucket))))
+def _bucket_count(n: int, rows_per_bucket: int, max_buckets: int) -> int:
+    return int(min(max_buckets, max(1, math.ceil(n / rows_per_bucket))))
+
+
+def _comparable(df: DataFrame, key: str) -> tuple[Column, T.DataType]:
+    """The key as bounds carry it: timestamps as microseconds, since their text
+    in local time is ambiguous at a clock change."""
+    col, kind = F.col(f"`{key}`"), df.schema[key].dataType
+    return (F.unix_micros(col), T.LongType()) if isinstance(kind, T.TimestampType) else (col, kind)
 
 
 def _sample_bounds(df: DataFrame, keys: list[str], n: int, buckets: int, oversample: int, seed: int):
     """B-1 ascending bounds of the composite key, as tuples of strings.
 
     Values travel as Spark's own string form and are cast back to the column
-    type, which is exact for numbers, strings, dates and timestamps.
+    type, which is exact for numbers, strings and dates.
     """
-    target = buckets * oversample
+    target = min(buckets * oversample, max(SAMPLE_KEYS, 8 * buckets))
     fraction = min(1.0, 1.5 * target / max(n, 1))
-    sample = df.select(*keys)
+    sample = df.select(*[_comparable(df, k)[0].alias(k) for k in keys])
     if fraction < 1.0:
         sample = sample.sample(False, fraction, seed)
     rows = (
         sample.repartition(1)
         .sortWithinPartitions(*keys)
-        .select(*[F.col(k).cast("string").alias(k) for k in keys])
+        .select(*[F.col(f"`{k}`").cast("string").alias(k) for k in keys])
         .collect()
     )
     if len(rows) < 2:
@@ -121,71 +125,23 @@ def _prefix_width(bounds: list[tuple], min_width: int = 0, keep: float = 0.9) ->
     return len(bounds[0])
 
 
-def _less_than(cols: list[Column], bound: list[Column], is_null: list[bool]) -> Column:
-    """``(cols) < (bound)`` lexicographically, ascending with nulls first.
-
-    Scalar comparisons only, nested so that the leading column decides most
-    rows and later columns are looked at only on ties (short-circuit in the
-    generated code).
-    """
-    if not cols:
-        return F.lit(False)
-    k, b = cols[0], bound[0]
-    rest = _less_than(cols[1:], bound[1:], is_null[1:])
-    if is_null[0]:  # nothing sorts below null; equal when k is null too
-        return k.isNull() & rest
-    first_less = F.coalesce(k < b, F.lit(True))  # a null key sorts first
-    if len(cols) == 1:
-        return first_less
-    return first_less | (F.coalesce(k == b, F.lit(False)) & rest)
-
-
-def bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
-    """Number of bounds <= key, as a balanced CASE tree: about log2(B)
-    comparisons per row, all JVM-side.
-
-    One key column: scalar tests.  Several: the key is packed into one struct
-    and compared with struct literals -- Spark generates a single comparator
-    for the struct type, so every tree node stays a small call and the whole
-    stage remains small enough for the JIT (a tree of inlined lexicographic
-    tests does not).
-    """
-    types = {f.name: f.dataType for f in df.schema.fields}
-    if len(keys) == 1:
-        col = F.col(f"`{keys[0]}`")
-        tests = [_less_than([col], [F.lit(b[0]).cast(types[keys[0]])], [b[0] is None]) for b in bounds]
-    else:
-        key = F.struct(*[F.col(f"`{k}`").alias(k) for k in keys])
-        tests = [key < F.struct(*[F.lit(v).cast(types[k]).alias(k) for v, k in zip(b, keys)]) for b in bounds]
-
-    def build(lo: int, hi: int) -> Column:
-        # result lies in [lo, hi]; bound i separates bucket i and i+1
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi + 1) // 2
-        return F.when(tests[mid - 1], build(lo, mid - 1)).otherwise(build(mid, hi))
-
-    return build(0, len(tests))
-
-
 def _bucket_range(df: DataFrame, key: str, bounds: list[tuple], first: int, last: int) -> Column:
     """Buckets ``first..last`` of a one-column bucketing as a plain range on
     that column -- the same rows, but a predicate Parquet can use to skip row
     groups.  Null keys sort first and live in bucket 0."""
-    t = dict((f.name, f.dataType) for f in df.schema.fields)[key]
-    col = F.col(f"`{key}`")
-    cond = F.lit(True)
+    t, col, cond = df.schema[key].dataType, F.col(f"`{key}`"), F.lit(True)
+
+    def literal(text: str) -> Column:
+        return F.timestamp_micros(F.lit(int(text))) if isinstance(t, T.TimestampType) else F.lit(text).cast(t)
+
     if first > 0 and bounds[first - 1][0] is not None:
-        cond = cond & (col >= F.lit(bounds[first - 1][0]).cast(t))
+        cond = cond & (col >= literal(bounds[first - 1][0]))
     if last < len(bounds) and bounds[last][0] is not None:
-        upper = col < F.lit(bounds[last][0]).cast(t)
+        upper = col < literal(bounds[last][0])
         cond = cond & (upper | col.isNull() if first == 0 else upper)
     return cond
 
 
-CASE_TREE_MAX = 63  # bounds; beyond this the search runs over one array literal
-
-
 def typed_array(values: list, dtype) -> Column:
     """One array constant from a driver list: a JSON text parsed and cast
     element-wise, which constant folding turns into a single literal (one
@@ -194,43 +150,35 @@ def typed_array(values: list, dtype) -> Column:
     return F.from_json(F.lit(text), "array<string>").cast(T.ArrayType(dtype))
 
 
-def add_bucket(df: DataFrame, keys: list[str], bounds: list[tuple], out: str) -> DataFrame:
-    """``out`` = number of bounds <= key (nulls first).
+def bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
+    """Number of bounds <= key (ascending, nulls first).
 
-    Up to ``CASE_TREE_MAX`` bounds: one balanced ``CASE`` tree.  Beyond, a
-    binary search of ceil(log2(B)) small projection steps over a single
-    array literal of bounds (``element_at``): the plan stays O(log B) in
-    size whatever B is -- a tree of thousands of nodes would take Catalyst
-    minutes to optimize and would not compile to code.
+    A descent by powers of two: ``aggregate`` carries how many bounds are known
+    to be <= key and tries to add 2**k, ..., 2, 1.  Bounds are one constant
+    array; composite keys and bounds are structs, which compare column by column.
     """
-    if len(bounds) <= CASE_TREE_MAX:
-        return df.withColumn(out, bucket_expr(df, keys, bounds))
-    types = {f.name: f.dataType for f in df.schema.fields}
+    if not bounds:
+        return F.lit(0)
+    pairs = [_comparable(df, k) for k in keys]
     if len(keys) == 1:
-        key = F.col(f"`{keys[0]}`")
-        arr = typed_array([b[0] for b in bounds], types[keys[0]])
+        key, arr = pairs[0][0], typed_array([b[0] for b in bounds], pairs[0][1])
     else:
-        key = F.struct(*[F.col(f"`{k}`").alias(k) for k in keys])
+        key = F.struct(*[c.alias(f"f{i}") for i, (c, _) in enumerate(pairs)])
         # one JSON literal of {f0.., f1..} records -> array<struct> of text,
         # then a positional struct cast to the key types: folds to a constant
         text = json.dumps([{f"f{i}": (None if v is None else str(v)) for i, v in enumerate(b)} for b in bounds])
-        raw_type = T.ArrayType(T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(len(keys))]))
-        row_type = T.StructType([T.StructField(k, types[k]) for k in keys])
-        arr = F.from_json(F.lit(text), raw_type).cast(T.ArrayType(row_type))
-    lo, hi = "_tp_lo", "_tp_hi"
-    df = df.withColumns({lo: F.lit(0), hi: F.lit(len(bounds))})
-    for _ in range(math.ceil(math.log2(len(bounds) + 1))):
-        mid = F.floor((F.col(lo) + F.col(hi) + 1) / 2).cast("int")
-        open_ = F.col(lo) < F.col(hi)
-        ge = F.when(open_, key >= F.element_at(arr, F.greatest(mid, F.lit(1))))
-        df = df.withColumns({
-            lo: F.when(open_ & F.coalesce(ge, F.lit(False)), mid).otherwise(F.col(lo)),
-            hi: F.when(open_ & ~F.coalesce(ge, F.lit(True)), mid - 1).otherwise(F.col(hi)),
-        })
-    result = F.col(lo)
-    if len(keys) == 1:
-        result = F.when(key.isNull(), F.lit(0)).otherwise(result)
-    return df.withColumn(out, result).drop(lo, hi)
+        names = [f"f{i}" for i in range(len(keys))]
+        raw = T.ArrayType(T.StructType([T.StructField(x, T.StringType()) for x in names]))
+        typed = T.ArrayType(T.StructType([T.StructField(x, t) for x, (_, t) in zip(names, pairs)]))
+        arr = F.from_json(F.lit(text), raw).cast(typed)
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))])
+
+    def add(known: Column, step: Column) -> Column:
+        bound = F.get(arr, known + step - 1)  # null beyond the last: not passed
+        passed = (bound <= key) | (bound.isNull() & (known + step <= len(bounds)))  # a null bound sorts first
+        return F.when(F.coalesce(passed, F.lit(False)), known + step).otherwise(known)
+
+    return F.aggregate(steps, F.lit(0), add)
 
 
 def with_row_index(
@@ -240,7 +188,6 @@ def with_row_index(
     partition_by=None,
     index_col: str = "row_idx",
     index_range: tuple[int, int] | None = None,
-    small_rows: int = SMALL_ROWS,
     rows_per_bucket: int = ROWS_PER_BUCKET,
     max_buckets: int = MAX_BUCKETS,
     oversample: int = OVERSAMPLE,
@@ -259,30 +206,21 @@ def with_row_index(
         raise TablePrepError("order_by is required for an ordered operation")
     keys = parts + order
     _check_columns(df, keys)
-    spark = df.sparkSession
     n = df.count() if total_rows is None else total_rows
 
-    if n <= small_rows:
-        w = Window.partitionBy(*parts).orderBy(*order) if parts else Window.orderBy(*order)
+    bcol = "_tp_bucket"
+    buckets = _bucket_count(n, rows_per_bucket, max_buckets)
+    if buckets == 1:  # one bucket: the window is all there is
+        w = Window.partitionBy(*(parts or [F.lit(0)])).orderBy(*order)
         out = df.withColumn(index_col, (F.row_number().over(w) - 1).cast("long"))
-        if index_range is not None:
-            out = out.where(F.col(index_col).between(index_range[0], index_range[1]))
-        return out
+        return out if index_range is None else out.where(F.col(index_col).between(*index_range))
 
-    # Buckets follow the order key alone (groups are window keys), so the
-    # bucket test is usually one scalar column and a hot group is spread
-    # over all buckets.
-    buckets = _bucket_count(spark, n, rows_per_bucket, max_buckets)
+    # Buckets follow the order key alone (groups are window keys), so a hot
+    # group is spread over all buckets.
     bounds = _sample_bounds(df, order, n, buckets, oversample, seed)
     width = _prefix_width(bounds)
     bounds = _dedupe([b[:width] for b in bounds])
-    if width > 1 and len(bounds) > CASE_TREE_MAX:
-        # composite prefixes use the CASE tree only (the array search over
-        # struct bounds is kept to one-column keys): fewer, larger buckets
-        step = len(bounds) / (CASE_TREE_MAX + 1)
-        bounds = _dedupe([bounds[int(i * step)] for i in range(1, CASE_TREE_MAX + 1)])
-    bcol = "_tp_bucket"
-    data = add_bucket(df, order[:width], bounds, bcol)
+    data = df.withColumn(bcol, bucket_expr(df, order[:width], bounds))
 
     counts = data.groupBy(bcol, *parts).count()
     w = Window.partitionBy(bcol, *parts).orderBy(*order)
@@ -312,18 +250,16 @@ def with_row_index(
 
     # Per-group index: offset(group, bucket) = rows of the group in earlier
     # buckets -- a window over the (bucket, group) count table, which has at
-    # most groups x B rows.  Small (sheets): broadcast from a checked driver
-    # list; large: an ordinary join, planned (and re-planned by AQE) by Spark.
+    # most groups x B rows; an ordinary join, broadcast or not as Spark sees fit.
     ocol = "_tp_offset"
     wo = Window.partitionBy(*parts).orderBy(bcol).rowsBetween(Window.unboundedPreceding, -1)
     offs = (counts.withColumn(ocol, F.coalesce(F.sum("count").over(wo), F.lit(0)).cast("long"))
-            .where(F.col(ocol) > 0).drop("count"))
-    rows = offs.limit(OFFSET_ROWS_BROADCAST + 1).collect()
-    if len(rows) <= OFFSET_ROWS_BROADCAST:
-        offs = F.broadcast(spark.createDataFrame(rows, offs.schema))
-    cond = [data[bcol] == offs[bcol]] + [data[p].eqNullSafe(offs[p]) for p in parts]
-    joined = data.join(offs, cond, "left").select(data["*"], F.coalesce(offs[ocol], F.lit(0)).alias(ocol))
-    out = joined.withColumn(index_col, (F.col(ocol) + rn).cast("long")).drop(bcol, ocol)
+            .where(F.col(ocol) > 0).select(F.col(bcol).alias("_tp_b"), *[F.col(f"`{p}`").alias(f"_tp_p{i}") for i, p in enumerate(parts)], ocol))
+    numbered = data.withColumn("_tp_rn", rn)
+    cond = [F.col(bcol) == F.col("_tp_b")] + [F.col(f"`{p}`").eqNullSafe(F.col(f"_tp_p{i}")) for i, p in enumerate(parts)]
+    out = (numbered.join(offs, cond, "left")
+           .withColumn(index_col, (F.coalesce(F.col(ocol), F.lit(0)) + F.col("_tp_rn")).cast("long"))
+           .drop(bcol, ocol, "_tp_b", "_tp_rn", *[f"_tp_p{i}" for i in range(len(parts))]))
     if index_range is not None:
         out = out.where(F.col(index_col).between(index_range[0], index_range[1]))
     return out
@@ -337,25 +273,23 @@ def slice_rows(
     *,
     strict: bool = True,
     keep_index: bool = False,
-    head_limit: int = 100_000,
     index_col: str = "row_idx",
 ) -> DataFrame:
     """Rows ``start..end`` (0-based, end inclusive) in ``order_by`` order.
 
     ``strict`` reproduces the bounds check: start >= 0, end >= start and
-    end < row count.  A head slice that fits ``head_limit`` is a distributed
-    top-k (``orderBy().limit()``); longer ones use the bucketed index with
-    pruning, so only buckets holding the range are shuffled.
+    end < row count.  The bucketed index prunes, so only buckets holding the
+    range are shuffled.
     """
     if start is None or end is None or start < 0 or end < start:
-        raise TablePrepError("Invalid row indices")
+        raise TablePrepError(f"row range {start}..{end} is not valid")
     order = _names(order_by)
+    if not order:
+        raise TablePrepError("order_by is required for an ordered operation")
     _check_columns(df, order)
     n = df.count()
     if strict and end >= n:
-        raise TablePrepError("Invalid row indices")
-    if start == 0 and end + 1 <= head_limit and not keep_index:
-        return df.orderBy(*order).limit(end + 1)
+        raise TablePrepError(f"row range {start}..{end} ends past the last of {n} rows")
     out = with_row_index(df, order, index_col=index_col, index_range=(start, end), total_rows=n)
     return out if keep_index else out.drop(index_col)
 

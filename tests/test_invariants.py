@@ -47,7 +47,7 @@ def test_csv_json_csv_round_trip(spark, files, outdir):
 
 @pytest.mark.parametrize("seed,per_bucket", [(1, 100), (2, 100), (3, 100), (4, 10), (5, 10)])
 def test_bucketed_index_equals_row_number(spark, seed, per_bucket):
-    # per_bucket=10 gives ~300 buckets: the array binary search instead of the CASE tree
+    # per_bucket=10 gives 300 buckets
     rng = random.Random(seed)
     data = []
     for i in range(3000):
@@ -56,10 +56,10 @@ def test_bucketed_index_equals_row_number(spark, seed, per_bucket):
         data.append((k, s, i))
     df = spark.createDataFrame(data, "k int, s string, i long").repartition(7)
     keys = ["k", "s", "i"]
-    got = with_row_index(df, keys, index_col="x", small_rows=0, rows_per_bucket=per_bucket)
+    got = with_row_index(df, keys, index_col="x", rows_per_bucket=per_bucket)
     ref = df.withColumn("r", F.row_number().over(Window.orderBy(*keys)) - 1)
     assert got.join(ref, "i").where("x != r").count() == 0
-    grouped = with_row_index(df, ["k", "i"], partition_by="s", index_col="x", small_rows=0,
+    grouped = with_row_index(df, ["k", "i"], partition_by="s", index_col="x",
                              rows_per_bucket=per_bucket)
     ref2 = df.withColumn("r", F.row_number().over(Window.partitionBy("s").orderBy("k", "i")) - 1)
     assert grouped.join(ref2, "i").where("x != r").count() == 0
@@ -81,9 +81,49 @@ def test_large_bucket_count_struct_bounds(spark):
                                      F.col("id"))
     bounds = O._sample_bounds(df, ["a", "b", "id"], 5000, 200, 8, 3)
     b = O._dedupe([x[:2] for x in bounds])
-    assert len(b) > O.CASE_TREE_MAX
-    got = {r["id"]: r["bk"] for r in O.add_bucket(df, ["a", "b"], b, "bk").collect()}
+    got = {r["id"]: r["bk"] for r in df.withColumn("bk", O.bucket_expr(df, ["a", "b"], b)).collect()}
     import bisect
     keys = [(int(x[0]), int(x[1])) for x in b]
     for r in df.collect():  # brute force: number of bounds <= key
         assert got[r["id"]] == bisect.bisect_right(keys, (r["a"], r["b"]))
+
+
+@pytest.mark.parametrize("buckets", [64, 80, 400, 4096])
+@pytest.mark.parametrize("keys", [["id"], ["k", "id"]])
+def test_index_plans_at_any_bucket_count(spark, buckets, keys):
+    """A filter, a slice and a per-group index over the index plan in time and equal row_number()."""
+    import time
+
+    from tableprep.operators.order import slice_rows
+    import tableprep.operators.order as O
+    n = 20_480
+    df = spark.range(0, n).select("id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 911).alias("k"),
+                                  (F.col("id") % 2).alias("g"), F.timestamp_seconds(F.col("id") * 977).alias("t"))
+    ref = {r.id: (r.x, r.y) for r in df.withColumns({
+        "x": F.row_number().over(Window.orderBy(*keys)) - 1,
+        "y": F.row_number().over(Window.partitionBy("g").orderBy(*keys)) - 1}).collect()}
+    per = -(-n // buckets)
+    whole = with_row_index(df, keys, index_col="x", rows_per_bucket=per)
+    grouped = with_row_index(df, keys, partition_by="g", index_col="y", rows_per_bucket=per)
+    for out, at, frame in (("x", 0, whole), ("y", 1, grouped)):
+        part = frame.where((F.col("id") % 5 == 0) & (F.col(out) > 100))
+        began = time.time()
+        part._jdf.queryExecution().executedPlan()
+        assert time.time() - began < 5
+        got = {r.id: r[out] for r in part.collect()}
+        assert got == {i: v[at] for i, v in ref.items() if i % 5 == 0 and v[at] > 100}
+    old, O.ROWS_PER_BUCKET = O.ROWS_PER_BUCKET, per
+    try:
+        got = with_row_index(df, keys, index_col="x", index_range=(5000, 5099), rows_per_bucket=per)
+        assert sorted(r.x for r in got.collect()) == list(range(5000, 5100))
+        assert slice_rows(df, 5000, 5099, keys).count() == 100
+    finally:
+        O.ROWS_PER_BUCKET = old
+
+
+def test_timestamp_keys(spark):
+    df = spark.range(0, 3000).select("id", F.timestamp_seconds(F.col("id") * 977 % 100_003).alias("t"))
+    got = with_row_index(df, ["t"], index_col="x", rows_per_bucket=100)
+    ref = df.withColumn("r", F.row_number().over(Window.orderBy("t")) - 1)
+    assert got.join(ref, "id").where("x != r").count() == 0
+    assert with_row_index(df, ["t"], index_col="x", index_range=(700, 799), rows_per_bucket=100).count() == 100

@@ -109,10 +109,10 @@ def test_row_index_matches_global_order(spark):
     key = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
     ref = li.withColumn("r", F.row_number().over(Window.orderBy(*key)) - 1)
     for parts in (1, 4, 64):
-        got = with_row_index(li.repartition(parts), key, index_col="i", small_rows=0, rows_per_bucket=5000)
+        got = with_row_index(li.repartition(parts), key, index_col="i", rows_per_bucket=5000)
         diff = got.join(ref, key).where("i != r").count()
         assert diff == 0 and got.count() == li.count()
-    stats = with_row_index(li, key, index_col="i", small_rows=0).agg(
+    stats = with_row_index(li, key, index_col="i").agg(
         F.min("i"), F.max("i"), F.countDistinct("i")).first()
     assert tuple(stats) == (0, li.count() - 1, li.count())
 
@@ -129,7 +129,7 @@ def test_hot_leading_key_is_split(spark):
     b = O._dedupe([x[:width] for x in bounds])
     sizes = [r[1] for r in df.groupBy(O.bucket_expr(df, ["k", "id"], b)).count().collect()]
     assert max(sizes) < n / 4
-    got = with_row_index(df, ["k", "id"], index_col="i", small_rows=0)
+    got = with_row_index(df, ["k", "id"], index_col="i")
     ref = df.withColumn("r", F.row_number().over(Window.orderBy("k", "id")) - 1)
     assert got.join(ref, ["k", "id"]).where("i != r").count() == 0
 
