@@ -66,8 +66,12 @@ class Operand:
     def __rmul__(self, o): return _operand(o)._bin(self, lambda a, b: a * b)
     def __truediv__(self, o): return self._bin(o, lambda a, b: F.try_divide(a, b))
     def __rtruediv__(self, o): return _operand(o)._bin(self, lambda a, b: F.try_divide(a, b))
-    def __mod__(self, o): return self._bin(o, lambda a, b: F.pmod(a, b))
+    def __mod__(self, o): return self._bin(o, _python_mod)
+    def __rmod__(self, o): return _operand(o)._bin(self, _python_mod)
+    def __floordiv__(self, o): return self._bin(o, _floor_divide)
+    def __rfloordiv__(self, o): return _operand(o)._bin(self, _floor_divide)
     def __pow__(self, o): return self._bin(o, lambda a, b: F.pow(a, b))
+    def __rpow__(self, o): return _operand(o)._bin(self, lambda a, b: F.pow(a, b))
     def __neg__(self): return Operand(lambda df: -self.compile(df), refs=self.refs)
 
     def apply(self, fn: Callable[[Column], Column]) -> "Operand":
@@ -186,7 +190,7 @@ def c(name_or_col) -> Operand:
 
         def build(df):
             if name not in df.columns:
-                raise TablePrepError(f"Columns not found: ['{name}']")
+                raise TablePrepError(f"no such columns: ['{name}']")
             return F.col(f"`{name}`")
         return Operand(build, plain=True, refs=frozenset([name]))
     if isinstance(name_or_col, Column):
@@ -214,6 +218,18 @@ def _cond(x) -> Cond:
     raise TablePrepError(f"not a condition: {x!r}")
 
 
+def _python_mod(a: Column, b: Column) -> Column:
+    """The remainder with the sign of the divisor; missing for a zero divisor."""
+    m = F.try_mod(a, b)
+    return F.when((m != 0) & ((m < 0) != (b < 0)), m + b).otherwise(m)
+
+
+def _floor_divide(a: Column, b: Column) -> Column:
+    """Rounded down; missing for a zero divisor.  The remainder goes first, so
+    that the division is exact up to 2**53."""
+    return F.floor(F.try_divide(a - _python_mod(a, b), b) + F.lit(0.5))
+
+
 def _arg(x) -> Operand:
     """Function argument: a string names a column here, not a literal."""
     return c(x) if isinstance(x, str) else _operand(x)
@@ -227,6 +243,21 @@ def log(x) -> Operand: return _arg(x).apply(F.ln)
 def log10(x) -> Operand: return _arg(x).apply(F.log10)
 def floor(x) -> Operand: return _arg(x).apply(F.floor)
 def ceil(x) -> Operand: return _arg(x).apply(F.ceil)
+def sin(x) -> Operand: return _arg(x).apply(F.sin)
+def cos(x) -> Operand: return _arg(x).apply(F.cos)
+def tan(x) -> Operand: return _arg(x).apply(F.tan)
+def arcsin(x) -> Operand: return _arg(x).apply(F.asin)
+def arccos(x) -> Operand: return _arg(x).apply(F.acos)
+def arctan(x) -> Operand: return _arg(x).apply(F.atan)
+def arctan2(y, x) -> Operand: return _arg(y)._bin(_arg(x), F.atan2)
+def sinh(x) -> Operand: return _arg(x).apply(F.sinh)
+def cosh(x) -> Operand: return _arg(x).apply(F.cosh)
+def tanh(x) -> Operand: return _arg(x).apply(F.tanh)
+def arcsinh(x) -> Operand: return _arg(x).apply(F.asinh)
+def arccosh(x) -> Operand: return _arg(x).apply(F.acosh)
+def arctanh(x) -> Operand: return _arg(x).apply(F.atanh)
+def log1p(x) -> Operand: return _arg(x).apply(F.log1p)
+def expm1(x) -> Operand: return _arg(x).apply(F.expm1)
 
 
 _OPS = {

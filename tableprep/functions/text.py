@@ -4,6 +4,9 @@ from __future__ import annotations
 import re
 import sys
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from ..errors import TablePrepError
 
 # Every character Python's str.strip() removes, derived by rule (str.isspace).
@@ -59,18 +62,41 @@ def strftime_to_spark(fmt: str) -> str:
     return "".join(out)
 
 
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+INTEGER = r"^[+-]?[0-9]+$"
+# The words that stand for an infinite number.
+INFINITE = r"^(?i)[+-]?(inf|infinity)$"
+
+
+def is_integer(col: Column) -> Column:
+    return F.btrim(col, F.lit(WHITESPACE)).rlike(INTEGER)
+
+
+def number(col: Column) -> Column:
+    """A decimal number as double, else null.  Spark's own cast also takes
+    ``12d``, ``1F`` and ``0x1p3``."""
+    text = F.btrim(col, F.lit(WHITESPACE))
+    return F.when(text.rlike(NUMBER), text.try_cast("double")).when(
+        text.rlike(INFINITE), F.when(text.startswith("-"), float("-inf")).otherwise(float("inf")))
+
+
 # Parse patterns tried in order for text dates (month first,
 # as pandas does for slash dates).
 DEFAULT_DATE_INPUTS = [
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd",
-    "yyyy/MM/dd",
-    "MM/dd/yyyy HH:mm:ss",
-    "MM/dd/yyyy",
-    "dd.MM.yyyy",
-    "dd MMM yyyy",
-    "MMM dd, yyyy",
+    "yyyy-M-d HH:mm:ss[.SSSSSS][XXX]",
+    "yyyy-M-d'T'HH:mm:ss[.SSSSSS][XXX]",
+    "yyyy-M-d HH:mm",
+    "yyyy-M-d'T'HH:mm",
+    "yyyy-M-d",
+    "yyyy/M/d",
+    "M/d/yyyy HH:mm:ss",
+    "M/d/yyyy HH:mm",
+    "M/d/yyyy",
+    "d.M.yyyy",
+    "d MMM yyyy",
+    "MMM d, yyyy",
+    "d MMMM yyyy",
+    "MMMM d, yyyy",
     "yyyyMMdd",
 ]
 
@@ -113,7 +139,7 @@ def pattern_guard(pattern: str) -> str:
                 out.append(r".*?")
             i = j
             continue
-        out.append(r"\s+" if ch.isspace() else re.escape(ch))
+        out.append(r"\s+" if ch.isspace() else "(?:" if ch == "[" else ")?" if ch == "]" else re.escape(ch))
         i += 1
     out.append(r"\s*$")
     return "".join(out)

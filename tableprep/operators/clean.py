@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TablePrepError
-from ..functions.text import DEFAULT_DATE_INPUTS, WHITESPACE, pattern_guard, standard_name, strftime_to_spark
+from ..functions.text import (DEFAULT_DATE_INPUTS, WHITESPACE, is_integer, number, pattern_guard, standard_name,
+                              strftime_to_spark)
 from .order import ROW_ORDER, file_order_columns
 
 META_COLUMNS = {"source_file", "source_sheet", "file_pos", "sheet", "sheet_pos", "row_pos", *ROW_ORDER}
@@ -40,7 +41,7 @@ def _missing(col: Column, dtype: T.DataType) -> Column:
 def _require(df: DataFrame, cols) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise TablePrepError(f"Columns not found: {missing}")
+        raise TablePrepError(f"no such columns: {missing}")
 
 
 # C1 ---------------------------------------------------------------------
@@ -209,11 +210,10 @@ def to_int(col: Column, dtype: T.DataType, on_fraction: str = "null") -> Column:
         return col.cast("bigint")
     if isinstance(dtype, T.BooleanType):
         return col.cast("bigint")
-    d = col.try_cast("double")
+    text = isinstance(dtype, T.StringType)
+    d = number(col) if text else col.try_cast("double")
     whole = F.when((d == F.floor(d)) & ~F.isnan(d), d).try_cast("bigint")
-    if isinstance(dtype, (T.StringType,)):
-        return F.coalesce(col.try_cast("bigint"), whole)
-    return whole
+    return F.coalesce(F.when(is_integer(col), col.try_cast("bigint")), whole) if text else whole
 
 
 def cast_columns(df: DataFrame, types_spec: dict, on_fraction: str = "null") -> DataFrame:
@@ -230,21 +230,22 @@ def cast_columns(df: DataFrame, types_spec: dict, on_fraction: str = "null") ->
         if kind == "int":
             exprs[c] = to_int(col, t)
             if on_fraction == "error":
-                d = col.try_cast("double")
+                d = number(col) if isinstance(t, T.StringType) else col.try_cast("double")
                 bad = df.where((d != F.floor(d)) & ~F.isnan(d)).limit(1).count()
                 if bad:
                     raise TablePrepError(f"Error converting {c} to int")
         elif kind == "float":
-            d = col.try_cast("double")
+            d = number(col) if isinstance(t, T.StringType) else col.try_cast("double")
             exprs[c] = F.nanvl(d, F.lit(None).cast("double"))  # NaN is pandas' missing value
         elif kind == "str":
             exprs[c] = col.cast("string")
         else:
-            raise TablePrepError(f"Unsupported data type: {kind}")
+            raise TablePrepError(f"cannot cast to {kind!r}: use int, float or str")
     return df.withColumns(exprs)
 
 
 # C8 ---------------------------------------------------------------------
+# Fixed value: the formula grammar.
 _MUL = re.compile(r"^(\w+)\s*\*\s*(\d+)$")
 
 
@@ -261,11 +262,11 @@ def formula_column(df: DataFrame, formula: str) -> Column:
         _require(df, [src])
         t = types[src]
         if isinstance(t, (_INTEGRAL + (T.BooleanType,))):
-            return _q(src).cast("bigint") * F.lit(mult)
+            return F.try_multiply(_q(src).cast("bigint"), F.lit(mult).cast("bigint"))  # beyond 64 bits: null
         if isinstance(t, T.NumericType):
-            return _q(src) * F.lit(mult)
-        return _q(src).try_cast("double") * F.lit(mult)
-    raise TablePrepError(f"Unsupported formula: {formula}")
+            return F.try_multiply(_q(src), F.lit(mult))
+        return number(_q(src)) * F.lit(mult)
+    raise TablePrepError(f"formula not understood: {formula!r}")
 
 
 def apply_formulas(df: DataFrame, formulas: dict) -> DataFrame:

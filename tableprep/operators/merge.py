@@ -32,12 +32,22 @@ def widen(types: list[T.DataType]) -> T.DataType:
     return T.StringType()
 
 
+def check_case(spark, names) -> None:
+    """Refuse names that Spark would take for one (unless it is told to tell
+    letter case apart)."""
+    if spark.conf.get("spark.sql.caseSensitive", "false") != "true":
+        seen: dict[str, str] = {}
+        for n in names:
+            if seen.setdefault(n.lower(), n) != n:
+                raise TablePrepError(f"columns {seen[n.lower()]!r} and {n!r} differ only in case; rename one or lower-case the names")
+
+
 def union_by_name(dfs: list[DataFrame], widen_types: bool = True) -> DataFrame:
     """Outer union by column name: columns in first-seen order, absent ones
     null, clashing types widened before the union (decided from schemas)."""
     dfs = [d for d in dfs if d is not None]
     if not dfs:
-        raise TablePrepError("No valid data found")
+        raise TablePrepError("nothing to merge")
     order: list[str] = []
     seen: dict[str, list[T.DataType]] = {}
     for d in dfs:
@@ -46,6 +56,7 @@ def union_by_name(dfs: list[DataFrame], widen_types: bool = True) -> DataFrame:
                 order.append(f.name)
                 seen[f.name] = []
             seen[f.name].append(f.dataType)
+    check_case(dfs[0].sparkSession, order)
     target = {n: (widen(ts) if widen_types else ts[0]) for n, ts in seen.items()}
 
     def conform(d: DataFrame) -> DataFrame:

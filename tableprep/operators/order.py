@@ -58,7 +58,7 @@ def _names(cols) -> list[str]:
 def _check_columns(df: DataFrame, cols: Sequence[str]) -> None:
     missing = [c for c in cols if c not in df.columns]
     if missing:
-        raise TablePrepError(f"Columns not found: {missing}")
+        raise TablePrepError(f"no such columns: {missing}")
 
 
 def _bucket_count(n: int, rows_per_bucket: int, max_buckets: int) -> int:

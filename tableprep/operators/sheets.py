@@ -6,6 +6,11 @@ data columns, unioned by name.  Sheet-level decisions need the list of sheets,
 which is tiny (a workbook holds at most a few thousand) and is checked against
 ``MAX_SHEETS`` before it is brought to the driver; it returns to the executors
 as a broadcast mapping.  Row-level work stays distributed.
+
+Rows cannot show a sheet that has none.  Operations that count sheets or take
+them by position accept ``all_sheets``, the workbook's own list of (name,
+position) as ``sources.xlsx.sheet_names`` reads it; without it, the sheets that
+have rows count, at the positions they carry.
 """
 from __future__ import annotations
 
@@ -26,8 +31,10 @@ def _mapping(spark, rows, schema: str) -> DataFrame:
     return F.broadcast(spark.createDataFrame(rows, schema))
 
 
-def sheet_list(sheets: DataFrame) -> list[tuple[str, int]]:
-    """``[(name, pos), ...]`` in workbook order (sheets with rows)."""
+def sheet_list(sheets: DataFrame, all_sheets=None) -> list[tuple[str, int]]:
+    """``[(name, pos), ...]`` in workbook order: ``all_sheets``, or the sheets with rows."""
+    if all_sheets is not None:
+        return sorted(((n, p) for n, p in all_sheets), key=lambda x: x[1])
     rows = sheets.select("sheet", "sheet_pos").distinct().limit(MAX_SHEETS + 1).collect()
     if len(rows) > MAX_SHEETS:
         raise TablePrepError(f"more than {MAX_SHEETS} sheets")
@@ -47,45 +54,61 @@ def as_sheets(df: DataFrame, sheet_col: str, order_by, sheet_order=None) -> Data
     if len(per_sheet) > MAX_SHEETS:
         raise TablePrepError(f"more than {MAX_SHEETS} sheets")
     names = [r[0] for r in per_sheet]
-    total = sum(r[1] for r in per_sheet if r[0] is not None)
-    ordered = list(sheet_order) if sheet_order else sorted(n for n in names if n is not None)
+    total = sum(r[1] for r in per_sheet)
+    if None in names:
+        raise TablePrepError(f"{sheet_col} is null in some rows: they belong to no sheet")
+    ordered = list(sheet_order) if sheet_order else sorted(names)
+    if set(names) - set(ordered):
+        raise TablePrepError(f"sheets missing from sheet_order: {sorted(set(names) - set(ordered))}")
     mapping = _mapping(spark, [(n, i) for i, n in enumerate(ordered)], "sheet string, sheet_pos int")
     out = df.withColumn("sheet", F.col(sheet_col).cast("string")).join(mapping, "sheet", "inner")
     if order_by:
         # sheet and sheet_pos are 1:1; both as window keys let filters on either
         # one move below the window
         out = with_row_index(out, order_by, partition_by=["sheet", "sheet_pos"], index_col="row_pos",
-                             total_rows=total if not sheet_order else None)
+                             total_rows=total)
     else:  # sheet-level work only: no row order needed, no shuffle
         out = out.withColumn("row_pos", F.lit(None).cast("long"))
     return out.select("sheet", "sheet_pos", "row_pos", *[c for c in df.columns if c not in SHEET_KEYS])
 
 
-def _renumber(sheets: DataFrame) -> DataFrame:
-    """Index in the combined order (sheet_pos, row_pos).
+def renumber(sheets: DataFrame) -> DataFrame:
+    """Close the gaps that a filter leaves in ``row_pos`` (one indexing pass)."""
+    keys = [k for k in ("_pos_file",) if k in sheets.columns] + ["sheet", "sheet_pos"]
+    out = with_row_index(sheets, ["row_pos"], partition_by=keys, index_col="_tp_row")
+    return out.withColumn("row_pos", F.col("_tp_row")).select(sheets.columns)
+
+
+def _combined(sheets: DataFrame) -> DataFrame:
+    """Index in the combined order (workbook, sheet_pos, row_pos).
 
     ``row_pos`` is dense within each sheet, so the index is the sheet's
     offset (rows in earlier sheets) plus ``row_pos``: one count per sheet --
     Catalyst prunes the row-order work from that aggregate -- and a
-    projection, no second ordering pass.
+    projection, no second ordering pass.  Distinct positions with a gap must
+    reach beyond the sheet's row count, so gaps are met while the rows go by and
+    raise; ``renumber`` closes them.
     """
-    counts = sheets.groupBy("sheet_pos").count().limit(MAX_SHEETS + 1).collect()
+    keys = [k for k in ("_pos_file",) if k in sheets.columns] + ["sheet_pos"]
+    counts = sheets.groupBy(*keys).count().limit(MAX_SHEETS + 1).collect()
     if len(counts) > MAX_SHEETS:
         raise TablePrepError(f"more than {MAX_SHEETS} sheets")
     rows, run = [], 0
-    for pos, n in sorted((r[0], r[1]) for r in counts):
-        rows.append((pos, run))
+    for *key, n in sorted(tuple(r) for r in counts):
+        rows.append((*key, run, n))
         run += n
-    offsets = _mapping(sheets.sparkSession, rows, "sheet_pos int, _tp_off long")
-    out = sheets.join(offsets, "sheet_pos", "inner")
-    return out.withColumn("_tp_idx", F.col("_tp_off") + F.col("row_pos")).drop("_tp_off")
+    offsets = _mapping(sheets.sparkSession, rows, ", ".join(f"{k} int" for k in keys) + ", _tp_off long, _tp_n long")
+    out = sheets.join(offsets, keys, "inner")
+    gap = F.raise_error(F.concat(F.lit("row positions have gaps in sheet "), F.col("sheet"), F.lit(": use renumber first")))
+    index = F.when(F.col("row_pos") < F.col("_tp_n"), F.col("_tp_off") + F.col("row_pos")).otherwise(gap.cast("long"))
+    return out.withColumn("_tp_idx", index).drop("_tp_off", "_tp_n")
 
 
 def combine(sheets: DataFrame, target: str) -> DataFrame:
     """H1: all non-empty sheets become one sheet named ``target``."""
     if not target:
-        raise TablePrepError("Target sheet name is required")
-    out = _renumber(sheets)
+        raise TablePrepError("no target sheet name given")
+    out = _combined(sheets)
     return out.select(
         F.lit(target).alias("sheet"), F.lit(0).alias("sheet_pos"), F.col("_tp_idx").alias("row_pos"),
         *data_columns(sheets),
@@ -95,9 +118,9 @@ def combine(sheets: DataFrame, target: str) -> DataFrame:
 def split_to_sheets(sheets: DataFrame, rows_per_sheet: int) -> DataFrame:
     """H2: combine, then ``Sheet_<k>`` holds rows k*n .. k*n+n-1 (k from 1)."""
     if not rows_per_sheet or int(rows_per_sheet) <= 0:
-        raise TablePrepError("Rows per sheet must be greater than 0")
+        raise TablePrepError("rows_per_sheet must be at least 1")
     n = int(rows_per_sheet)
-    out = _renumber(sheets)
+    out = _combined(sheets)
     part = F.floor(F.col("_tp_idx") / n).cast("long")
     return out.select(
         F.format_string("Sheet_%d", part + 1).alias("sheet"),
@@ -112,13 +135,13 @@ def _check_name(name) -> None:
         raise TablePrepError(f"Invalid sheet name: {name}")
 
 
-def rename(sheets: DataFrame, new_names: list[str]) -> DataFrame:
+def rename(sheets: DataFrame, new_names: list[str], all_sheets=None) -> DataFrame:
     """H3: new names by position; counts must match; 1-31 characters; unique."""
     if not new_names:
-        raise TablePrepError("Sheet names are required")
-    current = sheet_list(sheets)
+        raise TablePrepError("no new sheet names given")
+    current = sheet_list(sheets, all_sheets)
     if len(new_names) != len(current):
-        raise TablePrepError("Number of new names must match number of sheets")
+        raise TablePrepError(f"{len(new_names)} new names for {len(current)} sheets")
     for n in new_names:
         _check_name(n)
     if len(set(new_names)) != len(new_names):
@@ -140,26 +163,26 @@ def _resolve(entry, names: list[str]):
     raise TablePrepError(f"Invalid sheet name or index: {entry}")
 
 
-def reorder(sheets: DataFrame, order: list) -> DataFrame:
+def reorder(sheets: DataFrame, order: list, all_sheets=None) -> DataFrame:
     """H4: every sheet exactly once, by name or index."""
     if not order:
-        raise TablePrepError("Sheet order is required")
-    names = [n for n, _ in sheet_list(sheets)]
+        raise TablePrepError("no sheet order given")
+    names = [n for n, _ in sheet_list(sheets, all_sheets)]
     chosen = [_resolve(e, names)[0] for e in order]
     if len(chosen) != len(names) or set(chosen) != set(names):
-        raise TablePrepError("Sheet order must include all sheets exactly once")
+        raise TablePrepError("the order must name every sheet, each once")
     mapping = _mapping(sheets.sparkSession, [(n, i) for i, n in enumerate(chosen)], "sheet string, _tp_pos int")
     out = sheets.join(mapping, "sheet", "inner")
     return out.select("sheet", F.col("_tp_pos").alias("sheet_pos"), "row_pos", *data_columns(sheets))
 
 
-def copy(source: DataFrame, target: DataFrame, chosen: list) -> DataFrame:
+def copy(source: DataFrame, target: DataFrame, chosen: list, source_sheets=None, target_sheets=None) -> DataFrame:
     """H5: target's sheets first, then the chosen source sheets; a name that
     already exists in the target is refused."""
     if not chosen:
-        raise TablePrepError("Source sheets are required")
-    src_names = [n for n, _ in sheet_list(source)]
-    tgt = sheet_list(target)
+        raise TablePrepError("no sheets chosen")
+    src_names = [n for n, _ in sheet_list(source, source_sheets)]
+    tgt = sheet_list(target, target_sheets)
     picked = [_resolve(e, src_names)[0] for e in chosen]
     clash = sorted(set(picked) & {n for n, _ in tgt})
     if clash or len(set(picked)) != len(picked):
@@ -170,10 +193,10 @@ def copy(source: DataFrame, target: DataFrame, chosen: list) -> DataFrame:
     return union_by_name([target, moved.select("sheet", "sheet_pos", "row_pos", *data_columns(source))])
 
 
-def extract_sheets(sheets: DataFrame, chosen: list) -> DataFrame:
+def extract_sheets(sheets: DataFrame, chosen: list, all_sheets=None) -> DataFrame:
     """H6: chosen sheets in request order; a sheet picked by index is named
     ``Sheet_<index>``."""
-    names = [n for n, _ in sheet_list(sheets)]
+    names = [n for n, _ in sheet_list(sheets, all_sheets)]
     rows = []
     for i, e in enumerate(chosen):
         name, by_index = _resolve(e, names)
@@ -209,5 +232,5 @@ def table_metadata(df: DataFrame) -> DataFrame:
 
 __all__ = [
     "as_sheets", "combine", "split_to_sheets", "rename", "reorder", "copy", "extract_sheets",
-    "first_sheet", "sheet_metadata", "table_metadata", "sheet_list",
+    "first_sheet", "sheet_metadata", "table_metadata", "sheet_list", "renumber",
 ]

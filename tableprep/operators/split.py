@@ -13,7 +13,7 @@ def with_parts(df: DataFrame, rows_per_part: int, order_by, partition_by=None,
     """``part = index // n + 1`` over the explicit order; with
     ``partition_by`` (sheets) numbering restarts in every group."""
     if rows_per_part is None or int(rows_per_part) <= 0:
-        raise TablePrepError("Rows per file must be greater than 0")
+        raise TablePrepError("rows_per_part must be at least 1")
     n = int(rows_per_part)
     out = with_row_index(df, order_by, partition_by=partition_by, index_col=index_col)
     out = out.withColumn(part_col, (F.floor(F.col(index_col) / F.lit(n)) + 1).cast("long"))

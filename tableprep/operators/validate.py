@@ -5,10 +5,13 @@ Format checks work on text: a column of a table, or files read with
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import TablePrepError
+from ..functions.text import WHITESPACE
 from .clean import data_columns
 from .order import with_row_index
 
@@ -64,15 +67,16 @@ def json_text_checks(text: Column) -> dict[str, Column]:
     both counts.  Everything stays JVM-side.
     """
     valid = F.coalesce((_arity(text, "[", ",0]") == 2) & (_arity(text, "[0,", ",0,0]") == 4), F.lit(False))
-    v = F.when(valid, F.try_parse_json(text))
-    kind = F.schema_of_variant(v)
-    is_array = F.coalesce(kind.startswith("ARRAY"), F.lit(False))
-    items = F.try_variant_get(v, "$", "array<variant>")
-    all_objects = F.coalesce(F.forall(items, lambda e: F.schema_of_variant(e).startswith("OBJECT")), F.lit(False))
+    # valid JSON is told by its first character; elements that are no object
+    # come out null as maps (no variant: its size limit would refuse large files)
+    first = F.substring(F.ltrim(F.translate(text, "\t\r\n", "   ")), 1, 1)
+    is_array = valid & F.coalesce(first == "[", F.lit(False))
+    items = F.from_json(F.when(is_array, text), "array<map<string,string>>", _STRICT_JSON)
+    all_objects = F.coalesce(F.forall(items, lambda e: e.isNotNull()), F.lit(False))
     return {
         "is_json": valid,
         "is_array": is_array,
-        "is_object": F.coalesce(kind.startswith("OBJECT"), F.lit(False)),
+        "is_object": valid & F.coalesce(first == "{", F.lit(False)),
         "array_of_objects": is_array & all_objects,
     }
 
@@ -94,42 +98,46 @@ def validate_json_files(spark, paths: list[str]) -> DataFrame:
 # V3 ---------------------------------------------------------------------
 def csv_text_checks(text: Column) -> dict[str, Column]:
     """Non-blank and holds a comma (a one-column CSV is thus refused)."""
-    non_blank = F.coalesce(F.length(F.trim(text)) > 0, F.lit(False))
+    non_blank = F.coalesce(F.length(F.btrim(text, F.lit(WHITESPACE))) > 0, F.lit(False))
     has_comma = F.coalesce(text.contains(","), F.lit(False))
     return {"non_blank": non_blank, "has_comma": has_comma, "valid": non_blank & has_comma}
 
 
 def validate_csv_files(spark, paths: list[str]) -> DataFrame:
     """Per file from line-split text (splittable): any comma, any non-blank
-    line.  Undecodable bytes show up as U+FFFD and are reported."""
+    line; bytes that are no UTF-8 (a written U+FFFD is fine) are reported."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
     return lines.groupBy("path").agg(
         F.max(F.col("value").contains(",")).alias("has_comma"),
-        F.max(F.length(F.trim("value")) > 0).alias("non_blank"),
-        F.max(F.col("value").contains("�")).alias("bad_utf8"),
+        F.max(F.length(F.btrim("value", F.lit(WHITESPACE))) > 0).alias("non_blank"),
+        F.max(~F.is_valid_utf8("value")).alias("bad_utf8"),
     ).withColumn("valid", F.col("has_comma") & F.col("non_blank") & ~F.col("bad_utf8"))
 
 
 # V4 ---------------------------------------------------------------------
+def is_empty(size: Column) -> Column:
+    """The rule for an empty input: no bytes, or no input at all (null)."""
+    return F.coalesce(size == 0, F.lit(True))
+
+
 def empty_inputs(spark, paths: list[str]) -> DataFrame:
-    """Requested paths that are empty or missing.
+    """Requested files that are empty, from the file listing (Spark's readers
+    skip zero-byte files)."""
+    from ..sources.files import list_files
 
-    Spark's file listing skips zero-byte files, so they are found by an
-    anti-join of the requested paths against the listing.
-    """
-    import os
+    listed = list_files(spark, paths)
+    files = spark.createDataFrame(list(zip(listed.names, listed.sizes)), "path string, length bigint")
+    return files.where(is_empty(F.col("length"))).select("path")
 
-    def qualify(p: str) -> str:
-        return p if ":" in p.split("/")[0] else "file:" + os.path.abspath(p)
 
-    wanted = spark.createDataFrame([(qualify(p),) for p in paths], "path string")
-    listed = (spark.read.format("binaryFile").load(paths).select("path", "length")
-              .where(F.col("length") > 0).select("path"))
-    return wanted.join(listed, "path", "left_anti")
+def empty_texts(df: DataFrame, text_col: str, keep=()) -> DataFrame:
+    """The same rule for inputs held as a text column: ``keep``, ``n_chars``, ``is_empty``."""
+    return df.select(*keep, F.length(text_col).cast("bigint").alias("n_chars"), is_empty(F.octet_length(text_col)).alias("is_empty"))
 
 
 # V7 ---------------------------------------------------------------------
-NAME_OK = r"^[\w\-\_\.]+$"
+# Fixed value: what a file name may hold (any letters and digits, - _ .).
+NAME_OK = r"(?U)^[\w\-\_\.]+$"
 
 
 def rename_manifest(files: DataFrame, name_col: str, pattern: str, order_by) -> DataFrame:
@@ -143,7 +151,7 @@ def rename_manifest(files: DataFrame, name_col: str, pattern: str, order_by) ->
     has_dot = F.locate(".", name) > 0
     base = F.when(has_dot, F.substring(name, F.lit(1), dot - 1)).otherwise(name)
     ext = F.when(has_dot, F.substring_index(name, ".", -1))
-    stem = F.concat(*[F.col("index").cast("string") if p == "{index}" else base if p == "{filename}" else F.lit(p)
+    stem = F.concat(*[_index_text(p) if p.startswith("{index") else base if p == "{filename}" else F.lit(p)
                       for p in pieces]) if pieces else F.lit("")
     new = F.when(ext.isNotNull(), F.concat(stem, F.lit("."), ext)).otherwise(stem)
     out = idx.withColumn("new_name", new).withColumn("valid", F.col("new_name").rlike(NAME_OK))
@@ -152,20 +160,29 @@ def rename_manifest(files: DataFrame, name_col: str, pattern: str, order_by) ->
     return out.join(dup, "new_name", "left")
 
 
+def _index_text(field: str) -> Column:
+    """``{index}``, or padded to a width: ``{index:03d}`` with zeros, ``{index:3d}`` with spaces."""
+    spec = field[len("{index"):-1].lstrip(":").rstrip("d")
+    text = F.col("index").cast("string")
+    if not spec or not int(spec):
+        return text
+    width, fill = int(spec), "0" if spec.startswith("0") else " "
+    return F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, fill))
+
+
 def _pattern_columns(pattern: str) -> list[str]:
     if not pattern:
         raise TablePrepError("Rename pattern is required")
     out, i = [], 0
     while i < len(pattern):
-        for tok in ("{index}", "{filename}"):
-            if pattern.startswith(tok, i):
-                out.append(tok)
-                i += len(tok)
-                break
+        field = re.compile(r"\{filename\}|\{index(:0?\d*d?)?\}").match(pattern, i)
+        if field:
+            out.append(field[0])
+            i = field.end()
         else:
             if pattern[i] in "{}":
                 raise TablePrepError(f"Unsupported placeholder in pattern: {pattern}")
-            if out and out[-1] not in ("{index}", "{filename}"):
+            if out and not out[-1].startswith("{"):
                 out[-1] += pattern[i]
             else:
                 out.append(pattern[i])
@@ -177,13 +194,13 @@ def check_inputs(spark, paths, *, formats: bool = True, empty: bool = True) -> N
     """The request flags ``check_corrupt_empty`` and ``validate_format`` as
     one call: raise ``TablePrepError`` naming every empty file and every
     CSV/JSON file that fails its format rule (one job per check)."""
-    import os
+    from ..sources.files import list_files
 
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    listed = list_files(spark, paths)
     problems = []
     if empty:
-        problems += [f"{r[0]} is empty" for r in empty_inputs(spark, paths).collect()]
-    nonempty = [p for p in paths if not (":" not in p and os.path.exists(p) and os.path.getsize(p) == 0)]
+        problems += [f"{p} is empty" for p, n in zip(listed.names, listed.sizes) if not n]
+    nonempty = listed.distinct(lambda i: listed.sizes[i] > 0)
     if formats:
         csvs = [p for p in nonempty if p.lower().endswith(".csv")]
         jsons = [p for p in nonempty if p.lower().endswith(".json")]

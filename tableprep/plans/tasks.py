@@ -114,7 +114,7 @@ def extract(df: DataFrame, tasks: dict, order_by=None, allow_sql: bool = False)
         names = list(cols["columns"])
         missing = [c for c in names if c not in df.columns]
         if missing:
-            raise TablePrepError(f"Columns not found: {missing}")
+            raise TablePrepError(f"no such columns: {missing}")
         df = df.select(*[f"`{c}`" for c in names + ([INDEX] if with_index and INDEX not in names else [])])
     if second is not None:
         df = _condition(df, second.get("condition"), allow_sql)

@@ -1,8 +1,9 @@
 """Sinks (K1-K8): partitioned datasets written by Spark tasks.
 
 Outputs are directories of part files.  Helper columns (file order key) are
-dropped; rows are written in their explicit order when one is given (a
-range-partitioned sort, so file names follow the order).
+dropped.  Rows are written as the scan delivers them -- in order inside each
+split, without a shuffle; an explicit ``order_by`` sorts them by a range exchange,
+so that file names follow the order.
 """
 from __future__ import annotations
 
@@ -15,10 +16,9 @@ FORMATS = ("csv", "json", "xml", "parquet")
 
 
 def _prepare(df: DataFrame, order_by=None, partition_by=None) -> DataFrame:
-    order = list(order_by) if order_by else file_order_columns(df)
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
-    if order:
-        df = df.orderBy(*parts, *order)
+    if order_by:
+        df = df.orderBy(*parts, *order_by)
     return df.drop(*[c for c in ROW_ORDER if c in df.columns])
 
 

@@ -2,10 +2,17 @@
 
 Every reader returns one DataFrame for many files with
 ``source_file`` (``_metadata.file_name``) and the order key
-``_pos_file, _pos_block, _pos_row`` (position of the path in the request,
+``_pos_file, _pos_block, _pos_row`` (position of the file in the request,
 split start, position within the split), attached right after the scan so
 that "file order" is an explicit, deterministic key.
 
+Requested paths (files, directories, globs, on any file system Spark knows) are
+listed once through Hadoop; each listed file is read once, and a file that is
+requested twice gives its rows at both positions.  A file that is read but not
+in the list stops the job: rows are never dropped for a path that looks
+different.  Input that is not what it says it is -- broken JSON, a row longer than
+its header, a truncated document -- raises.
+
 Text formats are read as strings first; the NA set is mapped to null and the
 narrowest type is chosen per column in one aggregate pass (``infer=True``),
 or an explicit ``schema`` skips that pass.
@@ -20,9 +27,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.errors import AnalysisException
 
 from ..errors import TablePrepError
-from ..operators.merge import union_by_name
+from ..functions.text import is_integer, number
+from ..operators.merge import check_case, union_by_name
 
 # The strings pandas reads as missing by default.
 NA_VALUES = [
@@ -46,17 +55,63 @@ def format_of(path: str) -> str:
     return FORMATS[ext]
 
 
-def qualify(path: str) -> str:
-    """The form Spark reports in ``_metadata.file_path``."""
-    if "://" in path or path.startswith("file:"):
-        return path if not path.startswith("file://") else "file:" + path[len("file://"):]
-    return "file:" + os.path.abspath(path)
-
-
-def _with_order(spark: SparkSession, df: DataFrame, paths: list[str]) -> DataFrame:
+class Listed:
+    """The files of a request, in its order: ``names[i]`` is the path Spark
+    reports, ``sizes[i]`` its length; a path requested twice is there twice."""
+
+    def __init__(self, names: list[str], encoded: list[str], sizes: list[int]):
+        self.names, self.encoded, self.sizes = names, encoded, sizes
+
+    def distinct(self, keep=None) -> list[str]:
+        return list(dict.fromkeys(n for i, n in enumerate(self.names) if keep is None or keep(i)))
+
+
+def list_files(spark: SparkSession, paths) -> Listed:
+    """Expand files, directories and globs through Hadoop's file systems;
+    directories and globs in the order of their names."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    new_path = spark._jvm.org.apache.hadoop.fs.Path
+    names, encoded, sizes = [], [], []
+    for p in [paths] if isinstance(paths, str) else list(paths):
+        path = new_path(p)
+        fs = path.getFileSystem(conf)
+        path = fs.makeQualified(path)
+        # a name with glob characters that exists is that file
+        found = [fs.getFileStatus(path)] if fs.exists(path) else list(fs.globStatus(path) or [])
+        if not found:
+            raise TablePrepError(f"no such file: {p}")
+        for status in sorted(found, key=lambda x: x.getPath().toString()):
+            files = [status]
+            if status.isDirectory():
+                files, walk = [], fs.listFiles(status.getPath(), True)
+                while walk.hasNext():
+                    files.append(walk.next())
+                files.sort(key=lambda x: x.getPath().toString())
+            for f in files:
+                if not f.getPath().getName().startswith(("_", ".")):
+                    names.append(f.getPath().toString())
+                    encoded.append(f.getPath().toUri().toString())
+                    sizes.append(f.getLen())
+    return Listed(names, encoded, sizes)
+
+
+def positions(spark: SparkSession, listed: Listed) -> DataFrame:
+    """(path, _pos_file): where each file stands in the request, under the
+    plain and the encoded form of its path.  Bounded: the caller's own list."""
+    rows = {(form, i) for i, both in enumerate(zip(listed.names, listed.encoded)) for form in both}
+    return F.broadcast(spark.createDataFrame(sorted(rows, key=lambda r: r[1]), "_tp_path string, _pos_file int"))
+
+
+def with_positions(spark: SparkSession, df: DataFrame, listed: Listed) -> DataFrame:
+    """Add ``_pos_file`` by ``_tp_path``; a path outside the list raises."""
+    joined = df.join(positions(spark, listed), "_tp_path", "left")
+    known = F.col("_pos_file").isNotNull() | F.raise_error(
+        F.concat(F.lit("file was read but not listed: "), F.col("_tp_path"))).isNotNull()
+    return joined.where(known).drop("_tp_path")
+
+
+def _with_order(spark: SparkSession, df: DataFrame, listed: Listed) -> DataFrame:
     """Attach provenance and the file-order key right after the scan."""
-    positions = spark.createDataFrame([(qualify(p), i) for i, p in enumerate(paths)],
-                                      "_tp_path string, _pos_file int")
     df = df.drop("source_file")  # provenance overwrites a data column of that name
     tagged = df.select(
         "*",
@@ -65,10 +120,8 @@ def _with_order(spark: SparkSession, df: DataFrame, paths: list[str]) -> DataFra
         F.col("_metadata.file_block_start").alias("_pos_block"),
         F.monotonically_increasing_id().alias("_pos_row"),
     )
-    # the path list is the caller's own (driver-side) list: bounded
-    out = tagged.join(F.broadcast(positions), "_tp_path", "inner").drop("_tp_path")
-    data = [c for c in df.columns]
-    return out.select(*[F.col(f"`{c}`") for c in data], "source_file", "_pos_file", "_pos_block", "_pos_row")
+    out = with_positions(spark, tagged, listed)
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], "source_file", "_pos_file", "_pos_block", "_pos_row")
 
 
 def _na_to_null(col: Column, na_values) -> Column:
@@ -76,7 +129,8 @@ def _na_to_null(col: Column, na_values) -> Column:
 
 
 def infer_types(df: DataFrame, columns=None) -> DataFrame:
-    """Narrowest of bigint, double, boolean, string per text column.
+    """Narrowest of bigint, double, boolean, string per text column; numbers are
+    written in decimal (``1D`` and ``0x1p3`` are text).
 
     One aggregate pass counts, per column, the present values that fail each
     candidate type (map-side partial aggregation, one row to the driver).
@@ -90,8 +144,9 @@ def infer_types(df: DataFrame, columns=None) -> DataFrame:
         x = F.col(f"`{c}`")
         present = x.isNotNull()
         aggs += [
-            F.sum((present & x.try_cast("bigint").isNull()).cast("long")).alias(f"i{i}"),
-            F.sum((present & x.try_cast("double").isNull()).cast("long")).alias(f"d{i}"),
+            F.sum((present & (~is_integer(x) | x.try_cast("bigint").isNull())).cast("long")).alias(f"i{i}"),
+            F.sum((present & number(x).isNull()).cast("long")).alias(f"d{i}"),
+            F.sum((present & ~is_integer(x)).cast("long")).alias(f"f{i}"),
             F.sum((present & ~x.isin(TRUE_VALUES + FALSE_VALUES)).cast("long")).alias(f"b{i}"),
             F.count(x).alias(f"n{i}"),
         ]
@@ -103,8 +158,8 @@ def infer_types(df: DataFrame, columns=None) -> DataFrame:
             continue  # all missing: pandas would say float; text keeps it neutral
         if row[f"i{i}"] == 0:
             exprs[c] = x.try_cast("bigint")
-        elif row[f"d{i}"] == 0:
-            exprs[c] = x.try_cast("double")
+        elif row[f"d{i}"] == 0 and row[f"f{i}"]:  # whole numbers beyond 64 bits stay text
+            exprs[c] = number(x)
         elif row[f"b{i}"] == 0:
             exprs[c] = x.isin(TRUE_VALUES)
     return df.withColumns(exprs) if exprs else df
@@ -131,6 +186,7 @@ def dedupe_header(names: list[str]) -> list[str]:
 
 
 HEADER_PROBES = 16
+EXTRA = "_tp_extra"  # what a row has beyond its header
 
 
 def first_line(spark: SparkSession, path: str) -> str | None:
@@ -141,8 +197,8 @@ def first_line(spark: SparkSession, path: str) -> str | None:
     return rows[0][0] if rows else None
 
 
-def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
-    """Header of every file, parsed as a CSV record.
+def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+    """The first non-blank line of every file.
 
     One tiny probe job per file, submitted concurrently (``HEADER_PROBES`` at
     a time).  A filter on ``_metadata.file_block_start`` would not prune
@@ -151,56 +207,75 @@ def csv_headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(max_workers=min(HEADER_PROBES, max(1, len(paths)))) as pool:
-        lines = list(pool.map(lambda p: first_line(spark, p), paths))
-    return {qualify(p): next(csv.reader(io.StringIO(line))) for p, line in zip(paths, lines) if line is not None}
+        return dict(zip(paths, pool.map(lambda p: first_line(spark, p), paths)))
+
+
+def csv_header(line: str) -> list[str]:
+    return next(csv.reader(io.StringIO(line)))
+
+
+def files_with_quoted_newlines(spark: SparkSession, paths: list[str]) -> set[str]:
+    """Files in which a line leaves a quote open, from one scan of plain lines
+    (splittable).  Only those need to be read whole."""
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("path"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return {r[0] for r in lines.groupBy("path").agg(F.max((quotes % 2).cast("int")).alias("odd")).where("odd = 1").select("path").collect()}
 
 
 def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.StructType | None = None,
-             na_values=NA_VALUES, multiline: bool = True, headers: str = "detect") -> DataFrame:
+             na_values=NA_VALUES, multiline: bool | str = "detect", headers: str = "detect") -> DataFrame:
     """S1 + S5: many CSV files, grouped by header, one read per distinct header.
 
     Files with different headers are never read together (a multi-path CSV read
     would assign columns by position under the first header); groups are
     unioned by name.  Zero-byte files are skipped, as Spark never lists them.
+    A row with more fields than the header raises; one with fewer is filled up
+    with missing values.
 
     ``headers="detect"`` probes every file's first line (tiny concurrent
     jobs).  ``headers="same"`` -- the usual case for large batches from one
     producer -- probes the first file only and reads everything in one scan
     with ``enforceSchema=false``: Spark checks each file's header during that
-    scan and fails on a mismatch instead of shifting columns.
+    scan and fails on a mismatch, or on a row of any other length.
+
+    ``multiline="detect"`` finds, in one scan of plain lines, the files that hold
+    a line break inside quotes; only those are read as one task each.
     """
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    nonempty = [p for p in paths if os.path.getsize(p) > 0] if all(":" not in p for p in paths) else paths
-    if not nonempty:
-        raise TablePrepError("No valid data found in uploaded CSV files")
+    listed = list_files(spark, paths)
+    nonempty = listed.distinct(lambda i: listed.sizes[i] > 0)
     if headers not in ("detect", "same"):
         raise TablePrepError(f"headers must be 'detect' or 'same', not {headers!r}")
     groups: dict[tuple, list[str]] = {}
     if headers == "same":
         line = next((x for x in (first_line(spark, p) for p in nonempty[:8]) if x is not None), None)
         if line is not None:
-            groups[tuple(next(csv.reader(io.StringIO(line))))] = nonempty
-    else:
-        found = csv_headers(spark, nonempty)
-        for p in nonempty:
-            h = found.get(qualify(p))
-            if h is None:
-                continue  # blank file
-            groups.setdefault(tuple(h), []).append(p)
+            groups[tuple(csv_header(line)), None] = nonempty
+    elif nonempty:
+        whole = files_with_quoted_newlines(spark, nonempty) if multiline == "detect" else set()
+        plain = dict(zip(listed.names, listed.encoded))
+        for p, line in first_lines(spark, nonempty).items():
+            if line is not None:  # else a blank file
+                groups.setdefault((tuple(csv_header(line)), p in whole or plain[p] in whole), []).append(p)
     parts = []
-    for header, group in groups.items():
+    for (header, whole), group in groups.items():
         names = dedupe_header(list(header))
-        text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        check_case(spark, names)
+        checked = headers == "same" and len(set(header)) == len(header)
+        text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names + ([] if checked else [EXTRA])])
         raw = (spark.read.schema(text_schema)
-               .option("header", True).option("enforceSchema", headers != "same" or len(set(names)) != len(names))
-               .option("multiLine", multiline).option("quote", '"').option("escape", '"')
-               .option("mode", "PERMISSIVE")
+               .option("header", True).option("enforceSchema", not checked)
+               .option("multiLine", multiline is True or (multiline == "detect" and whole is not False))
+               .option("quote", '"').option("escape", '"')
+               .option("mode", "FAILFAST" if checked else "PERMISSIVE")
                .csv(group))
-        raw = _with_order(spark, raw, paths)
+        raw = _with_order(spark, raw, listed)
+        if not checked:  # a filter: no projection prunes it
+            raw = raw.where(F.col(EXTRA).isNull() | F.raise_error(F.concat(
+                F.lit(f"a row has more than {len(names)} fields in "), F.col("source_file"))).isNotNull()).drop(EXTRA)
         raw = raw.withColumns({n: _na_to_null(F.col(f"`{n}`"), na_values) for n in names})
         parts.append(raw)
     if not parts:
-        raise TablePrepError("No valid data found in uploaded CSV files")
+        raise TablePrepError("none of the CSV files holds any data")
     df = union_by_name(parts)
     if schema is not None:
         return df.withColumns({f.name: F.col(f"`{f.name}`").try_cast(f.dataType) for f in schema.fields
@@ -209,43 +284,66 @@ def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.Struct
 
 
 def read_json(spark: SparkSession, paths, *, lines: bool = False, schema: T.StructType | None = None,
-              sampling_ratio: float = 1.0) -> DataFrame:
+              sampling_ratio: float = 1.0, rejects: str = "raise") -> DataFrame:
     """S2: files that each hold one array of objects (``lines=True``: JSON
     Lines, splittable).  Columns are the union of keys; absent keys are null.
     Spark orders inferred fields by name.  Inference reads the input once;
-    ``schema`` skips that pass and ``sampling_ratio`` shortens it."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
-    reader = spark.read.option("multiLine", not lines).option("mode", "PERMISSIVE")
+    ``schema`` skips that pass and ``sampling_ratio`` shortens it.
+
+    Broken JSON and files that are not an array raise; ``rejects="keep"`` returns
+    unreadable records instead, as rows whose text is in ``_corrupt_record``.
+    """
+    if rejects not in ("raise", "keep"):
+        raise TablePrepError(f"rejects must be 'raise' or 'keep', not {rejects!r}")
+    listed = list_files(spark, paths)
+    files = listed.distinct(lambda i: listed.sizes[i] > 0)
+    if not files:
+        raise TablePrepError("none of the JSON files holds any data")
+    if not lines:
+        other = [p for p, line in first_lines(spark, files).items() if line is None or not line.lstrip("\ufeff \t\r\n").startswith("[")]
+        if other:
+            raise TablePrepError(f"not an array of objects: {other}")
+    mode = "FAILFAST" if rejects == "raise" else "PERMISSIVE"
+    reader = spark.read.option("multiLine", not lines).option("mode", mode)
     if schema is not None:
         reader = reader.schema(schema)
     elif sampling_ratio < 1.0:
         reader = reader.option("samplingRatio", sampling_ratio)
-    df = reader.json(paths)
-    if "_corrupt_record" in df.columns:
-        df = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return _with_order(spark, df, paths)
+    try:
+        df = reader.json(files)
+    except AnalysisException as e:
+        raise TablePrepError(f"column names differ only in case: {e}") if "COLUMN_ALREADY_EXISTS" in str(e) else e
+    except Exception as e:  # inference meets a broken record first
+        raise TablePrepError(f"broken JSON: {str(e)[:300]}")
+    return _with_order(spark, df, listed)
 
 
 def read_xml(spark: SparkSession, paths, *, row_tag: str = "record", infer: bool = False,
              columns: list[str] | None = None, sampling_ratio: float = 1.0) -> DataFrame:
     """S3: every ``<record>`` element is a row, every child element a text
     column; attributes are ignored, the last of repeated tags wins, padding is
-    kept and an empty element is null.  Known gap: Spark matches the row tag at
-    any depth, not only under the root.  Finding the element names reads the
-    input once; ``columns`` skips that pass, ``sampling_ratio`` shortens it."""
-    paths = [paths] if isinstance(paths, str) else list(paths)
+    kept and an empty element is null.  A truncated document raises.  Known gap:
+    Spark matches the row tag at any depth, not only under the root.  Finding the
+    element names reads the input once; ``columns`` skips that pass,
+    ``sampling_ratio`` shortens it."""
+    listed = list_files(spark, paths)
+    files = listed.distinct(lambda i: listed.sizes[i] > 0)
+    reader = spark.read.format("xml").option("rowTag", row_tag).option("excludeAttribute", True).option("mode", "FAILFAST")
     if columns:
         names = list(columns)
+    elif files:
+        try:
+            names = reader.option("inferSchema", False).option("samplingRatio", sampling_ratio).load(files).columns
+        except Exception as e:  # inference meets the broken document first
+            raise TablePrepError(f"broken XML: {str(e)[:300]}")
     else:
-        probe = (spark.read.format("xml").option("rowTag", row_tag).option("inferSchema", False)
-                 .option("attributePrefix", "_").option("samplingRatio", sampling_ratio).load(paths))
-        names = [f.name for f in probe.schema.fields if not f.name.startswith("_")]
+        names = []
     if not names:
-        raise TablePrepError("XML file contains no valid records")
+        raise TablePrepError("no records in the XML files")
+    check_case(spark, names)
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = (spark.read.format("xml").option("rowTag", row_tag).schema(text_schema)
-          .option("ignoreSurroundingSpaces", False).option("nullValue", "").load(paths))
-    df = _with_order(spark, df, paths)
+    df = reader.schema(text_schema).option("ignoreSurroundingSpaces", False).option("nullValue", "").load(files)
+    df = _with_order(spark, df, listed)
     return infer_types(df, names) if infer else df
 
 
@@ -255,10 +353,11 @@ def read_files(spark: SparkSession, paths, *, lower_names: bool = False, **kw) -
     from ..operators.merge import lower_names as lower
     from .xlsx import read_xlsx
 
-    paths = [paths] if isinstance(paths, str) else list(paths)
     by_fmt: dict[str, list[str]] = {}
-    for p in paths:
+    where: dict[str, list[int]] = {}
+    for i, p in enumerate(list_files(spark, paths).names):
         by_fmt.setdefault(format_of(p), []).append(p)
+        where.setdefault(format_of(p), []).append(i)
     parts = []
     for fmt, group in by_fmt.items():
         if fmt == "csv":
@@ -270,7 +369,7 @@ def read_files(spark: SparkSession, paths, *, lower_names: bool = False, **kw) -
         else:
             d = read_xlsx(spark, group).drop("sheet_pos", "row_pos").withColumnRenamed("sheet", "source_sheet")
         # positions refer to the full request, not to the format group
-        remap = F.element_at(F.array(*[F.lit(paths.index(g)) for g in group]), F.col("_pos_file") + 1)
+        remap = F.element_at(F.array(*[F.lit(i) for i in where[fmt]]), F.col("_pos_file") + 1)
         if "_pos_file" in d.columns:
             d = d.withColumn("_pos_file", remap.cast("int"))
         parts.append(lower(d) if lower_names else d)

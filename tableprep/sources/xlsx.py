@@ -23,8 +23,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import TablePrepError
+from ..operators.sheets import MAX_SHEETS
 from ..session import checkpoint_dir
-from .files import NA_VALUES, _na_to_null, dedupe_header, infer_types, qualify
+from .files import NA_VALUES, _na_to_null, dedupe_header, infer_types, list_files, with_positions
 
 # OOXML namespaces.
 NS_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -108,7 +109,8 @@ def workbook_sheets(z: zipfile.ZipFile) -> list[tuple[str, str]]:
 
 def iter_cells(content: bytes):
     """Yield ``(sheet, sheet_pos, row_pos, cells)``; row_pos 0 is the first
-    sheet row; rows missing from the part come out empty."""
+    sheet row; rows missing from the part come out empty.  Each sheet begins
+    with a marker, row_pos -1 without cells: an empty sheet is a sheet too."""
     z = zipfile.ZipFile(io.BytesIO(content))
     strings = _shared_strings(z)
     dates = _date_styles(z)
@@ -116,6 +118,7 @@ def iter_cells(content: bytes):
     pr = wb.find(_q("workbookPr"))
     base = dt.datetime(1904, 1, 1) if pr is not None and pr.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
     for pos, (name, part) in enumerate(workbook_sheets(z)):
+        yield name, pos, -1, []
         next_row = 0
         for _, el in ET.iterparse(io.BytesIO(z.read(part))):
             if el.tag != _q("row"):
@@ -173,10 +176,19 @@ def read_cells(spark: SparkSession, paths) -> DataFrame:
     for p in paths:
         if p.lower().endswith(".xls"):
             raise TablePrepError("legacy .xls workbooks are not supported")
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
+    files = spark.read.format("binaryFile").load(list_files(spark, paths).distinct()).select("path", "content")
     return files.mapInPandas(_decode, CELLS_SCHEMA)
 
 
+def sheet_names(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """``[(name, position), ...]`` of all sheets of one workbook, the empty ones
+    among them: what the sheet operations take as ``all_sheets``."""
+    rows = read_cells(spark, path).where("row_pos = -1").select("sheet", "sheet_pos").limit(MAX_SHEETS + 1).collect()
+    if len(rows) > MAX_SHEETS:
+        raise TablePrepError(f"more than {MAX_SHEETS} sheets")
+    return sorted(((r[0], r[1]) for r in rows), key=lambda x: x[1])
+
+
 def read_xlsx(spark: SparkSession, paths, *, infer: bool = True, na_values=NA_VALUES) -> DataFrame:
     """Workbooks as one sheet-keyed DataFrame: ``source_file, sheet,
     sheet_pos, row_pos`` + data columns (unioned by name over sheets) + the
@@ -184,25 +196,29 @@ def read_xlsx(spark: SparkSession, paths, *, infer: bool = True, na_values=NA_VA
     from ..operators.merge import union_by_name
 
     paths = [paths] if isinstance(paths, str) else list(paths)
-    cells = read_cells(spark, paths)
-    positions = spark.createDataFrame([(qualify(p), i) for i, p in enumerate(paths)], "path string, _pos_file int")
-    cells = cells.join(F.broadcast(positions), "path", "inner")  # bounded: the caller's path list
+    cells = read_cells(spark, paths).withColumn("_tp_path", F.col("path"))
+    cells = with_positions(spark, cells, list_files(spark, paths))
     # Decoding runs in Python; cut the lineage once (reliable checkpoint in the
     # session's shared checkpoint folder) so header, inference and data passes
     # read decoded cells instead of decoding every workbook again.
     checkpoint_dir(spark)
     cells = cells.checkpoint(eager=True)
-    # header rows: one per sheet, brought to the driver (sheets x columns, small)
-    heads = cells.where(F.col("row_pos") == 0).select("_pos_file", "sheet_pos", "cells").collect()
+    # one row per sheet: its header and its widest row (columns without a name
+    # are kept); the number of sheets is checked before they reach the driver
+    width = F.coalesce(F.array_max(F.transform("cells", lambda x, i: F.when(x.isNotNull(), i + 1))), F.lit(0))
+    heads = cells.groupBy("_pos_file", "sheet_pos").agg(
+        F.max(width).alias("width"), F.first(F.when(F.col("row_pos") == 0, F.col("cells")), ignorenulls=True).alias("cells"))
+    heads = heads.limit(MAX_SHEETS + 1).collect()
+    if len(heads) > MAX_SHEETS:
+        raise TablePrepError(f"more than {MAX_SHEETS} sheets")
     by_header: dict[tuple, list[tuple[int, int]]] = {}
     for h in heads:
-        names = tuple("" if x is None else str(x) for x in (h["cells"] or []))
-        while names and names[-1] == "":
-            names = names[:-1]
+        given = list(h["cells"] or []) + [None] * h["width"]
+        names = tuple("" if x is None else str(x) for x in given[:h["width"]])
         if names:
             by_header.setdefault(names, []).append((h["_pos_file"], h["sheet_pos"]))
     if not by_header:
-        raise TablePrepError("No valid data found in sheets")
+        raise TablePrepError("no sheet holds any data")
     body = cells.where(F.col("row_pos") > 0)
     parts = []
     for header, sheets in by_header.items():
