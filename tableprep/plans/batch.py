@@ -1,16 +1,19 @@
 """Convert (K6), batch convert (K7) and batch clean (K8) as single jobs.
 
 A batch is one multi-file read; per-file outputs are partition directories
-``file_pos=<i>`` of one write, not a loop of jobs.
+``file_pos=<i>``, written once for every distinct set of columns among the files,
+not once a file.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import TablePrepError
+from ..functions.text import standard_name
 from ..operators.clean import data_columns
 from ..sinks.writers import write
-from ..sources.files import format_of, read_files
+from ..sources.files import csv_header, dedupe_header, first_lines, format_of, list_files, read_files
 from .tasks import clean
 
 _OUT = {"excel": "parquet", "csv": "csv", "json": "json", "xml": "xml", "parquet": "parquet"}
@@ -40,29 +43,72 @@ def convert(spark: SparkSession, paths, out_path: str, input_format: str, output
     return df
 
 
+HELPERS = ("sheet_pos", "row_pos", "source_sheet", "source_file")
+
+
+def column_sets(spark: SparkSession, df: DataFrame, paths, names: list[str], *, by_header: bool) -> dict[tuple, list[int]]:
+    """``{columns: [file position, ...]}``: what each file itself has of ``names``.
+
+    CSV files say it in their header; of other formats a column belongs to a file
+    that holds a value in it -- one aggregate for all files, one row each."""
+    listed = list_files(spark, paths)
+    own: dict[int, set] = {}
+    if by_header and all(format_of(n) == "csv" for n in listed.names):
+        lines = first_lines(spark, listed.distinct(lambda i: listed.sizes[i] > 0))
+        own = {i: set(dedupe_header(csv_header(lines[n]))) for i, n in enumerate(listed.names) if lines.get(n) is not None}
+    else:
+        held = [F.max(F.col(f"`{c}`").isNotNull()).alias(f"c{i}") for i, c in enumerate(names)]
+        for row in df.groupBy("_pos_file").agg(*held).collect():
+            own[row["_pos_file"]] = {c for i, c in enumerate(names) if row[f"c{i}"]}
+    sets: dict[tuple, list[int]] = {}
+    for at, have in sorted(own.items()):
+        sets.setdefault(tuple(c for c in names if c in have), []).append(at)
+    return sets
+
+
+def _write_sets(df: DataFrame, sets: dict[tuple, list[int]], out_path: str, fmt: str) -> None:
+    """One write for each distinct set of columns, partitioned by ``file_pos``."""
+    mode = "overwrite"
+    for columns, files in sets.items():
+        if columns:
+            part = df.where(F.col("_pos_file").isin(files)).select(*[F.col(f"`{c}`") for c in columns], F.col("_pos_file").alias("file_pos"))
+            write(part, out_path, fmt, partition_by="file_pos", mode=mode)
+            mode = "append"
+
+
 def batch_convert(spark: SparkSession, paths, out_path: str, input_format: str, output_format: str) -> None:
-    """K7: one read, one write partitioned by ``file_pos``."""
+    """K7: one read; every file keeps its own columns, in ``file_pos=<i>``."""
     paths = list(paths)
     if input_format == output_format:
         raise TablePrepError("Input and output formats must be different")
-    df = read_files(spark, paths).withColumnRenamed("_pos_file", "file_pos")
-    df = df.drop(*[c for c in ("sheet_pos", "row_pos", "source_sheet", "source_file") if c in df.columns])
-    write(df, out_path, _OUT[output_format], partition_by="file_pos", order_by=["file_pos", "_pos_block", "_pos_row"])
+    df = read_files(spark, paths)
+    df = df.drop(*[c for c in HELPERS if c in df.columns])
+    _write_sets(df, column_sets(spark, df, paths, data_columns(df), by_header=True), out_path, _OUT[output_format])
 
 
 def batch_clean(spark: SparkSession, paths, tasks: dict, out_path: str, output_format: str = "csv") -> DataFrame:
-    """K8: the same clean spec over every file, duplicates judged per file
-    (the file position joins the de-duplication key); written per file."""
-    df = read_files(spark, list(paths))
+    """K8: the same clean spec over every file, judged per file: duplicates (the
+    file position joins the de-duplication key), empty columns, and the columns
+    a file has at all.  ``standardize_columns`` renames, so it is applied to the
+    column sets too."""
+    paths = list(paths)
+    df = read_files(spark, paths)
     tasks = dict(tasks)
+    drop_empty = tasks.pop("remove_empty_columns", None) not in (None, False)
     dd = tasks.get("remove_duplicates")
+    names = [c for c in data_columns(df) if c not in HELPERS]
     if dd:
         opts = dict(dd) if isinstance(dd, dict) else {}
-        cols = list(opts.get("columns") or data_columns(df))
-        opts["columns"] = cols + ["_pos_file"]
+        opts["columns"] = list(opts.get("columns") or names) + ["_pos_file"]
         tasks["remove_duplicates"] = opts
+    sets = column_sets(spark, df, paths, names, by_header=not drop_empty)
     cleaned = clean(df, tasks)
-    out = cleaned.withColumnRenamed("_pos_file", "file_pos")
-    write(out.drop("source_file"), out_path, _OUT[output_format], partition_by="file_pos",
-          order_by=["file_pos", "_pos_block", "_pos_row"])
+    style = tasks.get("standardize_columns")
+    renamed = {c: c for c in names}
+    if style not in (None, False):
+        kind = (style if isinstance(style, dict) else {}).get("format", "lowercase_underscore")
+        renamed = {c: standard_name(c, kind) for c in names}
+    added = [c for c in data_columns(cleaned) if c not in set(renamed.values()) and c not in HELPERS]
+    sets = {tuple([renamed[c] for c in columns] + added): files for columns, files in sets.items()}
+    _write_sets(cleaned, sets, out_path, _OUT[output_format])
     return cleaned

@@ -20,6 +20,7 @@ from ..operators import validate as V
 from ..operators.merge import merge, tag_source, union_by_name
 from ..operators.order import slice_rows, with_row_index
 from ..operators.split import part_sizes, with_parts
+from ..sources.files import infer_types, na_to_null
 from ..sources.tables import read_tables
 from .tasks import clean, extract
 
@@ -447,14 +448,58 @@ def merge_type_widen(spark, d):
 
 
 @query("merge_sheets_with_source", f"""
-select {LINE_KEY_SQL}, l_quantity, 'lineitem.parquet' as source_file, l_returnflag as source_sheet
+select {LINE_KEY_SQL}, l_quantity, null::varchar as o_orderstatus, 'lineitem.parquet' as source_file, l_returnflag as source_sheet
 from lineitem
+union all
+select o_orderkey, null, null, null, o_totalprice, o_orderstatus, 'orders.parquet', o_orderpriority from orders
 """)
 def merge_sheets_with_source(spark, d):
-    book = H.as_sheets(tag_source(_t(spark, d, "lineitem").select(*LINE_KEY, "l_quantity", "l_returnflag")),
-                       "l_returnflag", order_by=None)
-    tagged = book.withColumn("source_sheet", F.col("sheet")).drop("sheet", "sheet_pos", "row_pos", "l_returnflag")
-    return merge([tagged], lower=True)
+    def tagged(name, sheet_col, columns):
+        book = H.as_sheets(tag_source(_t(spark, d, name).selectExpr(*columns, sheet_col)), sheet_col, order_by=None)
+        return book.withColumn("source_sheet", F.col("sheet")).drop("sheet", "sheet_pos", "row_pos", sheet_col)
+
+    lines = tagged("lineitem", "l_returnflag", [*LINE_KEY, "l_quantity"])
+    orders = tagged("orders", "o_orderpriority", ["o_orderkey as L_ORDERKEY", "o_totalprice as ` l_quantity `", "o_orderstatus"])
+    return merge([lines, orders], lower=True)
+
+
+@query("merge_json_keep_case", """
+select c_custkey as "Key", c_name as "Name", c_acctbal as balance, null::varchar as "Segment", 'customer.parquet' as source_file from customer
+union all select s_suppkey, s_name, null, 'supplier', 'supplier.parquet' from supplier
+""")
+def merge_json_keep_case(spark, d):
+    """U4: names keep their case; a name that differs only in case is refused."""
+    a = tag_source(_t(spark, d, "customer").selectExpr("c_custkey as Key", "c_name as Name", "c_acctbal as balance"), "customer.parquet")
+    b = tag_source(_t(spark, d, "supplier").selectExpr("s_suppkey as Key", "s_name as Name", "'supplier' as Segment"), "supplier.parquet")
+    return merge([a, b], lower=False)
+
+
+@query("merge_mixed", """
+select cast(n_nationkey as varchar) as key, n_name as name, null::double as balance, 'nation.parquet' as source_file from nation
+union all select cast(c_custkey as varchar), c_name, c_acctbal, 'customer.parquet' from customer
+union all select 'R' || cast(r_regionkey as varchar), r_name, null, 'region.parquet' from region
+""")
+def merge_mixed(spark, d):
+    """U6: inputs of different kinds: integer, long and text keys widen to text; names are lower-cased."""
+    parts = [("nation", ["n_nationkey as Key", "n_name as ` Name`"]), ("customer", ["c_custkey as key", "c_name as NAME", "c_acctbal as balance"]),
+             ("region", ["concat('R', cast(r_regionkey as string)) as key", "r_name as name"])]
+    return merge([tag_source(_t(spark, d, t).selectExpr(*cols), f"{t}.parquet") for t, cols in parts], lower=True)
+
+
+@query("infer_text_types", """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, case when l_tax > 0.05 then l_tax end as l_tax,
+       l_returnflag = 'R' as returned, l_linestatus || 'D' as status, cast(l_quantity as integer)::varchar || 'd' as suffixed
+from lineitem
+""")
+def infer_text_types(spark, d):
+    """S1: text columns become the narrowest type; NA texts become null; ``17d`` stays text."""
+    li = _t(spark, d, "lineitem")
+    text = li.select(*[F.col(c).cast("string").alias(c) for c in LINE_KEY], F.col("l_quantity").cast("string").alias("l_quantity"),
+                     F.when(F.col("l_tax") > 0.05, F.col("l_tax").cast("string")).otherwise("N/A").alias("l_tax"),
+                     F.when(F.col("l_returnflag") == "R", "True").otherwise("False").alias("returned"),
+                     F.concat("l_linestatus", F.lit("D")).alias("status"),
+                     F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("d")).alias("suffixed"))
+    return infer_types(text.withColumn("l_tax", na_to_null(F.col("l_tax"))))
 
 
 # ---------------------------------------------------------------- P1-P3
@@ -505,6 +550,15 @@ def sheets_combine(spark, d):
     return H.combine(_line_book(spark, d), "All")
 
 
+@query("sheets_combine_filtered", _BOOK_SQL + f"""
+select 'Odd' as sheet, 0 as sheet_pos, row_number() over (order by sheet_pos, row_pos) - 1 as row_pos,
+       {LINE_KEY_SQL} from book where l_orderkey % 2 = 1
+""")
+def sheets_combine_filtered(spark, d):
+    """A filter leaves gaps in the positions; they are closed before sheets are combined."""
+    return H.combine(H.renumber(_line_book(spark, d).where("l_orderkey % 2 = 1")), "Odd")
+
+
 @query("sheets_split", _BOOK_SQL + f""",
  idx as (select *, row_number() over (order by sheet_pos, row_pos) - 1 as i from book)
 select 'Sheet_' || cast(i // 7000 + 1 as varchar) as sheet, cast(i // 7000 as integer) as sheet_pos,
@@ -617,9 +671,9 @@ def validate_corrupt_json(spark, d):
 
 
 @query("validate_csv_shape", """
-select doc_id, coalesce(length(trim(text)) > 0, false) as non_blank,
+select doc_id, coalesce(regexp_matches(text, '\\S'), false) as non_blank,
        coalesce(contains(text, ','), false) as has_comma,
-       coalesce(length(trim(text)) > 0, false) and coalesce(contains(text, ','), false) as valid
+       coalesce(regexp_matches(text, '\\S'), false) and coalesce(contains(text, ','), false) as valid
 from documents
 """)
 def validate_csv_shape(spark, d):
@@ -632,9 +686,7 @@ def validate_csv_shape(spark, d):
 select doc_id, length(text) as n_chars, coalesce(length(text) = 0, true) as is_empty from documents
 """)
 def validate_empty_inputs(spark, d):
-    src = _t(spark, d, "documents")
-    return src.select("doc_id", F.length("text").cast("bigint").alias("n_chars"),
-                      F.coalesce(F.length("text") == 0, F.lit(True)).alias("is_empty"))
+    return V.empty_texts(_t(spark, d, "documents"), "text", keep=["doc_id"])
 
 
 _SEGMENT = "regexp_extract(url, '([^/?#]+)(?:[?#].*)?$', 1) || '.html'"

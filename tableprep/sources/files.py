@@ -124,7 +124,8 @@ def _with_order(spark: SparkSession, df: DataFrame, listed: Listed) -> DataFrame
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "source_file", "_pos_file", "_pos_block", "_pos_row")
 
 
-def _na_to_null(col: Column, na_values) -> Column:
+def na_to_null(col: Column, na_values=NA_VALUES) -> Column:
+    """Missing-value texts as null."""
     return F.when(col.isin(list(na_values)), F.lit(None).cast("string")).otherwise(col)
 
 
@@ -272,7 +273,7 @@ def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.Struct
         if not checked:  # a filter: no projection prunes it
             raw = raw.where(F.col(EXTRA).isNull() | F.raise_error(F.concat(
                 F.lit(f"a row has more than {len(names)} fields in "), F.col("source_file"))).isNotNull()).drop(EXTRA)
-        raw = raw.withColumns({n: _na_to_null(F.col(f"`{n}`"), na_values) for n in names})
+        raw = raw.withColumns({n: na_to_null(F.col(f"`{n}`"), na_values) for n in names})
         parts.append(raw)
     if not parts:
         raise TablePrepError("none of the CSV files holds any data")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..errors import TablePrepError
 from ..operators.sheets import MAX_SHEETS
 from ..session import checkpoint_dir
-from .files import NA_VALUES, _na_to_null, dedupe_header, infer_types, list_files, with_positions
+from .files import NA_VALUES, na_to_null, dedupe_header, infer_types, list_files, with_positions
 
 # OOXML namespaces.
 NS_MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -228,7 +228,7 @@ def read_xlsx(spark: SparkSession, paths, *, infer: bool = True, na_values=NA_VA
         part = part.select(
             F.element_at(F.split(F.col("path"), "/"), -1).alias("source_file"),
             "sheet", "sheet_pos", (F.col("row_pos") - 1).alias("row_pos"),
-            *[_na_to_null(F.try_element_at("cells", F.lit(i + 1)), na_values).alias(n) for i, n in enumerate(names)],
+            *[na_to_null(F.try_element_at("cells", F.lit(i + 1)), na_values).alias(n) for i, n in enumerate(names)],
             "_pos_file", F.col("sheet_pos").cast("long").alias("_pos_block"), (F.col("row_pos") - 1).alias("_pos_row"),
         )
         # a sheet row with no value at all below the header is kept as empty
