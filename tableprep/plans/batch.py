@@ -52,17 +52,17 @@ def column_sets(spark: SparkSession, df: DataFrame, paths, names: list[str], *,
     CSV files say it in their header; of other formats a column belongs to a file
     that holds a value in it -- one aggregate for all files, one row each."""
     listed = list_files(spark, paths)
-    own: dict[int, set] = {}
+    own: dict[int, list] = {}
     if by_header and all(format_of(n) == "csv" for n in listed.names):
         lines = first_lines(spark, listed.distinct(lambda i: listed.sizes[i] > 0))
-        own = {i: set(dedupe_header(csv_header(lines[n]))) for i, n in enumerate(listed.names) if lines.get(n) is not None}
+        own = {i: dedupe_header(csv_header(lines[n])) for i, n in enumerate(listed.names) if lines.get(n) is not None}
     else:
         held = [F.max(F.col(f"`{c}`").isNotNull()).alias(f"c{i}") for i, c in enumerate(names)]
         for row in df.groupBy("_pos_file").agg(*held).collect():
-            own[row["_pos_file"]] = {c for i, c in enumerate(names) if row[f"c{i}"]}
+            own[row["_pos_file"]] = [c for i, c in enumerate(names) if row[f"c{i}"]]
     sets: dict[tuple, list[int]] = {}
     for at, have in sorted(own.items()):
-        sets.setdefault(tuple(c for c in names if c in have), []).append(at)
+        sets.setdefault(tuple(c for c in have if c in names), []).append(at)
     return sets
 
 

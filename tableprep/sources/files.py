@@ -1,7 +1,7 @@
 """File sources (S1-S3, S5, S6): CSV, JSON and XML with provenance and order.
 
 Every reader returns one DataFrame for many files with
-``source_file`` (``_metadata.file_name``) and the order key
+``source_file`` (its name) and the order key
 ``_pos_file, _pos_block, _pos_row`` (position of the file in the request,
 split start, position within the split), attached right after the scan so
 that "file order" is an explicit, deterministic key.
@@ -90,20 +90,20 @@ def list_files(spark: SparkSession, paths) -> Listed:
             for f in files:
                 if not f.getPath().getName().startswith(("_", ".")):
                     names.append(f.getPath().toString())
-                    encoded.append(f.getPath().toUri().toString())
+                    encoded.append(new_path(f.getPath().toString()).toUri().toString())
                     sizes.append(f.getLen())
     return Listed(names, encoded, sizes)
 
 
 def positions(spark: SparkSession, listed: Listed) -> DataFrame:
-    """(path, _pos_file): where each file stands in the request, under the
+    """(path, name, _pos_file): where each file stands in the request, under the
     plain and the encoded form of its path.  Bounded: the caller's own list."""
-    rows = {(form, i) for i, both in enumerate(zip(listed.names, listed.encoded)) for form in both}
-    return F.broadcast(spark.createDataFrame(sorted(rows, key=lambda r: r[1]), "_tp_path string, _pos_file int"))
+    rows = {(form, both[0].rpartition("/")[2], i) for i, both in enumerate(zip(listed.names, listed.encoded)) for form in both}
+    return F.broadcast(spark.createDataFrame(sorted(rows, key=lambda r: r[2]), "_tp_path string, _tp_file string, _pos_file int"))
 
 
 def with_positions(spark: SparkSession, df: DataFrame, listed: Listed) -> DataFrame:
-    """Add ``_pos_file`` by ``_tp_path``; a path outside the list raises."""
+    """Add ``_tp_file`` (the plain name) and ``_pos_file`` by ``_tp_path``; a path outside the list raises."""
     joined = df.join(positions(spark, listed), "_tp_path", "left")
     known = F.col("_pos_file").isNotNull() | F.raise_error(
         F.concat(F.lit("file was read but not listed: "), F.col("_tp_path"))).isNotNull()
@@ -115,12 +115,11 @@ def _with_order(spark: SparkSession, df: DataFrame, listed: Listed) -> DataFrame
     df = df.drop("source_file")  # provenance overwrites a data column of that name
     tagged = df.select(
         "*",
-        F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_path").alias("_tp_path"),
         F.col("_metadata.file_block_start").alias("_pos_block"),
         F.monotonically_increasing_id().alias("_pos_row"),
     )
-    out = with_positions(spark, tagged, listed)
+    out = with_positions(spark, tagged, listed).withColumnRenamed("_tp_file", "source_file")
     return out.select(*[F.col(f"`{c}`") for c in df.columns], "source_file", "_pos_file", "_pos_block", "_pos_row")
 
 

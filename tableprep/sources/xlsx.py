@@ -226,7 +226,7 @@ def read_xlsx(spark: SparkSession, paths, *, infer: bool = True, na_values=NA_VA
         keys = spark.createDataFrame(sheets, "_pos_file int, sheet_pos int")
         part = body.join(F.broadcast(keys), ["_pos_file", "sheet_pos"], "inner")
         part = part.select(
-            F.element_at(F.split(F.col("path"), "/"), -1).alias("source_file"),
+            F.col("_tp_file").alias("source_file"),
             "sheet", "sheet_pos", (F.col("row_pos") - 1).alias("row_pos"),
             *[na_to_null(F.try_element_at("cells", F.lit(i + 1)), na_values).alias(n) for i, n in enumerate(names)],
             "_pos_file", F.col("sheet_pos").cast("long").alias("_pos_block"), (F.col("row_pos") - 1).alias("_pos_row"),
