@@ -8,20 +8,23 @@ its sets are compared:
 
 1. Equal sets become one class (a sum and a xor of mixed hashes, 128 bits, and
    the size); copies cost a row each and nothing more.
-2. First shingles under eight hash orders.  A class is paired with the smallest
+2. Whole prefixes under an order that puts frequent shingles last (a sketch of
+   fixed size counts all shingles of all documents).  A class that shares no
+   prefix shingle with another has no link and is done; only the texts of the
+   others are looked at again.
+3. First shingles under eight hash orders.  A class is paired with the smallest
    class that shares one, when they agree under ``AGREE`` orders; verified links
    make first components.  That takes large groups of near copies together
    without listing their pairs.
-3. Whole prefixes under an order that puts frequent shingles last (a sketch of
-   fixed size counts all shingles of all documents).  Shingles whose classes lie
-   in one component can add nothing; of the others, all pairs across components
-   whose sizes fit, and that also share prefix shingles under two further
-   orders, are verified.  Nothing is capped: every link between two components
-   of step 2 is found here, so the final components are exact.
+4. Prefix shingles whose classes lie in one component can add nothing; of the
+   others, all pairs across components whose sizes fit, and that also share
+   prefix shingles under two further orders, are verified.  Nothing is capped:
+   every link between two components of step 3 is found here, so the final
+   components are exact.
 
-Shingles are 64-bit hashes, made again from the text where they are needed
-rather than stored.  Sets of pairs to verify are joined by id; a hub's many
-pairs are an ordinary skewed join that Spark splits.
+Shingles are 64-bit hashes, made again from the text where they are needed:
+sets take twice the room of the texts and don't compress.  The texts of pairs to
+verify are joined by id; a hub's many pairs are a skewed join that Spark splits.
 
 Defined results: null and empty texts, and texts without words, have no shingles
 and link with nothing; a text of fewer than five words has one; rows with a null
@@ -50,6 +53,7 @@ ORDERS = 8
 AGREE = 3
 SKETCH_BITS = 20
 CHUNK_BITS = 16
+HUBS = 128  # sets that a verifying task keeps
 
 SIGNED = "n bigint, s1 bigint, s2 bigint, mins array<bigint>, chunk int, counts binary"
 
@@ -139,6 +143,7 @@ def prefix_postings(spark: SparkSession, docs: DataFrame, classes: np.ndarray, s
     table = spark.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[int] = set()  # a task sends a class once
         for batch in batches:
             toks, sigs, held = [], [], 0
 
@@ -152,7 +157,11 @@ def prefix_postings(spark: SparkSession, docs: DataFrame, classes: np.ndarray, s
                 found = shingles(word_hashes(text.as_py()), size)
                 if len(found):
                     with np.errstate(over="ignore"):
-                        sigs.append(int(np.sum(order_key(found, 100)).view(np.int64)))
+                        sig = int(np.sum(order_key(found, 100)).view(np.int64))
+                    if sig in sent:
+                        continue
+                    sent.add(sig)
+                    sigs.append(sig)
                     toks.append(prefix(found, rare_first(found, table.value), percent))
                     held += len(toks[-1])
                 if held > 200_000:
@@ -164,36 +173,48 @@ def prefix_postings(spark: SparkSession, docs: DataFrame, classes: np.ndarray, s
     return docs.where("id is not null").mapInArrow(run, "token bigint, s1 bigint")
 
 
-def verify(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets share prefix shingles under two more
-    orders and are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, text) of the wanted ids, the texts compressed before they move."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, len(batch), 256):
-                part = batch.slice(lo, 256)
-                found = [shingles(word_hashes(t.as_py()), size).tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(found, pa.large_binary()).cast(pa.binary())],
-                                                 ["id", "grams"])
+            for lo in range(0, len(batch), 512):
+                part = batch.slice(lo, 512)
+                texts = [(t.as_py() or "").encode("utf-8", "replace") for t in part.column("text")]
+                small = [len(t).to_bytes(8, "little") + pa.compress(t, codec="zstd", asbytes=True) for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(small, pa.binary())], ["id", "text"])
+
+    return docs.where("id is not null").mapInArrow(squeeze, "id bigint, text binary").join(wanted, "id").select("id", "text")
+
+
+def verify(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets share prefix shingles under two more
+    orders and are similar enough; ``texts`` as ``packed`` gives them."""
 
     def similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def orders(packed_text: bytes) -> list[np.ndarray]:
+            text = pa.decompress(packed_text[8:], int.from_bytes(packed_text[:8], "little"), codec="zstd", asbytes=True)
+            found = shingles(word_hashes(text.decode("utf-8")), size)
+            return [found, *[np.sort(prefix(found, order_key(found, k), percent)) for k in (1, 2)]]
+
+        hubs: dict[int, tuple[bytes, list[np.ndarray]]] = {}
         for batch in batches:
             keep = []
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if all(np.intersect1d(prefix(p, order_key(p, k), percent), prefix(q, order_key(q, k), percent),
-                                      assume_unique=True).size for k in (1, 2)):
-                    both = np.intersect1d(p, q, assume_unique=True).size
-                    if 100 * both >= percent * (len(p) + len(q) - both):
+            for i, (a, x, y) in enumerate(zip(batch.column("a").to_pylist(), batch.column("x"), batch.column("y"))):
+                x = x.as_py()
+                if a not in hubs or hubs[a][0] != x:
+                    if len(hubs) >= HUBS:
+                        hubs.clear()
+                    hubs[a] = x, orders(x)
+                p, q = hubs[a][1], orders(y.as_py())
+                if all(np.intersect1d(p[k], q[k], assume_unique=True).size for k in (1, 2)):
+                    both = np.intersect1d(p[0], q[0], assume_unique=True).size
+                    if 100 * both >= percent * (len(p[0]) + len(q[0]) - both):
                         keep.append(i)
             yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
-    gram = (docs.join(wanted, "id").select("id", "text").mapInArrow(sets, "id bigint, grams binary")
-            .groupBy("id").agg(F.first("grams").alias("grams")))
-    gram = cut(gram, "ngram-sets")
-    one = pairs.join(gram.select(F.col("id").alias("a"), F.col("grams").alias("x")), "a")
-    both = one.join(gram.select(F.col("id").alias("b"), F.col("grams").alias("y")), "b")
+    one = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
+    both = one.join(texts.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
 
 
@@ -208,9 +229,18 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     classes = cut(rows.where("id is not null and n > 0").groupBy("s1", "s2", "n")
                   .agg(F.min("id").alias("node"), F.first("mins").alias("mins")), "ngram-classes")
 
+    # whole prefixes: a class that shares no prefix shingle has no link
+    seen = Window.partitionBy("token")
+    posted = prefix_postings(spark, docs, frequency_classes(signed), size, percent).repartition("token").distinct()
+    shared = (posted.withColumns({"lo": F.min("s1").over(seen), "hi": F.max("s1").over(seen)})
+              .where("lo != hi").select("token", "s1").join(classes.select("s1", "node", "n"), "s1"))
+    shared = cut(shared.drop("s1"), "ngram-shared")
+    some = shared.select(F.col("node").alias("id")).distinct()
+    texts = cut(packed(docs, some), "ngram-texts")
+
     # first shingles under several orders: each class against the smallest one that shares one
-    firsts = classes.select("node", F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(ORDERS - 1)).alias("k"), F.col("mins").alias("m"))).alias("f"))
-    firsts = firsts.select("node", F.col("f.k").alias("k"), F.col("f.m").alias("m"))
+    firsts = (classes.join(some.withColumnRenamed("id", "node"), "node", "left_semi")
+              .select("node", F.posexplode("mins").alias("k", "m")))
     hubs = firsts.groupBy("k", "m").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = firsts.join(hubs, ["k", "m"]).where("a != node").groupBy("a", F.col("node").alias("b")).count().drop("count")
     fits = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
@@ -218,23 +248,17 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     of_b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb"))
     agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
     near = cut(near.join(of_a, "a").join(of_b, "b").where(fits).where(agree >= AGREE).select("a", "b"), "ngram-near")
-    known = cut(verify(docs, near, size, percent), "ngram-links")
+    known = cut(verify(texts, near, size, percent), "ngram-links")
     groups = cut(components(known), "ngram-groups")
 
-    # whole prefixes: pairs across the components found so far
-    place = (classes.join(groups, "node", "left")
-             .select("s1", "node", "n", F.coalesce("component", "node").alias("component")))
-    seen = Window.partitionBy("token")
-    posted = prefix_postings(spark, docs, frequency_classes(signed), size, percent).distinct()
-    shared = (posted.withColumns({"lo": F.min("s1").over(seen), "hi": F.max("s1").over(seen)})
-              .where("lo != hi").select("token", "s1").join(place, "s1"))
-    shared = cut(shared.drop("s1"), "ngram-shared")
-    split = shared.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    open_ = shared.join(split.select("token"), "token")
+    # all pairs across the components found so far that share a prefix shingle
+    placed = shared.join(groups, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
+    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
+    open_ = placed.join(split.select("token"), "token")
     left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     far = cut(left.join(right, "token").where("a < b and ca != cb").where(fits).select("a", "b").distinct(), "ngram-far")
-    links = known.unionAll(verify(docs, far, size, percent))
+    links = known.unionAll(verify(texts, far, size, percent))
     groups = cut(components(links), "ngram-groups")
 
     final = (classes.join(groups, "node", "left")
