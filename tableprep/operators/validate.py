@@ -24,7 +24,13 @@ def column_sets_by_group(df: DataFrame, group_col: str) -> DataFrame:
     names sorted, plus ``consistent``: whether all non-empty groups agree.
     """
     cols = [c for c in data_columns(df) if c != group_col]
-    present = [F.max(F.col(f"`{c}`").isNotNull().cast("int")).alias(f"p{i}") for i, c in enumerate(cols)]
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("float", "double")}
+
+    def held(c: str) -> Column:  # NaN is a missing value
+        x = F.col(f"`{c}`")
+        return x.isNotNull() & ~F.isnan(x) if c in floats else x.isNotNull()
+
+    present = [F.max(held(c).cast("int")).alias(f"p{i}") for i, c in enumerate(cols)]
     per = df.groupBy(group_col).agg(*present)
     names = F.array_compact(F.array(*[F.when(F.col(f"p{i}") == 1, F.lit(c)) for i, c in enumerate(cols)]))
     sig = per.select(F.col(group_col), F.array_sort(names).alias("columns"))
