@@ -51,9 +51,10 @@ GRAM = 128
 HOT = 4096
 PIECE = 1 << 19
 PLACES = np.uint64((1 << 20) - 1)  # positions inside a piece
-RUN_BYTES = 16 << 20
+RUN_BYTES = 8 << 20
 PART_ANCHORS = 40_000
-GROUP_WINDOWS = 2_000_000
+GROUP_WINDOWS = 250_000  # windows and bytes of whole groups that are compared at once
+GROUP_BYTES = 1 << 19
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -279,10 +280,10 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         out: list[list[np.ndarray]] = [[], [], [], []]
         members: list[tuple[int, bytes, int]] = []
         where: list[tuple[int, int]] = []
-        group = windows = 0
+        group = windows = size = 0
 
         def decide():
-            nonlocal members, where, windows
+            nonlocal members, where, windows, size
             if len(members) > 1:
                 hits = repeated_windows(members, length)
                 for (r, i), (a, b) in zip(where, hits):
@@ -290,23 +291,27 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                         ids, marks, firsts, _ = meta[r]
                         for column, value in zip(out, (ids[i], marks[i], firsts[i] + a, firsts[i] + b + length)):
                             column.append(int(value))
-            members, where, windows = [], [], 0
+            members, where, windows, size = [], [], 0, 0
 
         for r, i, text, lcp in merge(runs):
             if lcp < gram:
                 group += 1
-                if windows > GROUP_WINDOWS:
+                if windows > GROUP_WINDOWS or size > GROUP_BYTES:
                     decide()
             data, ends = lefts[r]
             count = int(meta[r][3][i])
             members.append((group, data[ends[i]:ends[i + 1]] + text, count))
             where.append((r, i))
             windows += count
+            size += len(members[-1][1])
         decide()
         ids = pa.array([None if x == -(1 << 63) else x for x in out[0]], pa.int64())
         return pa.table([ids, *[pa.array(x, pa.int64()) for x in out[1:]]], ["id", "mark", "start", "stop"])
 
     cold = texts.mapInArrow(send, SENT).groupBy("part").applyInArrow(receive, FOUND)
+    spans = F.array_sort(F.collect_list(F.struct("start", "stop")))
+    if often.where(F.col("times") > hot).isEmpty():
+        return cold.distinct().groupBy("id", "mark").agg(spans.alias("found"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -328,8 +333,6 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     twice = every.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
     warm = every.join(twice, ["gram", "hash"]).select("id", "mark", "start", (F.col("start") + length).alias("stop"))
 
-    # unite the ranges of a text: sorted by start, a gap begins a new one
-    spans = F.array_sort(F.collect_list(F.struct("start", "stop")))
     return cold.unionAll(warm).distinct().groupBy("id", "mark").agg(spans.alias("found"))
 
 
