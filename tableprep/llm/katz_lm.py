@@ -42,14 +42,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import drop_scratch, scratch
+from .common import drop_scratch, release, scratch
 from .words import mix, word_hashes
 
 K = 5
-HOT = 1 << 19
+HOT = 1 << 18
 HOT_WORDS = 1 << 16
-STEP_TOKENS = 1 << 20
-PART_TOKENS = 6_000_000
+STEP_TOKENS = 1 << 19  # tokens that a scoring step holds; counting holds four times as many
+PART_TOKENS = 3_000_000
 
 END = np.uint64(0x5851F42D4C957F2D)  # the end token and the start context, as word hashes
 START = np.uint64(0x14057B7EF767814F)
@@ -238,6 +238,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tr
 
     def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(f"{own}/{name}")
+        release(spark)
         return spark.read.schema(df.schema).parquet(f"{own}/{name}")
 
     start = int(START.view(np.int64))
@@ -284,6 +285,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tr
      .write.parquet(f"{path}/order=1"))
     for name in ("words", "bigrams", "pairs", "contexts"):
         drop_scratch(spark, f"{own}/{name}")
+    release(spark)
     return Model(path, n, v, float(np.log10(left)), first[0] if first else 0.0)
 
 
@@ -295,9 +297,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     sc = spark.sparkContext
     table = model.table(spark)
     total, floor = model.tokens + 0.1 * (model.words + 1), model.unknown
-    seen = frequent(table, HOT).select("key", "x", "c").toPandas().astype({"key": "int64", "x": "float64", "c": "int64"})
-    seen = seen.sort_values("key", key=lambda s: s.to_numpy().view(np.uint64))
-    hot = sc.broadcast((seen["key"].to_numpy().view(np.uint64), seen["x"].to_numpy(), seen["c"].to_numpy()))
+    seen = frequent(table, HOT).select("key", "x", "c").toArrow()
+    names = seen.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(names)
+    hot = sc.broadcast((names[order], *[seen.column(c).to_numpy()[order] for c in ("x", "c")]))
     parts = 1 << max(0, int(np.ceil(np.log2(max(1, model.tokens / PART_TOKENS)))))
     shift = np.uint64(64 - parts.bit_length() + 1)
     first = model.start
