@@ -25,9 +25,18 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     files every executor sees, so a lost executor costs a re-read, not a re-run."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done.  It does so
+    when the driver's JVM collects them, which by itself happens every
+    ``spark.cleaner.periodicGC.interval`` (30 minutes): late, when a job has
+    written more than that in between."""
+    spark._jvm.System.gc()
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Remove a scratch table once nothing reads it any more."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)

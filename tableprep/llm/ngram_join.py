@@ -17,10 +17,10 @@ its sets are compared:
    make first components.  That takes large groups of near copies together
    without listing their pairs.
 4. Prefix shingles whose classes lie in one component can add nothing; of the
-   others, all pairs across components whose sizes fit, and that also share
-   prefix shingles under two further orders, are verified.  Nothing is capped:
-   every link between two components of step 3 is found here, so the final
-   components are exact.
+   others, all pairs across components whose sizes fit, whose bitmaps don't
+   differ in too many places, and that also share prefix shingles under two
+   further orders, are verified.  Nothing is capped: every link between two
+   components of step 3 is found here, so the final components are exact.
 
 Shingles are 64-bit hashes, made again from the text where they are needed:
 sets take twice the room of the texts and don't compress.  The texts of pairs to
@@ -51,11 +51,11 @@ PERCENT = 75
 SIZE = 5
 ORDERS = 8
 AGREE = 3
-SKETCH_BITS = 20
+SKETCH_BITS = 22
 CHUNK_BITS = 16
 HUBS = 128  # sets that a verifying task keeps
 
-SIGNED = "n bigint, s1 bigint, s2 bigint, mins array<bigint>, chunk int, counts binary"
+SIGNED = "n bigint, s1 bigint, s2 bigint, mins array<bigint>, bits binary, chunk int, counts binary"
 
 
 def order_key(tokens: np.ndarray, order: int) -> np.ndarray:
@@ -73,6 +73,42 @@ def prefix(tokens: np.ndarray, keys: np.ndarray, percent: int = PERCENT) -> np.n
     return tokens[np.argsort(keys, kind="stable")[:prefix_length(len(tokens), percent)]]
 
 
+def bitmap(tokens: np.ndarray) -> bytes:
+    """One bit for each token's low bits, in two to four bits a token."""
+    if not len(tokens):
+        return b""
+    size = max(64, 1 << (2 * len(tokens) - 1).bit_length())
+    out = np.zeros(size, bool)
+    out[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """A lower bound of the number of tokens that only one of two sets has:
+    every bit that differs needs one.  The longer bitmap is folded: its low
+    bits are the shorter one's."""
+    p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
+    q = np.bitwise_or.reduce(q.reshape(-1, len(p)), axis=0)
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that their sizes and bitmaps don't rule out: at the
+    similarity asked for, at most (100 - t) / (100 + t) of all tokens differ."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), batch.column("xa"), batch.column("xb"))
+            fine = [i for i, (n, m, x, y) in enumerate(rows)
+                    if apart(x.as_buffer(), y.as_buffer()) * (100 + percent) <= (100 - percent) * (n + m)]
+            yield batch.select(["a", "b"]).take(pa.array(fine, pa.int64()))
+
+    of_a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
+    of_b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    sized = pairs.join(of_a, "a").join(of_b, "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
+    return sized.mapInArrow(keep, "a bigint, b bigint")
+
+
 def signatures(docs: DataFrame, size: int) -> DataFrame:
     """(id, n, s1, s2, mins) for each row, and each task's shingle counts in
     chunks (chunk, counts); one pass over the texts."""
@@ -87,21 +123,21 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     s1, s2 = np.sum(order_key(toks, 100)), np.bitwise_xor.reduce(order_key(toks, 101))
                 mins = [int(toks[np.argmin(order_key(toks, k))].view(np.int64)) for k in range(ORDERS)] if len(toks) else []
-                rows.append((len(toks), int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64)), mins, None, None))
+                rows.append((len(toks), int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64)), mins, bitmap(toks), None, None))
                 held.append((toks >> np.uint64(64 - bits)).astype(np.int64))
                 n_held += len(toks)
                 if n_held > 1 << bits:
                     sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
                     held, n_held = [], 0
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "chunk", "counts"])
+            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "bits", "chunk", "counts"])
             out.insert(0, "id", frame["id"].array)
             yield out
         if held:
             sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
         if sketch.any():
-            parts = [(None, None, None, None, None, i, zlib.compress(x.astype(np.uint32).tobytes(), 1))
+            parts = [(None, None, None, None, None, None, i, zlib.compress(x.astype(np.uint32).tobytes(), 1))
                      for i, x in enumerate(sketch.reshape(-1, part))]
-            yield pd.DataFrame(parts, columns=["id", "n", "s1", "s2", "mins", "chunk", "counts"]).astype(
+            yield pd.DataFrame(parts, columns=["id", "n", "s1", "s2", "mins", "bits", "chunk", "counts"]).astype(
                 {"id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64"})
 
     return docs.mapInPandas(run, f"id bigint, {SIGNED}")
@@ -227,7 +263,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     signed = cut(signatures(docs, size), "ngram-signed")
     rows = signed.where("chunk is null")
     classes = cut(rows.where("id is not null and n > 0").groupBy("s1", "s2", "n")
-                  .agg(F.min("id").alias("node"), F.first("mins").alias("mins")), "ngram-classes")
+                  .agg(F.min("id").alias("node"), F.first("mins").alias("mins"), F.first("bits").alias("bits")), "ngram-classes")
 
     # whole prefixes: a class that shares no prefix shingle has no link
     seen = Window.partitionBy("token")
@@ -243,11 +279,11 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
               .select("node", F.posexplode("mins").alias("k", "m")))
     hubs = firsts.groupBy("k", "m").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     near = firsts.join(hubs, ["k", "m"]).where("a != node").groupBy("a", F.col("node").alias("b")).count().drop("count")
-    fits = f"least(na, nb) * 100 >= greatest(na, nb) * {percent}"
-    of_a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("mins").alias("ma"))
-    of_b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("mins").alias("mb"))
+    of_a = classes.select(F.col("node").alias("a"), F.col("mins").alias("ma"))
+    of_b = classes.select(F.col("node").alias("b"), F.col("mins").alias("mb"))
     agree = F.aggregate(F.zip_with("ma", "mb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    near = cut(near.join(of_a, "a").join(of_b, "b").where(fits).where(agree >= AGREE).select("a", "b"), "ngram-near")
+    near = near.join(of_a, "a").join(of_b, "b").where(agree >= AGREE).select("a", "b")
+    near = cut(near_enough(near, classes, percent), "ngram-near")
     known = cut(verify(texts, near, size, percent), "ngram-links")
     groups = cut(components(known), "ngram-groups")
 
@@ -257,7 +293,9 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     open_ = placed.join(split.select("token"), "token")
     left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
     right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    far = cut(left.join(right, "token").where("a < b and ca != cb").where(fits).select("a", "b").distinct(), "ngram-far")
+    far = left.join(right, "token").where("a < b and ca != cb").where(
+        f"least(na, nb) * 100 >= greatest(na, nb) * {percent}").select("a", "b").distinct()
+    far = cut(near_enough(far, classes, percent), "ngram-far")
     links = known.unionAll(verify(texts, far, size, percent))
     groups = cut(components(links), "ngram-groups")
 
