@@ -12,10 +12,11 @@ its sets are compared:
    fixed size counts all shingles of all documents).  A class that shares no
    prefix shingle with another has no link and is done; only the texts of the
    others are looked at again.
-3. First shingles under eight hash orders.  A class is paired with the smallest
-   class that shares one, when they agree under ``AGREE`` orders; verified links
-   make first components.  That takes large groups of near copies together
-   without listing their pairs.
+3. First shingles under 32 hash orders.  Of the classes that share one, the hub
+   is the class whose first shingles most others share too -- in a group of near
+   copies, the text they were made from.  Each is paired with its hub when they
+   agree under ``AGREE`` orders; verified links make first components.  That takes
+   large groups of near copies together without listing their pairs.
 4. Prefix shingles whose classes lie in one component can add nothing; of the
    others, all pairs across components whose sizes fit, whose bitmaps don't
    differ in too many places, and that also share prefix shingles under two
@@ -49,8 +50,8 @@ from .words import mix, shingles, word_hashes
 
 PERCENT = 75
 SIZE = 5
-ORDERS = 8
-AGREE = 3
+ORDERS = 32
+AGREE = 12
 SKETCH_BITS = 22
 CHUNK_BITS = 16
 HUBS = 128  # sets that a verifying task keeps
@@ -274,10 +275,14 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     some = shared.select(F.col("node").alias("id")).distinct()
     texts = cut(packed(docs, some), "ngram-texts")
 
-    # first shingles under several orders: each class against the smallest one that shares one
+    # first shingles under several orders: each class against the hub of those that share one
     firsts = (classes.join(some.withColumnRenamed("id", "node"), "node", "left_semi")
               .select("node", F.posexplode("mins").alias("k", "m")))
-    hubs = firsts.groupBy("k", "m").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    alike = firsts.groupBy("k", "m").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    firsts = cut(firsts.join(alike, ["k", "m"]), "ngram-firsts")
+    weight = firsts.groupBy("node").agg(F.sum("c").alias("w"))
+    hubs = (firsts.join(weight, "node").groupBy("k", "m")
+            .agg(F.max(F.struct("w", (-F.col("node")).alias("a"))).alias("top")).select("k", "m", (-F.col("top.a")).alias("a")))
     near = firsts.join(hubs, ["k", "m"]).where("a != node").groupBy("a", F.col("node").alias("b")).count().drop("count")
     of_a = classes.select(F.col("node").alias("a"), F.col("mins").alias("ma"))
     of_b = classes.select(F.col("node").alias("b"), F.col("mins").alias("mb"))

@@ -237,7 +237,7 @@ def test_ngram_join_chains(spark, monkeypatch):
     for i in range(150, 260):  # a sliding window: neighbours link, ends don't
         docs[i] = " ".join(f"c{k}" for k in range(i, i + 40))
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    for agree in (ngram_join.AGREE, 9):  # 9: nothing passes the first step, all links come from the prefixes
+    for agree in (ngram_join.AGREE, 99):  # 99: nothing passes the first step, all links come from the prefixes
         monkeypatch.setattr(ngram_join, "AGREE", agree)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()}
         assert got == brute.shingle_groups(docs)
