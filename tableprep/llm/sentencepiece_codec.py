@@ -36,6 +36,7 @@ SPACE = "▁"  # fixed value of the format
 BASE = np.uint64(0x9E3779B97F4A7C15)  # odd multiplier of the substring hash
 CACHE_WORDS = 400_000
 PAIR_SLOTS = 1 << 20
+LONG = 200  # characters of a word that advances alone
 BATCH_CHARS = 2_000_000
 UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
@@ -108,6 +109,7 @@ class Codec:
         names = [t for t in normal if len(t) == 1] + order
         at = {t: k for k, t in enumerate(names)}
         n = len(names)
+        self.at = at
         self.unknown = n  # a character without a piece: in no merge
         self.ids = np.array([normal[t][0] for t in names] + [-1], np.int32)
         self.size = np.array([len(t) for t in names] + [1], np.int64)
@@ -212,6 +214,24 @@ class Codec:
                 best[better], last[better, end] = size, piece[better]
         return last
 
+    def one_path(self, codes: np.ndarray) -> np.ndarray:
+        """The same backpointers for one long run of characters, by lookups: a
+        step for each of its characters is too short to be worth an array."""
+        text, n = codes.tobytes().decode("utf-32-le", "surrogatepass"), len(codes)
+        last, known = [-1] * (n + 1), {}
+        for end in range(1, n + 1):
+            for size in range(min(self.longest, end), 0, -1):
+                piece = self.at.get(text[end - size:end], self.unknown if size == 1 else -1)
+                if piece < 0 or not self.made[piece]:
+                    continue
+                before = last[end - size]
+                if end > size and (before, piece) not in known:
+                    known[before, piece] = bool(self._together(np.array([before]), np.array([piece]))[0])
+                if end == size or known[before, piece]:
+                    last[end] = piece
+                    break
+        return np.array(last, np.int64)[None, :]
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words without spaces but for one in front."""
         codes = _codes("".join(words))
@@ -230,7 +250,8 @@ class Codec:
             step = max(1, BATCH_CHARS // (4 * length))
             for lo in range(0, len(group), step):
                 base = starts[group[lo:lo + step]]
-                last = self.viterbi(codes[base[:, None] + np.arange(length)])
+                rows = codes[base[:, None] + np.arange(length)]
+                last = self.viterbi(rows) if length <= LONG else np.concatenate([self.one_path(r) for r in rows])
                 rows, at = np.arange(len(base)), np.full(len(base), length)
                 while len(rows):
                     piece = last[rows, at]
