@@ -127,7 +127,7 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 rows.append((len(toks), int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64)), mins, bitmap(toks), None, None))
                 held.append((toks >> np.uint64(64 - bits)).astype(np.int64))
                 n_held += len(toks)
-                if n_held > 1 << bits:
+                if n_held > 1 << 20:
                     sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
                     held, n_held = [], 0
             out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "bits", "chunk", "counts"])
