@@ -18,8 +18,11 @@ shuffle.
 Defined results: a null dimension value is a value of its own, written
 ``NULL_VALUE``; a null or empty text has no tokens, weight 0, and has the
 probability of its cell like any other; a target for a value
-that does not occur is left out and the others are scaled up to 1; a null id is
-hashed as the empty text; repeated rows are drawn or left together.
+that does not occur is left out and the others are scaled up to 1; a value that
+occurs but has no listed share (null, another spelling, another language) keeps
+its present share of the tokens, and the listed shares are scaled to the rest; a
+listed share of 0 is 0; a null id is hashed as the empty text; repeated rows are
+drawn or left together.
 """
 from __future__ import annotations
 
@@ -49,10 +52,15 @@ def tempered(cells: DataFrame, dim: str, power: float) -> DataFrame:
 
 
 def _targets(cells: DataFrame, dim: str, spec: float | Mapping[str, float]) -> DataFrame:
-    """(dim, target): shares over the values that occur, summing to 1."""
+    """(dim, target): shares over the values that occur, summing to 1; those
+    without a listed share keep the one they have."""
     if isinstance(spec, Mapping):
         pairs = F.create_map(*[F.lit(x) for k, v in spec.items() for x in (k, float(v))])
-        want = cells.select(dim).distinct().select(dim, F.coalesce(pairs[F.col(dim)], F.lit(0.0)).alias("want"))
+        sums = cells.groupBy(dim).agg(F.sum("tokens").cast("double").alias("held")).withColumn("share", pairs[F.col(dim)])
+        held, others, listed = sums.agg(F.sum("held"), F.sum(F.when(F.col("share").isNull(), F.col("held"))), F.sum("share")).first()
+        others = (others or 0.0) / (held or 1.0)
+        want = sums.select(dim, F.coalesce(F.col("share") * F.lit((1 - others) / (listed or 1.0)),
+                                           F.col("held") / F.lit(held or 1.0)).alias("want"))
     else:
         want = tempered(cells, dim, float(spec))
     total = want.agg(F.sum("want")).first()[0]

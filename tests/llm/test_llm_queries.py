@@ -261,6 +261,27 @@ def test_mixing_edges(edge):
     assert len({(r.probability, r.drawn) for r in edge["op7_mixing_ipf"] if r.doc_id == 4}) == 1
 
 
+def test_values_without_a_listed_share(spark):
+    """Null, other spellings and other languages keep their token share and can be drawn."""
+    from tableprep.llm.queries import MIX_TARGETS, mix_arguments
+    k = F.col("doc_id") % 11
+    lang = F.when(k == 0, F.lit(None)).when(k == 1, "EN").when(k == 2, "pt").when(k == 3, "").otherwise(F.col("lang"))
+    docs = spark.read.parquet(f"{SF01}/documents.parquet").withColumn("lang", lang)
+    got = mixing.mix(docs, **mix_arguments()).collect()
+    tokens, weight, drawn = Counter(), {}, Counter()
+    for r in got:
+        tokens[r.lang] += r.tokens
+        weight[r.source, r.lang, r.topic] = r.weight
+        drawn[r.lang] += r.drawn
+    share, total = Counter(), sum(tokens.values())
+    for (_, value, _), w in weight.items():
+        share[value] += w
+    other = {v: tokens[v] / total for v in (mixing.NULL_VALUE, "EN", "pt", "")}
+    rest = 1 - sum(other.values())
+    assert dict(share) == pytest.approx({**other, **{v: s * rest for v, s in MIX_TARGETS["lang"].items()}}, abs=1e-6)
+    assert all(r.probability > 0 for r in got if r.lang in other and r.tokens) and all(drawn[v] for v in other)
+
+
 # ------------------------------------------------------------------ 8
 def test_quality_on_held_out(spark):
     got = {r.doc_id: r for r in rows(spark, "op8_quality_crf", SF01)}
