@@ -1,25 +1,27 @@
 """Language-model scores by Katz backoff with Good-Turing discounts.
 
-Model (bigrams over words and one end token a text; a start context):
+Model (n-grams over words up to ``order`` and one end token a text; one start
+context, so a history never reaches before it):
 
     P(w)     = d1(c(w)) c(w) / N            of a word seen in training
     P(unk)   = the mass the discounts leave: one event for all unseen words
-    P(w | v) = d2(c(v,w)) c(v,w) / c(v)     of a stored bigram
-             = a(v) P(w)                    otherwise (P(unk) for an unseen w)
+    P(w | h) = dk(c(h,w)) c(h,w) / c(h)     of an n-gram seen in training
+             = a(h) P(w | h')               otherwise; h' is h without its first
+                                            word, a(h) is 1 of an unseen h
 
-``d(r)`` are Katz's discounts from counts of counts for r <= ``K``, 1 above.  A
-bigram is stored when it occurs twice or more (Katz's cutoff); the mass of the
-others goes to the backoff.  a(v) is what makes the row of v sum to exactly 1:
-(1 - sum of its stored probabilities) / (1 - sum of P(w) over its stored w).  A
-context whose stored probabilities already sum to 1 counts itself once more.
+``dk(r)`` are Katz's discounts of the n-grams of length k, from counts of counts
+for r <= ``K``, 1 above.  Every n-gram is stored, also those that occur once.
+a(h) is what makes the row of h sum to exactly 1: (1 - sum of its stored
+probabilities) / (1 - sum of P(w | h') over its stored w).  A context whose
+stored probabilities already sum to 1 counts itself once more.
 
-The recursion, in logarithms, is a(v) + P(w) for every token plus a correction
-for stored bigrams.  So a text needs one number for each of its words (log P of
-the word and log a of it as a context) and one for each stored bigram, and the
-two lookups become one join on 64-bit keys.
+The recursion, in logarithms, is P(w) for every token, plus a(h) for each of its
+histories, plus a correction for each stored n-gram.  So a text needs one number
+for each of its n-grams of any length (the correction, and log a of it as a
+context), and all lookups become one join on 64-bit keys.
 
 Tables (Parquet, partitioned by order, in the shared folder or where the caller
-says) hold every counted word and every stored bigram with its numbers; they
+says) hold every counted word and n-gram with its numbers; they
 grow with the corpus and nothing is broadcast whole.  Only the ``HOT`` entries
 with the largest counts are: they answer most tokens in place, and with them
 gone no key is frequent enough to be a hot group.  Other keys travel sorted and
@@ -45,6 +47,7 @@ from pyspark.sql import functions as F
 from .common import drop_scratch, release, scratch
 from .words import mix, word_hashes
 
+ORDER = 2
 K = 5
 HOT = 1 << 18
 HOT_WORDS = 1 << 16
@@ -60,7 +63,8 @@ def held_out(key: Column, folds: int = 10) -> Column:
 
 
 def bigram_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """Odd keys for bigrams; words have even ones."""
+    """Odd keys for n-grams, from the keys of their first and last n - 1 words;
+    words have even ones."""
     with np.errstate(over="ignore"):
         return mix(v * np.uint64(0x9FB21C651E98DF25) + w * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
 
@@ -85,6 +89,17 @@ def steps(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, n
             lo, held, n = at + 1, [], 0
 
 
+def grams(words: np.ndarray, before: np.ndarray, who: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each length from 2 to ``order``: (first n - 1 words, last n - 1 words,
+    row) of the n-grams, as keys."""
+    v, w, at = before, words, who
+    for length in range(2, order + 1):
+        yield v, w, at
+        if length < order:
+            key, same = bigram_keys(v, w), at[1:] == at[:-1]
+            v, w, at = key[:-1][same], key[1:][same], at[1:][same]
+
+
 def pack(x: np.ndarray) -> bytes:
     """Byte planes, compressed: high bytes of sorted or small numbers cost little."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
@@ -123,9 +138,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.where("train").select("text").mapInArrow(run, "w bigint, c bigint").groupBy("w").agg(F.sum("c").alias("c"))
 
 
-def bigram_counts(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """(v, w, b, c) of the bigrams that occur twice or more, and rows (null,
-    null, r, n) for the number n of bigrams that occur r <= K + 1 times.
+def gram_counts(docs: DataFrame, length: int, hot: np.ndarray, parts: int) -> DataFrame:
+    """(v, w, r, c) of the n-grams of a length: keys of the first and the last
+    words, null, count; and rows (null, null, r, n) for the number n of n-grams
+    that occur r <= K + 1 times.
 
     Tasks send sorted counts by ranges of the key; frequent words (``hot``,
     sorted, at most HOT_WORDS) travel as small numbers."""
@@ -153,8 +169,9 @@ def bigram_counts(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
                 [("part", pa.int32()), ("v", pa.binary()), ("w", pa.binary()), ("c", pa.binary())]))
 
         for batch in batches:
-            for _, words, before, _ in steps(batch):
-                held.append((before, words))
+            for _, words, before, who in steps(batch):
+                *_, (v, w, _) = grams(words, before, who, length)
+                held.append((v, w))
                 n += len(words)
                 if n >= 4 * STEP_TOKENS:
                     yield out()
@@ -174,16 +191,16 @@ def bigram_counts(docs: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
         keys, first, back = np.unique(bigram_keys(v, w), return_index=True, return_inverse=True)
         total = np.bincount(back, c, len(keys)).astype(np.int64)
         often = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1:K + 2]
-        keep = total > 1
-        none = [None] * (K + 1)
+        order = first[np.argsort(v[first], kind="stable")]  # runs of a context cost little on disk
+        none, total = [None] * (K + 1), total[back[order]]
         return pa.table({
-            "v": pa.concat_arrays([pa.array(v[first[keep]].view(np.int64)), pa.array(none, pa.int64())]),
-            "w": pa.concat_arrays([pa.array(w[first[keep]].view(np.int64)), pa.array(none, pa.int64())]),
-            "b": pa.concat_arrays([pa.array(keys[keep].view(np.int64)), pa.array(np.arange(1, K + 2))]),
-            "c": pa.concat_arrays([pa.array(total[keep]), pa.array(often)])})
+            "v": pa.concat_arrays([pa.array(v[order].view(np.int64)), pa.array(none, pa.int64())]),
+            "w": pa.concat_arrays([pa.array(w[order].view(np.int64)), pa.array(none, pa.int64())]),
+            "r": pa.concat_arrays([pa.nulls(len(order), pa.int64()), pa.array(np.arange(1, K + 2))]),
+            "c": pa.concat_arrays([pa.array(total), pa.array(often)])})
 
     return (docs.where("train").select("text").mapInArrow(send, "part int, v binary, w binary, c binary")
-            .groupBy("part").applyInArrow(add, "v bigint, w bigint, b bigint, c bigint"))
+            .groupBy("part").applyInArrow(add, "v bigint, w bigint, r bigint, c bigint"))
 
 
 def discounts(often: dict[int, int]) -> list[float]:
@@ -198,9 +215,9 @@ def discounts(often: dict[int, int]) -> list[float]:
     return out
 
 
-def frequent(counted: DataFrame, limit: int) -> DataFrame:
-    """The rows with the largest ``c``: as many whole steps of the count (an
-    eighth of a power of two) as hold at most ``limit`` rows."""
+def by_frequency(counted: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """The rows with the largest ``c``, as many whole steps of the count (an
+    eighth of a power of two) as hold at most ``limit`` rows; and the others."""
     step = F.floor(F.log2("c") * 8)
     total, least = 0, None
     for level, n in sorted(counted.groupBy(step).count().collect(), reverse=True):  # some hundred rows
@@ -208,7 +225,31 @@ def frequent(counted: DataFrame, limit: int) -> DataFrame:
         if total > limit:
             break
         least = level
-    return counted.where(F.lit(False) if least is None else step >= least)
+    hot = F.lit(False) if least is None else step >= least
+    return counted.where(hot), counted.where(~hot)
+
+
+def frequent(counted: DataFrame, limit: int) -> DataFrame:
+    return by_frequency(counted, limit)[0]
+
+
+def joined(rows: DataFrame, counted: DataFrame, on: str) -> DataFrame:
+    """Inner join with a table of counted keys: the HOT_WORDS most frequent ones
+    meet their rows in place, so only rows of rarer keys are shuffled."""
+    hot, rest = [x.drop("c") for x in by_frequency(counted, HOT_WORDS)]
+    hot = F.broadcast(hot)
+    return rows.join(hot, on).unionByName(rows.join(hot, on, "left_anti").join(rest, on))
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """(g, p, x, c) from (v, w, p, x, c): g is the n-gram's key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(bigram_keys(v, w).view(np.int64)), *batch.columns[2:]], ["g", "p", "x", "c"])
+
+    return rows.select("v", "w", "p", "x", "c").mapInArrow(run, "g bigint, p double, x double, c bigint")
 
 
 # ------------------------------------------------------------------ the model
@@ -221,16 +262,19 @@ class Model:
     words: int  # V
     unknown: float  # log10 P(unk)
     start: float  # log10 a(start)
+    order: int = ORDER
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """(order, key, x, c): log10 numbers to add for each word and stored bigram."""
+        """(order, key, x, c): log10 numbers to add for each word and n-gram."""
         return spark.read.schema("key bigint, x double, c bigint, order int").parquet(self.path)
 
 
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", train_col: Column | None = None,
-          path: str | None = None) -> Model:
-    """Count, discount, normalise and store; learns from rows where
-    ``train_col`` (by default: the id is not held out) is true."""
+          path: str | None = None, order: int = ORDER) -> Model:
+    """Count, discount, normalise and store n-grams of up to ``order`` words;
+    learns from rows where ``train_col`` (by default: the id is not held out) is true."""
+    if order < 1:
+        raise ValueError("order must be at least 1")
     spark = docs.sparkSession
     own = scratch(spark, "katz")
     path = path or f"{own}/model"
@@ -261,32 +305,49 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tr
 
     hot = np.sort(np.array([r[0] for r in frequent(real, HOT_WORDS).select("w").collect()], np.int64).view(np.uint64))
     parts = 1 << max(0, int(np.ceil(np.log2(max(1, n / PART_TOKENS)))))
-    counted = stored(bigram_counts(docs, hot, parts), "bigrams")
-    often2 = dict(counted.where("v is null").groupBy("b").agg(F.sum("c")).collect())
-    d2 = discounts(often2)
-
-    # P(w) and the discounted count of every stored bigram
-    p = real.select("w", (discounted(F.col("c"), d1) / F.lit(float(total))).alias("p"))
-    pairs = stored(counted.where("v is not null").withColumn("dc", discounted(F.col("c"), d2)).join(p, "w")
-                   .select("v", "b", "c", "dc", "p"), "pairs")
-    sums = pairs.groupBy("v").agg(F.sum("dc").alias("dc"), F.sum("p").alias("p"))
-    rows = words.select(F.col("w").alias("v"), F.col("c").alias("cv")).join(sums, "v")
-    # a context without mass to spare counts itself once more
-    base = F.when(F.col("cv") - F.col("dc") > 1e-9 * F.col("cv"), F.col("cv").cast("double")).otherwise(F.col("cv") + 1.0)
-    rows = rows.select("v", base.alias("cv"), F.log10((1 - F.col("dc") / base) / (1 - F.col("p"))).alias("a"))
-    rows = stored(rows, "contexts")
-    first = rows.where(F.col("v") == start).select("a").first()
-
-    (pairs.join(rows, "v").select(F.col("b").alias("key"), (F.log10(F.col("dc") / F.col("cv")) - F.col("a") - F.log10("p")).alias("x"), "c")
-     .write.parquet(f"{path}/order=2"))
-    (real.join(rows.select(F.col("v").alias("w"), "a"), "w", "left")
-     .select(F.col("w").bitwiseAND(-2).alias("key"),
-             (F.log10(discounted(F.col("c"), d1) / F.lit(float(total))) + F.coalesce("a", F.lit(0.0))).alias("x"), "c")
-     .write.parquet(f"{path}/order=1"))
-    for name in ("words", "bigrams", "pairs", "contexts"):
-        drop_scratch(spark, f"{own}/{name}")
+    # of each length: g as the n-gram's key, p its probability, x what it adds as an n-gram
+    p = discounted(F.col("c"), d1) / F.lit(float(total))
+    shorter, first = real.select(F.col("w").alias("g"), p.alias("p"), F.log10(p).alias("x"), "c"), None
+    done = "words"
+    for length in range(2, order + 1):
+        counted = stored(gram_counts(docs, length, hot if length == 2 else hot[:0], parts), f"counts{length}")
+        d = discounts(dict(counted.where("v is null").groupBy("r").agg(F.sum("c")).collect()))
+        pairs = stored(joined(counted.where("v is not null").drop("r"), shorter.select(F.col("g").alias("w"), "p", "c"), "w")
+                       .select("v", "w", "c", "p"), f"pairs{length}")
+        drop_scratch(spark, f"{own}/counts{length}")
+        pairs = pairs.withColumn("dc", discounted(F.col("c"), d))
+        # every occurrence of a context goes on with a stored n-gram
+        sums = pairs.groupBy("v").agg(F.sum("c").alias("c"), F.sum("dc").alias("dc"), F.sum("p").alias("p"))
+        # a context without mass to spare counts itself once more
+        base = F.when(F.col("c") - F.col("dc") > 1e-9 * F.col("c"), F.col("c").cast("double")).otherwise(F.col("c") + 1.0)
+        rows = sums.select("v", "c", base.alias("cv"), F.log10((1 - F.col("dc") / base) / (1 - F.col("p"))).alias("a"))
+        rows = stored(rows, f"contexts{length}")
+        if length == 2:
+            first = rows.where(F.col("v") == start).select("a").first()
+        _entries(shorter.join(rows.select(F.col("v").alias("g"), "a"), "g", "left"), length - 1).write.parquet(f"{path}/order={length - 1}")
+        drop_scratch(spark, f"{own}/{done}")
+        longer = keyed(joined(pairs, rows, "v").select(
+            "v", "w", (F.col("dc") / F.col("cv")).alias("p"),
+            (F.log10(F.col("dc") / F.col("cv")) - F.col("a") - F.log10("p")).alias("x"), "c"))
+        if length < order:
+            shorter, done = stored(longer, f"grams{length}"), f"grams{length}"
+        else:
+            shorter = longer
+            release(spark)
+            _entries(shorter.withColumn("a", F.lit(0.0)), length).write.parquet(f"{path}/order={length}")
+        drop_scratch(spark, f"{own}/pairs{length}")
+        drop_scratch(spark, f"{own}/contexts{length}")
+    if order == 1:
+        _entries(shorter.withColumn("a", F.lit(0.0)), 1).write.parquet(f"{path}/order=1")
+        drop_scratch(spark, f"{own}/words")
     release(spark)
-    return Model(path, n, v, float(np.log10(left)), first[0] if first else 0.0)
+    return Model(path, n, v, float(np.log10(left)), first[0] if first else 0.0, order)
+
+
+def _entries(grams: DataFrame, length: int) -> DataFrame:
+    """(key, x, c) of n-grams with ``a``, their log10 a as contexts."""
+    key = F.col("g").bitwiseAND(-2) if length == 1 else F.col("g")
+    return grams.select(key.alias("key"), (F.col("x") + F.coalesce("a", F.lit(0.0))).alias("x"), "c")
 
 
 # ------------------------------------------------------------------ scoring
@@ -301,9 +362,9 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
     names = seen.column("key").to_numpy().view(np.uint64)
     order = np.argsort(names)
     hot = sc.broadcast((names[order], *[seen.column(c).to_numpy()[order] for c in ("x", "c")]))
-    parts = 1 << max(0, int(np.ceil(np.log2(max(1, model.tokens / PART_TOKENS)))))
+    parts = 1 << max(0, int(np.ceil(np.log2(max(1, model.tokens * max(1, model.order - 1) / PART_TOKENS)))))
     shift = np.uint64(64 - parts.bit_length() + 1)
-    first = model.start
+    first, longest = model.start, model.order
 
     def values(keys, x, c, found):
         """What a key adds to (score, known, base score)."""
@@ -335,9 +396,10 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for part, words, before, who in steps(batch):
                 n, rows = len(part), []
-                keys = np.concatenate([word_keys(words), bigram_keys(before, words)])
+                more = list(grams(words, before, who, longest))
+                keys = np.concatenate([word_keys(words), *[bigram_keys(v, w) for v, w, _ in more]])
                 order = np.argsort(keys, kind="stable")
-                keys, doc = keys[order], np.concatenate([who, who])[order].astype(np.uint32)
+                keys, doc = keys[order], np.concatenate([who, *[at for _, _, at in more]])[order].astype(np.uint32)
                 starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
                 keys, times = keys[starts], np.diff(np.append(starts, len(keys)))
                 x, c, found = look(hot.value, keys)
@@ -354,10 +416,35 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=schema)
                 number += 1
 
+    def bring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def out():
+            keys, x, c = (np.concatenate([b.column(i).to_numpy() for b in held]) for i in range(3))
+            keys = keys.view(np.uint64)
+            order = np.argsort(keys)
+            keys, x, c = keys[order], x[order], c[order]
+            cuts = np.searchsorted(keys >> shift, np.arange(parts + 1, dtype=np.uint64)) if parts > 1 else [0, len(keys)]
+            rows = [(p, pack(keys[lo:hi]), pack(x[lo:hi]), pack(c[lo:hi])) for p, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:])) if hi > lo]
+            return pa.RecordBatch.from_pylist([dict(zip(("part", "key", "x", "c"), r)) for r in rows], schema=pa.schema(
+                [("part", pa.int32()), ("key", pa.binary()), ("x", pa.binary()), ("c", pa.binary())]))
+
+        for batch in batches:
+            held.append(batch)
+            n += len(batch)
+            if n >= 2 * STEP_TOKENS:
+                yield out()
+                held, n = [], 0
+        if n:
+            yield out()
+
     def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-        keys = known.column("key").to_numpy().view(np.uint64)
+        def column(name: str, kind) -> np.ndarray:
+            return np.concatenate([np.zeros(0, kind), *[unpack(b, kind) for b in known.column(name).to_pylist()]])
+
+        keys = column("key", np.uint64)
         order = np.argsort(keys)
-        own = keys[order], known.column("x").to_numpy()[order], known.column("c").to_numpy()[order]
+        own = keys[order], column("x", np.float64)[order], column("c", np.int64)[order]
         sums = []
         for n, k, t, who in zip(*(asked.column(c) for c in ("n", "keys", "times", "who"))):
             if not k.is_valid:  # a batch's own row passes
@@ -378,8 +465,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
 
     asked = (docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
              .mapInArrow(ask, "part int, batch bigint, n int, keys binary, times binary, who binary, ids array<bigint>, tokens array<bigint>"))
-    part = F.shiftrightunsigned("key", 65 - parts.bit_length()).cast("int") if parts > 1 else F.lit(0)
-    known = table.select(part.alias("part"), "key", "x", "c")
+    known = table.select("key", "x", "c").mapInArrow(bring, "part int, key binary, x binary, c binary")
     return (asked.groupBy("part").cogroup(known.groupBy("part"))
             .applyInArrow(answer, "batch bigint, sums binary, ids array<bigint>, tokens array<bigint>")
             .groupBy("batch").applyInArrow(gather, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")

@@ -137,6 +137,58 @@ def test_katz_edges(edge):
     assert by[4][0] == by[4][1] and all(np.isfinite(r.score) and r.score <= 0 for r in edge["op3_katz_lm"])
 
 
+def whole_katz(texts, held, order):
+    """{id: score} with every n-gram of up to ``order`` words stored, and the sums of some rows."""
+    toks = {i: [("start",), *brute.words(t), ("end",)] for i, t in texts.items()}
+    count = [Counter() for _ in range(order + 1)]
+    for i, ws in toks.items():
+        for j in range(1, len(ws)):
+            if not held[i]:
+                for m in range(1, min(order, j + 1) + 1):
+                    count[m][tuple(ws[j - m + 1:j + 1])] += 1
+    n, d = sum(count[1].values()), [None, *[katz_lm.discounts(Counter(c.values())) for c in count[1:]]]
+
+    def cut(m, c):
+        return c * (d[m][c - 1] if c <= katz_lm.K else 1.0)
+
+    left = sum(c - cut(1, c) for c in count[1].values()) / n
+    prob, back = {g: cut(1, c) / n for g, c in count[1].items()}, {}
+
+    def p(g):
+        if g in prob:
+            return prob[g]
+        return left if len(g) == 1 else back.get(g[:-1], 1.0) * p(g[1:])
+
+    for m in range(2, order + 1):
+        after = {}
+        for g in count[m]:
+            after.setdefault(g[:-1], []).append(g)
+        for h, gs in after.items():
+            c, mass = sum(count[m][g] for g in gs), sum(cut(m, count[m][g]) for g in gs)
+            c += c - mass <= 1e-9 * c
+            back[h] = (1 - mass / c) / (1 - sum(prob[g[1:]] for g in gs))
+            prob.update({g: cut(m, count[m][g]) / c for g in gs})
+    rows = {i: sum(np.log10(p(tuple(ws[max(0, j - order + 1):j + 1]))) for j in range(1, len(ws))) for i, ws in toks.items()}
+    some = [h for h in back if len(h) == order - 1][:5]
+    return rows, [sum(p((*h, *w)) for w in count[1]) + p((*h, "unseen")) for h in some]
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_katz_stores_every_ngram_of_any_order(spark, small_docs, monkeypatch, order):
+    monkeypatch.setattr(katz_lm, "HOT", 300)
+    monkeypatch.setattr(katz_lm, "PART_TOKENS", 20_000)
+    held = {i: brute.fold(i, 10) == 0 for i in small_docs}
+    want, sums = whole_katz(small_docs, held, order)
+    assert np.allclose(sums, 1, atol=1e-9)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet")
+    model = katz_lm.train(docs, order=order)
+    got = katz_lm.score(docs, model)
+    if order == 2:
+        got = QUERIES["op3_katz_lm"](spark, SF001)
+    got = {r.doc_id: r.score for r in got.collect()}
+    assert set(got) == set(want) and all(np.isclose(got[i], want[i], rtol=1e-9) for i in want)
+
+
 # ------------------------------------------------------------------ 4
 def test_cover_tree(spark, edge, edge_dir):
     for sf_dir, got in ((SF001, rows(spark, "op4_cover_tree", SF001)), (edge_dir, edge["op4_cover_tree"])):
