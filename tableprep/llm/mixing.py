@@ -3,7 +3,10 @@
 Token weights are raked to target marginals over any number of dimensions
 (source, language, topic, ...): the documents are first summed into cells (one
 row per combination that occurs), then every cell's weight is scaled in turn so
-that each dimension's totals meet their targets, until the totals hold.  The
+that each dimension's totals meet their targets, until all totals are within
+``TOLERANCE`` of them.  Targets that the cells can't meet (a source that has one
+language) stop the sweeps when the largest gap no longer falls, and the gap is
+reported as a ``TargetsMissed`` warning.  The
 calibrated factor of a cell, divided by the largest, is the probability with
 which each of its documents is drawn: expected token shares of the sample are
 the raked ones.  The draw is a hash of id and seed, the same in every run.
@@ -26,6 +29,7 @@ drawn or left together.
 """
 from __future__ import annotations
 
+import warnings
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -34,8 +38,16 @@ from pyspark.sql import functions as F
 from .common import cut
 
 NULL_VALUE = "<null>"
-SWEEPS = 12
+SWEEPS = 12  # at least
+MAX_SWEEPS = 200
 SWEEPS_PER_CUT = 4
+TOLERANCE = 1e-6  # of all tokens
+STALLED = 0.99  # a gap that falls by less than this in SWEEPS_PER_CUT sweeps stays
+
+
+class TargetsMissed(UserWarning):
+    """The cells can't meet the targets."""
+
 
 TOKENS = r"[^\x20\x09-\x0D]+"
 
@@ -73,17 +85,32 @@ def rake(cells: DataFrame, targets: Mapping[str, float | Mapping[str, float]], *
 
     ``targets`` names the dimensions in the order of scaling; each has shares by
     value, or one number p for shares in proportion to tokens to the power p.
+    After ``sweeps`` sweeps it goes on until the targets hold.
     """
     shares = {dim: cut(_targets(cells, dim, spec), f"mix-target-{dim}") for dim, spec in targets.items()}
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for sweep in range(1, sweeps + 1):
+    now, sweep, last = cells.withColumn("weight", F.col("tokens").cast("double")), 0, float("inf")
+    while True:
+        sweep += 1
         for dim, share in shares.items():
             total = F.sum("weight").over(Window.partitionBy(dim))
             factor = F.when(total > 0, F.col("target") / total).otherwise(0.0)
             now = now.join(share, dim).withColumn("weight", F.col("weight") * factor).drop("target")
-        if sweep % SWEEPS_PER_CUT == 0 and sweep < sweeps:
+        if sweep % SWEEPS_PER_CUT == 0 or sweep == sweeps:
             now = cut(now, "mix-rake")
-    return now
+        if sweep >= sweeps and (sweep - sweeps) % SWEEPS_PER_CUT == 0:
+            gap, dim = max(((_gap(now, dim, share), dim) for dim, share in shares.items()), default=(0.0, ""))
+            if gap <= TOLERANCE:
+                return now
+            if gap > STALLED * last or sweep >= MAX_SWEEPS:
+                warnings.warn(f"targets of {dim!r} are missed by up to {gap:.3g} of all tokens after {sweep} sweeps", TargetsMissed, stacklevel=2)
+                return now
+            last = gap
+
+
+def _gap(cells: DataFrame, dim: str, share: DataFrame) -> float:
+    """The largest difference between a value's weight and its target."""
+    sums = cells.groupBy(dim).agg(F.sum("weight").alias("weight")).join(share, dim)
+    return sums.agg(F.max(F.abs(F.col("weight") - F.col("target")))).first()[0] or 0.0
 
 
 def _decided(docs: DataFrame, dims: Mapping[str, Column], tokens: Column, targets: Mapping, id_col: str, seed: int,

@@ -334,6 +334,18 @@ def test_values_without_a_listed_share(spark):
     assert all(r.probability > 0 for r in got if r.lang in other and r.tokens) and all(drawn[v] for v in other)
 
 
+def test_raking_goes_on_until_targets_hold_or_reports_the_gap(spark):
+    targets = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.7, "y": 0.3}}
+    schema = "source string, lang string, tokens bigint"
+    slow = spark.createDataFrame([("a", "x", 10**6), ("a", "y", 1), ("b", "x", 1), ("b", "y", 10**6)], schema)
+    got = mixing.rake(slow, targets).collect()
+    for dim, shares in targets.items():
+        assert {v: sum(r.weight for r in got if r[dim] == v) for v in shares} == pytest.approx(shares, abs=mixing.TOLERANCE)
+    apart = spark.createDataFrame([("a", "x", 10), ("b", "y", 10)], schema)
+    with pytest.warns(mixing.TargetsMissed, match="'source' are missed by up to 0.2 "):
+        mixing.rake(apart, targets)
+
+
 # ------------------------------------------------------------------ 8
 def test_quality_on_held_out(spark):
     got = {r.doc_id: r for r in rows(spark, "op8_quality_crf", SF01)}
