@@ -6,13 +6,14 @@ each key with probability 1 / (n + 1), and only into the new shard.
 
 ``slot`` numbers the rows of a shard from 0 without a gap.  A shard of a big
 table is too much for one task, so each is cut into sub-shards by a second hash
-of the key; rows are numbered inside a sub-shard and lifted by the rows of the
+of the key and the tie-break columns; rows are numbered inside a sub-shard and lifted by the rows of the
 sub-shards before it (a table of shards x sub-shards counts).  Both steps use
 the same partitioning: the rows are shuffled once.
 
 Defined results: a null key goes where key 0 goes; rows with equal keys share
-shard and sub-shard and take slots in the order of the tie-break columns; an
-empty table gives an empty table.
+the shard, and with equal tie-break columns the sub-shard too; a sub-shard takes
+slots in the order of key and tie-break columns; an empty table gives an empty
+table.
 """
 from __future__ import annotations
 
@@ -57,16 +58,21 @@ def shard_of(key: Column, shards: int) -> Column:
     return _jump(F.coalesce(key.cast("bigint"), F.lit(0).cast("bigint")))
 
 
+def sub_shard(key: str, ties: tuple[str, ...], subs: int) -> Column:
+    """Rows of one key spread by their tie-break columns."""
+    return F.pmod(F.xxhash64(key, *ties), F.lit(subs)).cast("int")
+
+
 def assign(df: DataFrame, shards: int, *, key: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
     """Add ``shard``, ``grown_shard`` (with one shard more) and ``slot`` to ``df``.
 
-    ``ties`` are further columns that order rows with equal keys.  ``df`` must
+    ``ties`` are further columns that spread and order rows with equal keys.  ``df`` must
     not have columns of those names; pass the columns that matter.
     """
     subs = max(MIN_SUBSHARDS, math.ceil(df.count() / (shards * ROWS_PER_SUBSHARD)))
     placed = df.withColumns({
         "shard": shard_of(F.col(key), shards), "grown_shard": shard_of(F.col(key), shards + 1),
-        "_sub": F.pmod(F.xxhash64(F.col(key)), F.lit(subs)).cast("int")})
+        "_sub": sub_shard(key, ties, subs)})
     counts = placed.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     lifts = counts.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lift"))

@@ -72,6 +72,20 @@ def test_jump_hash_moves_only_into_the_new_shard():
     assert (sharding.jump_hash(keys, 1) == 0).all()
 
 
+def test_rows_of_one_key_spread_over_sub_shards(spark):
+    df = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.col("id").alias("t"))
+    nulls = df.where("doc_id is null")
+    sizes = nulls.groupBy(sharding.sub_shard("doc_id", ("t",), 8)).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 3000 / 4
+    slots = {}
+    got = sharding.assign(df, 5, ties=("t",)).collect()
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 4000 and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    by_slot = [r.t for r in sorted((r for r in got if r.doc_id is None), key=lambda r: r.slot)]
+    assert by_slot != sorted(by_slot)  # not one window
+
+
 # ------------------------------------------------------------------ 2
 def test_license_scan(spark, small_docs, edge):
     for r in rows(spark, "op2_license_scan", SF001):
