@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (cover_tree, exact_dedup, katz_lm, license_scan, mixing, ngram_join, quality_crf,
-               sentencepiece_codec, sharding, suffix_merge)
+from . import (cover_tree, exact_dedup, hard_negatives, katz_lm, license_scan, mixing, ngram_join, periodic_runs,
+               quality_crf, sentencepiece_codec, sharding, suffix_merge, token_counts)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -184,3 +184,60 @@ def op5(spark, sf_dir):
     out = suffix_merge.remove(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
                       F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# ------------------------------------------------------------------ 11 token counts
+TOKEN_LIMIT = 4096
+
+
+@query("op11_digest_counts")
+def op11(spark, sf_dir):
+    out = token_counts.count(table(spark, sf_dir, "documents"), token_counts.fresh_cache(spark))
+    return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+# ------------------------------------------------------------------ 12 hard negatives
+@query("op12_hard_negatives", """
+with base as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    [floor(256 * x::double) for x in embedding] as v from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and coalesce(list_bool_and([x is not null and isfinite(x) for x in embedding]), true)),
+scored as (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id,
+    coalesce(list_sum([p[1] * p[2] for p in list_zip(a.v, b.v)]), 0)::bigint as score
+  from base a join base b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
+positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from scored where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, row_number() over w as rank, s.vec_id as negative_id, positive_score, s.score as negative_score
+from positives join scored s using (anchor_id)
+where not s.same and 30 * positive_score <= 100 * s.score and 100 * s.score <= 90 * positive_score
+window w as (partition by anchor_id, positive_id order by s.score desc, s.vec_id)
+qualify rank <= 10""")
+def op12(spark, sf_dir):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    scaled = F.transform("embedding", lambda x: F.floor(256 * x.cast("double")))
+    finite = F.forall("embedding", lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", label.alias("label"), F.when(finite, scaled).alias("v"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+# ------------------------------------------------------------------ 13 periodic runs
+def with_tandem_repeats(docs: DataFrame) -> DataFrame:
+    """The contract's texts: of documents whose id has a crc32 divisible by 10, words
+    from one on repeat with a period that the id decides."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.size("words").cast("bigint")
+    a = g % n
+    p = 1 + F.call_function("div", n - a, 3 + g % 8)
+    repeated = F.transform("words", lambda w, i: F.when(i < a, w).otherwise(F.get(F.col("words"), (a + (i - a) % p).cast("int"))))
+    return (docs.withColumn("words", F.when(h % 10 == 0, words))
+            .select("doc_id", F.when(F.size("words") > 0, F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text")))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    docs = with_tandem_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.runs(docs).select("doc_id", *periodic_runs.digests())

@@ -148,3 +148,71 @@ def shingle_groups(texts: dict, percent=75, size=5):
 
 def fold(i, n):
     return zlib.crc32(str(i).encode()) % n
+
+
+def repeated_words(doc_id, text):
+    """The words of a text after the periodic rewriting of the run query."""
+    ws = SPACED.findall(text or "")
+    h, n = zlib.crc32(str(doc_id).encode()), len(ws)
+    g = h // 10
+    if doc_id is not None and h % 10 == 0 and n:
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        ws = [w if i < a else ws[a + (i - a) % p] for i, w in enumerate(ws)]
+    return ws
+
+
+def word_runs(ws, min_length=6, min_powers=4):
+    """All (start, length, period) with the smallest period, by start and period."""
+    found, n = {}, len(ws)
+    for q in range(1, n // min_powers + 1):
+        i = 0
+        while i + q < n:
+            if ws[i] != ws[i + q]:
+                i += 1
+                continue
+            j = i
+            while j + q < n and ws[j] == ws[j + q]:
+                j += 1
+            length = j + q - i
+            if length >= max(min_length, min_powers * q) and not any(
+                    r[0] <= i and r[0] + r[1] >= i + length and q % r[2] == 0 for r in found):
+                found[i, length, q] = True
+            i = j
+    return sorted(found)
+
+
+def run_digest(doc_id, text):
+    ws = repeated_words(doc_id, text)
+    runs, gone = word_runs(ws), set()
+    for s, n, q in runs:
+        gone.update(range(s + q, s + n))
+    best = None
+    for r in runs:
+        if best is None or r[1] * best[2] > best[1] * r[2]:
+            best = r
+    lines = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+    kept = " ".join(w for i, w in enumerate(ws) if i not in gone)
+    return (len(runs), *(best or (None, None, None)), best and 1000 * best[1] // best[2],
+            hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+def hard_negatives(rows, positives=5, negatives=10, window=(30, 90)):
+    """rows (id, vector, label) as the table holds them -> set of result rows."""
+    base = set()
+    for i, v, label in rows:
+        if i is None or v is None or label is None or any(x is None or not math.isfinite(x) for x in v):
+            continue
+        scaled = tuple(math.floor(256 * x) for x in v)
+        if all(abs(x) < 1 << 24 for x in scaled):
+            base.add((i, (label + 1) % 10 if i % 7 == 0 else label, scaled))
+    out = []
+    for i, label, v in base:
+        if i % 100:
+            continue
+        others = [(-sum(a * b for a, b in zip(v, w)), j, k) for j, k, w in base if j != i and len(w) == len(v)]
+        for minus, j, _ in sorted(x for x in others if x[2] == label)[:positives]:
+            p = -minus
+            fit = sorted((m, k) for m, k, of in others if of != label and window[0] * p <= -100 * m <= window[1] * p)
+            out += [(i, j, r, k, p, -m) for r, (m, k) in enumerate(fit[:negatives], 1)]
+    return out

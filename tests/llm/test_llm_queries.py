@@ -28,7 +28,7 @@ def edge(spark, edge_dir):
 
 def test_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(E.queries()) and set(ORACLE) <= set(E.oracle_sql())
 
 
@@ -43,7 +43,7 @@ def test_empty_tables(spark, empty_dir, name):
     assert rows(spark, name, empty_dir) == []
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"op12_hard_negatives"}))
 def test_one_row_a_row(edge, name):
     assert len(edge[name]) == (15 if name.startswith("op4") else 16)
 
