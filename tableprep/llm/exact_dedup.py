@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import TablePrepError
 from .common import lower_ascii, scratch
 
 BUCKETS = 64
@@ -30,16 +31,27 @@ def digest(text: Column) -> Column:
     return F.unhex(F.sha2(lower_ascii(F.coalesce(text, F.lit(""))).cast("binary"), 256))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jvm_path).toString()
+
+
 class DigestIndex:
     """A digest table ``name`` kept at ``path`` between runs.
 
-    Opening a path that already holds an index continues it with the number of
-    buckets it was made with.
+    Opening an index that the catalog has under ``name`` continues it with the
+    number of buckets it was made with, whatever ``buckets`` says; it must lie at
+    ``path``.
     """
 
     def __init__(self, spark: SparkSession, path: str, name: str, buckets: int = BUCKETS):
         self.spark, self.path, self.name, self.buckets = spark, path, name, buckets
-        if not spark.catalog.tableExists(name):
+        if spark.catalog.tableExists(name):
+            told = {r["col_name"]: r["data_type"] for r in spark.sql(f"DESCRIBE EXTENDED {name}").collect()}
+            if _qualified(spark, told["Location"]) != _qualified(spark, path):
+                raise TablePrepError(f"the index {name} lies at {told['Location']}, not at {path}")
+            self.buckets = int(told["Num Buckets"])
+        else:
             spark.sql(
                 f"CREATE TABLE {name} (digest BINARY, keep_id BIGINT, group_size BIGINT) USING parquet "
                 f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")

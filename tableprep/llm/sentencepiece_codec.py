@@ -305,10 +305,11 @@ class Codec:
         return [np.concatenate([cache[u] for u in row]) if row else np.zeros(0, np.int32) for row in units]
 
     def decode(self, ids) -> str:
-        """The text of ids; bytes that are no UTF-8 become U+FFFD."""
+        """The text of ids, without the one space that the encoder puts in front, if
+        it is there; bytes that are no UTF-8 become U+FFFD."""
         if not len(ids):
             return ""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")[1:]
+        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 def load(model_file: str = MODEL) -> Codec:

@@ -1,12 +1,14 @@
 """White-space separated words of a text as 64-bit hashes, in numpy.
 
-A-Z are lower-cased, nothing else; words are ``[^\\x20\\x09-\\x0D]+``.  The hash of
-a word is a polynomial over its bytes (a random number for each byte value),
-read off a running sum, so that no word becomes a Python object.  Long texts are
-hashed a piece at a time: what is held is the piece and 8 bytes a word.
+A-Z are lower-cased, nothing else; words are ``[^\\x20\\x09-\\x0D]+``.  All words of
+a piece are hashed together, eight bytes a step, so that no word becomes a Python
+object.  Long texts are hashed a piece at a time: what is held is the piece and 8
+bytes a word.  ``Hasher`` gives hashes of any ranges of bytes, as a polynomial over
+them (a random number for each byte value) read off a running sum.
 """
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -63,6 +65,33 @@ class Hasher:
         return edge[::2], edge[1::2]
 
 
+LONG = 1024  # bytes; longer words are hashed one by one
+
+
+def _hash_words(data: bytes) -> np.ndarray:
+    """A hash of each word: its length and then its bytes, eight at a time, each step
+    through ``mix``.  Words of one length up to eight bytes never collide, and the hash is no
+    polynomial, whose collisions can be built."""
+    piece = np.frombuffer(data + bytes(8), np.uint8)
+    gap = np.ones(len(data) + 2, bool)
+    gap[1:-1] = SPACE[piece[:len(data)]]
+    edge = np.flatnonzero(gap[1:] != gap[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    eight = np.ndarray(len(data) + 1, "<u8", piece, strides=(1,))
+    left = ends - starts
+    out = mix(left.astype(np.uint64) * np.uint64(BASE))
+    at, who = starts, np.flatnonzero(left <= LONG)
+    while len(who):
+        rest = left[who]
+        load = eight[at[who]] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (8 - np.minimum(rest, 8)).astype(np.uint64)))
+        out[who] = mix((out[who] ^ load) * np.uint64(BASE) + np.uint64(1))
+        at, left = at + 8, left - 8
+        who = who[rest > 8]
+    for i in np.flatnonzero(ends - starts > LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i]:ends[i]], digest_size=8).digest(), "little")
+    return out
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """One uint64 for each word of the whole text, in order."""
     if not text:
@@ -72,8 +101,7 @@ def word_hashes(text: str | None) -> np.ndarray:
         while at < len(data):
             cut = GAP.search(data, at + PIECE)
             end = cut.start() if cut else len(data)
-            piece = Hasher(data[at:end])
-            parts.append(piece.ranges(*piece.words()))
+            parts.append(_hash_words(data[at:end]))
             at = end
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
 

@@ -75,14 +75,13 @@ def katz(texts: dict, held: dict, discounts, top: int = 5) -> dict:
     p = {w: cut(d1, c) / total for w, c in one.items()}
     mass, seen = Counter(), Counter()
     for (v, w), c in two.items():
-        if c > 1:
-            mass[v] += cut(d2, c)
-            seen[v] += p[w]
+        mass[v] += cut(d2, c)
+        seen[v] += p[w]
     base = {v: ctx[v] if ctx[v] - mass[v] > 1e-9 * ctx[v] else ctx[v] + 1 for v in ctx}
     back = {v: (1 - mass[v] / base[v]) / (1 - seen[v]) for v in mass}
 
     def prob(v, w):
-        return cut(d2, two[v, w]) / base[v] if two[v, w] > 1 else back.get(v, 1.0) * p.get(w, left)
+        return cut(d2, two[v, w]) / base[v] if two[v, w] else back.get(v, 1.0) * p.get(w, left)
 
     out = {}
     for i, ws in toks.items():

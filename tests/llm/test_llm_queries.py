@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 import __spark_entry__ as E
 from tableprep.llm import (cover_tree, exact_dedup, katz_lm, license_scan, mixing, ngram_join, quality_crf,
                            sentencepiece_codec, sharding, suffix_merge)
+from tableprep.errors import TablePrepError
+from tableprep.llm import words
 from tableprep.llm.queries import ORACLE, QUERIES
 
 SF001, SF01 = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -420,8 +422,15 @@ def test_digest_index_persists(spark):
     again = exact_dedup.DigestIndex(spark, index.path, index.name)
     got = exact_dedup.dedupe(later, again)
     assert {(r.doc_id, r.keep_id, r.kept) for r in got.collect()} == {(9, 2, False), (8, 8, True), (7, 8, False), (6, 6, True)}
-    assert index.table().count() == 4
-    plan = index.table().join(exact_dedup.groups(later).hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    assert again.buckets == 4 and index.table().count() == 4
+    with pytest.raises(TablePrepError):
+        exact_dedup.DigestIndex(spark, index.path + "-elsewhere", index.name)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 4)  # Spark deals an index of fewer buckets than this anew
+    try:
+        plan = index.table().join(exact_dedup.groups(later).hint("merge"), "digest", "left_anti")._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
     assert "Bucketed: true" in plan and "SortMergeJoin" in plan
     assert "PythonUDF" not in plan and "InPandas" not in plan
 
@@ -451,3 +460,24 @@ def test_sentencepiece_odd_texts():
     for text, ids in zip(texts, got):
         assert ids.tolist() == sp.encode(text), text
         assert codec.decode(ids) == text.replace("▁", " ")
+
+
+def test_word_hashes():
+    def letters(k):  # two words on which any polynomial modulo a power of two collides
+        bits = [bin(i).count("1") % 2 for i in range(1 << k)]
+        return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+    texts = [w for k in (3, 6, 9, 10, 12) for w in letters(k)] + ["a", "b", "aa", "a\0", "\0", "ab" * 4, "ab" * 4 + "c", "ab" * 600, "é", "A" * 9]
+    got = words.word_hashes(" ".join(texts))
+    assert len(got) == len(set(got.tolist())) == len(texts)
+    assert got.tolist() == [words.word_hashes(t)[0] for t in texts]
+    assert (words.word_hashes("Some WORDS\tÄB") == words.word_hashes("some words\n Äb ")).all()
+
+
+def test_decode_without_a_leading_space():
+    import sentencepiece
+    codec = sentencepiece_codec.load()
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    for pieces in (["h", "i"], ["▁", "h"], ["▁the", "h"], ["▁", "▁", "a"]):
+        ids = [sp.piece_to_id(p) for p in pieces]
+        assert codec.decode(np.array(ids)) == sp.decode(ids)
