@@ -22,6 +22,13 @@ de-duplication and sheet positions all need one.  Every operator here takes an
 5. ``row_number()`` over ``partitionBy(bucket)`` plus the bucket offset.  This
    is the only shuffle of the data; each window partition is one bucket.
 
+**File order needs no shuffle.**  The readers' key (``ROW_ORDER``: file, split, row in the
+split) is dense inside each split, so ``split_index`` counts the rows of each split in
+one aggregate, forms the running sum over the splits on the driver (one small row a split, as the
+driver holds for its own file splits) and adds it in the map tasks.  After a filter the
+rows of a split are numbered anew where they stand, as long as everything since the scan
+is row by row; any other plan takes the way above.
+
 With ``partition_by`` (an index per group) the buckets still follow the order
 key and the groups become extra window keys; offsets are per (group, bucket).
 """
@@ -181,6 +188,86 @@ def bucket_expr(df: DataFrame, keys: list[str], bounds: list[tuple]) -> Column:
     return F.aggregate(steps, F.lit(0), add)
 
 
+MAX_SPLITS = 1 << 20  # splits whose running sum is broadcast; beyond it the bucketed index
+ROW_BY_ROW = {"Project", "Filter", "SubqueryAlias", "Union", "LogicalRelation"}
+
+
+def _row_by_row(plan) -> bool:
+    """Whether rows reach the end of an optimized plan in the order and the tasks of their scan."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "Join":  # against a broadcast table, row by row as well
+        hint = plan.hint().rightHint()
+        strategy = hint.get().strategy() if hint.isDefined() else None
+        broadcast = strategy is not None and strategy.isDefined() and strategy.get().toString().lower() == "broadcast"
+        return broadcast and plan.joinType().toString() == "LeftOuter" and _row_by_row(plan.left())
+    children = plan.children()
+    return kind in ROW_BY_ROW and all(_row_by_row(children.apply(i)) for i in range(children.size()))
+
+
+class SplitIndex:
+    """Rows of each split and the column that numbers them."""
+
+    def __init__(self, number: Column, splits: list[tuple]):
+        #: (file, block, first number in the split, rows), in file order
+        self.number, self.splits = number, splits
+        self.total = sum(s[3] for s in splits)
+
+
+def split_index(df: DataFrame) -> SplitIndex | None:
+    """The rows of each split of a frame with the readers' order key, or None where they
+    can't be numbered in the map tasks.
+
+    The key's own row number serves where it has no gaps in any split (the key is unique,
+    so as many values as the range has places are all of them).  Else a number given at
+    this point of the plan does, if the plan up to here is row by row and one task has
+    each split whole."""
+    here, row = F.monotonically_increasing_id(), F.col("_pos_row")
+    aggs = [F.count(F.lit(1)), F.min("_pos_row"), F.max("_pos_row")]
+    numbered = df.select("_pos_file", "_pos_block", "_pos_row")
+    narrow = _row_by_row(df._jdf.queryExecution().optimizedPlan())
+    if narrow:
+        numbered = numbered.withColumn("_tp_here", here)
+        aggs += [F.min("_tp_here"), F.max("_tp_here")]
+    stats = numbered.groupBy("_pos_file", "_pos_block").agg(*aggs).limit(MAX_SPLITS + 1).collect()
+    if len(stats) > MAX_SPLITS:
+        return None
+    for number, at in ((row, 3), *([(here, 5)] if narrow else [])):
+        if all(s[at + 1] - s[at] + 1 == s[2] for s in stats):
+            return SplitIndex(number, sorted((s[0], s[1], s[at], s[2]) for s in stats))
+    return None
+
+
+def _index_by_split(df: DataFrame, index: SplitIndex, index_col: str, index_range: tuple[int, int] | None) -> DataFrame:
+    """Add the running sum over the splits to each row's number in its split.
+
+    A split that was not counted, or a number beyond those counted in it, raises: the
+    input then changed or was cut into other splits between the two jobs (set
+    ``spark.sql.files.minPartitionNum`` where executors come and go)."""
+    rows, run = [], 0
+    for file, block, first, n in index.splits:
+        if index_range is None or (run <= index_range[1] and run + n > index_range[0]):
+            rows.append((file, block, first, n, run))
+        run += n
+    out = df
+    if index_range is not None:  # only the splits in range go on
+        if not rows:
+            return df.withColumn(index_col, F.lit(0).cast("long")).where(F.lit(False))
+        place = F.struct("_pos_file", F.col("_pos_block").cast("long"))
+        ends = [F.struct(F.lit(r[0]).cast("int"), F.lit(r[1]).cast("long")) for r in (rows[0], rows[-1])]
+    spark = df.sparkSession
+    table = spark.createDataFrame(rows, "_tp_f int, _tp_b long, _tp_first long, _tp_n long, _tp_run long")
+    out = out.withColumn("_tp_number", index.number.cast("long"))
+    if index_range is not None:
+        out = out.where((place >= ends[0]) & (place <= ends[1]))
+    out = out.join(F.broadcast(table), (F.col("_pos_file") == F.col("_tp_f")) & (F.col("_pos_block") == F.col("_tp_b")), "left")
+    within = F.col("_tp_number") - F.col("_tp_first")
+    known = F.coalesce((within >= 0) & (within < F.col("_tp_n")), F.lit(False))
+    value = F.when(known, F.col("_tp_run") + within).otherwise(
+        F.raise_error(F.lit("rows are in other splits than when they were counted")).cast("long"))
+    out = out.withColumn(index_col, value).drop("_tp_number", "_tp_f", "_tp_b", "_tp_first", "_tp_n", "_tp_run")
+    return out if index_range is None else out.where(F.col(index_col).between(*index_range))
+
+
 def with_row_index(
     df: DataFrame,
     order_by,
@@ -206,6 +293,10 @@ def with_row_index(
         raise TablePrepError("order_by is required for an ordered operation")
     keys = parts + order
     _check_columns(df, keys)
+    if order == ROW_ORDER and not parts:
+        index = split_index(df)
+        if index is not None:
+            return _index_by_split(df, index, index_col, index_range)
     n = df.count() if total_rows is None else total_rows
 
     bcol = "_tp_bucket"
@@ -287,9 +378,13 @@ def slice_rows(
     if not order:
         raise TablePrepError("order_by is required for an ordered operation")
     _check_columns(df, order)
-    n = df.count()
+    index = split_index(df) if order == ROW_ORDER else None
+    n = df.count() if index is None else index.total
     if strict and end >= n:
         raise TablePrepError(f"row range {start}..{end} ends past the last of {n} rows")
+    if index is not None:
+        out = _index_by_split(df, index, index_col, (start, end))
+        return out if keep_index else out.drop(index_col)
     out = with_row_index(df, order, index_col=index_col, index_range=(start, end), total_rows=n)
     return out if keep_index else out.drop(index_col)
 

@@ -18,10 +18,10 @@ from ..operators import clean as C
 from ..operators import sheets as H
 from ..operators import validate as V
 from ..operators.merge import merge, tag_source, union_by_name
-from ..operators.order import slice_rows, with_row_index
+from ..operators.order import ROW_ORDER, slice_rows, with_row_index
 from ..operators.split import part_sizes, with_parts
 from ..sources.files import infer_types, na_to_null
-from ..sources.tables import read_tables
+from ..sources.tables import read_ordered, read_tables
 from .tasks import clean, extract
 
 LINE_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -510,6 +510,25 @@ def split_parts(spark, d):
     return with_parts(_t(spark, d, "lineitem").select(*LINE_KEY), 1000, LINE_KEY)
 
 
+@query("split_file_order", f"""
+select {LINE_KEY_SQL}, row_idx, row_idx // 1000 + 1 as part
+from (select *, row_number() over () - 1 as row_idx from lineitem)
+""")
+def split_file_order(spark, d):
+    lines = read_ordered(spark, f"{d}/lineitem.parquet").select(*LINE_KEY, *ROW_ORDER)
+    return with_parts(lines, 1000, ROW_ORDER, keep_index=True).drop(*ROW_ORDER)
+
+
+@query("slice_file_order", f"""
+select {LINE_KEY_SQL}, row_idx from (
+  select *, row_number() over () - 1 as row_idx from (select * from lineitem where l_quantity > 20))
+where row_idx between 300 and 2299
+""")
+def slice_file_order(spark, d):
+    some = read_ordered(spark, f"{d}/lineitem.parquet").where("l_quantity > 20")
+    return slice_rows(some, 300, 2299, ROW_ORDER, keep_index=True).select(*LINE_KEY, "row_idx")
+
+
 @query("split_part_sizes", f"""
 select part, count(*) as rows from (
   select (row_number() over (order by {LINE_KEY_SQL}) - 1) // 1000 + 1 as part from lineitem)

@@ -65,9 +65,12 @@ def write(df: DataFrame, path: str, fmt: str, *, mode: str = "overwrite", order_
 
 def write_parts(df: DataFrame, path: str, fmt: str, rows_per_part: int, order_by, **kw) -> None:
     """K5: consecutive chunks of ``rows_per_part`` rows, one directory per
-    ``part`` (numbered from 1), each in order."""
+    ``part`` (numbered from 1) with one file in it, in order.
+
+    One shuffle by part and a sort inside each task: a task has its parts whole, so
+    nothing is sampled or sorted as a whole.  In file order it is the only shuffle."""
     from ..operators.split import with_parts
 
     order = list(order_by) if order_by else file_order_columns(df)
-    parted = with_parts(df, rows_per_part, order)
-    write(parted, path, fmt, order_by=order, partition_by="part", **kw)
+    parted = with_parts(df, rows_per_part, order).repartition("part").sortWithinPartitions("part", *order)
+    write(parted, path, fmt, partition_by="part", **kw)

@@ -32,6 +32,7 @@ from pyspark.errors import AnalysisException
 from ..errors import TablePrepError
 from ..functions.text import is_integer, number
 from ..operators.merge import check_case, union_by_name
+from ..operators.order import typed_array
 
 # The strings pandas reads as missing by default.
 NA_VALUES = [
@@ -369,7 +370,7 @@ def read_files(spark: SparkSession, paths, *, lower_names: bool = False, **kw) -
         else:
             d = read_xlsx(spark, group).drop("sheet_pos", "row_pos").withColumnRenamed("sheet", "source_sheet")
         # positions refer to the full request, not to the format group
-        remap = F.element_at(F.array(*[F.lit(i) for i in where[fmt]]), F.col("_pos_file") + 1)
+        remap = F.element_at(typed_array(where[fmt], T.IntegerType()), F.col("_pos_file") + 1)
         if "_pos_file" in d.columns:
             d = d.withColumn("_pos_file", remap.cast("int"))
         parts.append(lower(d) if lower_names else d)
