@@ -54,7 +54,7 @@ def column_sets(spark: SparkSession, df: DataFrame, paths, names: list[str], *,
     listed = list_files(spark, paths)
     own: dict[int, list] = {}
     if by_header and all(format_of(n) == "csv" for n in listed.names):
-        lines = first_lines(spark, listed.distinct(lambda i: listed.sizes[i] > 0))
+        lines = first_lines(spark, listed, listed.distinct(lambda i: listed.sizes[i] > 0))
         own = {i: dedupe_header(csv_header(lines[n])) for i, n in enumerate(listed.names) if lines.get(n) is not None}
     else:
         held = [F.max(F.col(f"`{c}`").isNotNull()).alias(f"c{i}") for i, c in enumerate(names)]

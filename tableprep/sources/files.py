@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import os
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,6 +35,7 @@ from ..errors import TablePrepError
 from ..functions.text import is_integer, number
 from ..operators.merge import check_case, union_by_name
 from ..operators.order import typed_array
+from .records import CsvGrammar, JsonGrammar, XmlGrammar, later_heads, not_blank, records, scan, split_records
 
 # The strings pandas reads as missing by default.
 NA_VALUES = [
@@ -61,7 +64,13 @@ class Listed:
     reports, ``sizes[i]`` its length; a path requested twice is there twice."""
 
     def __init__(self, names: list[str], encoded: list[str], sizes: list[int]):
-        self.names, self.encoded, self.sizes = names, encoded, sizes
+        self.names, self.encoded, self.sizes, self._plain = names, encoded, sizes, None
+
+    def plain(self, path: str) -> str:
+        """The name of a file that Spark reports under its plain or its encoded path."""
+        if self._plain is None:
+            self._plain = dict(zip(self.encoded, self.names)) | {n: n for n in self.names}
+        return self._plain[path]
 
     def distinct(self, keep=None) -> list[str]:
         return list(dict.fromkeys(n for i, n in enumerate(self.names) if keep is None or keep(i)))
@@ -198,17 +207,53 @@ def first_line(spark: SparkSession, path: str) -> str | None:
     return rows[0][0] if rows else None
 
 
-def first_lines(spark: SparkSession, paths: list[str]) -> dict[str, str | None]:
+def first_lines(spark: SparkSession, listed: Listed, paths: list[str]) -> dict[str, str | None]:
     """The first non-blank line of every file.
 
-    One tiny probe job per file, submitted concurrently (``HEADER_PROBES`` at
-    a time).  A filter on ``_metadata.file_block_start`` would not prune
-    splits -- every byte would be read to find the headers.
+    A few files are probed by one tiny job each, which reads bytes, not the file.  More
+    than ``HEADER_PROBES`` take one job together: the lines of their first splits pass a
+    task that keeps one a file.
     """
-    from concurrent.futures import ThreadPoolExecutor
-
-    with ThreadPoolExecutor(max_workers=min(HEADER_PROBES, max(1, len(paths)))) as pool:
-        return dict(zip(paths, pool.map(lambda p: first_line(spark, p), paths)))
+    if len(paths) <= HEADER_PROBES:
+        return {p: first_line(spark, p) for p in paths}
+
+    def first(batches):
+        seen = None
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                if path != seen:
+                    seen = path
+                    yield batch.slice(i, 1)
+
+    lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias("path"), "value").where(
+        (F.length(F.trim("value")) > 0) & (F.col("_metadata.file_block_start") == 0))
+    found = {listed.plain(r["path"]): r["value"] for r in lines.mapInArrow(first, lines.schema).collect()}
+    return {p: found.get(p) for p in paths}
+
+
+def _placed(spark: SparkSession, df: DataFrame, columns: list[Column], listed: Listed) -> DataFrame:
+    """``columns`` of records cut out of files, with provenance and the file-order key."""
+    tagged = df.select(*columns, F.col("path").alias("_tp_path"), F.col("block").alias("_pos_block"), F.col("row").alias("_pos_row"))
+    return with_positions(spark, tagged, listed).withColumnRenamed("_tp_file", "source_file")
+
+
+def _csv_records(spark: SparkSession, paths: list[str], splits: list, heads: dict, names: list[str], listed: Listed) -> DataFrame:
+    """Files with line breaks inside of quotes, read by as many tasks as they have splits:
+    text columns ``names`` and ``EXTRA``."""
+    if len(paths) < len(heads):  # how Spark splits files depends on those it reads with them
+        splits, heads = scan(spark, paths, CsvGrammar())
+        if len(heads) < len(paths):
+            heads = later_heads(spark, paths, CsvGrammar(), splits)
+    pieces = records(spark, paths, CsvGrammar(), splits)
+    header = F.broadcast(spark.createDataFrame(
+        [(path, block, row) for path, (_, block, row) in heads.items()], "h_path string, h_block bigint, h_row bigint"))
+    body = pieces.join(header, F.col("path") == F.col("h_path"), "left").where(
+        (F.struct("block", "row") > F.struct(F.col("h_block").alias("block"), F.col("h_row").alias("row"))) & not_blank())
+    fields = [f"c{i}" for i in range(len(names) + 1)]
+    parsed = body.withColumn("v", F.from_csv(
+        F.regexp_replace("text", r"\r\z", ""), ", ".join(f"{f} string" for f in fields),
+        {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}))
+    return _placed(spark, parsed, [F.col("v")[f].alias(n) for f, n in zip(fields, [*names, EXTRA])], listed)
 
 
 def csv_header(line: str) -> list[str]:
@@ -240,7 +285,8 @@ def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.Struct
     scan and fails on a mismatch, or on a row of any other length.
 
     ``multiline="detect"`` finds, in one scan of plain lines, the files that hold
-    a line break inside quotes; only those are read as one task each.
+    a line break inside quotes; a scan of their splits then tells where records begin
+    (``records``), so that they too are read by many tasks.
     """
     listed = list_files(spark, paths)
     nonempty = listed.distinct(lambda i: listed.sizes[i] > 0)
@@ -252,24 +298,32 @@ def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.Struct
         if line is not None:
             groups[tuple(csv_header(line)), None] = nonempty
     elif nonempty:
-        whole = files_with_quoted_newlines(spark, nonempty) if multiline == "detect" else set()
-        plain = dict(zip(listed.names, listed.encoded))
-        for p, line in first_lines(spark, nonempty).items():
-            if line is not None:  # else a blank file
-                groups.setdefault((tuple(csv_header(line)), p in whole or plain[p] in whole), []).append(p)
+        whole = {listed.plain(p) for p in files_with_quoted_newlines(spark, nonempty)} if multiline == "detect" else set()
+        splits, heads = scan(spark, sorted(whole), CsvGrammar()) if whole else ([], {})
+        if len(heads) < len(whole):
+            heads = later_heads(spark, sorted(whole), CsvGrammar(), splits)
+        lines = first_lines(spark, listed, [p for p in nonempty if p not in whole])
+        lines |= {listed.plain(p): text.removesuffix("\r") for p, (text, *_) in heads.items()}
+        for p in nonempty:
+            if lines.get(p) is not None:  # else a blank file
+                groups.setdefault((tuple(csv_header(lines[p])), p in whole), []).append(p)
+        groups = {k: sorted(v) if k[1] else v for k, v in groups.items()}
     parts = []
     for (header, whole), group in groups.items():
         names = dedupe_header(list(header))
         check_case(spark, names)
         checked = headers == "same" and len(set(header)) == len(header)
         text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names + ([] if checked else [EXTRA])])
-        raw = (spark.read.schema(text_schema)
-               .option("header", True).option("enforceSchema", not checked)
-               .option("multiLine", multiline is True or (multiline == "detect" and whole is not False))
-               .option("quote", '"').option("escape", '"')
-               .option("mode", "FAILFAST" if checked else "PERMISSIVE")
-               .csv(group))
-        raw = _with_order(spark, raw, listed)
+        if whole:
+            raw = _csv_records(spark, group, splits, heads, names, listed)
+        else:
+            raw = (spark.read.schema(text_schema)
+                   .option("header", True).option("enforceSchema", not checked)
+                   .option("multiLine", multiline is True or (multiline == "detect" and whole is not False))
+                   .option("quote", '"').option("escape", '"')
+                   .option("mode", "FAILFAST" if checked else "PERMISSIVE")
+                   .csv(group))
+            raw = _with_order(spark, raw, listed)
         if not checked:  # a filter: no projection prunes it
             raw = raw.where(F.col(EXTRA).isNull() | F.raise_error(F.concat(
                 F.lit(f"a row has more than {len(names)} fields in "), F.col("source_file"))).isNotNull()).drop(EXTRA)
@@ -284,15 +338,38 @@ def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.Struct
     return infer_types(df, [c for c in df.columns if c not in ("source_file",)]) if infer else df
 
 
+def _json_arrays(spark: SparkSession, files: list[str], listed: Listed, schema: T.StructType | None, sampling_ratio: float) -> DataFrame:
+    grammar = JsonGrammar()
+    splits, _ = scan(spark, files, grammar)
+    elements = split_records(records(spark, files, grammar, splits), grammar)
+    if schema is None:
+        reader = spark.read.option("mode", "FAILFAST").option("samplingRatio", sampling_ratio)
+        texts = getattr(elements.select("text")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+        try:
+            schema = T.StructType.fromJson(json.loads(reader._jreader.json(texts).schema().json()))
+        except AnalysisException as e:
+            raise TablePrepError(f"column names differ only in case: {e}") if "COLUMN_ALREADY_EXISTS" in str(e) else e
+        except Exception as e:  # inference meets a broken element first
+            raise TablePrepError(f"broken JSON: {str(e)[:300]}")
+    check_case(spark, schema.names)
+    parsed = elements.withColumn("v", F.from_json("text", schema, {"mode": "FAILFAST"}))
+    names = [n for n in schema.names if n.lower() != "source_file"]  # provenance takes the place of such a column
+    return _placed(spark, parsed, [F.col("v").getField(n).alias(n) for n in names], listed)
+
+
 def read_json(spark: SparkSession, paths, *, lines: bool = False, schema: T.StructType | None = None,
               sampling_ratio: float = 1.0, rejects: str = "raise") -> DataFrame:
     """S2: files that each hold one array of objects (``lines=True``: JSON
-    Lines, splittable).  Columns are the union of keys; absent keys are null.
+    Lines).  Columns are the union of keys; absent keys are null.
     Spark orders inferred fields by name.  Inference reads the input once;
     ``schema`` skips that pass and ``sampling_ratio`` shortens it.
 
+    An array is read by as many tasks as its file has splits: a scan of the splits tells
+    where its elements begin (``records``), each task parses its own.
+
     Broken JSON and files that are not an array raise; ``rejects="keep"`` returns
-    unreadable records instead, as rows whose text is in ``_corrupt_record``.
+    unreadable records instead, as rows whose text is in ``_corrupt_record`` (a file
+    with an array is then one task).
     """
     if rejects not in ("raise", "keep"):
         raise TablePrepError(f"rejects must be 'raise' or 'keep', not {rejects!r}")
@@ -300,8 +377,10 @@ def read_json(spark: SparkSession, paths, *, lines: bool = False, schema: T.Stru
     files = listed.distinct(lambda i: listed.sizes[i] > 0)
     if not files:
         raise TablePrepError("none of the JSON files holds any data")
+    if not lines and rejects == "raise":
+        return _json_arrays(spark, files, listed, schema, sampling_ratio)
     if not lines:
-        other = [p for p, line in first_lines(spark, files).items() if line is None or not line.lstrip("\ufeff \t\r\n").startswith("[")]
+        other = [p for p, line in first_lines(spark, listed, files).items() if line is None or not line.lstrip("\ufeff \t\r\n").startswith("[")]
         if other:
             raise TablePrepError(f"not an array of objects: {other}")
     mode = "FAILFAST" if rejects == "raise" else "PERMISSIVE"
@@ -321,30 +400,42 @@ def read_json(spark: SparkSession, paths, *, lines: bool = False, schema: T.Stru
 
 def read_xml(spark: SparkSession, paths, *, row_tag: str = "record", infer: bool = False,
              columns: list[str] | None = None, sampling_ratio: float = 1.0) -> DataFrame:
-    """S3: every ``<record>`` element is a row, every child element a text
+    """S3: every ``<record>`` child of the root is a row, every child element a text
     column; attributes are ignored, the last of repeated tags wins, padding is
-    kept and an empty element is null.  A truncated document raises.  Known gap:
-    Spark matches the row tag at any depth, not only under the root.  Finding the
-    element names reads the input once; ``columns`` skips that pass,
-    ``sampling_ratio`` shortens it."""
+    kept and an empty element is null.  Records further down are no rows, and one
+    inside of a record is a field.  A truncated document raises.
+
+    A document is read by as many tasks as its file has splits: a scan of the splits
+    tells how deep each begins (``records``).  Finding the element names reads the
+    records once; ``columns`` skips that pass, ``sampling_ratio`` shortens it."""
     listed = list_files(spark, paths)
     files = listed.distinct(lambda i: listed.sizes[i] > 0)
-    reader = spark.read.format("xml").option("rowTag", row_tag).option("excludeAttribute", True).option("mode", "FAILFAST")
-    if columns:
-        names = list(columns)
-    elif files:
-        try:
-            names = reader.option("inferSchema", False).option("samplingRatio", sampling_ratio).load(files).columns
-        except Exception as e:  # inference meets the broken document first
-            raise TablePrepError(f"broken XML: {str(e)[:300]}")
-    else:
-        names = []
+    if not files:
+        raise TablePrepError("no records in the XML files")
+    grammar = XmlGrammar(row_tag)
+    splits, _ = scan(spark, files, grammar)
+    found = split_records(records(spark, files, grammar, splits), grammar)
+
+    def child_names(batches):
+        seen: set[str] = set()
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                new = grammar.child_names(text) - seen
+                if new:
+                    seen |= new
+                    yield pa.RecordBatch.from_arrays([pa.array(sorted(new))], ["name"])
+
+    names = list(columns or [])
+    if not names:
+        some = found if sampling_ratio >= 1.0 else found.sample(False, sampling_ratio, 7)
+        names = sorted(r[0] for r in some.select("text").mapInArrow(child_names, "name string").distinct().collect())
     if not names:
         raise TablePrepError("no records in the XML files")
     check_case(spark, names)
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    df = reader.schema(text_schema).option("ignoreSurroundingSpaces", False).option("nullValue", "").load(files)
-    df = _with_order(spark, df, listed)
+    parsed = found.withColumn("v", F.from_xml("text", text_schema, {
+        "rowTag": row_tag, "excludeAttribute": "true", "mode": "FAILFAST", "ignoreSurroundingSpaces": "false", "nullValue": ""}))
+    df = _placed(spark, parsed, [F.col("v").getField(n).alias(n) for n in names], listed)
     return infer_types(df, names) if infer else df
 
 
