@@ -231,9 +231,10 @@ def first_lines(spark: SparkSession, listed: Listed, paths: list[str]) -> dict[s
     return {p: found.get(p) for p in paths}
 
 
-def _placed(spark: SparkSession, df: DataFrame, columns: list[Column], listed: Listed) -> DataFrame:
-    """``columns`` of records cut out of files, with provenance and the file-order key."""
-    tagged = df.select(*columns, F.col("path").alias("_tp_path"), F.col("block").alias("_pos_block"), F.col("row").alias("_pos_row"))
+def _placed(spark: SparkSession, df: DataFrame, columns: dict[str, Column], listed: Listed) -> DataFrame:
+    """``columns`` of records cut out of files, with the file-order key and provenance,
+    which takes the place of a column of its name."""
+    tagged = df.select(*[c.alias(n) for n, c in columns.items() if n.lower() != "source_file"], F.col("path").alias("_tp_path"), F.col("block").alias("_pos_block"), F.col("row").alias("_pos_row"))
     return with_positions(spark, tagged, listed).withColumnRenamed("_tp_file", "source_file")
 
 
@@ -253,7 +254,7 @@ def _csv_records(spark: SparkSession, paths: list[str], splits: list, heads: dic
     parsed = body.withColumn("v", F.from_csv(
         F.regexp_replace("text", r"\r\z", ""), ", ".join(f"{f} string" for f in fields),
         {"quote": '"', "escape": '"', "mode": "PERMISSIVE", "multiLine": "true"}))
-    return _placed(spark, parsed, [F.col("v")[f].alias(n) for f, n in zip(fields, [*names, EXTRA])], listed)
+    return _placed(spark, parsed, {n: F.col("v")[f] for f, n in zip(fields, [*names, EXTRA])}, listed)
 
 
 def csv_header(line: str) -> list[str]:
@@ -353,8 +354,7 @@ def _json_arrays(spark: SparkSession, files: list[str], listed: Listed, schema:
             raise TablePrepError(f"broken JSON: {str(e)[:300]}")
     check_case(spark, schema.names)
     parsed = elements.withColumn("v", F.from_json("text", schema, {"mode": "FAILFAST"}))
-    names = [n for n in schema.names if n.lower() != "source_file"]  # provenance takes the place of such a column
-    return _placed(spark, parsed, [F.col("v").getField(n).alias(n) for n in names], listed)
+    return _placed(spark, parsed, {n: F.col("v").getField(n) for n in schema.names}, listed)
 
 
 def read_json(spark: SparkSession, paths, *, lines: bool = False, schema: T.StructType | None = None,
@@ -435,8 +435,8 @@ def read_xml(spark: SparkSession, paths, *, row_tag: str = "record", infer: bool
     text_schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     parsed = found.withColumn("v", F.from_xml("text", text_schema, {
         "rowTag": row_tag, "excludeAttribute": "true", "mode": "FAILFAST", "ignoreSurroundingSpaces": "false", "nullValue": ""}))
-    df = _placed(spark, parsed, [F.col("v").getField(n).alias(n) for n in names], listed)
-    return infer_types(df, names) if infer else df
+    df = _placed(spark, parsed, {n: F.col("v").getField(n) for n in names}, listed)
+    return infer_types(df, [n for n in names if n.lower() != "source_file"]) if infer else df
 
 
 def read_files(spark: SparkSession, paths, *, lower_names: bool = False, **kw) -> DataFrame:
