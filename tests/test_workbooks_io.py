@@ -3,6 +3,7 @@ import glob
 import os
 
 import pytest
+from fixtures import write_book
 from pyspark.sql import functions as F
 
 from tableprep.errors import TablePrepError
@@ -156,3 +157,50 @@ def test_check_inputs_flags(spark, files):
     msg = str(e.value)
     assert "one_column.csv is not a valid CSV" in msg and "empty.csv is empty" in msg
     assert "mixed_array.json must contain an array of objects" in msg
+
+
+def test_sheets_are_units_of_work(spark, files, tmp_path):
+    from tableprep.sources.xlsx import read_cells, read_sheets, read_xlsx
+
+    book = {f"s{i}": [["a", "b"], *[[j, "x" * 50] for j in range(400)]] for i in range(6)}
+    path = write_book(str(tmp_path / "many.xlsx"), book)
+    packed = read_sheets(spark, path).collect()
+    assert [(r.sheet, r.sheet_pos) for r in packed] == [(f"s{i}", i) for i in range(6)]
+    assert all(len(r.part) < 0.2 * 400 * 90 for r in packed)  # still deflated
+    cells = read_cells(spark, path).where("row_pos >= 0")
+    tasks = cells.groupBy(F.spark_partition_id()).agg(F.countDistinct("sheet")).collect()
+    assert len(tasks) > 2
+    some = read_xlsx(spark, [path, files["book.xlsx"]], sheets=["s4", "Data1"])
+    assert {tuple(r) for r in some.select("source_file", "sheet").distinct().collect()} == {("many.xlsx", "s4"), ("book.xlsx", "Data1")}
+    assert some.where("sheet = 's4'").orderBy("row_pos").select("a").collect() == [(j,) for j in range(400)]
+
+
+def test_many_small_workbooks(spark, tmp_path, monkeypatch):
+    from tableprep.sources import xlsx
+
+    for i in range(60):
+        write_book(str(tmp_path / f"w{i:02}.xlsx"), {"only": [["n", "extra" if i % 2 else "other"], [i, i * i]], "none": []})
+    monkeypatch.setattr(xlsx, "MAX_SHEETS", 20)  # a bound of one workbook, not of the request
+    got = xlsx.read_xlsx(spark, str(tmp_path)).orderBy("_pos_file").select("n", "extra", "other", "_pos_file").collect()
+    assert [tuple(r) for r in got] == [(i, i * i if i % 2 else None, None if i % 2 else i * i, i) for i in range(60)]
+    monkeypatch.setattr(xlsx, "MAX_HEADERS", 1)
+    with pytest.raises(TablePrepError):
+        xlsx.read_xlsx(spark, str(tmp_path))
+
+
+def test_parts_are_read_as_streams(spark, tmp_path):
+    import tracemalloc
+    import zipfile
+
+    from tableprep.sources import xlsx
+
+    path = write_book(str(tmp_path / "tall.xlsx"), {"s": [["a"], *[[float(j)] for j in range(60_000)]]})
+    with zipfile.ZipFile(path) as z:
+        size = z.getinfo("xl/worksheets/sheet1.xml").file_size
+    (_, _, part, strings, styles, date1904), = xlsx.cut_workbook(open(path, "rb").read())
+    tracemalloc.start()
+    n = sum(len(cells) for _, cells in xlsx.sheet_rows(part, strings, styles, date1904))
+    assert n == 60_001 and tracemalloc.get_traced_memory()[1] < 6e6 and size > 1.5e6
+    tracemalloc.stop()
+    stored = bytes([zipfile.ZIP_STORED]) + b"".join(xlsx._stream(part))
+    assert list(xlsx.sheet_rows(stored, strings, styles, date1904)) == list(xlsx.sheet_rows(part, strings, styles, date1904))
