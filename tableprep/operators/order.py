@@ -237,14 +237,17 @@ def split_index(df: DataFrame) -> SplitIndex | None:
     return None
 
 
-def _index_by_split(df: DataFrame, index: SplitIndex, index_col: str, index_range: tuple[int, int] | None) -> DataFrame:
-    """Add the running sum over the splits to each row's number in its split.
+def _index_by_split(df: DataFrame, index: SplitIndex, index_col: str, index_range: tuple[int, int] | None,
+                    by_file: bool = False) -> DataFrame:
+    """Add the running sum over the splits (``by_file``: over those of its file) to each
+    row's number in its split.
 
     A split that was not counted, or a number beyond those counted in it, raises: the
     input then changed or was cut into other splits between the two jobs (set
     ``spark.sql.files.minPartitionNum`` where executors come and go)."""
-    rows, run = [], 0
+    rows, run, last = [], 0, None
     for file, block, first, n in index.splits:
+        run, last = (0 if by_file and file != last else run), file
         if index_range is None or (run <= index_range[1] and run + n > index_range[0]):
             rows.append((file, block, first, n, run))
         run += n
@@ -293,10 +296,10 @@ def with_row_index(
         raise TablePrepError("order_by is required for an ordered operation")
     keys = parts + order
     _check_columns(df, keys)
-    if order == ROW_ORDER and not parts:
+    if order == ROW_ORDER and (not parts or parts == ROW_ORDER[:1] and index_range is None):
         index = split_index(df)
         if index is not None:
-            return _index_by_split(df, index, index_col, index_range)
+            return _index_by_split(df, index, index_col, index_range, by_file=bool(parts))
     n = df.count() if total_rows is None else total_rows
 
     bcol = "_tp_bucket"

@@ -204,3 +204,63 @@ def test_parts_are_read_as_streams(spark, tmp_path):
     tracemalloc.stop()
     stored = bytes([zipfile.ZIP_STORED]) + b"".join(xlsx._stream(part))
     assert list(xlsx.sheet_rows(stored, strings, styles, date1904)) == list(xlsx.sheet_rows(part, strings, styles, date1904))
+
+
+def test_named_parts_of_files(spark, tmp_path):
+    import csv
+    import json
+
+    from tableprep.plans.batch import split_files
+    from tableprep.sinks.named import leftovers
+
+    for name, n in (("b", 25), ("a", 7)):
+        (tmp_path / f"{name}.csv").write_text(f"v,{name}\n" + "".join(f'{i},"{name}\n{i}"\n' for i in range(n)))
+    out = str(tmp_path / "out")
+    paths = [str(tmp_path / f) for f in ("b.csv", "a.csv")]
+    names = split_files(spark, paths, out, 10)
+    want = {"split_b.csv_part_1.csv": range(10), "split_b.csv_part_2.csv": range(10, 20), "split_b.csv_part_3.csv": range(20, 25), "split_a.csv_part_1.csv": range(7)}
+    assert names == sorted(want) == sorted(f for f in os.listdir(out) if not f.startswith(".")) and leftovers(spark, out) == []
+    for name, values in want.items():
+        kind = name[6]
+        with open(f"{out}/{name}", newline="") as f:
+            assert list(csv.reader(f)) == [["v", kind], *[[str(i), f"{kind}\n{i}"] for i in values]]
+    with pytest.raises(TablePrepError, match="already there"):
+        split_files(spark, paths, out, 10)
+    assert split_files(spark, paths, out, 10, overwrite=True) == names and leftovers(spark, out) == []
+    (tmp_path / "x.json").write_text(json.dumps([{"k": i} for i in range(5)]))
+    split_files(spark, [str(tmp_path / "x.json")], out, 3)
+    assert [json.loads(x)["k"] for x in open(f"{out}/split_x.json_part_2.json")] == [3, 4]
+    with pytest.raises(TablePrepError):
+        split_files(spark, [paths[0], paths[0]], out, 3)
+
+
+def test_a_failed_write_publishes_nothing(spark, tmp_path):
+    from tableprep.sinks.named import NamedOutput, leftovers
+
+    out = str(tmp_path / "out")
+    rows = spark.range(40).select("id", (F.col("id") % 4).alias("part"))
+    broken = rows.withColumn("id", F.when(F.col("id") < 39, F.col("id")).otherwise(F.raise_error(F.lit("lost")).cast("long")))
+    with pytest.raises(Exception, match="lost"):
+        with NamedOutput(spark, out) as named:
+            named.add(broken, "csv", ["part"], ["id"], lambda part: f"p{part}")
+            named.publish()
+    assert leftovers(spark, out) == [] and glob.glob(out + "/*") == []
+    with NamedOutput(spark, out) as named:
+        named.add(rows, "json", ["part"], ["id"], lambda part: f"p{part}", compression="gzip")
+        assert leftovers(spark, out) and not os.path.exists(out + "/p0.json.gz")  # nothing before it is whole
+        assert named.publish() == [f"p{i}.json.gz" for i in range(4)]
+    assert [r.id for r in spark.read.json(out + "/p3.json.gz").collect()] == list(range(3, 40, 4))
+    with pytest.raises(TablePrepError, match="two files"):
+        with NamedOutput(spark, out) as named:
+            named.add(rows, "csv", ["part"], ["id"], lambda part: "same")
+            named.publish()
+
+
+def test_named_batches(spark, files, tmp_path):
+    out = str(tmp_path / "out")
+    batch_convert(spark, [files["people.csv"], files["clash.csv"]], out, "csv", "json", named=True)
+    assert sorted(f for f in os.listdir(out) if f.endswith(".json")) == ["converted_0.json", "converted_1.json"]
+    assert spark.read.json(out + "/converted_1.json").columns == ["age", "name"]
+    batch_clean(spark, [files["people.csv"], files["clash.csv"]], {"trim_whitespace": True}, out, named=True)
+    assert open(out + "/cleaned_1.csv").read() == "name,age\nHal,forty\n"
+    assert open(out + "/cleaned_0.csv").read().splitlines()[1].startswith("Ann,30,Oslo")
