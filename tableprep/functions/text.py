@@ -100,6 +100,10 @@ DEFAULT_DATE_INPUTS = [
     "yyyyMMdd",
 ]
 
+# Where one pattern is sought for a whole column: month first before day first.
+_MONTH_FIRST, _DAY_FIRST = ([f"{a}{sep}{b}{sep}yyyy{time}" for sep in "/-." for time in ("", " HH:mm", " HH:mm:ss")] for a, b in ("Md", "dM"))
+COLUMN_DATE_INPUTS = [*[p for p in DEFAULT_DATE_INPUTS if p not in _MONTH_FIRST + _DAY_FIRST], *_MONTH_FIRST, *_DAY_FIRST]
+
 
 def pattern_guard(pattern: str) -> str:
     """A lenient regex for the shape of a Spark datetime pattern.

@@ -7,13 +7,14 @@ steps that look at "all columns" look at data columns only.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TablePrepError
-from ..functions.text import (DEFAULT_DATE_INPUTS, WHITESPACE, is_integer, number, pattern_guard, standard_name,
+from ..functions.text import (COLUMN_DATE_INPUTS, DEFAULT_DATE_INPUTS, WHITESPACE, is_integer, number, pattern_guard, standard_name,
                               strftime_to_spark)
 from .order import ROW_ORDER, file_order_columns
 
@@ -233,7 +234,7 @@ def cast_columns(df: DataFrame, types_spec: dict, on_fraction: str = "null") ->
                 d = number(col) if isinstance(t, T.StringType) else col.try_cast("double")
                 bad = df.where((d != F.floor(d)) & ~F.isnan(d)).limit(1).count()
                 if bad:
-                    raise TablePrepError(f"Error converting {c} to int")
+                    raise TablePrepError(f"{c} holds values that are no whole numbers")
         elif kind == "float":
             d = number(col) if isinstance(t, T.StringType) else col.try_cast("double")
             exprs[c] = F.nanvl(d, F.lit(None).cast("double"))  # NaN is pandas' missing value
@@ -287,11 +288,50 @@ def parse_datetime(col: Column, dtype: T.DataType, input_formats=None) -> Column
     return F.coalesce(*[F.when(col.rlike(pattern_guard(f)), F.try_to_timestamp(col, F.lit(f))) for f in fmts])
 
 
-def normalize_dates(df: DataFrame, column: str, fmt: str = "%Y-%m-%d", input_formats=None, output_col=None) -> DataFrame:
-    """Parse with an ordered list of patterns (first match wins, others give
-    null) and format with a strftime format; the result is text."""
+def column_date_format(df: DataFrame, column: str, order_by=None, input_formats=None, rule: str = "column") -> str | None:
+    """The one input pattern that a text column is read by, or None if its first value has none.
+
+    One aggregate, merged from every task's share of the rows: a bit for each pattern that all
+    present values satisfy so far, and the first present value in row order.  ``rule``:
+    ``"first"`` takes the first pattern of the list that the first value satisfies;
+    ``"column"`` the first of those that every value satisfies as well, if there is one."""
+    order = list(order_by) if order_by else file_order_columns(df)
+    if not order:
+        raise TablePrepError("the first value of a column needs a row order: pass order_by")
+    _require(df, [column, *order])
+    fmts, x = list(input_formats) if input_formats else COLUMN_DATE_INPUTS, _q(column)
+
+    def fits(f: str, value: Column) -> Column:
+        return F.coalesce(value.rlike(pattern_guard(f)) & F.try_to_timestamp(value, F.lit(f)).isNotNull(), F.lit(False))
+
+    bits = [F.when(fits(f, x), F.lit(1 << i)).otherwise(F.lit(0)) for i, f in enumerate(fmts)]
+    present = df.where(x.isNotNull() & (F.trim(x) != "")).select(
+        x.alias("value"), F.struct(*[_q(c) for c in order]).alias("place"), reduce(lambda a, b: a.bitwiseOR(b), bits).alias("fits"))
+    row = present.agg(F.min_by("value", "place").alias("first"), F.min_by("fits", "place").alias("first_fits"), F.bit_and("fits").alias("all_fit")).first()
+    if row["first_fits"] is None:
+        return None
+    allowed = row["first_fits"] & row["all_fit"] if rule == "column" and row["first_fits"] & row["all_fit"] else row["first_fits"]
+    return next((f for i, f in enumerate(fmts) if allowed >> i & 1), None)
+
+
+def normalize_dates(df: DataFrame, column: str, fmt: str = "%Y-%m-%d", input_formats=None, output_col=None, *,
+                    per: str = "value", order_by=None) -> DataFrame:
+    """Parse with an ordered list of patterns and format with a strftime format; the
+    result is text, null where the pattern doesn't fit.
+
+    ``per="value"``: each value by the first pattern that fits it.  ``per="column"`` and
+    ``per="first"``: the whole column by one pattern (``column_date_format``), so that a
+    day-first column isn't read month first where both would do; the first value is
+    that of ``order_by``, else of the readers' file order."""
+    if per not in ("value", "column", "first"):
+        raise TablePrepError(f"per is 'value', 'column' or 'first', not {per!r}")
     if column not in df.columns:
-        raise TablePrepError(f"Date column {column} not found")
+        raise TablePrepError(f"no column {column} to read dates from")
     dtype = dict((f.name, f.dataType) for f in df.schema.fields)[column]
+    if per != "value" and isinstance(dtype, T.StringType):
+        one = column_date_format(df, column, order_by, input_formats, per)
+        if one is None:
+            return df.withColumn(output_col or column, F.lit(None).cast("string"))
+        input_formats = [one]
     parsed = parse_datetime(_q(column), dtype, input_formats)
     return df.withColumn(output_col or column, F.date_format(parsed, strftime_to_spark(fmt)))

@@ -160,7 +160,7 @@ def _resolve(entry, names: list[str]):
         return names[int(entry)], True
     if isinstance(entry, int) and 0 <= entry < len(names):
         return names[entry], True
-    raise TablePrepError(f"Invalid sheet name or index: {entry}")
+    raise TablePrepError(f"no sheet is named or numbered {entry}")
 
 
 def reorder(sheets: DataFrame, order: list, all_sheets=None) -> DataFrame:

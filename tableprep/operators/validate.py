@@ -51,7 +51,7 @@ def schema_sets_consistent(dfs: list[DataFrame]) -> bool:
 
 def require_consistent_schema(dfs: list[DataFrame], what: str = "files") -> None:
     if not schema_sets_consistent(dfs):
-        raise TablePrepError(f"Inconsistent schema across {what}")
+        raise TablePrepError(f"{what} do not all have the same columns")
 
 
 # V2 ---------------------------------------------------------------------
@@ -178,7 +178,7 @@ def _index_text(field: str) -> Column:
 
 def _pattern_columns(pattern: str) -> list[str]:
     if not pattern:
-        raise TablePrepError("Rename pattern is required")
+        raise TablePrepError("no rename pattern given")
     out, i = [], 0
     while i < len(pattern):
         field = re.compile(r"\{filename\}|\{index(:0?\d*d?)?\}").match(pattern, i)

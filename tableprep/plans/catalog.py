@@ -228,6 +228,26 @@ def clean_dates(spark, d):
     return clean(src, {"normalize_dates": {"column": "order_day", "format": "%d/%m/%Y"}})
 
 
+_TEXT_DAYS = "select *, strftime(o_orderdate, '%d/%m/%Y') as day from orders where o_orderstatus <> 'P'"
+
+
+@query("clean_dates_column", f"""
+with t as ({_TEXT_DAYS}), u as (
+  select *, try_strptime(day, '%m/%d/%Y') is not null as month_first, row_number() over (order by o_orderkey) as n from t),
+f as (select max(case when n = 1 then month_first end) as first_month_first, bool_and(month_first) as all_month_first from u)
+select o_orderkey,
+  strftime(case when all_month_first then strptime(day, '%m/%d/%Y') else strptime(day, '%d/%m/%Y') end, '%Y-%m-%d') as order_day,
+  strftime(case when first_month_first then try_strptime(day, '%m/%d/%Y') else strptime(day, '%d/%m/%Y') end, '%Y-%m-%d') as by_first
+from u cross join f
+""")
+def clean_dates_column(spark, d):
+    orders = _t(spark, d, "orders").where("o_orderstatus <> 'P'")
+    src = orders.select("o_orderkey", F.date_format("o_orderdate", "dd/MM/yyyy").alias("order_day"))
+    src = src.withColumn("by_first", F.col("order_day"))
+    out = clean(src, {"normalize_dates": {"column": "order_day", "per": "column"}}, order_by=["o_orderkey"])
+    return clean(out, {"normalize_dates": {"column": "by_first", "per": "first"}}, order_by=["o_orderkey"])
+
+
 # ---------------------------------------------------------------- F1-F4
 _ORDERS_COLS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 

@@ -69,7 +69,8 @@ def clean(df: DataFrame, tasks: dict, order_by=None, numeric_fill: str = "auto")
     if (o := _opts(tasks.get("normalize_dates"))) is not None:
         if "column" not in o:
             raise TablePrepError("normalize_dates needs a column")
-        df = C.normalize_dates(df, o["column"], o.get("format", "%Y-%m-%d"), o.get("input_formats"))
+        df = C.normalize_dates(df, o["column"], o.get("format", "%Y-%m-%d"), o.get("input_formats"),
+                               per=o.get("per", "value"), order_by=o.get("order_by", order_by))
     return df
 
 

@@ -33,7 +33,7 @@ def write(df: DataFrame, path: str, fmt: str, *, mode: str = "overwrite", order_
     """
     fmt = fmt.lower()
     if fmt not in FORMATS:
-        raise TablePrepError(f"Unsupported output format: {fmt}")
+        raise TablePrepError(f"{fmt} is none of the formats written: {FORMATS}")
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     out = _prepare(df, order_by, parts)
     w = out.write.mode(mode)

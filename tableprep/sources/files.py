@@ -55,7 +55,7 @@ def format_of(path: str) -> str:
     if ext == ".xls":
         raise TablePrepError("legacy .xls workbooks are not supported")
     if ext not in FORMATS:
-        raise TablePrepError(f"Unsupported file format: {path}")
+        raise TablePrepError(f"{path} has none of the suffixes read: {sorted(FORMATS)}")
     return FORMATS[ext]
 
 

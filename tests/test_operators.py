@@ -182,3 +182,22 @@ def test_dedupe_keeps_first_with_map_payload(spark):
     assert out == {1: (1, {"b": 2}), 2: (5, None)}
     last = {r["k"]: r["pos"] for r in C.dedupe(df, ["k"], order_by=["pos"], keep="last").collect()}
     assert last == {1: 2, 2: 5}
+
+
+def test_dates_of_a_column_are_read_by_one_pattern(spark):
+    from tableprep.operators.clean import column_date_format, normalize_dates
+
+    def read(values, per, **kw):
+        df = spark.createDataFrame(list(enumerate(values)), "i int, d string").repartition(4, "d")
+        return [r.d for r in normalize_dates(df, "d", per=per, order_by=["i"], **kw).orderBy("i").collect()]
+
+    day_first = ["13/01/2024", None, "02/01/2024", "", "x"]
+    assert read(day_first, "column") == read(day_first, "first") == ["2024-01-13", None, "2024-01-02", None, None]
+    unclear = ["02/01/2024", "13/01/2024"]  # the first value alone says month first
+    assert read(unclear, "first") == ["2024-02-01", None] and read(unclear, "column") == ["2024-01-02", "2024-01-13"]
+    assert read(["2024-01-05", "13/01/2024"], "column") == ["2024-01-05", None]  # nothing fits all: the first value's
+    assert read(["x", "2024-01-05"], "column") == [None, None] and read([None], "first") == [None]
+    df = spark.createDataFrame([("1.2.2024",)], "d string")
+    with pytest.raises(TablePrepError):
+        column_date_format(df, "d")
+    assert column_date_format(df, "d", ["d"], ["M.d.yyyy", "d.M.yyyy"]) == "M.d.yyyy"
