@@ -7,6 +7,7 @@ columns carry the same names in Spark and SQL.
 """
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +21,9 @@ from ..operators import validate as V
 from ..operators.merge import merge, tag_source, union_by_name
 from ..operators.order import ROW_ORDER, slice_rows, with_row_index
 from ..operators.split import part_sizes, with_parts
+from ..session import checkpoint_dir
 from ..sources.files import infer_types, na_to_null
+from ..sources.indexed import IndexedTable
 from ..sources.tables import read_ordered, read_tables
 from .tasks import clean, extract
 
@@ -549,6 +552,16 @@ def slice_file_order(spark, d):
     return slice_rows(some, 300, 2299, ROW_ORDER, keep_index=True).select(*LINE_KEY, "row_idx")
 
 
+@query("slice_indexed_table", f"""
+select {LINE_KEY_SQL}, row_idx from (select *, row_number() over (order by {LINE_KEY_SQL}) - 1 as row_idx from lineitem)
+where row_idx between 1200 and 3499
+""")
+def slice_indexed_table(spark, d):
+    path = f"{checkpoint_dir(spark)}/indexed-{uuid.uuid4().hex}"
+    table = IndexedTable.build(_t(spark, d, "lineitem").select(*LINE_KEY), path, LINE_KEY, rows_per_zone=1000)
+    return table.slice(1200, 3499)
+
+
 @query("split_part_sizes", f"""
 select part, count(*) as rows from (
   select (row_number() over (order by {LINE_KEY_SQL}) - 1) // 1000 + 1 as part from lineitem)
