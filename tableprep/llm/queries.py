@@ -84,7 +84,11 @@ def _mix_sql() -> str:
     for dim, spec in MIX_TARGETS.items():
         if isinstance(spec, dict):
             pairs = " ".join(f"when '{k}' then {v}::double" for k, v in spec.items())
-            want = f"select distinct {dim}, case {dim} {pairs} else 0::double end as want from cells"
+            # values without a listed share keep the one they have, the listed ones share the rest
+            want = f"""select {dim}, coalesce(share * (1 - coalesce(others, 0) / coalesce(nullif(total, 0), 1)) / coalesce(nullif(listed, 0), 1),
+    held / coalesce(nullif(total, 0), 1)) as want
+  from (select *, sum(held) over () as total, sum(case when share is null then held end) over () as others, sum(share) over () as listed
+    from (select {dim}, sum(tokens)::double as held, case {dim} {pairs} end as share from cells group by {dim}))"""
         else:
             want = f"select {dim}, pow(sum(tokens), {spec}) as want from cells group by {dim}"
         ctes.append(f"t_{dim} as (select {dim}, want / sum(want) over () as target from ({want}))")

@@ -481,3 +481,16 @@ def test_decode_without_a_leading_space():
     for pieces in (["h", "i"], ["▁", "h"], ["▁the", "h"], ["▁", "▁", "a"]):
         ids = [sp.piece_to_id(p) for p in pieces]
         assert codec.decode(np.array(ids)) == sp.decode(ids)
+
+
+def test_mixing_oracle_with_null_and_unlisted_languages(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF01}/documents.parquet")
+    lang = F.when(F.col("doc_id") % 33 == 0, None).when(F.col("doc_id") % 47 == 0, "pt").otherwise(F.col("lang"))
+    docs.withColumn("lang", lang).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duck(SF001)
+    con.execute(f"create or replace view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    name = "op7_mixing_ipf"
+    r = compare(spark, con, name, QUERIES[name], ORACLE[name], str(tmp_path))
+    assert r["ok"], r
+    drawn = QUERIES[name](spark, str(tmp_path)).where("drawn").groupBy("lang").count().collect()
+    assert {x.lang for x in drawn} >= {"<null>", "pt", "en"}
