@@ -45,3 +45,34 @@ def test_stream_refuses_whole_input_steps(spark):
         clean_stream(stream, {"remove_empty_columns": True})
     with pytest.raises(TablePrepError):
         clean_stream(spark.range(3), {"trim_whitespace": True})
+
+
+def test_keep_first_by_event_order(spark):
+    src = tempfile.mkdtemp(prefix="tableprep-stream-")
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("seq", T.LongType()), T.StructField("at", T.TimestampType()),
+                           T.StructField("note", T.StringType())])
+
+    def arrive(name, *lines):
+        with open(os.path.join(src, name), "w") as f:
+            f.write("k,seq,at,note\n" + "".join(x + "\n" for x in lines))
+        q.processAllAvailable()
+
+    stream = read_csv_stream(spark, src, schema).drop("source_file")
+    tasks = {"remove_duplicates": {"columns": ["k"], "order_by": ["at", "seq"]}, "trim_whitespace": True}
+    kept = clean_stream(stream, tasks, watermark=("at", "10 minutes"))
+    q = kept.writeStream.format("memory").queryName("tp_stream_first").outputMode("append").start()
+    try:
+        arrive("a.csv", "x,5,2024-01-01 10:05:00.123456,later", "y,1,2024-01-01 10:06:00, only ", "x,6,2024-01-01 10:05:00.123456,tie")
+        arrive("b.csv", "x,9,2024-01-01 10:01:00,first by time", "x,2,2024-01-01 10:05:00,")  # late, but before the watermark
+        assert spark.sql("select * from tp_stream_first").count() == 0
+        arrive("c.csv", "z,1,2024-01-01 11:00:00,", "x,1,2024-01-01 10:59:00,again")  # the watermark passes x and y
+        arrive("d.csv", "x,0,2024-01-01 09:00:00,too late")
+        arrive("e.csv", "z,2,2024-01-01 13:00:00,new")
+        arrive("f.csv", "w,2,2024-01-01 13:00:00,new")
+    finally:
+        q.stop()
+    got = {(r.k, r.seq, str(r["at"]), r.note) for r in spark.sql("select * from tp_stream_first").collect()}
+    assert {("x", 9, "2024-01-01 10:01:00", "first by time"), ("y", 1, "2024-01-01 10:06:00", "only")} <= got
+    assert not any(r[3] in ("too late", "later", "tie") for r in got)
+    with pytest.raises(TablePrepError):
+        clean_stream(stream, tasks)
