@@ -23,6 +23,7 @@ import csv
 import io
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import pyarrow as pa
@@ -215,7 +216,8 @@ def first_lines(spark: SparkSession, listed: Listed, paths: list[str]) -> dict[s
     task that keeps one a file.
     """
     if len(paths) <= HEADER_PROBES:
-        return {p: first_line(spark, p) for p in paths}
+        with ThreadPoolExecutor(max(1, len(paths))) as pool:
+            return dict(zip(paths, pool.map(lambda p: first_line(spark, p), paths)))
 
     def first(batches):
         seen = None
