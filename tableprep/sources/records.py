@@ -279,7 +279,8 @@ def scan(spark: SparkSession, paths: list[str], grammar: Grammar) -> tuple[list[
              pa.array([now[3]], pa.int64())], ["path", "block", "modes", "depths", "head", "head_row"])
 
     schema = "path string, block bigint, modes array<bigint>, depths array<bigint>, head string, head_row bigint"
-    rows = chunks(spark, paths, grammar).mapInArrow(run, schema).limit(MAX_SPLITS + 1).collect()
+    # a limit here would run the splits in waves; the driver plans each of them anyway
+    rows = chunks(spark, paths, grammar).mapInArrow(run, schema).collect()
     if len(rows) > MAX_SPLITS:
         raise TablePrepError(f"the files have more than {MAX_SPLITS} splits; raise spark.sql.files.maxPartitionBytes")
     splits, state, last, heads = [], (0, 0), None, {}
