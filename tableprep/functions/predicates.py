@@ -7,6 +7,9 @@ Column that is never null, so ``&``, ``|`` and ``~`` combine exactly like the
 pandas masks.  NaN counts as missing (it is pandas' null marker), so a NaN
 operand never satisfies ``>`` -- unlike Spark's NaN ordering.
 
+Values of a variant column are compared by their own type: a number never equals or exceeds
+a text, and only ``!=`` holds between them.
+
     from tableprep.functions.predicates import c, where
     where(df, (c("age") > 30) & ~c("city").isin(["Oslo"]))
 
@@ -18,12 +21,14 @@ Nothing here parses text; a SQL string is accepted only through
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import TablePrepError
+from .variant import compare, is_variant, present, views
 
 _FLOATS = (T.FloatType, T.DoubleType)
 
@@ -46,12 +51,33 @@ class Operand:
     def raw(self, df: DataFrame) -> Column:
         return self._build(df)
 
-    def compile(self, df: DataFrame) -> Column:
+    def typed(self, df: DataFrame) -> tuple[Column, T.DataType]:
+        """The operand with missing values as null, and its type."""
         expr = self._build(df)
         dtype = df.select(expr).schema.fields[0].dataType
         if isinstance(dtype, _FLOATS):
             expr = F.nanvl(expr, F.lit(None).cast(dtype))
-        return expr
+        return (present(expr) if is_variant(dtype) else expr), dtype
+
+    def compile(self, df: DataFrame) -> Column:
+        """As ``typed``; of a variant column its numbers, which arithmetic and functions take."""
+        expr, dtype = self.typed(df)
+        return views(expr, dtype)["number"] if is_variant(dtype) else expr
+
+    def text(self, df: DataFrame) -> Column:
+        """As text; of a variant column only the values that are text."""
+        expr, dtype = self.typed(df)
+        return views(expr, dtype)["text"] if is_variant(dtype) else expr.cast("string")
+
+    def compared(self, other: "Operand", df: DataFrame, op) -> Column:
+        """``op`` on both; values of variant columns are compared by their own type."""
+        (a, kind), (b, other_kind) = self.typed(df), other.typed(df)
+        if is_variant(kind) or is_variant(other_kind):
+            return compare(views(a, kind), views(b, other_kind), op)
+        return op(a, b)
+
+    def mixed(self, df: DataFrame) -> bool:
+        return is_variant(df.select(self.raw(df)).schema.fields[0].dataType)
 
     # arithmetic -------------------------------------------------------
     def _bin(self, other, op) -> "Operand":
@@ -84,8 +110,8 @@ class Operand:
         implied = None
         if not when_missing and self.plain and o.is_literal and o.value is not None:
             # a necessary condition Spark can push down: exact => raw comparison
-            implied = lambda df: op(self.raw(df), F.lit(o.value))
-        return Cond(lambda df: F.coalesce(op(self.compile(df), o.compile(df)), F.lit(when_missing)), implied,
+            implied = lambda df: F.lit(True) if self.mixed(df) else op(self.raw(df), F.lit(o.value))
+        return Cond(lambda df: F.coalesce(self.compared(o, df, op), F.lit(when_missing)), implied,
                     self.refs | o.refs)
 
     def __eq__(self, o): return self._cmp(o, lambda a, b: a == b, False)  # type: ignore[override]
@@ -104,14 +130,19 @@ class Operand:
 
     def isin(self, values: Iterable) -> "Cond":
         vals = list(values)
-        implied = (lambda df: self.raw(df).isin(vals)) if self.plain else None
-        return Cond(lambda df: F.coalesce(self.compile(df).isin(vals), F.lit(False)), implied, self.refs)
+        implied = (lambda df: F.lit(True) if self.mixed(df) else self.raw(df).isin(vals)) if self.plain else None
+
+        def build(df):
+            if self.mixed(df):
+                return reduce(lambda a, b: a | b, [(self == v).compile(df) for v in vals if v is not None], F.lit(False))
+            return F.coalesce(self.compile(df).isin(vals), F.lit(False))
+        return Cond(build, implied, self.refs)
 
     def not_in(self, values: Iterable) -> "Cond":
         return ~self.isin(values)
 
     def isnull(self) -> "Cond":
-        return Cond(lambda df: self.compile(df).isNull(), refs=self.refs)  # NaN counts: no plain implied form
+        return Cond(lambda df: self.typed(df)[0].isNull(), refs=self.refs)  # NaN counts: no plain implied form
 
     def notnull(self) -> "Cond":
         return ~self.isnull()
@@ -119,7 +150,7 @@ class Operand:
     # string methods (missing values give False, as with na=False) -------
     def contains(self, pattern: str, regex: bool = True, case: bool = True) -> "Cond":
         def build(df):
-            x = self.compile(df).cast("string")
+            x = self.text(df)
             if regex:
                 return x.rlike(pattern if case else "(?i)" + pattern)
             if not case:
@@ -128,13 +159,13 @@ class Operand:
         return Cond(lambda df: F.coalesce(build(df), F.lit(False)), refs=self.refs)
 
     def startswith(self, prefix: str) -> "Cond":
-        implied = (lambda df: self.raw(df).startswith(prefix)) if self.plain else None
-        return Cond(lambda df: F.coalesce(self.compile(df).cast("string").startswith(prefix), F.lit(False)),
+        implied = (lambda df: F.lit(True) if self.mixed(df) else self.raw(df).startswith(prefix)) if self.plain else None
+        return Cond(lambda df: F.coalesce(self.text(df).startswith(prefix), F.lit(False)),
                     implied, self.refs)
 
     def endswith(self, suffix: str) -> "Cond":
         implied = (lambda df: self.raw(df).endswith(suffix)) if self.plain else None
-        return Cond(lambda df: F.coalesce(self.compile(df).cast("string").endswith(suffix), F.lit(False)),
+        return Cond(lambda df: F.coalesce(self.text(df).endswith(suffix), F.lit(False)),
                     implied, self.refs)
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..errors import TablePrepError
 from ..functions.text import (COLUMN_DATE_INPUTS, DEFAULT_DATE_INPUTS, WHITESPACE, is_integer, number, pattern_guard, standard_name,
                               strftime_to_spark)
+from ..functions.variant import is_variant, key_of, map_text, missing as variant_missing, to_variant, views
 from .order import ROW_ORDER, file_order_columns
 
 META_COLUMNS = {"source_file", "source_sheet", "file_pos", "sheet", "sheet_pos", "row_pos", *ROW_ORDER}
@@ -34,6 +35,8 @@ def _q(name: str) -> Column:
 
 def _missing(col: Column, dtype: T.DataType) -> Column:
     """pandas' notion of a missing value: null, or NaN for floats."""
+    if is_variant(dtype):
+        return variant_missing(col)
     if isinstance(dtype, _FLOATS):
         return col.isNull() | F.isnan(col)
     return col.isNull()
@@ -49,6 +52,9 @@ def _require(df: DataFrame, cols) -> None:
 def drop_empty_rows(df: DataFrame, subset=None) -> DataFrame:
     """Drop rows whose data columns are all missing (null or NaN)."""
     cols = list(subset) if subset else data_columns(df)
+    types = dict((f.name, f.dataType) for f in df.schema.fields)
+    if any(is_variant(types.get(c)) for c in cols):  # na.drop doesn't look into variants
+        return df.where(~reduce(lambda a, b: a & b, [_missing(_q(c), types[c]) for c in cols]))
     return df.na.drop(how="all", subset=cols) if cols else df
 
 
@@ -78,6 +84,7 @@ def dedupe(df: DataFrame, columns=None, order_by=None, keep: str = "first") -> D
     ``min_by(struct(rest), struct(order))`` per group: an aggregate with map-side partial
     aggregation, so a key holding a third of all rows is reduced in every map
     task before the shuffle instead of landing whole in one window task.
+    Values of a variant column are equal by type and value (``variant.key_of``).
     """
     data_cols = data_columns(df)
     cols = data_cols if columns in (None, True) or columns == {} else list(columns)
@@ -85,17 +92,22 @@ def dedupe(df: DataFrame, columns=None, order_by=None, keep: str = "first") -> D
     order = list(order_by) if order_by else file_order_columns(df)
     if keep not in ("first", "last"):
         raise TablePrepError(f"Unsupported keep: {keep}")
+    variants = [f.name for f in df.schema.fields if f.name in cols and is_variant(f.dataType)]
+    plain = [c for c in cols if c not in variants]
+    stand_ins = {f"_tp_key{i}": key_of(_q(c)) for i, c in enumerate(variants)}
     if not order:
         if set(cols) >= set(data_cols):
+            if variants:
+                return df.withColumns(stand_ins).dropDuplicates(plain + list(stand_ins)).drop(*stand_ins)
             return df.dropDuplicates(cols)  # equal rows: any of them is "first"
         raise TablePrepError("order_by is required to keep the first row of a subset")
     _require(df, order)
-    rest = [c for c in df.columns if c not in cols]
+    rest = [c for c in df.columns if c not in plain]
     payload = F.struct(*[_q(c) for c in rest])
     key = F.struct(*[_q(c) for c in order])  # compared; the payload may hold any type
     pick = F.min_by(payload, key) if keep == "first" else F.max_by(payload, key)
-    grouped = df.groupBy(*[_q(c) for c in cols]).agg(pick.alias("_tp_pick"))
-    return grouped.select(*[_q(c) if c in cols else F.col(f"_tp_pick.`{c}`").alias(c) for c in df.columns])
+    grouped = df.groupBy(*[_q(c) for c in plain], *[k.alias(n) for n, k in stand_ins.items()]).agg(pick.alias("_tp_pick"))
+    return grouped.select(*[_q(c) if c in plain else F.col(f"_tp_pick.`{c}`").alias(c) for c in df.columns])
 
 
 # C4 ---------------------------------------------------------------------
@@ -110,8 +122,10 @@ def columns_with_missing(df: DataFrame, cols) -> set[str]:
     return {c for i, c in enumerate(cols) if row[f"m{i}"] == 1}
 
 
-def _fill_one(col: Column, dtype: T.DataType, value, to_text: bool) -> Column:
+def _fill_one(col: Column, dtype: T.DataType, value, to_text: bool, mixed: bool = False) -> Column:
     missing = _missing(col, dtype)
+    if is_variant(dtype) or (mixed and to_text):
+        return F.when(missing, F.lit(value).cast(T.VariantType())).otherwise(to_variant(col, dtype))
     if isinstance(value, str) or to_text:
         if isinstance(dtype, T.StringType):
             return F.when(missing, F.lit(str(value))).otherwise(col)
@@ -134,8 +148,9 @@ def fill_nulls(df: DataFrame, value="", columns=None, numeric: str = "auto", pre
     is refused.  A text value cannot live in a numeric column: with
     ``numeric="auto"`` the numeric columns that actually hold a missing value
     become text (found by one aggregate pass), as pandas turns them into mixed
-    objects; ``numeric="skip"`` leaves numeric columns alone and needs no
-    pass.  NaN counts as missing.  ``precheck`` is an upstream frame with a
+    objects; ``numeric="variant"`` makes them variants instead, so that their
+    numbers stay numbers beside the text; ``numeric="skip"`` leaves numeric columns alone and needs no
+    pass.  In a variant column the value keeps its own type.  NaN counts as missing.  ``precheck`` is an upstream frame with a
     superset of the rows (before de-duplication): a column without missing
     values there has none here, so the pass over ``df`` -- which would re-run
     the upstream shuffle -- is needed only for the remaining columns.
@@ -161,9 +176,12 @@ def fill_nulls(df: DataFrame, value="", columns=None, numeric: str = "auto", pre
             return not isinstance(t, _NUMERIC)
         return False
 
+    if numeric not in ("auto", "variant", "skip"):
+        raise TablePrepError(f"numeric must be 'auto', 'variant' or 'skip', not {numeric!r}")
     candidates = [c for c, v in plan.items() if mismatched(c, v) and not isinstance(types[c], (T.ArrayType, T.MapType, T.StructType))]
+    candidates = [c for c in candidates if not is_variant(types[c])]
     to_text: set[str] = set()
-    if candidates and numeric == "auto":
+    if candidates and numeric != "skip":
         if precheck is not None and all(c in precheck.columns for c in candidates):
             candidates_left = sorted(columns_with_missing(precheck, candidates))
             to_text = columns_with_missing(df, candidates_left) if candidates_left else set()
@@ -176,19 +194,21 @@ def fill_nulls(df: DataFrame, value="", columns=None, numeric: str = "auto", pre
             continue
         if c in candidates and c not in to_text:
             continue
-        exprs[c] = _fill_one(_q(c), t, v, c in to_text)
+        exprs[c] = _fill_one(_q(c), t, v, c in to_text, numeric == "variant")
     return df.withColumns(exprs) if exprs else df
 
 
 # C5 ---------------------------------------------------------------------
 def trim_whitespace(df: DataFrame, columns=None) -> DataFrame:
     """Strip leading and trailing whitespace (every character str.strip()
-    removes, tabs and newlines included) from text columns; null stays null."""
+    removes, tabs and newlines included) from text columns and from the text values of
+    variant columns; null stays null."""
     types = dict((f.name, f.dataType) for f in df.schema.fields)
-    cols = list(columns) if columns else [c for c in data_columns(df) if isinstance(types[c], T.StringType)]
+    cols = list(columns) if columns else [c for c in data_columns(df) if isinstance(types[c], (T.StringType, T.VariantType))]
     _require(df, cols)
     ws = F.lit(WHITESPACE)
-    return df.withColumns({c: F.btrim(_q(c), ws) for c in cols}) if cols else df
+    trim = lambda x: F.btrim(x, ws)
+    return df.withColumns({c: map_text(_q(c), trim) if is_variant(types[c]) else trim(_q(c)) for c in cols}) if cols else df
 
 
 # C6 ---------------------------------------------------------------------
@@ -211,12 +231,22 @@ def to_int(col: Column, dtype: T.DataType, on_fraction: str = "null") -> Column:
         return col.cast("bigint")
     if isinstance(dtype, T.BooleanType):
         return col.cast("bigint")
+    if is_variant(dtype):  # whole numbers and truth values as they are, the rest by its text
+        v = views(col, dtype)
+        return F.coalesce(v["whole"], v["truth"].cast("bigint"), to_int(col.try_cast("string"), T.StringType()))
     text = isinstance(dtype, T.StringType)
     d = number(col) if text else col.try_cast("double")
     whole = F.when((d == F.floor(d)) & ~F.isnan(d), d).try_cast("bigint")
     return F.coalesce(F.when(is_integer(col), col.try_cast("bigint")), whole) if text else whole
 
 
+def _as_double(col: Column, dtype: T.DataType) -> Column:
+    if is_variant(dtype):
+        v = views(col, dtype)
+        return F.coalesce(v["number"], v["truth"].cast("double"), number(v["text"]))
+    return number(col) if isinstance(dtype, T.StringType) else col.try_cast("double")
+
+
 def cast_columns(df: DataFrame, types_spec: dict, on_fraction: str = "null") -> DataFrame:
     """``{"col": "int" | "float" | "str"}``; bad values become null.
 
@@ -231,12 +261,12 @@ def cast_columns(df: DataFrame, types_spec: dict, on_fraction: str = "null") ->
         if kind == "int":
             exprs[c] = to_int(col, t)
             if on_fraction == "error":
-                d = number(col) if isinstance(t, T.StringType) else col.try_cast("double")
+                d = _as_double(col, t)
                 bad = df.where((d != F.floor(d)) & ~F.isnan(d)).limit(1).count()
                 if bad:
                     raise TablePrepError(f"{c} holds values that are no whole numbers")
         elif kind == "float":
-            d = number(col) if isinstance(t, T.StringType) else col.try_cast("double")
+            d = _as_double(col, t)
             exprs[c] = F.nanvl(d, F.lit(None).cast("double"))  # NaN is pandas' missing value
         elif kind == "str":
             exprs[c] = col.cast("string")
@@ -266,7 +296,7 @@ def formula_column(df: DataFrame, formula: str) -> Column:
             return F.try_multiply(_q(src).cast("bigint"), F.lit(mult).cast("bigint"))  # beyond 64 bits: null
         if isinstance(t, T.NumericType):
             return F.try_multiply(_q(src), F.lit(mult))
-        return number(_q(src)) * F.lit(mult)
+        return (_as_double(_q(src), t) if is_variant(t) else number(_q(src))) * F.lit(mult)
     raise TablePrepError(f"formula not understood: {formula!r}")
 
 

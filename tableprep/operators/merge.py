@@ -9,14 +9,21 @@ from pyspark.sql import types as T
 
 from ..errors import TablePrepError
 from ..functions.text import standard_name
+from ..functions.variant import is_variant, to_variant
 
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
 
 
-def widen(types: list[T.DataType]) -> T.DataType:
+MIXED = ("text", "variant")
+
+
+def widen(types: list[T.DataType], mixed: str = "text") -> T.DataType:
     """One type for a column seen with several: equal -> same; integers ->
-    bigint; integers and fractions -> double; anything else -> string."""
+    bigint; integers and fractions -> double; anything else -> string, or with
+    ``mixed="variant"`` a variant, in which every value keeps its type."""
+    if mixed not in MIXED:
+        raise TablePrepError(f"mixed columns can be {MIXED}, not {mixed!r}")
     types = [t for t in types if not isinstance(t, T.NullType)]
     if not types:
         return T.StringType()
@@ -29,7 +36,7 @@ def widen(types: list[T.DataType]) -> T.DataType:
         return T.DoubleType()
     if all(isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)) for t in types):
         return T.TimestampType()
-    return T.StringType()
+    return T.VariantType() if mixed == "variant" else T.StringType()
 
 
 def check_case(spark, names) -> None:
@@ -42,9 +49,10 @@ def check_case(spark, names) -> None:
                 raise TablePrepError(f"columns {seen[n.lower()]!r} and {n!r} differ only in case; rename one or lower-case the names")
 
 
-def union_by_name(dfs: list[DataFrame], widen_types: bool = True) -> DataFrame:
+def union_by_name(dfs: list[DataFrame], widen_types: bool = True, mixed: str = "text") -> DataFrame:
     """Outer union by column name: columns in first-seen order, absent ones
-    null, clashing types widened before the union (decided from schemas)."""
+    null, clashing types widened before the union (decided from schemas).
+    ``mixed``: what numbers beside text become, see ``widen``."""
     dfs = [d for d in dfs if d is not None]
     if not dfs:
         raise TablePrepError("nothing to merge")
@@ -57,7 +65,7 @@ def union_by_name(dfs: list[DataFrame], widen_types: bool = True) -> DataFrame:
                 seen[f.name] = []
             seen[f.name].append(f.dataType)
     check_case(dfs[0].sparkSession, order)
-    target = {n: (widen(ts) if widen_types else ts[0]) for n, ts in seen.items()}
+    target = {n: (widen(ts, mixed) if widen_types else ts[0]) for n, ts in seen.items()}
 
     def conform(d: DataFrame) -> DataFrame:
         have = dict((f.name, f.dataType) for f in d.schema.fields)
@@ -65,7 +73,9 @@ def union_by_name(dfs: list[DataFrame], widen_types: bool = True) -> DataFrame:
         for n in order:
             if n in have:
                 col = F.col(f"`{n}`")
-                cols.append(col if have[n] == target[n] else col.cast(target[n]).alias(n))
+                if have[n] != target[n]:
+                    col = (to_variant(col, have[n]) if is_variant(target[n]) else col.cast(target[n])).alias(n)
+                cols.append(col)
             else:
                 cols.append(F.lit(None).cast(target[n]).alias(n))
         return d.select(*cols)
@@ -94,8 +104,9 @@ def tag_source(df: DataFrame, source_file=None, source_sheet=None) -> DataFrame:
     return df
 
 
-def merge(dfs: list[DataFrame], lower: bool = True, with_source: bool = True) -> DataFrame:
-    """U2/U4/U5: optionally lower-case names, tag, then union by name.
+def merge(dfs: list[DataFrame], lower: bool = True, with_source: bool = True, mixed: str = "text") -> DataFrame:
+    """U2/U4/U5: optionally lower-case names, tag, then union by name
+    (``mixed`` as in ``widen``).
 
     Each input must already carry ``source_file`` when ``with_source``.
     """
@@ -106,4 +117,4 @@ def merge(dfs: list[DataFrame], lower: bool = True, with_source: bool = True) ->
         if with_source and "source_file" not in d.columns:
             raise TablePrepError("input lacks source_file")
         prepared.append(d)
-    return union_by_name(prepared)
+    return union_by_name(prepared, mixed=mixed)

@@ -8,8 +8,10 @@ so that file names follow the order.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..errors import TablePrepError
+from ..functions.variant import is_variant
 from ..operators.order import ROW_ORDER, file_order_columns
 
 FORMATS = ("csv", "json", "xml", "parquet")
@@ -27,8 +29,9 @@ def write(df: DataFrame, path: str, fmt: str, *, mode: str = "overwrite", order_
     """K1-K3 (+K4 with ``compression``, K5/K7 with ``partition_by``).
 
     csv: header, RFC-4180 quoting, values written untrimmed (padding and
-    newlines round-trip), null as empty.  json: JSON Lines with explicit
-    nulls (``keep_absent_keys=True`` drops them, keeping keys absent).
+    newlines round-trip), null as empty, variants as their text.  json: JSON Lines with explicit
+    nulls (``keep_absent_keys=True`` drops them, keeping keys absent), every value of a
+    variant column by its own type.
     xml: ``<records><record><col>`` with empty elements for null.
     """
     fmt = fmt.lower()
@@ -36,6 +39,9 @@ def write(df: DataFrame, path: str, fmt: str, *, mode: str = "overwrite", order_
         raise TablePrepError(f"{fmt} is none of the formats written: {FORMATS}")
     parts = [partition_by] if isinstance(partition_by, str) else list(partition_by or [])
     out = _prepare(df, order_by, parts)
+    mixed = [c for c in out.columns if is_variant(out.schema[c].dataType)] if fmt == "csv" else []
+    if mixed:  # CSV has text only
+        out = out.withColumns({c: F.col(f"`{c}`").cast("string") for c in mixed})
     w = out.write.mode(mode)
     if parts:
         w = w.partitionBy(*parts)
@@ -44,7 +50,6 @@ def write(df: DataFrame, path: str, fmt: str, *, mode: str = "overwrite", order_
     if fmt == "csv":
         bad = [c for c in out.columns if out.schema[c].dataType.typeName() in ("array", "map", "struct")]
         if bad:
-            from pyspark.sql import functions as F
             out = out.withColumns({c: F.to_json(c) for c in bad})
             w = out.write.mode(mode).partitionBy(*parts) if parts else out.write.mode(mode)
             if compression:

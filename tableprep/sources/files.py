@@ -441,9 +441,11 @@ def read_xml(spark: SparkSession, paths, *, row_tag: str = "record", infer: bool
     return infer_types(df, [n for n in names if n.lower() != "source_file"]) if infer else df
 
 
-def read_files(spark: SparkSession, paths, *, lower_names: bool = False, **kw) -> DataFrame:
+def read_files(spark: SparkSession, paths, *, lower_names: bool = False, mixed: str = "text", **kw) -> DataFrame:
     """S5 + S6 + U6: any mix of formats; each format read once, then unioned by
-    name with widening.  ``lower_names`` applies the merge rule (strip, lower)."""
+    name with widening.  ``lower_names`` applies the merge rule (strip, lower);
+    with ``mixed="variant"`` a column that is a number in one format and text in another
+    keeps both (``merge.widen``)."""
     from ..operators.merge import lower_names as lower
     from .xlsx import read_xlsx
 
@@ -467,4 +469,6 @@ def read_files(spark: SparkSession, paths, *, lower_names: bool = False, **kw) -
         if "_pos_file" in d.columns:
             d = d.withColumn("_pos_file", remap.cast("int"))
         parts.append(lower(d) if lower_names else d)
+    if mixed != "text":  # all at once: a number is not widened on its way into a variant
+        return union_by_name(parts, mixed=mixed)
     return reduce(lambda a, b: union_by_name([a, b]), parts)
