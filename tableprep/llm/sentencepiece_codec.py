@@ -7,8 +7,9 @@ follow another exactly when merging the two in isolation leaves both as they
 are.  Words of equal length advance together, one character a step; the hashes
 of all substrings that end there probe the sorted piece keys; of the admissible
 pieces (a score of their length, minus one where the pair is not allowed) the
-vectorised maximum becomes the backpointer.  Encoded words are kept in a
-bounded cache.  Results are those of the ``sentencepiece`` library, id by id.
+vectorised maximum becomes the backpointer.  Segments that repeat in a batch advance
+once.  Encoded words are kept in a bounded store of ids; a text is the gather of its
+words' ids.  Results are those of the ``sentencepiece`` library, id by id.
 
 A text is cut at spaces, since no piece holds a space after another character,
 and at neighbouring characters that stand together in no piece.  Runs of spaces
@@ -25,9 +26,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,7 +41,17 @@ CACHE_WORDS = 400_000
 PAIR_SLOTS = 1 << 20
 LONG = 200  # characters of a word that advances alone
 BATCH_CHARS = 2_000_000
-UNIT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
+
+
+def _units(text: str) -> list[str]:
+    """The words of a text, each with one space in front (not written here); what else there
+    is -- more spaces in front, or spaces only -- is a unit that begins with its spaces."""
+    if not text:
+        return []
+    if "  " in text or SPACE in text or text[0] == " " or text[-1] == " ":
+        return [u if len(u) == 1 or u[1] == SPACE else u[1:] for u in UNIT.findall(SPACE + text.replace(" ", SPACE))]
+    return text.split(" ")
 
 
 def _mix(codes: np.ndarray) -> np.ndarray:
@@ -71,7 +84,7 @@ class Codec:
     table and the word cache fill up in each worker and are bounded."""
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("pair_keys", "pair_ok", "cache")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("pair_keys", "pair_ok", "cache", "flat", "ends")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -88,7 +101,12 @@ class Codec:
 
     def _empty(self) -> None:
         self.pair_keys, self.pair_ok = np.full(PAIR_SLOTS, -1, np.int64), np.zeros(PAIR_SLOTS, bool)
-        self.cache: dict[str, np.ndarray] = {}
+        self._forget_words()
+
+    def _forget_words(self) -> None:
+        """Unit i has the ids flat[ends[i]:ends[i + 1]]; the cache holds i."""
+        self.cache: dict[str, int] = {}
+        self.flat, self.ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def __init__(self, pieces: list[tuple[str, float, str]]):
         """pieces: (text, score, kind) by id; kind is normal, byte, unknown or control."""
@@ -232,8 +250,23 @@ class Codec:
                     break
         return np.array(last, np.int64)[None, :]
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of words without spaces but for one in front."""
+    def segment_pieces(self, rows: np.ndarray) -> np.ndarray:
+        """For segments of one length (rows of code points): the piece that ends at each
+        character, or -1."""
+        length = rows.shape[1]
+        last = self.viterbi(rows) if length <= LONG else np.concatenate([self.one_path(r) for r in rows])
+        found = np.full(rows.shape, -1, np.int64)
+        rows, at = np.arange(len(rows)), np.full(len(rows), length)
+        while len(rows):
+            piece = last[rows, at]
+            found[rows, at - 1] = piece
+            at = at - self.size[piece]
+            rows, at = rows[at > 0], at[at > 0]
+        return found
+
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without spaces but for one in front, one after the other, and where
+        each word's end."""
         codes = _codes("".join(words))
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
         first = np.zeros(len(codes) + 1, bool)  # where a segment starts: a word, or a pair that no piece holds
@@ -247,17 +280,12 @@ class Codec:
         order = np.argsort(lengths, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1) if len(order) else []:
             length = int(lengths[group[0]])
+            places = starts[group][:, None] + np.arange(length)
+            rows = codes[places]
+            _, one, copy = np.unique(rows.view(np.dtype((np.void, 4 * length))).ravel(), return_index=True, return_inverse=True)
             step = max(1, BATCH_CHARS // (4 * length))
-            for lo in range(0, len(group), step):
-                base = starts[group[lo:lo + step]]
-                rows = codes[base[:, None] + np.arange(length)]
-                last = self.viterbi(rows) if length <= LONG else np.concatenate([self.one_path(r) for r in rows])
-                rows, at = np.arange(len(base)), np.full(len(base), length)
-                while len(rows):
-                    piece = last[rows, at]
-                    found[base[rows] + at - 1] = piece
-                    at = at - self.size[piece]
-                    rows, at = rows[at > 0], at[at > 0]
+            pieces = [self.segment_pieces(rows[one[lo:lo + step]]) for lo in range(0, len(one), step)]
+            found[places] = np.concatenate(pieces)[copy]
         where = np.flatnonzero(found >= 0)
         ids = self.ids[found[where]]
         counts = np.ones(len(where), np.int64)
@@ -272,8 +300,7 @@ class Codec:
                 for i, x in enumerate(bytes_):
                     ids[at + i] = x
         total = np.concatenate([[0], np.cumsum(counts)])
-        cuts = total[np.searchsorted(where, ends)]
-        return [ids[lo:hi] for lo, hi in zip(np.concatenate([[0], cuts]), cuts)]
+        return ids, total[np.searchsorted(where, ends)]
 
     def space_run(self, n: int) -> list[int]:
         """A run of n spaces: the longest piece again and again, then the rest."""
@@ -281,35 +308,62 @@ class Codec:
         rest = merge_greedily(SPACE * (n % top), self.run_rank)[0] if n % top else []
         return [self.space_runs[top]] * (n // top) + [self.space_runs[len(p)] for p in rest]
 
+    def _keep(self, units: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.cache.update(zip(units, range(len(self.cache), len(self.cache) + len(units))))
+        self.ends = np.concatenate([self.ends, ends + len(self.flat)])
+        self.flat = np.concatenate([self.flat, ids.astype(np.int32)])
+
+    def _ids(self, unit: str) -> np.ndarray:
+        at = self.cache[unit]
+        return self.flat[self.ends[at]:self.ends[at + 1]]
+
+    def learn(self, units: set[str]) -> None:
+        """Encode units that are not known yet."""
+        spaced = sorted(u for u in units if u[0] == SPACE)
+        words = units.difference(spaced)
+        words.update(w for w in (u.lstrip(SPACE) for u in spaced) if w and w not in self.cache)
+        fresh = sorted(words)
+        if fresh:
+            self._keep(fresh, *self.encode_words([SPACE + w for w in fresh]))
+        alone, parts = self.space_runs[1], []
+        for u in spaced:  # more than one space, or spaces only
+            word = u.lstrip(SPACE)
+            n, ids = len(u) - len(word), np.zeros(0, np.int32)
+            if word:
+                ids = self._ids(word)
+                n, ids = (n, ids[1:]) if ids[0] == alone else (n - 1, ids)
+            parts.append(np.concatenate([np.array(self.space_run(n), np.int32), ids]))
+        if parts:
+            self._keep(spaced, np.concatenate(parts), np.cumsum([len(x) for x in parts]))
+
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (with the format's space in front of each), one after the other,
+        and where each text's end."""
+        rows = [_units(t) for t in texts]
+        if len(self.cache) > CACHE_WORDS:
+            self._forget_words()
+        missing = set().union(*rows).difference(self.cache)
+        if missing:
+            self.learn(missing)
+        counts = np.fromiter(map(len, rows), np.int64, len(rows))
+        at = np.fromiter(map(self.cache.__getitem__, chain.from_iterable(rows)), np.int64, int(counts.sum()))
+        first = self.ends[at]
+        sizes = self.ends[at + 1] - first
+        stops = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.flat[np.repeat(first - stops[:-1], sizes) + np.arange(stops[-1])]
+        return ids, stops[np.cumsum(counts)]
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text (with the format's space in front)."""
-        units = [UNIT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        cache = self.cache
-        missing = {u.lstrip(SPACE) for row in units for u in row if u not in cache}
-        if len(cache) > CACHE_WORDS:
-            cache.clear()
-            missing = {u.lstrip(SPACE) for row in units for u in row}
-        missing.discard("")
-        fresh = [SPACE + w for w in missing if SPACE + w not in cache]
-        cache.update(zip(fresh, self.encode_words(fresh)))
-        alone = self.space_runs[1]
-        for row in units:
-            for u in row:
-                if u not in cache:  # more than one space, or spaces only
-                    word = u.lstrip(SPACE)
-                    n = len(u) - len(word)
-                    ids = cache[SPACE + word] if word else np.zeros(0, np.int32)
-                    if word:
-                        n, ids = (n, ids[1:]) if ids[0] == alone else (n - 1, ids)
-                    cache[u] = np.concatenate([np.array(self.space_run(n), np.int32), ids])
-        return [np.concatenate([cache[u] for u in row]) if row else np.zeros(0, np.int32) for row in units]
+        """Ids of each text."""
+        ids, ends = self.encode_flat(texts)
+        return np.split(ids, ends[:-1]) if len(texts) else []
 
     def decode(self, ids) -> str:
         """The text of ids, without the one space that the encoder puts in front, if
         it is there; bytes that are no UTF-8 become U+FFFD."""
         if not len(ids):
             return ""
-        return b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
+        return b"".join(map(self.raw.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids)).decode("utf-8", "replace").removeprefix(" ")
 
 
 def load(model_file: str = MODEL) -> Codec:
@@ -324,7 +378,7 @@ def load(model_file: str = MODEL) -> Codec:
 
 def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of rows of about BATCH_CHARS bytes, so that what a step holds is bounded."""
-    sizes = np.fromiter((len(t.as_py() or "") for t in texts), np.int64, len(texts))
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     lo, total = 0, 0
     for i, n in enumerate(sizes):
         if total and total + n > BATCH_CHARS:
@@ -346,11 +400,9 @@ def encode(spark: SparkSession, docs: DataFrame, *, text_col: str = "text", out:
         for batch in batches:
             for lo, hi in _slices(batch.column(text_col)):
                 part = batch.slice(lo, hi - lo)
-                ids = codec.encode([t or "" for t in part.column(text_col).to_pylist()])
-                ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                values = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.ListArray.from_arrays(ends, values)], [*part.schema.names, out])
+                ids, ends = codec.encode_flat([t or "" for t in part.column(text_col).to_pylist()])
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], ends]).astype(np.int32), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
 
     return docs.mapInArrow(run, docs.select("*", F.lit(None).cast("array<int>").alias(out)).schema)
 
