@@ -341,19 +341,33 @@ def read_csv(spark: SparkSession, paths, *, infer: bool = True, schema: T.Struct
     return infer_types(df, [c for c in df.columns if c not in ("source_file",)]) if infer else df
 
 
-def _json_arrays(spark: SparkSession, files: list[str], listed: Listed, schema: T.StructType | None, sampling_ratio: float) -> DataFrame:
+def infer_json_schema(spark: SparkSession, texts: DataFrame, sampling_ratio: float = 1.0) -> T.StructType:
+    """The schema of the objects in a text column, from one pass."""
+    reader = spark.read.option("mode", "FAILFAST").option("samplingRatio", sampling_ratio)
+    as_text = getattr(texts._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
+    try:
+        return T.StructType.fromJson(json.loads(reader._jreader.json(as_text).schema().json()))
+    except AnalysisException as e:
+        raise TablePrepError(f"column names differ only in case: {e}") if "COLUMN_ALREADY_EXISTS" in str(e) else e
+    except Exception as e:  # inference meets a broken element first
+        raise TablePrepError(f"broken JSON: {str(e)[:300]}")
+
+
+def json_elements(spark: SparkSession, files: list[str], listed: Listed) -> DataFrame:
+    """The elements of files that each hold an array, as text, with the file-order key and provenance."""
+    return _placed(spark, _array_elements(spark, files), {"text": F.col("text")}, listed)
+
+
+def _array_elements(spark: SparkSession, files: list[str]) -> DataFrame:
     grammar = JsonGrammar()
     splits, _ = scan(spark, files, grammar)
-    elements = split_records(records(spark, files, grammar, splits), grammar)
+    return split_records(records(spark, files, grammar, splits), grammar)
+
+
+def _json_arrays(spark: SparkSession, files: list[str], listed: Listed, schema: T.StructType | None, sampling_ratio: float) -> DataFrame:
+    elements = _array_elements(spark, files)
     if schema is None:
-        reader = spark.read.option("mode", "FAILFAST").option("samplingRatio", sampling_ratio)
-        texts = getattr(elements.select("text")._jdf, "as")(spark._jvm.org.apache.spark.sql.Encoders.STRING())
-        try:
-            schema = T.StructType.fromJson(json.loads(reader._jreader.json(texts).schema().json()))
-        except AnalysisException as e:
-            raise TablePrepError(f"column names differ only in case: {e}") if "COLUMN_ALREADY_EXISTS" in str(e) else e
-        except Exception as e:  # inference meets a broken element first
-            raise TablePrepError(f"broken JSON: {str(e)[:300]}")
+        schema = infer_json_schema(spark, elements.select("text"), sampling_ratio)
     check_case(spark, schema.names)
     parsed = elements.withColumn("v", F.from_json("text", schema, {"mode": "FAILFAST"}))
     return _placed(spark, parsed, {n: F.col("v").getField(n) for n in schema.names}, listed)
