@@ -12,16 +12,24 @@ its sets are compared:
    fixed size counts all shingles of all documents).  A class that shares no
    prefix shingle with another has no link and is done; only the texts of the
    others are looked at again.
-3. First shingles under 32 hash orders.  Of the classes that share one, the hub
-   is the class whose first shingles most others share too -- in a group of near
-   copies, the text they were made from.  Each is paired with its hub when they
-   agree under ``AGREE`` orders; verified links make first components.  That takes
-   large groups of near copies together without listing their pairs.
-4. Prefix shingles whose classes lie in one component can add nothing; of the
-   others, all pairs across components whose sizes fit, whose bitmaps don't
-   differ in too many places, and that also share prefix shingles under two
-   further orders, are verified.  Nothing is capped: every link between two
-   components of step 3 is found here, so the final components are exact.
+3. First shingles in 32 ranges of a hash order (an empty range takes the next filled
+   one's).  Of the classes that share one, the hub is the class whose first shingles
+   most others share too -- in a group of near copies, the text they were made from.
+   Each is paired with its hub when they agree in ``AGREE`` ranges; verified links make
+   first components.  That takes large groups of near copies together without listing
+   their pairs.
+4. The same with prefix shingles: of the components that share one, the class that
+   shares most is the hub, every class of another component is paired with it,
+   components with a link become one, and a new hub is elected, until a round adds
+   no link or ``ROUNDS`` are over.
+5. Prefix shingles whose classes lie in one component can add nothing; of the others,
+   all pairs across components are looked at: their sizes and places in the prefix must
+   leave room for enough common shingles, their bitmaps must not differ in too many
+   places, and they must share prefix shingles under two further orders; then they
+   are verified.  A shingle of more than ``FEW`` classes is compared in tasks, a block of
+   its classes against another, and only pairs that sizes, places and parities of the
+   bitmaps allow become rows.  Nothing is capped: every link between two components
+   is found here, so the final components are exact.
 
 Shingles are 64-bit hashes, made again from the text where they are needed:
 sets take twice the room of the texts and don't compress.  The texts of pairs to
@@ -55,8 +63,12 @@ AGREE = 12
 SKETCH_BITS = 22
 CHUNK_BITS = 16
 HUBS = 128  # sets that a verifying task keeps
+ROUNDS = 3
+FEW = 64  # classes under a shingle whose pairs a join lists
+BLOCK = 128
+PARITIES = 512
 
-SIGNED = "n bigint, s1 bigint, s2 bigint, mins array<bigint>, bits binary, chunk int, counts binary"
+SIGNED = "n bigint, s1 bigint, s2 bigint, mins array<bigint>, bits binary, parity binary, chunk int, counts binary"
 
 
 def order_key(tokens: np.ndarray, order: int) -> np.ndarray:
@@ -84,6 +96,41 @@ def bitmap(tokens: np.ndarray) -> bytes:
     return np.packbits(out).tobytes()
 
 
+def parities(tokens: np.ndarray) -> bytes:
+    """For each of ``PARITIES`` cells, whether an odd number of tokens falls into it: a cell that
+    differs between two sets holds a token that only one of them has."""
+    cells = (tokens >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=PARITIES) & 1 == 1).tobytes()
+
+
+FIRST = np.arange(ORDERS, dtype=np.uint64)
+SHIFT = np.uint64(64 - ORDERS.bit_length() + 1)
+
+
+def minima(tokens: np.ndarray) -> list[int]:
+    """The first token, as its key, of each of ``ORDERS`` ranges of one hash order; a range
+    without tokens takes that of the next one, by steps of its own, that has some."""
+    if not len(tokens):
+        return []
+    keys = np.sort(order_key(tokens, 3))
+    at = np.searchsorted(keys, FIRST << SHIFT)
+    out = keys[np.minimum(at, len(keys) - 1)]
+    filled = (at < len(keys)) & (out >> SHIFT == FIRST)
+    for k in np.flatnonzero(~filled):
+        j = (k + 1 + 2 * k) % ORDERS
+        while not filled[j]:
+            j = (j + 1 + 2 * k) % ORDERS
+        out[k] = out[j]
+    return out.view(np.int64).tolist()
+
+
+def room(na: str, pa: str, nb: str, pb: str, percent: int) -> str:
+    """SQL: may sets of these sizes be similar enough whose first common token has these places?
+    (A later common token may deny what the first one grants; the pair is found at the first.)"""
+    return (f"least({na}, {nb}) * 100 >= greatest({na}, {nb}) * {percent} and "
+            f"least({na} - {pa}, {nb} - {pb}) * {100 + percent} >= ({na} + {nb}) * {percent}")
+
+
 def apart(x: bytes, y: bytes) -> int:
     """A lower bound of the number of tokens that only one of two sets has:
     every bit that differs needs one.  The longer bitmap is folded: its low
@@ -123,22 +170,22 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 toks = shingles(word_hashes(text), size)
                 with np.errstate(over="ignore"):
                     s1, s2 = np.sum(order_key(toks, 100)), np.bitwise_xor.reduce(order_key(toks, 101))
-                mins = [int(toks[np.argmin(order_key(toks, k))].view(np.int64)) for k in range(ORDERS)] if len(toks) else []
-                rows.append((len(toks), int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64)), mins, bitmap(toks), None, None))
+                rows.append((len(toks), int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64)), minima(toks),
+                             bitmap(toks), parities(toks), None, None))
                 held.append((toks >> np.uint64(64 - bits)).astype(np.int64))
                 n_held += len(toks)
                 if n_held > 1 << 20:
                     sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
                     held, n_held = [], 0
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "bits", "chunk", "counts"])
+            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "bits", "parity", "chunk", "counts"])
             out.insert(0, "id", frame["id"].array)
             yield out
         if held:
             sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
         if sketch.any():
-            parts = [(None, None, None, None, None, None, i, zlib.compress(x.astype(np.uint32).tobytes(), 1))
+            parts = [(None, None, None, None, None, None, None, i, zlib.compress(x.astype(np.uint32).tobytes(), 1))
                      for i, x in enumerate(sketch.reshape(-1, part))]
-            yield pd.DataFrame(parts, columns=["id", "n", "s1", "s2", "mins", "bits", "chunk", "counts"]).astype(
+            yield pd.DataFrame(parts, columns=["id", "n", "s1", "s2", "mins", "bits", "parity", "chunk", "counts"]).astype(
                 {"id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64"})
 
     return docs.mapInPandas(run, f"id bigint, {SIGNED}")
@@ -176,7 +223,7 @@ def rare_first(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def prefix_postings(spark: SparkSession, docs: DataFrame, classes: np.ndarray, size: int, percent: int) -> DataFrame:
-    """(token, s1): the prefix shingles of each class under the rare-first order."""
+    """(token, s1, place): the prefix shingles of each class under the rare-first order."""
     table = spark.sparkContext.broadcast(classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,8 +234,8 @@ def prefix_postings(spark: SparkSession, docs: DataFrame, classes: np.ndarray, s
             def out():
                 sizes = [len(x) for x in toks]
                 return pa.RecordBatch.from_arrays([
-                    pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), sizes))],
-                    ["token", "s1"])
+                    pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), sizes)),
+                    pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))], ["token", "s1", "place"])
 
             for text in batch.column("text"):
                 found = shingles(word_hashes(text.as_py()), size)
@@ -207,7 +254,7 @@ def prefix_postings(spark: SparkSession, docs: DataFrame, classes: np.ndarray, s
             if toks:
                 yield out()
 
-    return docs.where("id is not null").mapInArrow(run, "token bigint, s1 bigint")
+    return docs.where("id is not null").mapInArrow(run, "token bigint, s1 bigint, place int")
 
 
 def packed(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -255,6 +302,55 @@ def verify(texts: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataF
     return both.select("a", "b", "x", "y").mapInArrow(similar, "a bigint, b bigint")
 
 
+def opened(shared: DataFrame, groups: DataFrame) -> DataFrame:
+    """(token, node, n, place, component, times) of the prefix shingles that classes of
+    different components share, and how many do."""
+    placed = shared.join(groups, "node", "left").select("token", "node", "n", "place", F.coalesce("component", "node").alias("component"))
+    split = (placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("times"))
+             .where("lo != hi"))
+    return placed.join(split.select("token", "times"), "token")
+
+
+def against_hubs(members: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: each class and the hub of each of its shingles, where that is of another component."""
+    weight = members.groupBy("node").agg(F.sum("times").alias("w"))
+    # ``max`` pre-aggregates, so a frequent shingle is no burden
+    hubs = members.join(weight, "node").groupBy("token").agg(
+        F.max(F.struct("w", (-F.col("node")).alias("m"), F.col("n").alias("nh"), F.col("place").alias("ph"), F.col("component").alias("ch"))).alias("top"))
+    both = members.join(hubs, "token").where("component != top.ch").where(room("n", "place", "top.nh", "top.ph", percent))
+    return both.select(F.least("node", -F.col("top.m")).alias("a"), F.greatest("node", -F.col("top.m")).alias("b")).distinct()
+
+
+def across_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b), a < b: the pairs across components under frequent shingles that sizes, places and
+    parities allow.  The classes of a shingle are dealt into blocks of about ``BLOCK``; a
+    task compares two blocks at a time."""
+    dealt = (members.join(classes.select("node", "parity"), "node")
+             .withColumn("block", F.pmod(F.xxhash64("node", "token"), F.ceil(F.col("times") / BLOCK))))
+    blocks = dealt.groupBy("token", "block").agg(F.collect_list(F.struct("node", "n", "place", "component", "parity")).alias("m"))
+    left, right = (blocks.select("token", F.col("block").alias(f"{x}_block"), F.col("m").alias(x)) for x in "xy")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def fields(cell) -> list[np.ndarray]:
+            held = cell.values
+            out = [held.field(k).to_numpy().astype(np.int64) for k in range(4)]
+            return [*out, np.frombuffer(b"".join(held.field(4).to_pylist()), np.uint64).reshape(len(held), -1)]
+
+        for batch in batches:
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                (a, na, pa_, ca, xa), (b, nb, pb, cb, xb) = fields(x), fields(y)
+                na, pa_ = na[:, None], pa_[:, None]
+                fine = (ca[:, None] != cb) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
+                fine &= np.minimum(na - pa_, nb - pb) * (100 + percent) >= (na + nb) * percent
+                i, j = np.nonzero(fine)
+                differ = np.bitwise_count(xa[i] ^ xb[j]).sum(axis=1, dtype=np.int64)
+                near = differ * (100 + percent) <= (100 - percent) * (na[i, 0] + nb[j])
+                i, j = i[near], j[near]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], ["a", "b"])
+
+    return left.join(right, "token").where("x_block <= y_block").select("x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
          percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``n_shingles`` and
@@ -264,13 +360,13 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     signed = cut(signatures(docs, size), "ngram-signed")
     rows = signed.where("chunk is null")
     classes = cut(rows.where("id is not null and n > 0").groupBy("s1", "s2", "n")
-                  .agg(F.min("id").alias("node"), F.first("mins").alias("mins"), F.first("bits").alias("bits")), "ngram-classes")
+                  .agg(F.min("id").alias("node"), F.first("mins").alias("mins"), F.first("bits").alias("bits"), F.first("parity").alias("parity")), "ngram-classes")
 
     # whole prefixes: a class that shares no prefix shingle has no link
     seen = Window.partitionBy("token")
     posted = prefix_postings(spark, docs, frequency_classes(signed), size, percent).repartition("token").distinct()
     shared = (posted.withColumns({"lo": F.min("s1").over(seen), "hi": F.max("s1").over(seen)})
-              .where("lo != hi").select("token", "s1").join(classes.select("s1", "node", "n"), "s1"))
+              .where("lo != hi").select("token", "s1", "place").join(classes.select("s1", "node", "n"), "s1"))
     shared = cut(shared.drop("s1"), "ngram-shared")
     some = shared.select(F.col("node").alias("id")).distinct()
     texts = cut(packed(docs, some), "ngram-texts")
@@ -292,15 +388,25 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     known = cut(verify(texts, near, size, percent), "ngram-links")
     groups = cut(components(known), "ngram-groups")
 
+    # prefix shingles: components against the hub of those that share one, round by round
+    tested = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    for _ in range(ROUNDS):
+        members = cut(opened(shared, groups), "ngram-open")
+        near = cut(near_enough(against_hubs(members, percent).join(tested, ["a", "b"], "left_anti"), classes, percent), "ngram-near")
+        new = cut(verify(texts, near, size, percent), "ngram-links")
+        tested = tested.unionAll(near)
+        if new.isEmpty():
+            break
+        known = known.unionAll(new)
+        groups = cut(components(known), "ngram-groups")
+
     # all pairs across the components found so far that share a prefix shingle
-    placed = shared.join(groups, "node", "left").select("token", "node", "n", F.coalesce("component", "node").alias("component"))
-    split = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-    open_ = placed.join(split.select("token"), "token")
-    left = open_.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    far = left.join(right, "token").where("a < b and ca != cb").where(
-        f"least(na, nb) * 100 >= greatest(na, nb) * {percent}").select("a", "b").distinct()
-    far = cut(near_enough(far, classes, percent), "ngram-far")
+    members = cut(opened(shared, groups), "ngram-open")
+    left, right = (members.where(f"times <= {FEW}").select("token", F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}"),
+                                                           F.col("component").alias(f"c{x}")) for x in "ab")
+    few = left.join(right, "token").where("a < b and ca != cb").where(room("na", "pa", "nb", "pb", percent)).select("a", "b")
+    far = few.unionAll(across_blocks(members.where(f"times > {FEW}"), classes, percent)).distinct()
+    far = cut(near_enough(far.join(tested, ["a", "b"], "left_anti"), classes, percent), "ngram-far")
     links = known.unionAll(verify(texts, far, size, percent))
     groups = cut(components(links), "ngram-groups")
 

@@ -305,8 +305,12 @@ def test_ngram_join_chains(spark, monkeypatch):
     for i in range(150, 260):  # a sliding window: neighbours link, ends don't
         docs[i] = " ".join(f"c{k}" for k in range(i, i + 40))
     df = spark.createDataFrame(list(docs.items()), "doc_id bigint, text string")
-    for agree in (ngram_join.AGREE, 99):  # 99: nothing passes the first step, all links come from the prefixes
+    # 99: nothing passes the first step, all links come from the prefixes; no rounds: from the last pass, joined or in blocks
+    for agree, rounds, few in ((ngram_join.AGREE, ngram_join.ROUNDS, 64), (99, 1, 64), (99, 0, 64), (99, 0, 0)):
         monkeypatch.setattr(ngram_join, "AGREE", agree)
+        monkeypatch.setattr(ngram_join, "ROUNDS", rounds)
+        monkeypatch.setattr(ngram_join, "FEW", few)
+        monkeypatch.setattr(ngram_join, "BLOCK", 16)
         got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()}
         assert got == brute.shingle_groups(docs)
 
