@@ -7,13 +7,15 @@ of its lines' forward-backward marginals for "good", weighted by line length.
 
 Training: labels come for documents, so every line of a training document takes
 its document's label.  The model is fitted by Adam on at most ``TRAIN_DOCS``
-labelled documents (those with the smallest hash of the id), of each at most
-``TRAIN_LINES`` lines; their binned measures -- some 40 bytes a line -- are all
-that reaches the driver.  Scoring reads every whole text in the tasks, a bounded
+labelled documents (those with the smallest hash of the id).  Their whole texts are
+cut into stretches of at most ``STRETCH`` lines, chains of their own, of which at most
+``TRAIN_STRETCHES`` are taken (the smallest hashes of id and number: any line of a text
+has the same chance); their binned measures -- some 40 bytes a line -- are all that
+reaches the driver.  Scoring reads every whole text in the tasks, a bounded
 piece at a time, and uses nothing but the text.
 
 Defined results: a text without lines (null or empty) scores the share of label
-1 in the training documents; without any labelled document every score is 0.5; a
+1 among the training stretches; without any labelled document every score is 0.5; a
 null id is scored like any other; of repeated labels the lowest counts, null
 labels don't; a line over ``PIECE`` bytes counts as several lines; an empty table
 gives an empty table.
@@ -31,7 +33,8 @@ from pyspark.sql import functions as F
 from .words import Hasher
 
 TRAIN_DOCS = 4000
-TRAIN_LINES = 500
+STRETCH = 500
+TRAIN_STRETCHES = 8000
 EPOCHS = 12
 PIECE = 1 << 20
 CELLS = 1 << 20
@@ -210,22 +213,28 @@ def fold(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
-          label_col: str = "quality", max_docs: int = TRAIN_DOCS, max_lines: int = TRAIN_LINES) -> Crf | None:
-    """Fit on at most ``max_docs`` labelled documents (smallest hash of the id)."""
+          label_col: str = "quality", max_docs: int = TRAIN_DOCS,
+          max_stretches: int = TRAIN_STRETCHES) -> Crf | None:
+    """Fit on at most ``max_stretches`` stretches of at most ``max_docs`` labelled documents
+    (smallest hashes of the id, then of id and number of the stretch)."""
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [measures(t.as_py())[0][:max_lines].tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("label"), pa.array(rows, pa.binary())],
-                                             ["id", "label", "bins"])
+            for i, text in enumerate(batch.column("text")):
+                lines = measures(text.as_py())[0]
+                parts = [lines[lo:lo + STRETCH].tobytes() for lo in range(0, max(1, len(lines)), STRETCH)]
+                who = pa.array([i] * len(parts), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(who), batch.column("label").take(who),
+                                                  pa.array(np.arange(len(parts)), pa.int64()), pa.array(parts, pa.binary())],
+                                                 ["id", "label", "part", "bins"])
 
     marked = (labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
               .where("id is not null").groupBy("id").agg(F.min("label").cast("int").alias("label"))
               .orderBy(F.xxhash64("id"), "id").limit(max_docs))
     kind = marked.schema["id"].dataType.simpleString()
     rows = (docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(marked), "id")
-            .select("id", "label", "text").mapInArrow(binned, f"id {kind}, label int, bins binary")
-            .orderBy(F.xxhash64("id"), "id", "bins").limit(max_docs).collect())
+            .select("id", "label", "text").mapInArrow(binned, f"id {kind}, label int, part bigint, bins binary")
+            .orderBy(F.xxhash64("id", "part"), "id", "part", "bins").limit(max_stretches).collect())
     return fit([np.frombuffer(bytes(r["bins"]), np.uint8).reshape(-1, WIDTH) for r in rows],
                np.array([r["label"] for r in rows], np.int64))
 

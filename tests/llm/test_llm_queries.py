@@ -1,4 +1,5 @@
 """Every registered query against brute force or its oracle, on edge cases and on empty tables."""
+import re
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ from oracle_compare import compare, duck
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
-from tableprep.llm import (cover_tree, exact_dedup, katz_lm, license_scan, mixing, ngram_join, quality_crf,
+from tableprep.llm import (cover_tree, exact_dedup, katz_lm, license_scan, license_templates, mixing, ngram_join, quality_crf,
                            sentencepiece_codec, sharding, suffix_merge)
 from tableprep.errors import TablePrepError
 from tableprep.llm import words
@@ -125,6 +126,42 @@ def test_template_regions():
         license_scan.PIECE = old
 
 
+def test_whole_wording_against_regular_expressions():
+    """Every template on its own wording, whole, cut off, with words changed, optional parts left out and
+    filled regions; an independent matcher says what is accepted."""
+    rng, templates = np.random.default_rng(3), license_templates.TEMPLATES
+    scanner = license_scan.Scanner((), templates)
+
+    def pattern(text):
+        text = re.sub(r"<<var;max=(\d+)>>", r" VAR\1 ", text.replace("<<beginOptional>>", " OPEN ").replace("<<endOptional>>", " CLOSE "))
+        parts = {"OPEN": "(?:", "CLOSE": ")?"}
+        return re.compile("(?<= )" + "".join(
+            parts.get(w) or (f"(?:[^ ]+ ){{0,{w[3:]}}}" if w.startswith("VAR") else f"{w} ") for w in text.split()))
+
+    def wording(text, optional):
+        text = re.sub(r"<<beginOptional>>(.*?)<<endOptional>>", lambda m: f" {m[1]} " if optional else " ", text, flags=re.S)
+        return re.sub(r"<<var;max=(\d+)>>", lambda m: " " + " ".join(["someone"] * int(rng.integers(0, int(m[1]) + 1))) + " ", text).split()
+
+    patterns = [(label, pattern(text)) for label, text in templates]
+    seen = set()
+    for label, text in templates:
+        for optional in (True, False):
+            whole = wording(text, optional)
+            tries = [whole, whole[:-1], whole[1:], whole[:len(whole) // 2], [*whole, *whole], ["x", *whole, "y"]]
+            for _ in range(6):
+                k = int(rng.integers(len(whole)))
+                tries += [whole[:k] + ["other"] + whole[k + 1:], whole[:k] + whole[k + 1:]]
+            for words in tries:
+                got = {h[0] for h in scanner.scan(scanner.words(" ".join(words)))[0]}
+                assert got == {k for k, p in patterns if p.search(" " + " ".join(words) + " ")}
+                seen |= {(label, label in got)}
+    assert seen == {(label, flag) for label, _ in templates for flag in (True, False)}
+    bsd = dict(templates)["bsd-3-text"]
+    cut = wording(bsd[:bsd.index("neither")], True)  # stops before clause 3 and the disclaimer
+    hits, score = scanner.scan(scanner.words(" ".join(cut)))
+    assert not hits and score < 0.6
+
+
 # ------------------------------------------------------------------ 3
 @pytest.mark.parametrize("small", [False, True])
 def test_katz(spark, small_docs, monkeypatch, small):
@@ -376,6 +413,18 @@ def test_quality_on_held_out(spark):
     assert all((r.predicted == 1) == (r.score >= 0.5) and 0 <= r.score <= 1 for r in got.values())
 
 
+def test_lines_far_down_a_text_are_learned_from(spark):
+    """The first stretches of all texts are alike; only what follows tells the labels apart."""
+    head = "\n".join(f"an ordinary line with the number {i}" for i in range(quality_crf.STRETCH))
+    tails = {0: "$$$ @@@ ### 12345 67890\n" * 300, 1: "A calm sentence of plain words, and nothing else.\n" * 300}
+    docs = spark.createDataFrame([(i, f"{head}\n{tails[i % 2]}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    model = quality_crf.train(docs, labels)
+    bad, good = (x[-1] for x in quality_crf.score_documents(model, [tails[0], tails[1]]))
+    assert bad < 0.2 and good > 0.8
+    assert quality_crf.train(docs, labels, max_stretches=3) is not None
+
+
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(2)
     good, moves, n = rng.normal(size=(3, 4)), rng.normal(size=(2, 2)), np.array([4, 2, 1])
