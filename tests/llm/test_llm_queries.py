@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from oracle_compare import compare, duck
 from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
 
 import __spark_entry__ as E
 from tableprep.llm import (cover_tree, exact_dedup, katz_lm, license_scan, license_templates, mixing, ngram_join, quality_crf,
@@ -306,6 +307,31 @@ def test_suffix_merge_small(spark, hot, monkeypatch):
         assert hashlib.sha256(bytes(got[i].kept)).hexdigest() == sha
 
 
+@pytest.mark.parametrize("hot", [2, 1000])
+def test_suffix_merge_copies_go_in_once(spark, hot, monkeypatch):
+    """What is counted for frequent grams does not grow with copies, nor with the windows that texts share."""
+    import hashlib
+    rows_of = {}
+    write = DataFrameWriter.parquet
+
+    def counted(self, path, *args, **kw):
+        write(self, path, *args, **kw)
+        rows_of[path.rsplit("/", 1)[-1]] = spark.read.parquet(path).count()
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    rng = np.random.default_rng(5)
+    passage, other = ("".join(rng.choice(list("abcdefé "), 700)) for _ in range(2))
+    texts = [other] * 40 + [f"{i:08d}" * 30 + passage + f"{i + 500:08d}" * 30 for i in range(30)] + [None, "", "short"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r for r in suffix_merge.remove(df, hot=hot).collect()}
+    for i, (n, spans, sha) in enumerate(brute.repeated_bytes([(t or "").encode() for t in texts])):
+        assert (got[i].n_bytes - len(got[i].kept), len(got[i].spans)) == (n, spans)
+        assert hashlib.sha256(bytes(got[i].kept)).hexdigest() == sha
+    assert rows_of["texts"] == 30  # the copies share nothing with another text
+    if hot == 2:  # the texts have some 25,000 windows
+        assert 0 < rows_of["blocks"] < 9000
+
+
 def test_loser_tree_merges_runs():
     rng = np.random.default_rng(9)
     pool = ["".join(rng.choice(list("ab"), int(rng.integers(0, 9)))).encode() for _ in range(300)]
