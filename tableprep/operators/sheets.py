@@ -14,13 +14,13 @@ have rows count, at the positions they carry.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..errors import TablePrepError
 from .clean import data_columns
 from .merge import union_by_name
-from .order import with_row_index
+from .order import MAX_BUCKETS, ROWS_PER_BUCKET, with_row_index
 
 MAX_SHEETS = 10_000
 SHEET_KEYS = ["sheet", "sheet_pos", "row_pos"]
@@ -73,10 +73,32 @@ def as_sheets(df: DataFrame, sheet_col: str, order_by, sheet_order=None) -> Data
 
 
 def renumber(sheets: DataFrame) -> DataFrame:
-    """Close the gaps that a filter leaves in ``row_pos`` (one indexing pass)."""
+    """Close the gaps that a filter leaves in ``row_pos``.
+
+    The positions themselves deal the rows into buckets of ``ROWS_PER_BUCKET`` places, so
+    neither a count nor a sample of them is needed.  One aggregate counts the rows of each
+    bucket; the numbers of rows before each are an array a sheet, broadcast.  They join by
+    sheet alone: what only counts the sheets' rows (``combine``) never makes ``row_pos``."""
     keys = [k for k in ("_pos_file",) if k in sheets.columns] + ["sheet", "sheet_pos"]
-    out = with_row_index(sheets, ["row_pos"], partition_by=keys, index_col="_tp_row")
-    return out.withColumn("row_pos", F.col("_tp_row")).select(sheets.columns)
+    data = sheets.withColumn("_tp_bucket", F.floor(F.col("row_pos") / ROWS_PER_BUCKET).cast("long"))
+    counts = data.groupBy(*keys, "_tp_bucket").count().limit(MAX_BUCKETS + 1).collect()
+    held = [r[-2] for r in counts]
+    if len(counts) > MAX_BUCKETS or None in held or any(None in r[:-2] for r in counts) or held and max(held) - min(held) >= MAX_BUCKETS:
+        out = with_row_index(sheets, ["row_pos"], partition_by=keys, index_col="_tp_row")
+        return out.withColumn("row_pos", F.col("_tp_row")).select(sheets.columns)
+    low, before = min(held, default=0), {}
+    for *key, bucket, n in sorted(tuple(r) for r in counts):
+        run, total = before.setdefault(tuple(key), ([], [0]))
+        run += [total[0]] * (bucket - low + 1 - len(run))
+        total[0] += n
+    kinds = {f.name: f.dataType.simpleString() for f in sheets.schema.fields}
+    table = _mapping(sheets.sparkSession, [(*k, run) for k, (run, _) in before.items()],
+                     ", ".join(f"{k} {kinds[k]}" for k in keys) + ", _tp_before array<long>")
+    within = Window.partitionBy(*keys, "_tp_bucket").orderBy("row_pos")
+    start = F.element_at("_tp_before", (F.col("_tp_bucket") - low + 1).cast("int"))
+    out = (data.join(table, keys, "inner").withColumn("_tp_start", start).drop("_tp_before")
+           .withColumn("row_pos", (F.col("_tp_start") + F.row_number().over(within) - 1).cast("long")))
+    return out.select(sheets.columns)
 
 
 def _combined(sheets: DataFrame) -> DataFrame:

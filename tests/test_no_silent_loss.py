@@ -184,6 +184,11 @@ def test_gaps_and_several_workbooks(spark, outdir):
         H.combine(odd, "all").collect()
     dense = H.renumber(odd)
     assert sorted((r.row_pos, r.id) for r in H.combine(dense, "all").collect()) == [(i, 2 * i) for i in range(10)]
+    count = H.combine(dense, "all").groupBy().count()  # what only counts rows does not number them again
+    assert "row_number" not in count._jdf.queryExecution().optimizedPlan().toString()
+    far = odd.withColumn("row_pos", F.when(F.col("id") < 16, F.col("row_pos") * 10**7).otherwise(F.col("row_pos") + 10**12))
+    assert sorted((r.sheet, r.row_pos, r.id) for r in H.renumber(far).collect()) == [("a", i, 2 * i) for i in range(6)] + [
+        ("b", i, 12 + 2 * i) for i in range(4)]
     parts = H.split_to_sheets(dense, 3).groupBy("sheet").count().collect()
     assert {r["sheet"]: r["count"] for r in parts} == {"Sheet_1": 3, "Sheet_2": 3, "Sheet_3": 3, "Sheet_4": 1}
     one = write_book(f"{outdir}/one.xlsx", {"A": [["k"], [1], [2]], "B": [["k"], [3]]})
