@@ -64,7 +64,7 @@ SKETCH_BITS = 22
 CHUNK_BITS = 16
 HUBS = 128  # sets that a verifying task keeps
 ROUNDS = 3
-FEW = 64  # classes under a shingle whose pairs a join lists
+FEW = 8  # classes under a shingle whose pairs a join lists
 BLOCK = 128
 PARITIES = 512
 
@@ -207,13 +207,29 @@ def frequency_classes(signed: DataFrame) -> np.ndarray:
                                               "counts": pa.array([x.tobytes() for x in sums.values()], pa.binary())})
 
     chunks = 1 << SKETCH_BITS - CHUNK_BITS
-    rows = (signed.where("chunk is not null").select("chunk", "counts").repartition(chunks, "chunk")
-            .mapInArrow(add, "chunk int, counts binary").collect())  # one row a chunk
-    total = np.zeros(1 << SKETCH_BITS, np.int64)
-    for chunk, data in rows:
-        total[chunk * cells:(chunk + 1) * cells] += np.frombuffer(bytes(data), np.int64)
-    usual = total.mean() + 4 * np.sqrt(total.mean()) + 8
-    return np.where(total > usual, np.log2(np.maximum(total / usual, 1)).astype(np.int64) + 1, 0).astype(np.uint8)
+    summed = cut(signed.where("chunk is not null").select("chunk", "counts").repartition(chunks, "chunk")
+                 .mapInArrow(add, "chunk int, counts binary"), "ngram-sketch")  # one row a chunk
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [int(np.frombuffer(x.as_buffer(), np.int64).sum()) for x in batch.column("counts")]
+            yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int64())], ["total"])
+
+    mean = (summed.mapInArrow(total, "total bigint").agg(F.sum("total")).first()[0] or 0) / (1 << SKETCH_BITS)
+    usual = mean + 4 * np.sqrt(mean) + 8
+
+    def classify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = []
+            for x in batch.column("counts"):
+                n = np.frombuffer(x.as_buffer(), np.int64)
+                kinds.append(np.where(n > usual, np.log2(np.maximum(n / usual, 1)).astype(np.int64) + 1, 0).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), pa.array(kinds, pa.binary())], ["chunk", "kinds"])
+
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for chunk, kinds in summed.mapInArrow(classify, "chunk int, kinds binary").collect():
+        out[chunk * cells:(chunk + 1) * cells] = np.frombuffer(bytes(kinds), np.uint8)
+    return out
 
 
 def rare_first(tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
@@ -351,6 +367,11 @@ def across_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataF
     return left.join(right, "token").where("x_block <= y_block").select("x", "y").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def stars(groups: DataFrame) -> DataFrame:
+    """Links (a, b) that make the same components as those that ``groups`` comes from, none longer than two steps."""
+    return groups.where("node != component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE,
          percent: int = PERCENT) -> DataFrame:
     """One row for each row of ``docs``: ``id_col``, ``n_shingles`` and
@@ -397,8 +418,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
         tested = tested.unionAll(near)
         if new.isEmpty():
             break
-        known = known.unionAll(new)
-        groups = cut(components(known), "ngram-groups")
+        groups = cut(components(stars(groups).unionAll(new)), "ngram-groups")
 
     # all pairs across the components found so far that share a prefix shingle
     members = cut(opened(shared, groups), "ngram-open")
@@ -407,7 +427,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     few = left.join(right, "token").where("a < b and ca != cb").where(room("na", "pa", "nb", "pb", percent)).select("a", "b")
     far = few.unionAll(across_blocks(members.where(f"times > {FEW}"), classes, percent)).distinct()
     far = cut(near_enough(far.join(tested, ["a", "b"], "left_anti"), classes, percent), "ngram-far")
-    links = known.unionAll(verify(texts, far, size, percent))
+    links = stars(groups).unionAll(verify(texts, far, size, percent))
     groups = cut(components(links), "ngram-groups")
 
     final = (classes.join(groups, "node", "left")

@@ -356,6 +356,20 @@ def test_ngram_join(spark, small_docs, edge):
     assert by[6] == (by[6][0], 5)
 
 
+def test_ngram_join_lists_few_pairs(spark, monkeypatch):
+    """Groups of up to 64 texts that share shingles don't become pairs of rows."""
+    made = []
+    keep = ngram_join.near_enough
+    monkeypatch.setattr(ngram_join, "near_enough", lambda pairs, *args: made.append(pairs) or keep(pairs, *args))
+    texts = [" ".join(f"g{g}w{i}" for i in range(12)) + " " + " ".join(f"t{g}x{k}y{i}" for i in range(8))
+             for g in range(4) for k in range(50)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.join(df).collect()}
+    assert got == brute.shingle_groups(dict(enumerate(texts)))
+    plan = made[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert f"<= {ngram_join.FEW}" in plan and ngram_join.FEW <= 8
+
+
 def test_ngram_join_chains(spark, monkeypatch):
     """Links that only whole prefixes find, chains, and a large group of near copies."""
     rng = np.random.default_rng(1)
