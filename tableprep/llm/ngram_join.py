@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .words import mix, shingles, word_hashes
+from .words import mix, shingles, word_hashes, word_hashes_each
 
 PERCENT = 75
 SIZE = 5
@@ -166,8 +166,8 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
         sketch, held, n_held = np.zeros(1 << bits, np.int64), [], 0
         for frame in frames:
             rows = []
-            for text in frame["text"]:
-                toks = shingles(word_hashes(text), size)
+            for words in word_hashes_each(frame["text"]):
+                toks = shingles(words, size)
                 with np.errstate(over="ignore"):
                     s1, s2 = np.sum(order_key(toks, 100)), np.bitwise_xor.reduce(order_key(toks, 101))
                 rows.append((len(toks), int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64)), minima(toks),
@@ -253,8 +253,8 @@ def prefix_postings(spark: SparkSession, docs: DataFrame, classes: np.ndarray, s
                     pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.repeat(np.array(sigs, np.int64), sizes)),
                     pa.array(np.concatenate([np.arange(n, dtype=np.int32) for n in sizes]))], ["token", "s1", "place"])
 
-            for text in batch.column("text"):
-                found = shingles(word_hashes(text.as_py()), size)
+            for words in word_hashes_each(x.as_py() for x in batch.column("text")):
+                found = shingles(words, size)
                 if len(found):
                     with np.errstate(over="ignore"):
                         sig = int(np.sum(order_key(found, 100)).view(np.int64))

@@ -567,6 +567,12 @@ def test_word_hashes():
     assert (words.word_hashes("Some WORDS\tÄB") == words.word_hashes("some words\n Äb ")).all()
 
 
+def test_word_hashes_of_many_texts():
+    texts = ["Some WORDS", None, "", "  ", "x" * 300_000, "word " * 80_000, "a\x0bb", "ÄB é", "y" * 2000 + " z", "end"]
+    got = list(words.word_hashes_each(iter(texts)))
+    assert [x.tolist() for x in got] == [words.word_hashes(t).tolist() for t in texts]
+
+
 def test_decode_without_a_leading_space():
     import sentencepiece
     codec = sentencepiece_codec.load()
