@@ -24,11 +24,11 @@ its sets are compared:
    no link or ``ROUNDS`` are over.
 5. Prefix shingles whose classes lie in one component can add nothing; of the others,
    all pairs across components are looked at: their sizes and places in the prefix must
-   leave room for enough common shingles, their bitmaps must not differ in too many
-   places, and they must share prefix shingles under two further orders; then they
+   leave room for enough common shingles, their parities (of cells in proportion to the
+   sets) must not differ in too many places, and they must share prefix shingles under two further orders; then they
    are verified.  A shingle of more than ``FEW`` classes is compared in tasks, a block of
-   its classes against another, and only pairs that sizes, places and parities of the
-   bitmaps allow become rows.  Nothing is capped: every link between two components
+   its classes against another, and only pairs that sizes, places and parities allow
+   become rows.  Nothing is capped: every link between two components
    is found here, so the final components are exact.
 
 Shingles are 64-bit hashes, made again from the text where they are needed:
@@ -66,9 +66,9 @@ HUBS = 128  # sets that a verifying task keeps
 ROUNDS = 3
 FEW = 8  # classes under a shingle whose pairs a join lists
 BLOCK = 128
-PARITIES = 512
+CELLS = 512
 
-SIGNED = "n bigint, s1 bigint, s2 bigint, mins array<bigint>, bits binary, parity binary, chunk int, counts binary"
+SIGNED = "n bigint, s1 bigint, s2 bigint, mins array<bigint>, parity binary, chunk int, counts binary"
 
 
 def order_key(tokens: np.ndarray, order: int) -> np.ndarray:
@@ -86,21 +86,18 @@ def prefix(tokens: np.ndarray, keys: np.ndarray, percent: int = PERCENT) -> np.n
     return tokens[np.argsort(keys, kind="stable")[:prefix_length(len(tokens), percent)]]
 
 
-def bitmap(tokens: np.ndarray) -> bytes:
-    """One bit for each token's low bits, in two to four bits a token."""
+def parities(tokens: np.ndarray) -> bytes:
+    """For each cell of two to four a token, whether an odd number of tokens falls into it."""
     if not len(tokens):
         return b""
-    size = max(64, 1 << (2 * len(tokens) - 1).bit_length())
-    out = np.zeros(size, bool)
-    out[(tokens & np.uint64(size - 1)).astype(np.int64)] = True
-    return np.packbits(out).tobytes()
+    size = max(CELLS, 1 << (2 * len(tokens) - 1).bit_length())
+    cells = (tokens & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(cells, minlength=size) & 1 == 1).tobytes()
 
 
-def parities(tokens: np.ndarray) -> bytes:
-    """For each of ``PARITIES`` cells, whether an odd number of tokens falls into it: a cell that
-    differs between two sets holds a token that only one of them has."""
-    cells = (tokens >> np.uint64(20) & np.uint64(PARITIES - 1)).astype(np.int64)
-    return np.packbits(np.bincount(cells, minlength=PARITIES) & 1 == 1).tobytes()
+def folded(cells: np.ndarray, size: int) -> np.ndarray:
+    """Parities (bytes, in the last axis) as they were with ``size`` bytes of cells: a token's cell is its low bits."""
+    return np.bitwise_xor.reduce(cells.reshape(*cells.shape[:-1], -1, size), axis=-2)
 
 
 FIRST = np.arange(ORDERS, dtype=np.uint64)
@@ -132,16 +129,45 @@ def room(na: str, pa: str, nb: str, pb: str, percent: int) -> str:
 
 
 def apart(x: bytes, y: bytes) -> int:
-    """A lower bound of the number of tokens that only one of two sets has:
-    every bit that differs needs one.  The longer bitmap is folded: its low
-    bits are the shorter one's."""
+    """A lower bound of the number of tokens that only one of two sets has: a cell whose
+    parity differs holds one.  The longer parities are folded."""
     p, q = sorted((np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)), key=len)
-    q = np.bitwise_or.reduce(q.reshape(-1, len(p)), axis=0)
-    return int(np.bitwise_count(p ^ q).sum())
+    return int(np.bitwise_count(p ^ folded(q, len(p))).sum())
+
+
+def few_apart(xs: list[bytes], ys: list[bytes], i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Of the pairs (xs[i], ys[j]), those that ``apart`` puts at most ``most`` tokens apart: first
+    by ``CELLS`` cells, then by as many as the smaller set has."""
+    left, right = (np.array([len(v) for v in side], np.int64) for side in (xs, ys))
+    sizes = np.minimum(left[i], right[j])
+    keep = np.ones(len(i), bool)
+
+    def matrix(side: list[bytes], lengths: np.ndarray, used: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        rows, at = np.unique(used, return_inverse=True)
+        out = np.empty((len(rows), size), np.uint8)
+        for length in np.unique(lengths[rows]).tolist():
+            some = np.flatnonzero(lengths[rows] == length)
+            out[some] = folded(np.frombuffer(b"".join([side[r] for r in rows[some]]), np.uint8).reshape(len(some), length), size)
+        return out.view(np.uint64), at
+
+    def drop(pairs: np.ndarray, size: int) -> None:
+        if len(pairs):
+            (x, a), (y, b) = matrix(xs, left, i[pairs], size), matrix(ys, right, j[pairs], size)
+            step = max(1, (1 << 23) // size)
+            for lo in range(0, len(pairs), step):
+                some = slice(lo, lo + step)
+                differ = np.bitwise_count(x[a[some]] ^ y[b[some]]).sum(axis=1, dtype=np.int64)
+                keep[pairs[some]] = differ <= most[pairs[some]]
+
+    drop(np.arange(len(i)), CELLS // 8)
+    for size in np.unique(sizes[keep]).tolist():
+        if size > CELLS // 8:
+            drop(np.flatnonzero(keep & (sizes == size)), size)
+    return keep
 
 
 def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that their sizes and bitmaps don't rule out: at the
+    """The pairs (a, b) that their sizes and parities don't rule out: at the
     similarity asked for, at most (100 - t) / (100 + t) of all tokens differ."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,8 +177,8 @@ def near_enough(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
                     if apart(x.as_buffer(), y.as_buffer()) * (100 + percent) <= (100 - percent) * (n + m)]
             yield batch.select(["a", "b"]).take(pa.array(fine, pa.int64()))
 
-    of_a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
-    of_b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
+    of_a = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("xa"))
+    of_b = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("xb"))
     sized = pairs.join(of_a, "a").join(of_b, "b").where(f"least(na, nb) * 100 >= greatest(na, nb) * {percent}")
     return sized.mapInArrow(keep, "a bigint, b bigint")
 
@@ -171,21 +197,21 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                 with np.errstate(over="ignore"):
                     s1, s2 = np.sum(order_key(toks, 100)), np.bitwise_xor.reduce(order_key(toks, 101))
                 rows.append((len(toks), int(np.uint64(s1).view(np.int64)), int(np.uint64(s2).view(np.int64)), minima(toks),
-                             bitmap(toks), parities(toks), None, None))
+                             parities(toks), None, None))
                 held.append((toks >> np.uint64(64 - bits)).astype(np.int64))
                 n_held += len(toks)
                 if n_held > 1 << 20:
                     sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
                     held, n_held = [], 0
-            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "bits", "parity", "chunk", "counts"])
+            out = pd.DataFrame(rows, columns=["n", "s1", "s2", "mins", "parity", "chunk", "counts"])
             out.insert(0, "id", frame["id"].array)
             yield out
         if held:
             sketch += np.bincount(np.concatenate(held), minlength=1 << bits)
         if sketch.any():
-            parts = [(None, None, None, None, None, None, None, i, zlib.compress(x.astype(np.uint32).tobytes(), 1))
+            parts = [(None, None, None, None, None, None, i, zlib.compress(x.astype(np.uint32).tobytes(), 1))
                      for i, x in enumerate(sketch.reshape(-1, part))]
-            yield pd.DataFrame(parts, columns=["id", "n", "s1", "s2", "mins", "bits", "parity", "chunk", "counts"]).astype(
+            yield pd.DataFrame(parts, columns=["id", "n", "s1", "s2", "mins", "parity", "chunk", "counts"]).astype(
                 {"id": "Int64", "n": "Int64", "s1": "Int64", "s2": "Int64"})
 
     return docs.mapInPandas(run, f"id bigint, {SIGNED}")
@@ -347,10 +373,9 @@ def across_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataF
     left, right = (blocks.select("token", F.col("block").alias(f"{x}_block"), F.col("m").alias(x)) for x in "xy")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def fields(cell) -> list[np.ndarray]:
+        def fields(cell) -> list:
             held = cell.values
-            out = [held.field(k).to_numpy().astype(np.int64) for k in range(4)]
-            return [*out, np.frombuffer(b"".join(held.field(4).to_pylist()), np.uint64).reshape(len(held), -1)]
+            return [*[held.field(k).to_numpy().astype(np.int64) for k in range(4)], held.field(4).to_pylist()]
 
         for batch in batches:
             for x, y in zip(batch.column("x"), batch.column("y")):
@@ -359,8 +384,7 @@ def across_blocks(members: DataFrame, classes: DataFrame, percent: int) -> DataF
                 fine = (ca[:, None] != cb) & (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent)
                 fine &= np.minimum(na - pa_, nb - pb) * (100 + percent) >= (na + nb) * percent
                 i, j = np.nonzero(fine)
-                differ = np.bitwise_count(xa[i] ^ xb[j]).sum(axis=1, dtype=np.int64)
-                near = differ * (100 + percent) <= (100 - percent) * (na[i, 0] + nb[j])
+                near = few_apart(xa, xb, i, j, (100 - percent) * (na[i, 0] + nb[j]) // (100 + percent))
                 i, j = i[near], j[near]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a[i], b[j])), pa.array(np.maximum(a[i], b[j]))], ["a", "b"])
 
@@ -381,7 +405,7 @@ def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", siz
     signed = cut(signatures(docs, size), "ngram-signed")
     rows = signed.where("chunk is null")
     classes = cut(rows.where("id is not null and n > 0").groupBy("s1", "s2", "n")
-                  .agg(F.min("id").alias("node"), F.first("mins").alias("mins"), F.first("bits").alias("bits"), F.first("parity").alias("parity")), "ngram-classes")
+                  .agg(F.min("id").alias("node"), F.first("mins").alias("mins"), F.first("parity").alias("parity")), "ngram-classes")
 
     # whole prefixes: a class that shares no prefix shingle has no link
     seen = Window.partitionBy("token")

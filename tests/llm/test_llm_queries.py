@@ -573,6 +573,21 @@ def test_word_hashes_of_many_texts():
     assert [x.tolist() for x in got] == [words.word_hashes(t).tolist() for t in texts]
 
 
+def test_parities_tell_large_sets_apart():
+    """Sets of thousands of shingles that share some are dropped before they become rows; none that is near is."""
+    rng = np.random.default_rng(4)
+    base = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[:n], rng.integers(0, 1 << 63, more).astype(np.uint64)]))
+            for n in (0, 3, 500, 1000, 2000, 4000) for more in (2, 100, 1000, 3000)]
+    cells = [ngram_join.parities(s) for s in sets]
+    i, j = (x.ravel() for x in np.triu_indices(len(sets), 1))
+    sizes = np.array([len(s) for s in sets])
+    keep = ngram_join.few_apart(cells, cells, i, j, 25 * (sizes[i] + sizes[j]) // 175)
+    both = np.array([np.intersect1d(sets[a], sets[b]).size for a, b in zip(i, j)])
+    alike = both / (sizes[i] + sizes[j] - both)
+    assert keep[alike >= 0.75].all() and not keep[alike < 0.6].any()
+
+
 def test_decode_without_a_leading_space():
     import sentencepiece
     codec = sentencepiece_codec.load()
