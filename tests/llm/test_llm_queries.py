@@ -191,6 +191,18 @@ def test_katz_edges(edge):
     assert by[4][0] == by[4][1] and all(np.isfinite(r.score) and r.score <= 0 for r in edge["op3_katz_lm"])
 
 
+def test_katz_in_passes(spark, small_docs, monkeypatch):
+    """A range of the keys at a time gives the same sums; what comes back grows with the keys, not with the parts."""
+    monkeypatch.setattr(katz_lm, "HOT", 300)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionAll(docs.limit(3)).unionAll(spark.createDataFrame([(None, "x"), (7, None)], docs.schema))
+    model = katz_lm.train(docs)
+    want = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in katz_lm.score(docs, model).collect())
+    monkeypatch.setattr(katz_lm, "PART_TOKENS", 4000)
+    got = sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.base_score, r.score) for r in katz_lm.score(docs, model, passes=3).collect())
+    assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
+
+
 def whole_katz(texts, held, order):
     """{id: score} with every n-gram of up to ``order`` words stored, and the sums of some rows."""
     toks = {i: [("start",), *brute.words(t), ("end",)] for i, t in texts.items()}
