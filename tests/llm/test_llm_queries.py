@@ -344,6 +344,27 @@ def test_suffix_merge_copies_go_in_once(spark, hot, monkeypatch):
         assert 0 < rows_of["blocks"] < 9000
 
 
+def test_suffix_merge_lists_blocks_not_windows(spark, monkeypatch):
+    """Texts that share a passage in surroundings of their own cost a row a block, not one a window."""
+    rows_of = {}
+    write = DataFrameWriter.parquet
+
+    def counted(self, path, *args, **kw):
+        write(self, path, *args, **kw)
+        rows_of[path.rsplit("/", 1)[-1]] = spark.read.parquet(path).count()
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    rng = np.random.default_rng(6)
+    passage = "".join(rng.choice(list("abcdefé "), 300))
+    texts = ["".join(rng.choice(list("uvwxyz "), 350)) + passage + "".join(rng.choice(list("uvwxyz "), 350)) for _ in range(12)]
+    texts += [texts[0][100:] + "tail", texts[1][:-90]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_merge.remove(df, hot=2).collect()}
+    for i, (n, spans, _) in enumerate(brute.repeated_bytes([t.encode() for t in texts])):
+        assert (got[i].n_bytes - len(got[i].kept), len(got[i].spans)) == (n, spans)
+    assert 0 < rows_of["blocks"] < 14 * 40  # each text has up to 273 windows at an anchor, in some ten blocks
+
+
 def test_loser_tree_merges_runs():
     rng = np.random.default_rng(9)
     pool = ["".join(rng.choice(list("ab"), int(rng.integers(0, 9)))).encode() for _ in range(300)]
