@@ -344,6 +344,15 @@ def test_suffix_merge_copies_go_in_once(spark, hot, monkeypatch):
         assert 0 < rows_of["blocks"] < 9000
 
 
+def test_suffix_merge_spreads_parts():
+    """Anchors have the smallest hashes of their windows; they go to all parts alike."""
+    text = np.random.default_rng(9).integers(97, 123, 60_000).astype(np.uint8).tobytes()
+    grams = suffix_merge.anchors(text)[0]
+    many = np.bincount(suffix_merge.part_of(grams, 8).astype(np.int64), minlength=8)
+    assert len(grams) > 200 and len(many) == 8 and many.max() < len(grams) / 4
+    assert not suffix_merge.part_of(grams, 1).any()
+
+
 def test_suffix_merge_lists_blocks_not_windows(spark, monkeypatch):
     """Texts that share a passage in surroundings of their own cost a row a block, not one a window."""
     rows_of = {}
