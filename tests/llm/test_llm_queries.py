@@ -203,6 +203,36 @@ def test_katz_in_passes(spark, small_docs, monkeypatch):
     assert len(got) == len(want) and np.allclose(got, want, rtol=1e-9)
 
 
+def test_katz_model_is_packed(spark, monkeypatch):
+    """The table is a row for each run of keys, not for each n-gram; n-grams that end in a frequent word
+    are written once; and ranges of keys give the same sums as all at once."""
+    for name, value in (("PART_TOKENS", 4000), ("HOT", 300), ("HOT_WORDS", 40)):
+        monkeypatch.setattr(katz_lm, name, value)
+    rows_of = {}
+    write = DataFrameWriter.parquet
+
+    def counted(self, path, *args, **kw):
+        write(self, path, *args, **kw)
+        rows_of[path.rsplit("/", 1)[-1]] = spark.read.parquet(path).count()
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", counted)
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(limit, None)
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").select("doc_id", "text")
+    model = katz_lm.train(docs)
+    assert spark.conf.get(limit, None) == before
+    table = model.table(spark)
+    n = {r.order: r["count"] for r in table.groupBy("order").count().collect()}
+    assert n[2] == rows_of["counts2"] - (katz_lm.K + 1) * model.parts and 0 < rows_of["pairs2"] < n[2]
+    assert table.select("key").distinct().count() == n[1] + n[2] and n[1] == model.words
+    assert model.parts > 2 and rows_of["order=1"] < n[1] / 10 and rows_of["order=2"] < n[2] / 10
+    often = model.frequent(spark, 300).collect()
+    least = min(r.c for r in often)
+    assert 0 < len(often) <= 300 and len(often) == table.where(F.col("c") >= least).count()
+    one, three = (sorted(tuple(r) for r in katz_lm.score(docs, model, passes=k).collect()) for k in (1, 3))
+    assert len(one) == docs.count() and np.allclose(one, three, rtol=1e-9)
+
+
 def whole_katz(texts, held, order):
     """{id: score} with every n-gram of up to ``order`` words stored, and the sums of some rows."""
     toks = {i: [("start",), *brute.words(t), ("end",)] for i, t in texts.items()}
