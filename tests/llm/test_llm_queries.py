@@ -317,6 +317,58 @@ def test_cover_tree_blocks(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute.cosine_groups(src)
 
 
+def near_copies(rng, n, d, groups, size, noise):
+    """Unit vectors far apart, then groups of near copies."""
+    centres = cover_tree.unit(rng.normal(size=(groups, d)))
+    copies = np.repeat(centres, size, axis=0) + noise / np.sqrt(d) * rng.normal(size=(groups * size, d))
+    return cover_tree.unit(np.concatenate([rng.normal(size=(n, d)), copies]))
+
+
+@pytest.mark.parametrize("sizes", [{"LEAF": 20, "LARGE": 1, "PIVOTS": 16}, {"LEAF": 20, "KIDS": 64}, {"LEAF": 4000, "TILE": (64, 100)}])
+def test_dual_traversal_of_far_and_near_vectors(monkeypatch, sizes):
+    for name, value in sizes.items():
+        monkeypatch.setattr(cover_tree, name, value)
+    points = near_copies(np.random.default_rng(5), 500, 24, 15, 40, 0.12)
+    points = points[np.random.default_rng(6).permutation(len(points))]
+    copies = np.random.default_rng(7).integers(1, 4, len(points))
+    a, b = points[:600], points[600:]
+    for t in (0.5, 0.97, 0.98, 0.99):
+        near = (points @ points.T >= t) & ~np.eye(len(points), dtype=bool)
+        assert set(zip(*cover_tree.linked(points, None, t))) == set(zip(*np.nonzero(np.triu(near))))
+        assert set(zip(*cover_tree.linked(a, b, t))) == set(zip(*np.nonzero(near[:600, 600:])))
+        assert (cover_tree.tally(points, None, copies, t)[0] == near @ copies).all()
+        near[:600, :600] = near[600:, 600:] = False
+        links, hub = cover_tree.tally(a, b, copies, t)
+        assert (links == near @ copies).all() and (hub == cover_tree.hubs(len(points), *np.nonzero(near))).all()
+
+
+def test_near_copies_are_counted_whole():
+    points = near_copies(np.random.default_rng(8), 3000, 64, 1, 3000, 0.07)
+    every = [len(i) * len(j) for i, j, every in cover_tree.meets(points, None, 0.98) if every]
+    pairs = sum(len(i) for i, _, every in cover_tree.meets(points, None, 0.98) if not every)
+    assert max(every) > 2900 * 2900 and pairs < 3000 * 100
+
+
+def test_cover_tree_moves_a_bounded_share_of_the_table(spark, monkeypatch):
+    for name, value in (("BLOCK", 32), ("SAMPLE", 200), ("ROUND", 1), ("CHUNK", 8)):
+        monkeypatch.setattr(cover_tree, name, value)
+    moved, compared = [], cover_tree._compared
+
+    def counted(sent, *args):
+        moved.append(sent.agg(F.sum("n")).first()[0] or 0)
+        return compared(sent, *args)
+
+    monkeypatch.setattr(cover_tree, "_compared", counted)
+    points = near_copies(np.random.default_rng(9), 150, 32, 3, 60, 0.08)
+    src = [(i, [float(x) for x in p], 1) for i, p in enumerate(points)]
+    src += [(1000 + i, src[200][1], 1) for i in range(9)] + [(2000, src[5][1], None)]
+    got = cover_tree.near_duplicates(spark.createDataFrame(src, "vec_id bigint, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == brute.cosine_groups(src)
+    assert moved[0] == len(points) and len(moved) > 2  # each block with itself, then the rounds
+    assert max(moved) < 2 * cover_tree.COPIES * len(points)
+    assert sum(moved) < 0.75 * len(points) * len(points) / 32  # before: all of them to all blocks
+
+
 # ------------------------------------------------------------------ 5
 def test_suffix_merge(spark, small_docs, edge, edge_dir):
     ids = list(small_docs)
